@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("volume",)
+_MODULES = ("volume", "posts")
 
 
 def load_all() -> None:
