@@ -93,10 +93,13 @@ def normalise_text(df: DataFrame, col: str = "clean_text", out: str = "processed
     return df.withColumn(out, X.filter_tokens(X.clean_lower(col), stop_words, remove_stops))
 
 
-def process_posts(df: DataFrame, html_mode: str = "regex") -> DataFrame:
-    """The processed-post table: select -> HTML split -> tags -> lengths -> drop -> normalise."""
+def process_posts(df: DataFrame, html_mode: str = "regex", extra: Sequence[str] = ()) -> DataFrame:
+    """The processed-post table: select -> HTML split -> tags -> lengths -> drop -> normalise.
+
+    ``extra`` names further input columns to carry along (e.g. ``forum``).
+    """
     keep = [c for c in ("Id", "CreationDate", "Score", "ViewCount", "Title", "Body", "Tags",
-                        "AnswerCount", "CommentCount") if c in df.columns]
+                        "AnswerCount", "CommentCount", *extra) if c in df.columns]
     out = split_html(df.select(*keep), "Body", html_mode)
     out = parse_tags(out)
     out = post_lengths(out)

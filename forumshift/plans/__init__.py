@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("volume", "posts")
+_MODULES = ("volume", "posts", "complexity")
 
 
 def load_all() -> None:

@@ -17,8 +17,8 @@ def docs_posts(spark, sf):
     return fixture(spark, sf, "posts_docs")
 
 
-def processed(spark, sf):
-    return O.process_posts(O.filter_questions(docs_posts(spark, sf)))
+def processed(spark, sf, extra=()):
+    return O.process_posts(O.filter_questions(docs_posts(spark, sf)), extra=extra)
 
 
 def _sql(body: str) -> str:
@@ -85,9 +85,9 @@ def q_html_split_pages(spark, sf):
 
 _PROCESSED_SQL = f"""
 q AS (SELECT * FROM posts_docs WHERE PostTypeId = '1'),
-s AS (SELECT Id, CreationDate, Title, Body, {Q.prose_text('Body')} AS clean_text,
+s AS (SELECT Id, CreationDate, Title, Body, forum, {Q.prose_text('Body')} AS clean_text,
              {Q.code_blocks('Body')} AS code_blocks, {Q.split_tags('Tags')} AS tag_list FROM q),
-p AS (SELECT Id, CreationDate, clean_text, CAST(len(tag_list) AS INTEGER) AS tag_count,
+p AS (SELECT Id, CreationDate, forum, tag_list, clean_text, CAST(len(tag_list) AS INTEGER) AS tag_count,
              CAST(length(array_to_string(code_blocks, '')) AS INTEGER) AS code_length,
              CAST(length(Body) AS INTEGER) AS body_length,
              CAST(length(Title) AS INTEGER) AS title_length,
