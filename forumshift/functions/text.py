@@ -102,8 +102,8 @@ def filter_tokens(text, stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
     """
     toks = F.regexp_extract_all(_c(text), F.lit(WORD_RE), 0)
     if remove_stops:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda x: ~F.array_contains(stops, x)
+        stops = list(stop_words)   # IN over many literals becomes a hashed InSet
+        toks = F.filter(toks, lambda x: ~x.isin(stops)
                         & (x.rlike(ALPHA_RE) | (F.char_length(x) > 1)))
     return F.array_join(toks, " ")
 
@@ -131,11 +131,20 @@ def math_length(text) -> Column:
 
 def term_counts(terms) -> Column:
     """Per-row term frequencies without a shuffle: sort the array and read run
-    lengths.  Returns ``array<struct<term, tf>>``."""
+    lengths.  Returns ``array<struct<term, tf>>`` sorted by term.
+
+    Every lambda reads only its own arguments (an outer array referenced inside
+    a lambda would be re-evaluated per element), so the cost is O(n log n).
+    """
     s = F.array_sort(_c(terms))
     n = F.size(s)
-    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(idx, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    return F.transform(starts, lambda i, j: F.struct(
-        F.get(s, i).alias("term"),
-        (F.coalesce(F.get(starts, j + 1), n) - i).cast("long").alias("tf")))
+    prev = F.concat(F.array(F.lit(None).cast("string")), s)
+    flags = F.slice(F.zip_with(s, prev, lambda a, b: b.isNull() | (a != b)), 1, n)
+    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    starts = F.filter(F.zip_with(idx, flags, lambda i, f: F.when(f, i)), lambda x: x.isNotNull())
+    uniq = F.filter(F.zip_with(s, flags, lambda t, f: F.when(f, t)), lambda x: x.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    tf = F.zip_with(starts, ends, lambda a, b: (b - a).cast("long"))
+    pairs = F.zip_with(uniq, tf, lambda t, c: F.struct(t.alias("term"), c.alias("tf")))
+    return F.when(n > 0, pairs).otherwise(
+        F.array().cast("array<struct<term:string,tf:bigint>>"))

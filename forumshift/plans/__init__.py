@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("volume", "posts", "complexity")
+_MODULES = ("volume", "posts", "complexity", "terms")
 
 
 def load_all() -> None:
