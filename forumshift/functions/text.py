@@ -129,22 +129,26 @@ def math_length(text) -> Column:
     return F.char_length(F.array_join(parts, ""))
 
 
-def term_counts(terms) -> Column:
+def with_term_counts(df, col: str, out: str = "terms", keep=()):
     """Per-row term frequencies without a shuffle: sort the array and read run
-    lengths.  Returns ``array<struct<term, tf>>`` sorted by term.
+    lengths.  Adds ``out`` = ``array<struct<term, tf>>`` sorted by term.
 
-    Every lambda reads only its own arguments (an outer array referenced inside
-    a lambda would be re-evaluated per element), so the cost is O(n log n).
+    Each intermediate array is its own projected column (Catalyst does not inline
+    a non-trivial expression used more than once), and every lambda reads only its
+    own arguments, so a row costs one sort plus linear passes.
     """
-    s = F.array_sort(_c(terms))
-    n = F.size(s)
-    prev = F.concat(F.array(F.lit(None).cast("string")), s)
-    flags = F.slice(F.zip_with(s, prev, lambda a, b: b.isNull() | (a != b)), 1, n)
-    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    starts = F.filter(F.zip_with(idx, flags, lambda i, f: F.when(f, i)), lambda x: x.isNotNull())
-    uniq = F.filter(F.zip_with(s, flags, lambda t, f: F.when(f, t)), lambda x: x.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
-    tf = F.zip_with(starts, ends, lambda a, b: (b - a).cast("long"))
-    pairs = F.zip_with(uniq, tf, lambda t, c: F.struct(t.alias("term"), c.alias("tf")))
-    return F.when(n > 0, pairs).otherwise(
-        F.array().cast("array<struct<term:string,tf:bigint>>"))
+    base = [F.col(k) for k in keep]
+    s1 = df.select(*base, F.sort_array(F.col(col)).alias("_s"))
+    s2 = s1.select(*base, "_s", F.size("_s").alias("_n"),
+                   F.slice(F.zip_with("_s", F.concat(F.array(F.lit(None).cast("string")), F.col("_s")),
+                                      lambda a, b: b.isNull() | (a != b)), 1, F.size("_s")).alias("_f"))
+    s3 = s2.select(*base, "_n",
+                   F.filter(F.zip_with(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), "_f",
+                                       lambda i, f: F.when(f, i)), lambda x: x.isNotNull()).alias("_st"),
+                   F.filter(F.zip_with("_s", "_f", lambda t, f: F.when(f, t)),
+                            lambda x: x.isNotNull()).alias("_u"))
+    ends = F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))), F.array(F.col("_n")))
+    s4 = s3.select(*base, "_n", "_u", F.zip_with("_st", ends, lambda a, b: (b - a).cast("long")).alias("_tf"))
+    pairs = F.zip_with("_u", "_tf", lambda t, c: F.struct(t.alias("term"), c.alias("tf")))
+    return s4.select(*base, F.when(F.col("_n") > 0, pairs).otherwise(
+        F.array().cast("array<struct<term:string,tf:bigint>>")).alias(out))

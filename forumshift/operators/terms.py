@@ -42,9 +42,9 @@ class TfidfResult:
 def doc_terms(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = (),
               bigrams: bool = True) -> DataFrame:
     """Per-document ``terms`` array of struct(term, tf)."""
-    toks = X.tfidf_tokens(text)
-    grams = X.with_bigrams(toks) if bigrams else toks
-    return docs.select(F.col(doc), *[F.col(k) for k in keep], X.term_counts(grams).alias("terms"))
+    toks = docs.select(F.col(doc), *[F.col(k) for k in keep], X.tfidf_tokens(text).alias("_t"))
+    grams = toks.select(doc, *keep, (X.with_bigrams("_t") if bigrams else F.col("_t")).alias("_g"))
+    return X.with_term_counts(grams, "_g", "terms", keep=(doc, *keep))
 
 
 def fit_vocabulary(per_doc: DataFrame, n_docs: int, min_df: int = MIN_DF,

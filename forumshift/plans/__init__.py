@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("volume", "posts", "complexity", "terms")
+_MODULES = ("volume", "posts", "complexity", "terms", "causal")
 
 
 def load_all() -> None:
