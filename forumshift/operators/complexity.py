@@ -39,8 +39,8 @@ def zscore(df: DataFrame, cols: dict[str, str] | Sequence[tuple[str, str]],
         else:
             joined = df.join(F.broadcast(stats), keys, "left")
     else:
-        stats = df.agg(*aggs)                      # exactly one row
-        joined = df.crossJoin(F.broadcast(stats))
+        row = df.agg(*aggs).first()                # exactly one row of scalars
+        joined = df.withColumns({k: F.lit(row[k]).cast("double") for k in row.asDict()})
     out = joined.withColumns({
         dst: F.when(F.col(f"_sd_{src}") > 0,
                     (F.col(src).cast("double") - F.col(f"_mu_{src}")) / F.col(f"_sd_{src}"))

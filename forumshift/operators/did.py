@@ -26,8 +26,9 @@ Z95 = 1.959963984540054
 def _demean_once(df: DataFrame, unit: str, time: str, cols: Sequence[str]) -> DataFrame:
     um = df.groupBy(unit).agg(*[F.avg(c).alias(f"_u_{c}") for c in cols])
     tm = df.groupBy(time).agg(*[F.avg(c).alias(f"_t_{c}") for c in cols])
-    gm = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in cols])
-    j = df.join(um, unit).join(tm, time).crossJoin(F.broadcast(gm))     # gm: one row
+    gm = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in cols]).first()     # one row of scalars
+    j = df.join(um, unit).join(tm, time).withColumns(
+        {f"_g_{c}": F.lit(float(gm[f"_g_{c}"])) for c in cols})
     return j.select(*[c for c in df.columns if c not in cols],
                     *[(F.col(c) - F.col(f"_u_{c}") - F.col(f"_t_{c}") + F.col(f"_g_{c}")).alias(c)
                       for c in cols])
@@ -130,8 +131,8 @@ def cluster_scores(panel: DataFrame, unit: str, time: str, outcome: str, treat:
     """C5 without covariates: per-unit score ``sum_t D~ e / sum D~^2``."""
     dm = two_way_demean(panel.select(unit, time, outcome, treat), unit, time, [outcome, treat])
     b = dm.agg((F.sum(F.col(treat) * F.col(outcome)) / F.sum(F.col(treat) * F.col(treat))).alias("_b"),
-               F.sum(F.col(treat) * F.col(treat)).alias("_sxx"))
-    j = dm.crossJoin(F.broadcast(b))                     # one-row table
+               F.sum(F.col(treat) * F.col(treat)).alias("_sxx")).first()     # one row
+    j = dm.withColumns({"_b": F.lit(float(b["_b"])), "_sxx": F.lit(float(b["_sxx"]))})
     return j.groupBy(unit).agg(F.sum(F.col(treat) / F.col("_sxx")
                                      * (F.col(outcome) - F.col("_b") * F.col(treat))).alias("score"))
 

@@ -169,12 +169,12 @@ def encode_labels(df: DataFrame, col: str, name: str | None = None) -> DataFrame
 
 def panel_check(df: DataFrame, unit: str, time: str) -> DataFrame:
     """Per unit, cells, distinct periods, duplicate keys and missing periods."""
-    n_times = df.agg(F.countDistinct(time).alias("n_periods"))
+    n_periods = df.agg(F.countDistinct(time)).first()[0]    # one scalar
     per_unit = df.groupBy(unit).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(time).alias("n_times"),
     )
-    return (per_unit.crossJoin(F.broadcast(n_times))   # one-row table
+    return (per_unit.withColumn("n_periods", F.lit(n_periods).cast("long"))
             .withColumns({
                 "n_duplicates": F.col("n_rows") - F.col("n_times"),
                 "n_missing": F.col("n_periods") - F.col("n_times"),

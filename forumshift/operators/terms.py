@@ -92,9 +92,9 @@ def term_shift(res: TfidfResult, period: str = "pre") -> DataFrame:
     ``period`` is 1 for pre, 0 for post.  Means are over *all* documents of the
     period (zeros included), so the denominators come from a one-row count.
     """
-    counts = res.docs.agg(
+    c = res.docs.agg(
         F.sum(F.when(F.col(period) == 1, 1).otherwise(0)).alias("n_pre"),
-        F.sum(F.when(F.col(period) == 0, 1).otherwise(0)).alias("n_post"))
+        F.sum(F.when(F.col(period) == 0, 1).otherwise(0)).alias("n_post")).first()  # one row
     is_pre = F.col(period) == 1
     is_post = F.col(period) == 0
     sums = res.long.groupBy("term").agg(
@@ -102,8 +102,10 @@ def term_shift(res: TfidfResult, period: str = "pre") -> DataFrame:
         F.sum(F.when(is_post, F.col("tfidf")).otherwise(0.0)).alias("_s_post"),
         F.count(F.when(is_pre & (F.col("tfidf") > 0), 1)).alias("_c_pre"),
         F.count(F.when(is_post & (F.col("tfidf") > 0), 1)).alias("_c_post"))
-    t = (res.vocab.select("term").join(sums, "term", "left").na.fill(0, ["_s_pre", "_s_post", "_c_pre", "_c_post"])
-         .crossJoin(F.broadcast(counts)))                       # one-row table
+    t = (res.vocab.select("term").join(sums, "term", "left")
+         .na.fill(0, ["_s_pre", "_s_post", "_c_pre", "_c_post"])
+         .withColumns({"n_pre": F.lit(c["n_pre"] or 0).cast("long"),
+                       "n_post": F.lit(c["n_post"] or 0).cast("long")}))
     pre = F.try_divide(F.col("_s_pre"), F.col("n_pre").cast("double"))
     post = F.try_divide(F.col("_s_post"), F.col("n_post").cast("double"))
     out = t.select(

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("volume", "posts", "complexity", "terms", "causal")
+_MODULES = ("volume", "posts", "complexity", "terms", "causal", "significance")
 
 
 def load_all() -> None:
