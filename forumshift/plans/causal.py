@@ -112,3 +112,74 @@ FROM w""", did=False))
 def q_did_2x2(spark, sf):
     """2x2 DiD (treated x post) by OLS with interaction: effect, SE, t."""
     return rounded(D.did_2x2(estimation_panel(spark, sf), "treated", "post", "y"))
+
+
+# ------------------------------------------------------------ synthetic DiD
+from ..operators import sdid as SD  # noqa: E402
+
+SDID_SEED = 123
+SDID_REPS = 100
+
+
+def sdid_runs(spark, sf, method="sdid", vce="placebo", covariates=False):
+    panel = estimation_panel(spark, sf)
+    covs = ()
+    if covariates:
+        panel = P.dummies(panel, year_month("wk"), "year_month")
+        covs = tuple(c for c in panel.columns if c.startswith("year_month_"))
+    return SD.sdid_runs(panel, "forum", "wk", "y", "d", method=method, vce=vce,
+                        reps=SDID_REPS, seed=SDID_SEED, covariates=covs)
+
+
+@register("sdid_att")
+def q_sdid_att(spark, sf):
+    """SDID ATT with placebo SE (100 replicates, seed 123)."""
+    return SD.summarize_att(sdid_runs(spark, sf), "sdid", "placebo")
+
+
+@register("sdid_bootstrap")
+def q_sdid_bootstrap(spark, sf):
+    """SDID ATT with bootstrap SE (units resampled; draws lacking an arm redrawn)."""
+    return SD.summarize_att(sdid_runs(spark, sf, vce="bootstrap"), "sdid", "bootstrap")
+
+
+@register("sdid_covariates")
+def q_sdid_covariates(spark, sf):
+    """SDID with year-month covariates (projected; time-only dummies leave it unchanged)."""
+    return SD.summarize_att(sdid_runs(spark, sf, covariates=True), "sdid_month", "placebo")
+
+
+@register("synthetic_control")
+def q_synthetic_control(spark, sf):
+    """Synthetic control (no intercept, no ridge, no time weights), placebo SE."""
+    return SD.summarize_att(sdid_runs(spark, sf, method="sc"), "sc", "placebo")
+
+
+@register("sdid_weights")
+def q_sdid_weights(spark, sf):
+    """SDID control-unit weights (non-negative, sum to one)."""
+    return SD.unit_weights(sdid_runs(spark, sf))
+
+
+@register("sdid_time_weights")
+def q_sdid_time_weights(spark, sf):
+    """SDID pre-period weights (non-negative, sum to one)."""
+    return SD.time_weights(sdid_runs(spark, sf))
+
+
+@register("event_study")
+def q_event_study(spark, sf):
+    """SDID effect per relative week (leads and lags) with replicate SE and CI."""
+    return SD.event_study(sdid_runs(spark, sf))
+
+
+@register("event_bands")
+def q_event_bands(spark, sf):
+    """Mean event-study effect by week band (1-4, 5-12, ... 61-65) and overall."""
+    return SD.effect_bands(SD.event_study(sdid_runs(spark, sf)))
+
+
+@register("synthetic_path")
+def q_synthetic_path(spark, sf):
+    """Treated mean, SDID synthetic control and plain control mean per week."""
+    return SD.synthetic_path(sdid_runs(spark, sf))
