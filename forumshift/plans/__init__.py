@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("volume", "posts", "complexity", "terms", "causal", "significance")
+_MODULES = ("volume", "posts", "complexity", "terms", "causal", "significance", "io")
 
 
 def load_all() -> None:
