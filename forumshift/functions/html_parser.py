@@ -1,0 +1,69 @@
+"""Parser-mode HTML split (X1 variant for malformed or nested markup).
+
+A small stdlib ``html.parser`` helper inside an Arrow-batched pandas UDF: code
+element text (nested code counted once, in the outermost element), visible text
+nodes stripped and joined by a blank; script/style/comments dropped.
+"""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SKIP = {"script", "style"}
+
+
+class _Split(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.code, self._buf = [], [], []
+        self._code_depth = 0
+        self._skip = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in SKIP:
+            self._skip += 1
+        elif tag == "code":
+            if self._code_depth == 0:
+                self._buf = []
+            self._code_depth += 1
+
+    def handle_endtag(self, tag):
+        if tag in SKIP and self._skip:
+            self._skip -= 1
+        elif tag == "code" and self._code_depth:
+            self._code_depth -= 1
+            if self._code_depth == 0:
+                self.code.append("".join(self._buf))
+
+    def handle_data(self, data):
+        if self._skip:
+            return
+        if self._code_depth:
+            self._buf.append(data)
+            return
+        s = data.strip()
+        if s:
+            self.text.append(s)
+
+
+def split_one(html: str | None):
+    if html is None:
+        return None
+    p = _Split()
+    p.feed(html)
+    p.close()
+    if p._code_depth:                     # unclosed <code>: keep what was read
+        p.code.append("".join(p._buf))
+    return {"text": " ".join(p.text), "code": p.code}
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()),
+                             T.StructField("code", T.ArrayType(T.StringType()))]))
+def split_html_udf(html: pd.Series) -> pd.DataFrame:
+    parts = [split_one(h) for h in html]
+    return pd.DataFrame({"text": [None if p is None else p["text"] for p in parts],
+                         "code": [None if p is None else p["code"] for p in parts]})

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .terms import TfidfResult, term_values
 
@@ -47,7 +48,7 @@ def poisson1_weight(u: Column, kmax: int = 12) -> Column:
     return expr.otherwise(F.lit(kmax + 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erfc_udf(z: pd.Series) -> pd.Series:
     """Complementary error function on one row per term (tiny Arrow helper)."""
     return z.map(lambda v: math.erfc(v) if v is not None and not math.isnan(v) else float("nan"))

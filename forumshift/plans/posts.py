@@ -164,3 +164,11 @@ def q_word_freq_prepost(spark, sf):
     pre = O.word_freq(p, where=ts <= ev).select(F.lit("pre").alias("period"), "word", "n")
     post = O.word_freq(p, where=ts > ev).select(F.lit("post").alias("period"), "word", "n")
     return pre.unionByName(post)
+
+
+@register("html_split_parser")
+def q_html_split_parser(spark, sf):
+    """X1 parser mode on raw web pages (stdlib HTML parser in an Arrow UDF)."""
+    register_tables(spark, sf, ("pages",))
+    df = O.split_html(spark.table("pages"), "html", mode="parser")
+    return df.select("page_id", "clean_text", F.array_size("code_blocks").alias("n_code_blocks"))

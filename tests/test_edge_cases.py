@@ -117,3 +117,12 @@ def test_did_planted_additive_effect(spark):
     r = D.twfe_did(df, "u", "t", "y", "d").first()
     assert abs(r.att + 0.5) < 1e-9
     assert math.isclose(r.pct_effect, math.expm1(-0.5) * 100)
+
+
+def test_parser_mode_matches_regex_on_clean_markup(spark):
+    df = spark.createDataFrame([("<p>x &amp; y</p><code>a</code>x<code>b<b>c</b></code>",),
+                                ("<div><script>var a='<p>';</script><!-- c --><p> hi </p></div>",)],
+                               "Body string")
+    rx = [(r.clean_text, r.code_blocks) for r in O.split_html(df).collect()]
+    ps = [(r.clean_text, r.code_blocks) for r in O.split_html(df, mode="parser").collect()]
+    assert rx == ps
