@@ -63,6 +63,16 @@ def two_way_demean(df: DataFrame, unit: str, time: str, cols: Sequence[str],
     return cur
 
 
+def varying_covariates(panel: DataFrame, time: str, covariates: Sequence[str]) -> list[str]:
+    """Covariates that vary within some period; the others (month or quarter
+    dummies, any time-only series) are absorbed by the time effects.  One aggregate."""
+    if not covariates:
+        return []
+    spread = panel.groupBy(time).agg(*[(F.max(c) - F.min(c)).alias(c) for c in covariates]).agg(
+        *[F.max(F.abs(c)).alias(c) for c in covariates]).first()
+    return [c for c in covariates if (spread[c] or 0) > 0]
+
+
 def twfe_did(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
              covariates: Sequence[str] = (), cluster: str | None = None,
              ssc: bool = True, label: str = "twfe") -> DataFrame:
@@ -73,6 +83,7 @@ def twfe_did(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
     quarter dummies) are absorbed by the time effects and drop out.
     """
     cluster = cluster or unit
+    covariates = varying_covariates(panel, time, covariates)
     cols = [outcome, treat, *covariates]
     data = panel.select(unit, time, *cols) if cluster == unit else panel.select(
         unit, time, cluster, *cols)
