@@ -78,8 +78,10 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
     kept = F.filter(looked, lambda t: t["idf"].isNotNull())
     weighted = F.transform(kept, lambda t: F.struct(
         t["term"].alias("term"), t["tf"].alias("tf"), (t["tf"] * t["idf"]).alias("w")))
-    norm = F.sqrt(F.aggregate(weighted, F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
-    scored = per_doc.select(doc, *keep, weighted.alias("_w"), norm.alias("_norm"))
+    # Two projections: the weighted array is materialised once, then read twice.
+    weighted_df = per_doc.select(doc, *keep, weighted.alias("_w"))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
+    scored = weighted_df.select(doc, *keep, "_w", norm.alias("_norm"))
     long = (scored.select(doc, *keep, "_norm", F.explode("_w").alias("t"))
                   .select(doc, *keep, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"),
                           (F.col("t.w") / F.col("_norm")).alias("tfidf")))
