@@ -103,8 +103,9 @@ def filter_tokens(text, stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
     toks = F.regexp_extract_all(_c(text), F.lit(WORD_RE), 0)
     if remove_stops:
         stops = list(stop_words)   # IN over many literals becomes a hashed InSet
+        # cheap tests first: the letter-only regex runs for 1-character tokens only
         toks = F.filter(toks, lambda x: ~x.isin(stops)
-                        & (x.rlike(ALPHA_RE) | (F.char_length(x) > 1)))
+                        & ((F.char_length(x) > 1) | x.rlike(ALPHA_RE)))
     return F.array_join(toks, " ")
 
 

@@ -116,8 +116,11 @@ def tech_expr_length(df: DataFrame, code_forums: Iterable[str], forum_col: str =
 
 def tokens_long(df: DataFrame, key: str, col: str) -> DataFrame:
     """(key, pos, token) rows of a space-separated text (python ``str.split`` semantics)."""
-    return (df.select(F.col(key), F.posexplode(F.split(F.col(col), r"\s+")).alias("pos", "token"))
-              .where(F.col("token") != ""))
+    # *_outer: a plain explode makes Catalyst infer a not-null/size filter on the
+    # generator input and push it below the projection, evaluating an expensive
+    # text column twice.  Nulls are dropped after the explode instead.
+    return (df.select(F.col(key), F.posexplode_outer(F.split(F.col(col), r"\s+")).alias("pos", "token"))
+              .where(F.col("token").isNotNull() & (F.col("token") != "")))
 
 
 def word_freq(df: DataFrame, col: str = "processed_text", k: int | None = 200,
@@ -127,10 +130,11 @@ def word_freq(df: DataFrame, col: str = "processed_text", k: int | None = 200,
     The aggregate is partial per task before the shuffle; the top-k is a
     distributed TakeOrderedAndProject, never a single-task sort of all words.
     """
-    base = df.where(F.col(col).isNotNull())
-    if where is not None:
-        base = base.where(where)
-    words = base.select(F.explode(F.split(F.col(col), r"\s+")).alias("word")).where(F.col("word") != "")
+    base = df if where is None else df.where(where)
+    # explode_outer + filter on the word: no predicate on the (expensive) text column
+    # is pushed below its projection, so the text is computed once.
+    words = base.select(F.explode_outer(F.split(F.col(col), r"\s+")).alias("word")).where(
+        F.col("word").isNotNull() & (F.col("word") != ""))
     freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     if k is None:
         return freq
@@ -161,8 +165,8 @@ def apply_lemmas(df: DataFrame, key: str, col: str, lemmas: DataFrame,
 def plural_lemmas(df: DataFrame, col: str) -> DataFrame:
     """A lemma dictionary derived from the corpus by one rule: a token ending in
     ``s`` maps to its stem when the stem is itself a corpus token."""
-    vocab = df.select(F.explode(F.split(F.col(col), r"\s+")).alias("token")).where(
-        F.col("token") != "").distinct()
+    vocab = df.select(F.explode_outer(F.split(F.col(col), r"\s+")).alias("token")).where(
+        F.col("token").isNotNull() & (F.col("token") != "")).distinct()
     plural = vocab.where(F.col("token").endswith("s") & (F.char_length("token") > 3)).withColumn(
         "lemma", F.expr("substr(token, 1, char_length(token) - 1)"))
     return plural.join(vocab.withColumnRenamed("token", "lemma"), "lemma", "left_semi").select(

@@ -50,7 +50,8 @@ def doc_terms(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = (),
 def fit_vocabulary(per_doc: DataFrame, n_docs: int, min_df: int = MIN_DF,
                    max_df: float = MAX_DF, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """kept terms with document frequency, total count and smoothed idf."""
-    pairs = per_doc.select(F.explode("terms").alias("t")).select("t.term", "t.tf")
+    pairs = (per_doc.select(F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+             .select("t.term", "t.tf"))
     stats = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_count"))
     hi = max_df * n_docs if isinstance(max_df, float) else max_df
     kept = stats.where((F.col("df") >= F.lit(min_df)) & (F.col("df") <= F.lit(hi)))
@@ -82,7 +83,7 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
     weighted_df = per_doc.select(doc, *keep, weighted.alias("_w"))
     norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
     scored = weighted_df.select(doc, *keep, "_w", norm.alias("_norm"))
-    long = (scored.select(doc, *keep, "_norm", F.explode("_w").alias("t"))
+    long = (scored.select(doc, *keep, "_norm", F.explode_outer("_w").alias("t")).where(F.col("t").isNotNull())
                   .select(doc, *keep, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"),
                           (F.col("t.w") / F.col("_norm")).alias("tfidf")))
     return TfidfResult(vocab=vocab, long=long, docs=per_doc.select(doc, *keep))

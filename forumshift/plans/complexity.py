@@ -30,6 +30,9 @@ def question_metrics(spark, sf):
         "tech_expr_length": F.when(F.col("forum") == TREATED_FORUM, F.col("code_length"))
                              .otherwise(X.math_length("clean_text")),
     })
+    # The text work is done once: the narrow per-question metrics are cached, since
+    # the z-score statistics and the scores both read them.
+    p = p.select("Id", "forum", "Lang", "CreationDate", *[m for m, _ in C.METRICS]).persist()
     z = C.zscore(p, dict(C.METRICS), partition="forum")
     return C.complexity_score(z, NORM_COLS)
 
