@@ -37,6 +37,16 @@ def weekly_panel(df: DataFrame, date_col: str = "CreationDate",
     base = df.select(*[F.col(k) for k in keys], d.alias("_date"),
                      *[F.col(src).cast("double").alias(f"_m_{name}") for name, src in means.items()])
     base = base.withColumns(wk)
+    if trim is not None:
+        # Rows that cannot belong to a kept cell are dropped before the aggregation
+        # (pushed towards the scan).  Only the upper side is safe: a cell's
+        # week_start is its earliest date, so removing early rows would move it.
+        # A mixed-key cell can hold 1-2 January and late December of the same
+        # year, hence the end of hi's year as bound; an ISO cell ends <= hi + 6 days.
+        hi = F.lit(trim[1]).cast("date")
+        bound = (F.make_date(F.year(hi), F.lit(12), F.lit(31)) if week_key == "mixed"
+                 else F.date_add(hi, 6))
+        base = base.where(F.col("_date") <= bound)
     out = base.groupBy("yearweek", "year", "week", *keys).agg(
         F.count(F.lit(1)).alias(count_name),
         F.min("_date").alias("week_start"),

@@ -238,6 +238,14 @@ def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "for
         (inter / se).alias("t_stat"), F.col("df_resid").cast("long").alias("df_resid"))
 
 
+def _pair_corr(a, b):
+    """Pearson r over rows where both are present; null (not an ANSI error) when a
+    series is constant or has fewer than two points."""
+    sa = F.stddev_samp(F.when(b.isNotNull(), a))
+    sb = F.stddev_samp(F.when(a.isNotNull(), b))
+    return F.when((sa > 0) & (sb > 0), F.try_divide(F.covar_samp(a, b), sa * sb))
+
+
 def corr_prepost(wide: DataFrame, cols: Sequence[str], labels: Sequence[str], date_col: str,
                  event_date: str) -> DataFrame:
     """H9: Pearson correlations between forum series, before (<=) and after (>) the event.
@@ -253,7 +261,8 @@ def corr_prepost(wide: DataFrame, cols: Sequence[str], labels: Sequence[str], da
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     out = None
     for period, cond in (("pre", F.col(date_col) <= ev), ("post", F.col(date_col) > ev)):
-        aggs = [F.corr(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"c{i}_{j}") for i, j in pairs]
+        aggs = [_pair_corr(F.col(f"`{cols[i]}`"), F.col(f"`{cols[j]}`")).alias(f"c{i}_{j}")
+                for i, j in pairs]
         row = base.where(cond).agg(*aggs)
         long = row.select(F.explode(F.array(*[
             F.struct(F.lit(labels[i]).alias("forum_a"), F.lit(labels[j]).alias("forum_b"),

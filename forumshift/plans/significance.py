@@ -163,7 +163,10 @@ _WIDE_COLS = ", ".join(f"sum(CASE WHEN forum = '{f}' THEN log_question_count END
                        for i, f in enumerate(ORDERS_FORUMS))
 _CORR_PARTS = " UNION ALL ".join(
     f"SELECT '{per}' AS period, '{ORDERS_FORUMS[i]}' AS forum_a, '{ORDERS_FORUMS[j]}' AS forum_b, "
-    f"round(corr(c{i}, c{j}), 6) AS corr FROM wide WHERE week_start {op} DATE '{ORDERS_EVENT_DATE}'"
+    f"round(CASE WHEN stddev_samp(CASE WHEN c{j} IS NOT NULL THEN c{i} END) > 0 "
+    f"AND stddev_samp(CASE WHEN c{i} IS NOT NULL THEN c{j} END) > 0 THEN covar_samp(c{i}, c{j}) / "
+    f"(stddev_samp(CASE WHEN c{j} IS NOT NULL THEN c{i} END) * stddev_samp(CASE WHEN c{i} IS NOT NULL "
+    f"THEN c{j} END)) END, 6) AS corr FROM wide WHERE week_start {op} DATE '{ORDERS_EVENT_DATE}'"
     for per, op in (("pre", "<="), ("post", ">"))
     for i in range(len(ORDERS_FORUMS)) for j in range(i + 1, len(ORDERS_FORUMS)))
 
