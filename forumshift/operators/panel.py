@@ -213,3 +213,19 @@ def union_relaxed(frames: Sequence[DataFrame]) -> DataFrame:
     for f in cast[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def coalesce_group(df: DataFrame, primary: str = "Lang", fallback: str = "forum",
+                   out: str = "group") -> DataFrame:
+    """The sub-group when present (languages of the treated forum), else the forum."""
+    return df.withColumn(out, F.coalesce(F.col(primary), F.col(fallback)))
+
+
+def remap(df: DataFrame, col: str, mapping: dict, out: str | None = None) -> DataFrame:
+    """Replace values found in a small driver dictionary; others are kept."""
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    vtype = type(next(iter(mapping.values())))
+    looked = F.try_element_at(m, F.col(col))
+    if vtype is str:
+        return df.withColumn(out or col, F.coalesce(looked, F.col(col)))
+    return df.withColumn(out or col, looked)

@@ -206,6 +206,49 @@ def average_rank(df: DataFrame, partition: str, order: str, name: str = "time_tr
     return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+def _betainc(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta I_x(a, b) by Lentz's continued fraction."""
+    if x <= 0:
+        return 0.0
+    if x >= 1:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _betainc(b, a, 1 - x)
+    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    front = math.exp(math.log(x) * a + math.log(1 - x) * b + lbeta) / a
+    tiny = 1e-300
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        if i == 0:
+            num = 1.0
+        elif i % 2 == 0:
+            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1.0 + num * d
+        d = 1.0 / (d if abs(d) > tiny else tiny)
+        c = 1.0 + num / c
+        c = c if abs(c) > tiny else tiny
+        f *= c * d
+        if abs(1.0 - c * d) < 1e-15:
+            break
+    return front * (f - 1.0)
+
+
+def t_two_sided_p(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t with ``df`` degrees of freedom."""
+    if t is None or df is None or math.isnan(t) or df <= 0:
+        return float("nan")
+    return _betainc(df / 2.0, 0.5, df / (df + t * t))
+
+
+@F.pandas_udf(T.DoubleType())
+def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Student-t two-sided p-values, one row per coefficient (tiny Arrow helper)."""
+    return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, df)], dtype="float64")
+
+
 def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "forum",
                     reference: str | None = None, date_col: str = "week_start",
                     event_date: str | None = None) -> DataFrame:
@@ -233,9 +276,20 @@ def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "for
     j = per.join(pooled, "outcome")
     inter = F.col("slope") - F.col("ref_slope")
     se = F.sqrt(F.col("s2") * (F.lit(1.0) / F.col("sxx") + F.lit(1.0) / F.col("ref_sxx")))
-    return j.where(F.col(forum) != F.lit(ref)).select(
+    out = j.where(F.col(forum) != F.lit(ref)).select(
         "outcome", forum, "slope", inter.alias("interaction"), se.alias("se"),
         (inter / se).alias("t_stat"), F.col("df_resid").cast("long").alias("df_resid"))
+    return out
+
+
+def pretrend_test(panel: DataFrame, outcomes: Sequence[str], forum: str = "forum",
+                  reference: str | None = None, date_col: str = "week_start",
+                  event_date: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """H7/H8: slopes plus the two-sided t p-value and the parallel-trend label."""
+    s = pretrend_slopes(panel, outcomes, forum, reference, date_col, event_date)
+    s = s.withColumn("p_value", t_pvalue_udf(F.col("t_stat"), F.col("df_resid").cast("double")))
+    return s.withColumn("verdict", F.when(F.col("p_value") < alpha, F.lit("non-parallel"))
+                        .otherwise(F.lit("parallel")))
 
 
 def _pair_corr(a, b):

@@ -85,6 +85,14 @@ def q_did_cluster_se(spark, sf):
     return rounded(D.cluster_scores(estimation_panel(spark, sf), "forum", "wk", "y", "d"))
 
 
+@register("did_week_fe", causal_sql(_did_select("twfe_week")))
+def q_did_week_fe(spark, sf):
+    """+ explicit week dummies (collinear with the week effects: same ATT)."""
+    panel = P.dummies(estimation_panel(spark, sf), F.date_format("wk", "yyyyMMdd"), "week")
+    covs = [c for c in panel.columns if c.startswith("week_")]
+    return rounded(D.twfe_did(panel, "forum", "wk", "y", "d", covariates=covs, label="twfe_week"))
+
+
 @register("did_month_fe", causal_sql(_did_select("twfe_month")))
 def q_did_month_fe(spark, sf):
     """+ year-month dummies (time-only, absorbed by the week effects: same ATT)."""

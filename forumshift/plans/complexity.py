@@ -118,3 +118,28 @@ def q_arm_means(spark, sf):
     """Unweighted pre/post means of weekly mean scores per arm."""
     wk = C.weekly_complexity(question_metrics(spark, sf), ("forum",), trim=STUDY_TRIM)
     return rounded(C.arm_means(wk, DOCS_EVENT_DATE, arm="forum"))
+
+
+@register("complexity_union", processed_sql(_z_sql() + f"""
+, so AS (SELECT Lang, CAST(year(CreationDate) * 100 + week(CreationDate) AS INTEGER) AS yearweek,
+                min(CAST(CreationDate AS DATE)) AS week_start, avg(score) AS mean_score
+         FROM z WHERE forum = '{TREATED_FORUM}' GROUP BY Lang, year(CreationDate), week(CreationDate)),
+ctl AS (SELECT forum, CAST(year(CreationDate) * 100 + week(CreationDate) AS INTEGER) AS yearweek,
+               min(CAST(CreationDate AS DATE)) AS week_start, avg(score) AS mean_score
+        FROM z WHERE forum <> '{TREATED_FORUM}' GROUP BY forum, year(CreationDate), week(CreationDate)),
+u AS (SELECT *, '{TREATED_FORUM}' AS forum FROM so UNION ALL BY NAME SELECT * FROM ctl)
+SELECT coalesce(Lang, forum) AS "group", forum, yearweek, week_start, round(mean_score, 6) AS mean_score,
+       CAST(forum = '{TREATED_FORUM}' AS INTEGER) AS treated
+FROM u WHERE week_start > DATE '{STUDY_TRIM[0]}' AND week_start <= DATE '{STUDY_TRIM[1]}'"""))
+def q_complexity_union(spark, sf):
+    """Treated-forum language panel and control-forum panel stacked; the
+    unit is the language when present, else the forum."""
+    from ..operators import panel as P
+    m = question_metrics(spark, sf)
+    so = C.weekly_complexity(m.where(F.col("forum") == TREATED_FORUM), ("Lang",), trim=STUDY_TRIM) \
+        .withColumn("forum", F.lit(TREATED_FORUM))
+    ctl = C.weekly_complexity(m.where(F.col("forum") != TREATED_FORUM), ("forum",), trim=STUDY_TRIM)
+    u = P.union_relaxed([so.select("Lang", "forum", "yearweek", "week_start", "mean_score"),
+                         ctl.select("forum", "yearweek", "week_start", "mean_score")])
+    u = P.mark_treated(P.coalesce_group(u), TREATED_FORUM)
+    return rounded(u.select("group", "forum", "yearweek", "week_start", "mean_score", "treated"))

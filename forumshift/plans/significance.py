@@ -159,6 +159,13 @@ def q_pretrend_slopes(spark, sf):
                                      PRETREND_REFERENCE, "week_start", ORDERS_EVENT_DATE))
 
 
+@register("pretrend_test")
+def q_pretrend_test(spark, sf):
+    """H7/H8: pre-trend interactions with Student-t p-values and parallel/non-parallel labels."""
+    return rounded(S.pretrend_test(orders_panel(spark, sf), PRETREND_OUTCOMES, "forum",
+                                   PRETREND_REFERENCE, "week_start", ORDERS_EVENT_DATE))
+
+
 _WIDE_COLS = ", ".join(f"sum(CASE WHEN forum = '{f}' THEN log_question_count END) AS c{i}"
                        for i, f in enumerate(ORDERS_FORUMS))
 _CORR_PARTS = " UNION ALL ".join(

@@ -192,3 +192,14 @@ def q_diagonal_union(spark, sf):
         "yearweek", "forum", "group", F.col("question_count").cast("int").alias("question_count"),
         "week_start", "treated")
     return rounded(P.union_relaxed([a, b]))
+
+
+_ORDER_CASE = " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(ORDERS_FORUMS))
+
+
+@register("forum_order", panel_sql(
+    f'SELECT forum, "group", yearweek, CASE forum {_ORDER_CASE} END AS forum_order FROM panel'))
+def q_forum_order(spark, sf):
+    """Value remap by a small dictionary (display order of the forums)."""
+    p = orders_panel(spark, sf).select("forum", "group", "yearweek")
+    return P.remap(p, "forum", {f: i for i, f in enumerate(ORDERS_FORUMS)}, "forum_order")

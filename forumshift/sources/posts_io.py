@@ -75,3 +75,13 @@ def write_panel(df: DataFrame, path: str, csv: bool = False) -> None:
     write_parquet(df, path, codec="snappy")
     if csv:
         df.write.mode("overwrite").option("header", "true").csv(path + "_csv")
+
+
+def read_forums(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
+    """One dataset per forum, read as one table with a ``forum`` column
+    (union by name, missing columns null)."""
+    frames = [spark.read.format(fmt).load(p).withColumn("forum", F.lit(name)) for name, p in paths.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -61,3 +61,11 @@ def test_spark_sdid_runs_on_additive_panel(spark):
     assert abs(lam - 1) < 1e-9
     bands = {r.band: r.estimate for r in SD.effect_bands(SD.event_study(runs)).collect()}
     assert abs(bands["overall"] + 0.5) < 1e-9
+
+
+def test_student_t_pvalues():
+    from forumshift.operators.significance import t_two_sided_p
+    # reference values of the t distribution (two-sided)
+    assert abs(t_two_sided_p(2.0, 10) - 0.07338803477) < 1e-9
+    assert abs(t_two_sided_p(1.96, 1e6) - 0.04999579) < 1e-6
+    assert abs(t_two_sided_p(0.0, 5) - 1.0) < 1e-12
