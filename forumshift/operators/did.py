@@ -15,12 +15,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 Z95 = 1.959963984540054
+MAX_UNBALANCED_ROWS = 5_000_000     # unbalanced panels up to this size are solved in one task
 
 
 def _demean_once(df: DataFrame, unit: str, time: str, cols: Sequence[str]) -> DataFrame:
@@ -45,8 +47,37 @@ def two_way_demean(df: DataFrame, unit: str, time: str, cols: Sequence[str],
                    max_iter: int = 200, tol: float = 1e-12, checkpoint_every: int = 5) -> DataFrame:
     """Residualise ``cols`` on unit and time fixed effects."""
     base = df.select(unit, time, *[F.col(c).cast("double").alias(c) for c in cols])
-    if _is_balanced(base, unit, time):
+    r = base.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("u"),
+                 F.countDistinct(time).alias("t"), F.countDistinct(unit, time).alias("cells")).first()
+    if r["n"] == r["cells"] == r["u"] * r["t"]:
         return _demean_once(base, unit, time, cols)
+    if r["n"] > MAX_UNBALANCED_ROWS:
+        return _demean_iterative(base, unit, time, cols, max_iter, tol, checkpoint_every)
+    # Unbalanced but bounded panel (checked above): alternating projections to
+    # convergence inside one Arrow task, instead of hundreds of tiny Spark jobs.
+    schema = base.schema
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = pd.factorize(pdf[unit])[0]
+        t = pd.factorize(pdf[time])[0]
+        nu, nt = np.bincount(u), np.bincount(t)
+        for c in cols:
+            x = pdf[c].to_numpy(dtype=float).copy()
+            for _ in range(max_iter * 50):
+                x -= (np.bincount(u, x) / nu)[u]
+                step = (np.bincount(t, x) / nt)[t]
+                x -= step
+                if np.abs(step).max() < tol:
+                    break
+            pdf[c] = x
+        return pdf
+
+    return base.groupBy(F.lit(0).alias("_one")).applyInPandas(
+        lambda pdf: solve(pdf.drop(columns=["_one"], errors="ignore")), schema)
+
+
+def _demean_iterative(base, unit, time, cols, max_iter, tol, checkpoint_every):
+    """Alternating projections as Spark jobs (very large unbalanced panels)."""
     cur = base
     for it in range(max_iter):
         um = cur.groupBy(unit).agg(*[F.avg(c).alias(f"_u_{c}") for c in cols])

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.weights import sdid_fit
 
-MAX_CELLS = 25_000_000
+MAX_CELLS = 5_000_000          # unit x period cells solved in one task
+MAX_UNITS = 5_000
+MAX_PERIODS = 5_000
 OUT_SCHEMA = "rep int, kind string, key string, idx int, value double"
 # Week bands of the published event-study table.
 EVENT_BANDS = ((1, 4), (5, 12), (13, 24), (25, 36), (37, 48), (49, 60), (61, 65))
@@ -81,8 +83,9 @@ def _solver(method: str, vce: str, seed: int):
 def check_panel(panel: DataFrame, unit: str, time: str) -> dict:
     r = panel.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("u"),
                   F.countDistinct(time).alias("t"), F.countDistinct(unit, time).alias("cells")).first()
-    if r["u"] * r["t"] > MAX_CELLS:
-        raise ValueError(f"panel has {r['u'] * r['t']} cells; more than {MAX_CELLS} per experiment")
+    if r["u"] * r["t"] > MAX_CELLS or r["u"] > MAX_UNITS or r["t"] > MAX_PERIODS:
+        raise ValueError(f"panel of {r['u']} units x {r['t']} periods exceeds the per-experiment "
+                         f"bounds ({MAX_UNITS} units, {MAX_PERIODS} periods, {MAX_CELLS} cells)")
     if not (r["n"] == r["cells"] == r["u"] * r["t"]):
         raise ValueError("panel is not balanced: run panel_check and fill or drop gaps first")
     return r.asDict()

@@ -69,3 +69,22 @@ def test_student_t_pvalues():
     assert abs(t_two_sided_p(2.0, 10) - 0.07338803477) < 1e-9
     assert abs(t_two_sided_p(1.96, 1e6) - 0.04999579) < 1e-6
     assert abs(t_two_sided_p(0.0, 5) - 1.0) < 1e-12
+
+
+def test_twfe_unbalanced_matches_dummy_regression(spark):
+    from forumshift.operators import did as D
+    rng = np.random.default_rng(11)
+    rows = []
+    for u in range(6):
+        for t in range(25):
+            if (u * 7 + t * 3) % 11 == 0:
+                continue                                   # holes: unbalanced
+            d = 1.0 if (u < 2 and t >= 15) else 0.0
+            rows.append((u, t, 0.2 * u - 0.03 * t + 0.4 * d + rng.normal(scale=0.1), d))
+    df = spark.createDataFrame(rows, "u int, t int, y double, d double")
+    att = D.twfe_did(df, "u", "t", "y", "d").first().att
+    # brute force: OLS with unit and time dummies
+    U = np.array([r[0] for r in rows]); Tt = np.array([r[1] for r in rows])
+    X = np.column_stack([np.array([r[3] for r in rows]), np.eye(6)[U], np.eye(25)[Tt][:, 1:]])
+    beta = np.linalg.lstsq(X, np.array([r[2] for r in rows]), rcond=None)[0]
+    assert abs(att - beta[0]) < 1e-8

@@ -12,17 +12,24 @@ from oracle_check import check, duck  # noqa: E402
 from forumshift.plans.registry import all_queries  # noqa: E402
 
 SF = os.environ.get("FORUMSHIFT_TEST_SF", "/root/testdata/sf0.001")
+# The DiD oracle SQL is the balanced-panel closed form; the estimation panel is
+# balanced from sf0.01 up (FIXTURES.md), so those queries are compared there.
+# (On the unbalanced sf0.001 panel the estimator is checked against a dummy-variable
+# regression in test_estimators.py instead.)
+SF_BALANCED = "/root/testdata/sf0.01"
+BALANCED_PANEL = {"did_att", "did_cluster_se", "did_month_fe", "did_quarter_fe", "did_week_fe"}
 QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
 def con():
-    return duck(SF)
+    return {SF: duck(SF), SF_BALANCED: duck(SF_BALANCED)}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    status, n, _ = check(spark, con, QUERIES[name], SF, verbose=True)
+    sf = SF_BALANCED if name in BALANCED_PANEL else SF
+    status, n, _ = check(spark, con[sf], QUERIES[name], sf, verbose=True)
     assert status in ("ok", "rows-only"), f"{name}: {status}"
     assert n >= 0
 
