@@ -12,7 +12,9 @@ from ..streaming.resumable import resumable_ingest
 from . import sqltext as Q
 from .fixtures import with_views
 from .posts import INGEST_RANGE, docs_posts, processed_sql
-from .registry import register
+from .fixtures import ORDERS_EVENT_DATE, ORDERS_TREATED_FORUM
+from .registry import register, rounded
+from .volume import orders_panel, panel_sql
 
 # Columns without line breaks (XML attribute values normalise newlines to blanks).
 XML_COLS = ("Id", "PostTypeId", "CreationDate", "Score", "Tags", "AnswerCount", "CommentCount")
@@ -42,6 +44,31 @@ def q_xml_roundtrip(spark, sf):
     return df.select(*XML_COLS)
 
 
+@register("xml_inferred", with_views(f"""
+SELECT {', '.join(XML_COLS)} FROM posts_docs""", "posts_docs"))
+def q_xml_inferred(spark, sf):
+    """S3: schema inferred from the dump (union of attributes, all strings)."""
+    base = _dump(spark, sf)
+    df = IO.read_posts_xml(spark, f"{base}/Posts.xml", schema=None)
+    return df.select(*XML_COLS)
+
+
+@register("panel_export", panel_sql(f"""
+SELECT yearweek, forum, "group", question_count, week_start, round(log_question_count, 6) AS log_question_count,
+       CAST(week_start > DATE '{ORDERS_EVENT_DATE}' AS INTEGER) AS treatment,
+       CAST(week_start > DATE '{ORDERS_EVENT_DATE}' AND forum = '{ORDERS_TREATED_FORUM}' AS INTEGER)
+           AS treatment_synthdid
+FROM panel"""))
+def q_panel_export(spark, sf):
+    """The regression panel written with the panel sink and read back."""
+    from ..operators import panel as P
+    path = scratch_path(spark, "panel-export")
+    p = P.treatment_flags(orders_panel(spark, sf), ORDERS_EVENT_DATE, ORDERS_TREATED_FORUM)
+    IO.write_panel(rounded(p.select("yearweek", "forum", "group", "question_count", "week_start",
+                                    "log_question_count", "treatment", "treatment_synthdid")), path)
+    return spark.read.parquet(path)
+
+
 @register("split_write", processed_sql(
     "SELECT Id, tag_count, code_length, body_length, title_length, processed_text FROM p"))
 def q_split_write(spark, sf):

@@ -172,3 +172,28 @@ def q_html_split_parser(spark, sf):
     register_tables(spark, sf, ("pages",))
     df = O.split_html(spark.table("pages"), "html", mode="parser")
     return df.select("page_id", "clean_text", F.array_size("code_blocks").alias("n_code_blocks"))
+
+
+@register("post_sample", _sql("SELECT Id, PostTypeId, Tags FROM posts_docs ORDER BY Id LIMIT 50 OFFSET 100"))
+def q_post_sample(spark, sf):
+    """Ordered row slice (offset 100, 50 rows) - a sampling operator."""
+    return O.row_slice(docs_posts(spark, sf), 100, 50, "Id").select("Id", "PostTypeId", "Tags")
+
+
+@register("calendar_parts", _sql(f"""
+SELECT Id, d AS post_date, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+       CAST(isodow(d) AS INTEGER) AS day_of_week, CAST(week(d) AS INTEGER) AS week,
+       CAST(quarter(d) AS INTEGER) AS quarter, CAST(year(d) * 100 + month(d) AS INTEGER) AS year_month,
+       CAST(year(d) * 10 + quarter(d) AS INTEGER) AS year_quarter,
+       CAST(date_diff('day', DATE '{DOCS_EVENT_DATE}', d) AS INTEGER) AS days_from_event
+FROM (SELECT Id, CAST({Q.lenient_timestamp('CreationDate')} AS DATE) AS d FROM posts_docs)"""))
+def q_calendar_parts(spark, sf):
+    """Date parts (ISO weekday 1=Mon, ISO week, quarter, composite keys, day difference)."""
+    from ..functions import dates as Dt
+    d = F.to_date(lenient_timestamp("CreationDate"))
+    df = docs_posts(spark, sf).select("Id", d.alias("post_date"))
+    return df.select("Id", "post_date", F.year("post_date").alias("year"), F.month("post_date").alias("month"),
+                     Dt.iso_weekday("post_date").alias("day_of_week"), F.weekofyear("post_date").alias("week"),
+                     F.quarter("post_date").alias("quarter"), Dt.year_month("post_date").alias("year_month"),
+                     Dt.year_quarter("post_date").alias("year_quarter"),
+                     F.datediff("post_date", F.lit(DOCS_EVENT_DATE).cast("date")).alias("days_from_event"))

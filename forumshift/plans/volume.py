@@ -203,3 +203,23 @@ def q_forum_order(spark, sf):
     """Value remap by a small dictionary (display order of the forums)."""
     p = orders_panel(spark, sf).select("forum", "group", "yearweek")
     return P.remap(p, "forum", {f: i for i, f in enumerate(ORDERS_FORUMS)}, "forum_order")
+
+
+@register("week_map", panel_sql(
+    "SELECT DISTINCT CAST(dense_rank() OVER (ORDER BY week_start) - 1 AS INTEGER) AS week_index, "
+    "week_start FROM panel"))
+def q_week_map(spark, sf):
+    """Distinct mapping week index <-> week start."""
+    p = P.week_index(orders_panel(spark, sf))
+    return p.select("week_index", "week_start").dropDuplicates()
+
+
+@register("first_week_count", panel_sql(
+    'SELECT "group", arg_min(question_count, (week_start, yearweek)) AS question_count, '
+    'min(week_start) AS week_start FROM panel GROUP BY "group"'))
+def q_first_week_count(spark, sf):
+    """O3: first row per group by week start (the index base of W1)."""
+    p = orders_panel(spark, sf)
+    return p.groupBy("group").agg(
+        F.min_by("question_count", F.struct("week_start", "yearweek")).alias("question_count"),
+        F.min("week_start").alias("week_start"))
