@@ -35,6 +35,8 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_STYLE_RE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 TAG_RE = r"<[^>]*>"
 EDGE_SPACE_RE = r"^\s+|\s+$"
+# The white-space characters stripped from both ends (ASCII \s).
+WS_CHARS = " \t\n\r\x0b\x0c"
 WORD_RE = r"[\p{L}\p{N}]+"
 ALPHA_RE = r"^\p{L}+$"
 TFIDF_TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -56,8 +58,9 @@ def unescape_entities(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Strip leading/trailing white space (all of ``\\s``, not only blanks)."""
-    return F.regexp_replace(_c(col), EDGE_SPACE_RE, "")
+    """Strip leading/trailing white space (all of ASCII ``\\s``, not only blanks);
+    a character-set trim, no regex scan over the text."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def text_nodes_joined(html) -> Column:

@@ -21,8 +21,11 @@ def unescape(e: str) -> str:
     return e
 
 
+WS = " || ".join(f"chr({ord(c)})" for c in X.WS_CHARS)
+
+
 def strip_ws(e: str) -> str:
-    return f"regexp_replace({e}, {lit(X.EDGE_SPACE_RE)}, '', 'g')"
+    return f"trim({e}, {WS})"
 
 
 def text_nodes_joined(e: str) -> str:
