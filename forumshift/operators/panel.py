@@ -229,3 +229,20 @@ def remap(df: DataFrame, col: str, mapping: dict, out: str | None = None) -> Dat
     if vtype is str:
         return df.withColumn(out or col, F.coalesce(looked, F.col(col)))
     return df.withColumn(out or col, looked)
+
+
+def complete_counts(df: DataFrame, unit: str, time: str, count: str,
+                    units: Sequence[str] | None = None, max_units: int = 5_000) -> DataFrame:
+    """R7 ``balance="zero"``: every (unit, time) cell of a count panel, absent
+    cells counted 0 (no posts that week).  Built by a pivot on the unit (explicit,
+    bounded unit list) and an unpivot - no cross join.  Times are those observed."""
+    if units is None:
+        units = sorted(r[0] for r in df.select(unit).distinct().limit(max_units + 1).collect())
+    if len(units) > max_units:
+        raise ValueError(f"more than {max_units} units")
+    names = [f"_u{i}" for i in range(len(units))]
+    wide = df.groupBy(time).pivot(unit, list(units)).agg(F.sum(count)).na.fill(0)
+    wide = wide.withColumnsRenamed({str(u): n for u, n in zip(units, names)})
+    long = wide.unpivot(time, names, "_unit_slot", count)
+    label = F.create_map(*[x for n, u in zip(names, units) for x in (F.lit(n), F.lit(u))])
+    return long.select(label[F.col("_unit_slot")].alias(unit), time, F.col(count).cast("long").alias(count))

@@ -14,13 +14,15 @@ from ..operators import did as D
 from ..operators import panel as P
 from .fixtures import ORDERS_EVENT_DATE, ORDERS_TREATED_FORUM, ORDERS_TRIM, with_views
 from .registry import register, rounded
-from .volume import orders_posts
+from .volume import ORDERS_FORUMS, orders_posts
 
 
 def estimation_panel(spark, sf):
     posts = orders_posts(spark, sf).select("forum", week_monday(F.to_date("CreationDate")).alias("wk"))
+    posts = posts.where(P.trim_predicate("wk", ORDERS_TRIM))
     panel = posts.groupBy("forum", "wk").agg(F.count(F.lit(1)).alias("question_count"))
-    panel = panel.where(P.trim_predicate("wk", ORDERS_TRIM))
+    # weeks without posts of a forum are zero counts, not missing cells
+    panel = P.complete_counts(panel, "forum", "wk", "question_count", units=ORDERS_FORUMS)
     treated = F.col("forum") == ORDERS_TREATED_FORUM
     post = F.col("wk") > F.lit(ORDERS_EVENT_DATE).cast("date")
     return panel.withColumns({
@@ -32,8 +34,12 @@ def estimation_panel(spark, sf):
 
 
 _PANEL_CTES = f"""
-, p0 AS (SELECT forum, CAST(date_trunc('week', CreationDate) AS DATE) AS wk, count(*) AS question_count
+, c0 AS (SELECT forum, CAST(date_trunc('week', CreationDate) AS DATE) AS wk, count(*) AS question_count
          FROM posts_orders GROUP BY 1, 2),
+p0 AS (SELECT f.forum, w.wk, coalesce(c0.question_count, 0) AS question_count
+       FROM (SELECT DISTINCT forum FROM c0) f CROSS JOIN (SELECT DISTINCT wk FROM c0
+             WHERE wk > DATE '{ORDERS_TRIM[0]}' AND wk <= DATE '{ORDERS_TRIM[1]}') w
+       LEFT JOIN c0 ON c0.forum = f.forum AND c0.wk = w.wk),
 p AS (SELECT forum, wk, question_count, ln(1 + CAST(question_count AS DOUBLE)) AS y,
              CAST(forum = '{ORDERS_TREATED_FORUM}' AS INTEGER) AS treated,
              CAST(wk > DATE '{ORDERS_EVENT_DATE}' AS INTEGER) AS post,
