@@ -26,6 +26,9 @@ HEADLINE = (
     "weekly_complexity_lang",  # z-scores + weekly complexity
     "tfidf_mean_shift",        # TF-IDF fit/transform + term shift
     "did_att",                 # two-way FE DiD
+    "sdid_att",                # synthetic DiD + 100 placebo replicates
+    "pretrend_slopes",         # pre-trend interaction slopes
+    "html_split_pages",        # raw web pages -> text / code
 )
 
 
