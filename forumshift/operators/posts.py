@@ -184,3 +184,12 @@ def row_slice(df: DataFrame, offset: int, length: int, order: str = "Id") -> Dat
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Window",)]
+
+
+def stem_dictionary(df: DataFrame, col: str) -> DataFrame:
+    """``(token, lemma)`` pairs from the Porter stemmer, computed once per
+    distinct token (a distinct job + Arrow UDF), only where the stem differs."""
+    from ..functions.porter import porter_udf
+    vocab = df.select(F.explode_outer(F.split(F.col(col), r"\s+")).alias("token")).where(
+        F.col("token").isNotNull() & (F.col("token") != "")).distinct()
+    return vocab.withColumn("lemma", porter_udf("token")).where(F.col("lemma") != F.col("token"))

@@ -197,3 +197,12 @@ def q_calendar_parts(spark, sf):
                      F.quarter("post_date").alias("quarter"), Dt.year_month("post_date").alias("year_month"),
                      Dt.year_quarter("post_date").alias("year_quarter"),
                      F.datediff("post_date", F.lit(DOCS_EVENT_DATE).cast("date")).alias("days_from_event"))
+
+
+@register("stemmed_text")
+def q_stemmed_text(spark, sf):
+    """Stop-word-filtered tokens stemmed through a distinct-vocabulary
+    Porter dictionary joined back in token order."""
+    p = processed(spark, sf).select("Id", "processed_text")
+    return O.apply_lemmas(p, "Id", "processed_text", O.stem_dictionary(p, "processed_text"),
+                          out="stemmed_text").select("Id", "stemmed_text")

@@ -126,3 +126,18 @@ def test_parser_mode_matches_regex_on_clean_markup(spark):
     rx = [(r.clean_text, r.code_blocks) for r in O.split_html(df).collect()]
     ps = [(r.clean_text, r.code_blocks) for r in O.split_html(df, mode="parser").collect()]
     assert rx == ps
+
+
+def test_porter_published_examples():
+    from forumshift.functions.porter import porter_stem
+    cases = {"caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat",
+             "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled",
+             "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl",
+             "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall",
+             "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file",
+             "happy": "happi", "sky": "sky", "relational": "relat", "generalization": "gener",
+             "adjustment": "adjust", "replacement": "replac", "adoption": "adopt",
+             "effective": "effect", "controll": "control", "roll": "roll", "hopeful": "hope",
+             "goodness": "good", "electrical": "electr"}
+    bad = {w: (porter_stem(w), s) for w, s in cases.items() if porter_stem(w) != s}
+    assert not bad, bad
