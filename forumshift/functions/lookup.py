@@ -4,22 +4,34 @@ A literal ``map`` is scanned linearly on every lookup, which is fine for a
 handful of keys but not for a 2,000-term vocabulary probed by every token.  We
 split the table into buckets by ``xxhash64(key)`` (computed by Spark itself, so
 the probe side uses exactly the same function) and probe one small map per key.
-The table is part of the plan, so every task has it without a shuffle.
+The table is part of the plan, so every task has it without a shuffle.  It is
+emitted as SQL text (one parser call) rather than thousands of literal Column
+objects built one by one through the Python-JVM bridge.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 200_000
 
 
+def sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return repr(v)
+
+
 def literal_lookup(table: DataFrame, key: str, value: str, per_bucket: int = 8,
-                   max_rows: int = MAX_ROWS) -> tuple[Callable[[Column], Column], list]:
-    """Return ``probe(col) -> value or null`` and the collected rows.
+                   max_rows: int = MAX_ROWS) -> tuple[Callable[[str], str], list]:
+    """Return ``probe(key_sql) -> value-or-null SQL`` and the collected rows.
 
     Raises if the table holds more than ``max_rows`` rows (use a join instead).
     """
@@ -32,17 +44,20 @@ def literal_lookup(table: DataFrame, key: str, value: str, per_bucket: int = 8,
     buckets: list[list] = [[] for _ in range(nb)]
     for r in rows:
         buckets[r["b"]].append((r["k"], r["v"]))
-    vtype = table.schema[value].dataType.simpleString()
     ktype = table.schema[key].dataType.simpleString()
+    vtype = table.schema[value].dataType.simpleString()
     maps = []
     for b in buckets:
-        if b:
-            maps.append(F.create_map(*[F.lit(x) for kv in b for x in kv]).cast(f"map<{ktype},{vtype}>"))
-        else:
-            maps.append(F.create_map().cast(f"map<{ktype},{vtype}>"))
-    table_col = F.array(*maps)
+        body = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in b)
+        maps.append(f"CAST(map({body}) AS MAP<{ktype}, {vtype}>)")
+    table_sql = f"array({', '.join(maps)})"
 
-    def probe(k: Column) -> Column:
-        return F.try_element_at(F.get(table_col, F.pmod(F.xxhash64(k), F.lit(nb)).cast("int")), k)
+    def probe(k: str) -> str:
+        return f"try_element_at(get({table_sql}, CAST(pmod(xxhash64({k}), {nb}) AS INT)), {k})"
 
     return probe, rows
+
+
+def in_list_sql(values) -> str:
+    """``IN (...)`` body for a bounded list (compiled by Spark into a hash set)."""
+    return ", ".join(sql_literal(v) for v in values)

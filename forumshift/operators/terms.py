@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.lookup import literal_lookup
+from ..functions.lookup import in_list_sql, literal_lookup
 
 # Vectoriser settings of the study.
 MIN_DF = 10
@@ -74,11 +74,11 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
     # it becomes a hashed literal table in the plan, so weighting and normalising a
     # document happen inside its row with no shuffle.
     probe, rows = literal_lookup(vocab, "term", "idf", max_rows=vocab_max_rows)
-    looked = F.transform("terms", lambda t: F.struct(
-        t["term"].alias("term"), t["tf"].alias("tf"), probe(t["term"]).alias("idf")))
-    kept = F.filter(looked, lambda t: t["idf"].isNotNull())
-    weighted = F.transform(kept, lambda t: F.struct(
-        t["term"].alias("term"), t["tf"].alias("tf"), (t["tf"] * t["idf"]).alias("w")))
+    # Membership first (an IN list over the vocabulary compiles to a hash set), then
+    # the idf probe only for the kept terms; tf * idf is the weight.
+    member = f"filter(terms, t -> t.term IN ({in_list_sql([r['k'] for r in rows])}))"
+    weighted = F.expr(f"transform({member}, t -> named_struct('term', t.term, 'tf', t.tf, "
+                      f"'w', t.tf * {probe('t.term')}))")
     # Two projections: the weighted array is materialised once, then read twice.
     weighted_df = per_doc.select(doc, *keep, weighted.alias("_w"))
     norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
