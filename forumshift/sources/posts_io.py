@@ -20,7 +20,10 @@ def pick_posts_file(spark: SparkSession, path: str, suffix: str = "Posts.xml") -
     Only the directory listing is read (``binaryFile`` with a path filter returns
     paths lazily; no content column is selected)."""
     listing = spark.read.format("binaryFile").load(path).select("path")
-    hit = listing.where(F.col("path").endswith(suffix)).orderBy("path").limit(1).collect()
+    # the member may be a file or a folder of part files (as Spark writes it)
+    pattern = "^(.*?/[^/]*" + suffix.replace(".", "[.]") + ")(/|$)"
+    member = F.regexp_extract(F.col("path"), pattern, 1)
+    hit = listing.select(member.alias("m")).where(F.col("m") != "").orderBy("m").limit(1).collect()
     if hit:
         return hit[0][0]
     first = listing.orderBy("path").limit(1).collect()
