@@ -142,7 +142,7 @@ def word_freq(df: DataFrame, col: str = "processed_text", k: int | None = 200,
 
 
 def apply_lemmas(df: DataFrame, key: str, col: str, lemmas: DataFrame,
-                 out: str = "lemmatized_text", broadcast_max_rows: int = 2_000_000) -> DataFrame:
+                 out: str = "lemmatized_text", broadcast_max_rows: int = 500_000) -> DataFrame:
     """Replace every token by its dictionary entry (``token -> lemma``).
 
     Tokens are exploded with their position, joined with the dictionary, and

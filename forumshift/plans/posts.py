@@ -127,7 +127,9 @@ SELECT p.Id, CASE WHEN p.processed_text IS NOT NULL THEN coalesce(r.lemmatized_t
 FROM p LEFT JOIN rejoined r USING (Id)"""))
 def q_lemma_join(spark, sf):
     """Dictionary lemmatisation by exploded join and ordered regroup."""
-    p = processed(spark, sf).select("Id", "processed_text")
+    # the processed text is read three times (dictionary, tokens, documents): cache
+    # the two narrow columns instead of re-running the text pipeline
+    p = processed(spark, sf).select("Id", "processed_text").persist()
     lemmas = O.plural_lemmas(p, "processed_text")
     return O.apply_lemmas(p, "Id", "processed_text", lemmas).select("Id", "lemmatized_text")
 
@@ -203,6 +205,6 @@ def q_calendar_parts(spark, sf):
 def q_stemmed_text(spark, sf):
     """Stop-word-filtered tokens stemmed through a distinct-vocabulary
     Porter dictionary joined back in token order."""
-    p = processed(spark, sf).select("Id", "processed_text")
+    p = processed(spark, sf).select("Id", "processed_text").persist()
     return O.apply_lemmas(p, "Id", "processed_text", O.stem_dictionary(p, "processed_text"),
                           out="stemmed_text").select("Id", "stemmed_text")
