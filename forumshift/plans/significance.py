@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import significance as S
 from ..operators import terms as T
 from .fixtures import ORDERS_EVENT_DATE
 from .registry import register, rounded
-from .terms import SHIFT_COLS, _PRESENT, corpus_tfidf, tfidf_sql
+from .terms import _PRESENT, corpus_tfidf, tfidf_sql
 from .volume import ORDERS_FORUMS, orders_panel, panel_sql
 
 PRETREND_REFERENCE = "2-HIGH"
