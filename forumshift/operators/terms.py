@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lookup import in_list_sql, literal_lookup
+from ..session import cut_lineage
 
 # Vectoriser settings of the study.
 MIN_DF = 10
@@ -64,10 +65,20 @@ def fit_vocabulary(per_doc: DataFrame, n_docs: int, min_df: int = MIN_DF,
 def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
           keep: tuple[str, ...] = ("pre",), min_df: int = MIN_DF, max_df: float = MAX_DF,
           max_features: int | None = MAX_FEATURES, bigrams: bool = True,
-          vocab_max_rows: int = 200_000) -> TfidfResult:
-    """Fit on all documents with non-null text, transform them, long result."""
+          vocab_max_rows: int = 200_000, materialize: str = "persist") -> TfidfResult:
+    """Fit on all documents with non-null text, transform them, long result.
+
+    The per-document term counts are read twice (fit, then transform).
+    ``materialize="persist"`` keeps them in executor memory/disk (lost blocks are
+    recomputed from lineage); ``"checkpoint"`` writes them to the shared checkpoint
+    folder, so a lost executor costs no recomputation of the tokenisation.
+    """
     base = docs.where(F.col(text).isNotNull())
-    per_doc = doc_terms(base, doc, text, keep, bigrams).persist(StorageLevel.MEMORY_AND_DISK)
+    per_doc = doc_terms(base, doc, text, keep, bigrams)
+    if materialize == "checkpoint":
+        per_doc = cut_lineage(per_doc)
+    else:
+        per_doc = per_doc.persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = per_doc.count()
     vocab = fit_vocabulary(per_doc, n_docs, min_df, max_df, max_features).cache()
     # The fitted vocabulary is bounded by max_features (size checked in literal_lookup):

@@ -141,3 +141,11 @@ def test_porter_published_examples():
              "goodness": "good", "electrical": "electr"}
     bad = {w: (porter_stem(w), s) for w, s in cases.items() if porter_stem(w) != s}
     assert not bad, bad
+
+
+def test_tfidf_checkpoint_equals_persist(spark):
+    rows = [(i, i % 2, f"alpha beta gamma w{i % 3} delta") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, pre int, processed_text string")
+    a = T.tfidf(df, min_df=2, max_df=1.0).long.orderBy("doc_id", "term").collect()
+    b = T.tfidf(df, min_df=2, max_df=1.0, materialize="checkpoint").long.orderBy("doc_id", "term").collect()
+    assert [(r.doc_id, r.term, round(r.tfidf, 12)) for r in a] == [(r.doc_id, r.term, round(r.tfidf, 12)) for r in b]
