@@ -26,7 +26,7 @@ tf AS (SELECT doc_id, pre, term, count(*) AS tf
        FROM (SELECT doc_id, pre, unnest(g) AS term FROM grams) GROUP BY doc_id, pre, term),
 n AS (SELECT count(*) AS n_docs, sum(CASE WHEN pre = 1 THEN 1 ELSE 0 END) AS n_pre,
              sum(CASE WHEN pre = 0 THEN 1 ELSE 0 END) AS n_post FROM docs),
-dfs AS (SELECT term, count(*) AS df, sum(tf) AS total_count FROM tf GROUP BY term),
+dfs AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_count FROM tf GROUP BY term),
 vocab AS (SELECT term, df, total_count, ln((1.0 + n_docs) / (1.0 + df)) + 1.0 AS idf
           FROM dfs, n WHERE df >= {T.MIN_DF} AND df <= {T.MAX_DF} * n_docs
           ORDER BY total_count DESC, term LIMIT {T.MAX_FEATURES}),

@@ -143,7 +143,7 @@ def q_quarter_dummies(spark, sf):
 
 _PIVOT_VALUES = ("question_count", "log_question_count", "indexed_count")
 _PIVOT_COLS = ", ".join(
-    (f'sum(CASE WHEN forum = \'{f}\' THEN {v} END) AS "{v}_{f}"' if v == "question_count" else
+    (f'CAST(sum(CASE WHEN forum = \'{f}\' THEN {v} END) AS BIGINT) AS "{v}_{f}"' if v == "question_count" else
      f'round(sum(CASE WHEN forum = \'{f}\' THEN {v} END), 6) AS "{v}_{f}"')
     for f in ORDERS_FORUMS for v in _PIVOT_VALUES)
 
