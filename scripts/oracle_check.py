@@ -51,6 +51,10 @@ def duck(sf_dir):
     return con
 
 
+DUCK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+              "DATE": "date", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
+
+
 def check(spark, con, q, sf_dir, verbose=True):
     t0 = time.time()
     sdf = q.build(spark, sf_dir)
@@ -58,7 +62,14 @@ def check(spark, con, q, sf_dir, verbose=True):
     t1 = time.time()
     if q.sql is None:
         return "rows-only", len(sp), t1 - t0
-    dp = con.sql(q.sql).df()
+    rel = con.sql(q.sql)
+    dtypes = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    stypes = dict(sdf.dtypes)
+    if stypes != dtypes:
+        diff = {c: (stypes.get(c), dtypes.get(c)) for c in set(stypes) | set(dtypes)
+                if stypes.get(c) != dtypes.get(c)}
+        return f"TYPES {diff}", len(sp), t1 - t0
+    dp = rel.df()
     sc, sr = normalise(sp)
     dc, dr = normalise(dp)
     if sc != dc:
