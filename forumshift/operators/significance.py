@@ -158,6 +158,53 @@ def permutation_test(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
         F.avg(F.when(F.abs(diff) >= F.abs(F.col("difference")), 1.0).otherwise(0.0)).alias("perm_pvalue"))
 
 
+def exact_thresholds(res: TfidfResult, n_perm: int, seed: int, doc: str = "doc_id",
+                     period: str = "pre", buckets: int = 1024) -> DataFrame:
+    """Per replicate, the n_pre-th smallest (uniform, doc) pair - the cut that
+    labels exactly n_pre documents 'pre' (an exact permutation of the labels).
+
+    Distributed selection, no per-replicate sort of all documents: (1) bucket
+    counts per (rep, bucket) by partial aggregation; (2) the bucket holding the
+    n_pre-th value, from a running sum over the small (rep, bucket) table; (3) a
+    window over that bucket only (about N / buckets rows per replicate).
+    """
+    c = period_counts(res, period).first()
+    k = int(c["n_pre"])
+    u = uniform(seed, F.col("rep"), F.col(doc))
+    reps = with_replicates(res.docs.select(doc), n_perm).withColumn("u", u)
+    reps = reps.withColumn("b", F.least(F.floor(F.col("u") * buckets), F.lit(buckets - 1)).cast("int"))
+    counts = reps.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("rep").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+    target = cum.where((F.col("before") < k) & (F.col("upto") >= k)).select(
+        "rep", "b", (F.lit(k) - F.col("before")).alias("kk"))
+    # target: one row per replicate (bounded by n_perm)
+    inb = reps.join(F.broadcast(target), ["rep", "b"])
+    rn = F.row_number().over(Window.partitionBy("rep").orderBy("u", doc))
+    return (inb.withColumn("rn", rn).where(F.col("rn") == F.col("kk"))
+               .select("rep", F.col("u").alias("u_cut"), F.col(doc).alias("doc_cut")))
+
+
+def permutation_test_exact(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
+                           seed: int = 0, doc: str = "doc_id", period: str = "pre") -> DataFrame:
+    """H3 exact: each replicate labels exactly n_pre documents 'pre' (the smallest
+    md5 uniforms), as a shuffle of the labels does; denominators are fixed."""
+    obs = observed(res, terms, period)
+    c = period_counts(res, period).first()
+    n_pre, n_post = float(c["n_pre"]), float(c["n_post"])
+    cuts = exact_thresholds(res, n_perm, seed, doc, period)
+    vals = with_replicates(term_values(res, terms).select("term", doc, "tfidf"), n_perm)
+    u = uniform(seed, F.col("rep"), F.col(doc))
+    lab = (u < F.col("u_cut")) | ((u == F.col("u_cut")) & (F.col(doc) <= F.col("doc_cut")))
+    num = (vals.join(F.broadcast(cuts), "rep")                 # cuts: n_perm rows
+           .groupBy("term", "rep").agg(F.sum(F.when(lab, F.col("tfidf")).otherwise(0.0)).alias("sp")))
+    full = with_replicates(obs.select("term", "s_pre", "s_post", "difference"), n_perm)
+    j = full.join(num, ["term", "rep"], "left").na.fill(0.0, ["sp"])
+    diff = (F.col("s_pre") + F.col("s_post") - F.col("sp")) / F.lit(n_post) - F.col("sp") / F.lit(n_pre)
+    return j.groupBy("term").agg(
+        F.avg(F.when(F.abs(diff) >= F.abs(F.col("difference")), 1.0).otherwise(0.0)).alias("perm_pvalue"))
+
+
 def bootstrap_ci(res: TfidfResult, terms: Sequence[str], n_boot: int = 100, seed: int = 1,
                  doc: str = "doc_id", period: str = "pre", level: float = 0.95) -> DataFrame:
     """H4/H5: percentile CI of post-minus-pre means under Poisson(1) resampling weights.
@@ -187,11 +234,17 @@ def bootstrap_ci(res: TfidfResult, terms: Sequence[str], n_boot: int = 100, seed
 
 def term_significance(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
                       n_boot: int = 100, alpha: float = 0.05, seed: int = 0,
-                      period: str = "pre") -> DataFrame:
-    """H6: the reference's joint table; significant = MW p, permutation p < alpha and CI excludes 0."""
+                      period: str = "pre", perm_method: str = "exact") -> DataFrame:
+    """H6: the reference's joint table; significant = MW p, permutation p < alpha and CI excludes 0.
+
+    ``perm_method``: ``exact`` (fixed-size label shuffles, as the reference) or
+    ``bernoulli`` (independent labels; one pass fewer)."""
     obs = observed(res, terms, period).select("term", "pre_mean", "post_mean", "difference", "percent_change")
     mw = mann_whitney(res, terms, period).select("term", "mw_pvalue")
-    perm = permutation_test(res, terms, n_perm, seed, period=period)
+    if perm_method == "exact":
+        perm = permutation_test_exact(res, terms, n_perm, seed, period=period)
+    else:
+        perm = permutation_test(res, terms, n_perm, seed, period=period)
     boot = bootstrap_ci(res, terms, n_boot, seed + 1, period=period)
     j = obs.join(mw, "term", "left").join(perm, "term", "left").join(boot, "term", "left")
     return j.withColumn("significant_05", (F.col("mw_pvalue") < alpha) & (F.col("perm_pvalue") < alpha)

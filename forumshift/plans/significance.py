@@ -123,6 +123,27 @@ def q_bootstrap_ci(spark, sf):
     return rounded(S.bootstrap_ci(res, tested_terms(res), n_boot=100, seed=1))
 
 
+_PERM_EXACT_SQL = f"""
+, xranked AS (SELECT rep, doc_id,
+                    row_number() OVER (PARTITION BY rep ORDER BY {_uniform_sql(0, 'rep', 'doc_id')}, doc_id) AS rn
+             FROM docs, reps),
+labels AS (SELECT rep, doc_id FROM xranked, n WHERE rn <= n_pre),
+xnum AS (SELECT v.term, l.rep, sum(v.tfidf) AS sp FROM vals v JOIN labels l USING (doc_id) GROUP BY 1, 2),
+xfull AS (SELECT t.term, r.rep, coalesce(x.sp, 0) AS sp FROM tested t CROSS JOIN reps r
+          LEFT JOIN xnum x ON x.term = t.term AND x.rep = r.rep),
+xperm AS (SELECT f.term, avg(CASE WHEN abs((s_pre + s_post - sp) / n_post - sp / n_pre)
+                                    >= abs(s_post / n_post - s_pre / n_pre) THEN 1.0 ELSE 0.0 END) AS perm_pvalue
+          FROM xfull f JOIN obs USING (term), n GROUP BY f.term)"""
+
+
+@register("permutation_exact", tfidf_sql(_TESTED_CTES + _PERM_SQL + _PERM_EXACT_SQL + """
+SELECT term, round(perm_pvalue, 6) AS perm_pvalue FROM xperm"""))
+def q_permutation_exact(spark, sf):
+    """H3 exact: fixed-size label permutations (1000 replicates) via distributed selection."""
+    res = corpus_tfidf(spark, sf)
+    return rounded(S.permutation_test_exact(res, tested_terms(res), n_perm=1000, seed=0))
+
+
 @register("term_significance")
 def q_term_significance(spark, sf):
     """H6: joint significance table (MW p from erfc, permutation p, bootstrap CI)."""
