@@ -1,0 +1,8 @@
+"""forumshift: Spark-native analysis of how an outside event changes forum questions.
+
+Sub-packages: ``sources`` (dumps, Parquet), ``functions`` (column expressions and
+small per-task helpers), ``operators`` (DataFrame -> DataFrame steps), ``plans``
+(named queries over the driver tables) and ``streaming`` (restartable ingest).
+"""
+
+__version__ = "0.1.0"
