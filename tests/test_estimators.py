@@ -88,3 +88,34 @@ def test_twfe_unbalanced_matches_dummy_regression(spark):
     X = np.column_stack([np.array([r[3] for r in rows]), np.eye(6)[U], np.eye(25)[Tt][:, 1:]])
     beta = np.linalg.lstsq(X, np.array([r[2] for r in rows]), rcond=None)[0]
     assert abs(att - beta[0]) < 1e-8
+
+
+def test_mann_whitney_matches_pair_counting(spark):
+    from forumshift.operators import significance as S
+    from forumshift.operators.terms import TfidfResult
+    rng = np.random.default_rng(7)
+    docs, long = [], []
+    for d in range(300):
+        pre = int(d % 3 != 0)
+        docs.append((d, pre))
+        for term in ("a", "b"):
+            if rng.random() < 0.6:
+                # values spread over several orders of magnitude, with ties
+                v = float(np.round(10 ** rng.uniform(-4, 0), 3 if term == "a" else 6)) or 0.001
+                long.append((d, pre, term, 1, v))
+    res = TfidfResult(vocab=None,
+                      long=spark.createDataFrame(long, "doc_id long, pre int, term string, tf long, tfidf double"),
+                      docs=spark.createDataFrame(docs, "doc_id long, pre int"))
+    got = {r.term: r.mw_u for r in S.mann_whitney(res, ["a", "b"]).collect()}
+    vals = {}
+    for t in ("a", "b"):
+        x = {d: 0.0 for d, _ in docs}
+        for d, _, term, _, v in long:
+            if term == t:
+                x[d] = v
+        post = np.array([x[d] for d, p in docs if p == 0])
+        pre = np.array([x[d] for d, p in docs if p == 1])
+        u = (post[:, None] > pre[None, :]).sum() + 0.5 * (post[:, None] == pre[None, :]).sum()
+        vals[t] = u
+    for t in ("a", "b"):
+        assert abs(got[t] - vals[t]) < 1e-6, (t, got[t], vals[t])
