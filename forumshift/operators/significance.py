@@ -131,6 +131,16 @@ def with_replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+# Tolerance for "at least as extreme" (a permuted statistic equal to the
+# observed one must count whatever the summation order), relative and absolute.
+PERM_RTOL = 1e-9
+PERM_ATOL = 1e-15
+
+
+def _at_least_as_extreme(perm, obs):
+    return F.abs(perm) >= F.abs(obs) - (F.lit(PERM_RTOL) * F.abs(obs) + F.lit(PERM_ATOL))
+
+
 def permutation_test(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000, seed: int = 0,
                      doc: str = "doc_id", period: str = "pre") -> DataFrame:
     """H3 (Bernoulli labels): p = share of replicates with |perm diff| >= |observed|.
@@ -155,7 +165,8 @@ def permutation_test(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
     total = F.col("s_pre") + F.col("s_post")
     diff = (total - F.col("sp")) / (F.col("m_all") - F.col("m_pre")) - F.col("sp") / F.col("m_pre")
     return j.groupBy("term").agg(
-        F.avg(F.when(F.abs(diff) >= F.abs(F.col("difference")), 1.0).otherwise(0.0)).alias("perm_pvalue"))
+        F.avg(F.when(_at_least_as_extreme(diff, F.col("difference")), 1.0).otherwise(0.0))
+        .alias("perm_pvalue"))
 
 
 def exact_thresholds(res: TfidfResult, n_perm: int, seed: int, doc: str = "doc_id",
@@ -202,7 +213,8 @@ def permutation_test_exact(res: TfidfResult, terms: Sequence[str], n_perm: int =
     j = full.join(num, ["term", "rep"], "left").na.fill(0.0, ["sp"])
     diff = (F.col("s_pre") + F.col("s_post") - F.col("sp")) / F.lit(n_post) - F.col("sp") / F.lit(n_pre)
     return j.groupBy("term").agg(
-        F.avg(F.when(F.abs(diff) >= F.abs(F.col("difference")), 1.0).otherwise(0.0)).alias("perm_pvalue"))
+        F.avg(F.when(_at_least_as_extreme(diff, F.col("difference")), 1.0).otherwise(0.0))
+        .alias("perm_pvalue"))
 
 
 def bootstrap_ci(res: TfidfResult, terms: Sequence[str], n_boot: int = 100, seed: int = 1,

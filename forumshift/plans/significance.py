@@ -80,7 +80,8 @@ den AS (SELECT rep, sum(CASE WHEN {_uniform_sql(0, 'rep', 'doc_id')} < f THEN 1
 num AS (SELECT term, rep, sum(CASE WHEN {_uniform_sql(0, 'rep', 'doc_id')} < f THEN tfidf ELSE 0 END) AS sp
         FROM vals, reps, frac GROUP BY term, rep),
 perm AS (SELECT num.term, avg(CASE WHEN abs((s_pre + s_post - sp) / (m_all - m_pre) - sp / m_pre)
-                                   >= abs(s_post / n_post - s_pre / n_pre) THEN 1.0 ELSE 0.0 END) AS perm_pvalue
+                                   >= abs(s_post / n_post - s_pre / n_pre) * (1 - {S.PERM_RTOL}) - {S.PERM_ATOL}
+                                   THEN 1.0 ELSE 0.0 END) AS perm_pvalue
          FROM num JOIN den USING (rep) JOIN obs USING (term), n GROUP BY num.term)"""
 
 
@@ -132,7 +133,8 @@ xnum AS (SELECT v.term, l.rep, sum(v.tfidf) AS sp FROM vals v JOIN labels l USIN
 xfull AS (SELECT t.term, r.rep, coalesce(x.sp, 0) AS sp FROM tested t CROSS JOIN reps r
           LEFT JOIN xnum x ON x.term = t.term AND x.rep = r.rep),
 xperm AS (SELECT f.term, avg(CASE WHEN abs((s_pre + s_post - sp) / n_post - sp / n_pre)
-                                    >= abs(s_post / n_post - s_pre / n_pre) THEN 1.0 ELSE 0.0 END) AS perm_pvalue
+                                    >= abs(s_post / n_post - s_pre / n_pre) * (1 - {S.PERM_RTOL}) - {S.PERM_ATOL}
+                                   THEN 1.0 ELSE 0.0 END) AS perm_pvalue
           FROM xfull f JOIN obs USING (term), n GROUP BY f.term)"""
 
 
