@@ -68,18 +68,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict = {}
+
+
+def process_cache() -> dict:
+    """A dictionary that lives as long as the worker process.  Functions of this package
+    reach workers by value, with globals of their own for each task."""
+    import sys
+    import types
+
+    m = sys.modules.setdefault("_forumshift_process_cache", types.ModuleType("_forumshift_process_cache"))
+    return m.__dict__.setdefault("kept", {})
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_POWERS.get("up", ())) < n:
+    kept = process_cache()
+    if len(kept.get("up", ())) < n:
         size = max(n, PIECE + 1)
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             p = np.full(size, U64(b))
             p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=U64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            kept[name] = np.cumprod(p, dtype=U64)
+    return kept["up"][:n], kept["down"][:n]
 
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from forumshift.session import scratch_path
 
 from . import LlmQuery
-from .common import (U64, bounded_batches, table, text_buffer, text_bytes, word_hashes, word_spans,
+from .common import (U64, bounded_batches, process_cache, table, text_buffer, text_bytes, word_hashes, word_spans,
                      written)
 
 END_ID = 2
@@ -126,12 +126,9 @@ def encode_ranges(path: str, width: int):
     """Sorted rows (id, v, t) of one range -> its blocks."""
     def run(batches):
         from pyspark import TaskContext
-        import tokenizers
 
         part, block = TaskContext.get().partitionId(), 0
-        kept = getattr(tokenizers, "_word_encoders", None)  # one loaded file for each worker process
-        if kept is None:
-            kept = tokenizers._word_encoders = {}
+        kept = process_cache()  # one loaded file for each worker process
         if path not in kept:
             kept[path] = WordEncoder(path)
         for b in batches:
