@@ -13,7 +13,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ngram_join", "mixing", "substrings", "secrets", "token_files", "quality", "wrappers")
+MODULES = ("ngram_join", "mixing", "substrings", "secrets", "token_files", "decontaminate", "quality", "wrappers")
 
 
 @dataclass(frozen=True)
