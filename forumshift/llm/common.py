@@ -179,3 +179,29 @@ def arrow_rows(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in cols.items()],
         schema=schema)
+
+
+# ---- bit tables (Bloom filters with one hash) ----------------------------------------
+
+#: 16 bits for each key, at most this many (16 MB)
+MOST_BITS = 1 << 27
+
+
+def bit_table(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits set by a column of 64-bit hashes, for tasks to test keys before an exchange.
+
+    Its size is bounded whatever the number of keys (a full table only saves nothing), and
+    what passes is always joined exactly afterwards.  Built by a distributed OR.
+    """
+    bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (16 * max(keys.count(), 1)).bit_length()))
+    at = f"({col} & {bits - 1}L)"
+    words = (keys.select(F.expr(f"shiftright({at}, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros(bits // 64, U64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(U64)
+    return out
+
+
+def in_bit_table(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.astype(U64) & U64(len(filled) * 64 - 1)
+    return (filled[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1

@@ -22,11 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import LlmQuery
-from .common import (LOWER, U64, bounded_batches, mix, table, text_buffer, windows, word_hashes, word_spans, written)
+from .common import (LOWER, U64, bit_table, bounded_batches, in_bit_table, mix, table, text_buffer, windows, word_hashes, word_spans, written)
 
 WINDOW, COVERED_PCT, LEAST_WORDS, LITERAL_PCT = 8, 50, 5, 60
-#: the bit table has 16 bits for each window, at most this many
-MOST_BITS = 1 << 27
 BROADCAST_ROWS = 500_000
 
 # fixed values: words that stand for numbers, and units of measure
@@ -143,31 +141,17 @@ def _item_windows(batches):
                                          names=["item", "item_at", "k", "h", "item_slots", "item_words"])
 
 
-def _text_windows(sizes, bits, filled):
+def _text_windows(sizes, filled):
     def run(batches):
         for b in batches:
             cols, words = template_windows(b.column("t"), sizes)
-            bit = cols[3] & U64(bits - 1)
-            hit = (filled[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63))) & U64(1)
-            pick = np.flatnonzero(hit)
+            pick = np.flatnonzero(in_bit_table(filled, cols[3]))
             if len(pick):
                 yield pa.RecordBatch.from_arrays(_rows(b.num_rows, cols, pick, words, [b.column("id"), b.column("v")]),
                                                  names=["id", "v", "at", "k", "h", "slots"])
     return run
 
 
-def _bit_table(h: DataFrame) -> tuple[int, np.ndarray]:
-    """Bit table of the windows' hashes; at most ``MOST_BITS`` bits reach the driver."""
-    n = h.count()
-    bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (16 * max(n, 1)).bit_length()))
-    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
-    words = (h.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}L) & 63 as int))").alias("b"))
-             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros(bits // 64, U64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(U64)
-    return bits, out
-
-
 def _consistent(batches):
     """Alignments -> covered places of the item, if the slots agree."""
     for b in batches:
@@ -207,10 +191,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = written(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("t"))
                     .mapInArrow(_item_windows, "item long, item_at int, k int, h long, item_slots array<string>, item_words int"), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WINDOW values
-    bits, filled = _bit_table(items.select("h"))
+    filled = bit_table(items.select("h"), "h")
     t = F.col(text_col).cast("string")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(t), F.lit(0)).alias("v"), t.alias("t"))
-    found = base.mapInArrow(_text_windows(sizes, bits, filled), "id long, v long, at int, k int, h long, slots array<string>")
+    found = base.mapInArrow(_text_windows(sizes, filled), "id long, v long, at int, k int, h long, slots array<string>")
     met = found.join(items, ["h", "k"]).select("id", "v", "item", "item_words", (F.col("at") - F.col("item_at")).alias("diagonal"),
                                                F.struct("item_at", "k", "slots", "item_slots").alias("x"))
     aligned = (met.groupBy("id", "v", "item", "item_words", "diagonal").agg(F.collect_set("x").alias("w")).drop("diagonal")
