@@ -13,8 +13,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ngram_join", "mixing", "substrings", "secrets", "pseudonyms", "token_files", "decontaminate", "quality",
-           "wrappers")
+MODULES = ("ngram_join", "mixing", "substrings", "secrets", "pseudonyms", "token_files", "decontaminate",
+           "preferences", "quality", "wrappers")
 
 
 @dataclass(frozen=True)
