@@ -12,26 +12,30 @@ it.  Three size-derived bounds keep the product small, all of them exact:
 * among a row's n-grams ordered by rarity, only the ``shared - ceil(t * size) + 1``
   rarest shared columns have to be multiplied: a linked pair meets in one of them.
 
-Pairs that meet are verified by their whole sets.  Rows of one group of near copies all
-meet each other, so pairs are tested in rounds: first each row with its column leaders,
-then only pairs whose rows are still in different components.  No link between different
-components is lost, and a group of n near copies costs about n tests instead of n^2 / 2.
+Rows that meet are multiplied by their whole sets.  Rows of one group of near copies all
+meet each other, so no pair of rows is ever a row of a table: first each row is tested
+against one or two leaders of its cluster, which joins most of a group, then clusters are
+cut into bins of bounded size and pairs of bins are multiplied where they hold different
+components (or meet in a column).  A bin pair returns a spanning forest of the links it
+found; no link between different components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import LlmQuery
-from .common import (LOWER, U64, as_binary, block_count, block_of, bounded_batches, mix, table,
-                     text_buffer, text_bytes, windows, word_hashes, word_spans, written)
+from .common import (LOWER, U64, as_binary, bit_table, block_count, block_of, bounded_batches, in_bit_table, mix,
+                     table, text_buffer, windows, word_hashes, word_spans, written)
 from .components import connected_components
 
 #: share (per cent) of a row's n-grams, beyond those that a link may miss, in the first part
 EXTRA_PCT = 5
+#: rows and set entries of a bin, about; columns of one dense product
+BIN_ROWS, BIN_ENTRIES, COLUMNS_AT_ONCE = 256, 200_000, 4096
 
 
 def shingle_sets(arr: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +102,10 @@ BLOCK_SCHEMA = "block int, sigs binary, hashes binary, rows binary"
 def describe(n: int):
     def run(batches):
         for b in batches:
-            x, off = shingle_sets(b.column(1), n)
+            x, off = shingle_sets(b.column("t"), n)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off)), pa.array(signatures(x, off))],
-                names=["k", "n", "sig"])
+                [b.column("k"), b.column("v"), pa.array(np.diff(off)), pa.array(signatures(x, off))],
+                names=["k", "v", "n", "sig"])
     return run
 
 
@@ -123,16 +127,18 @@ def first_parts(n: int, pct: int, blocks: int):
     return run
 
 
-def whole_sets(n: int):
-    """(sig, n, set) of every distinct set of a batch."""
+def whole_sets(n: int, filled: np.ndarray):
+    """(sig, n, grams) of every distinct set of a batch that passes the bit table."""
     def run(batches):
         for b in batches:
             x, off = shingle_sets(b.column(1), n)
             sig = signatures(x, off)
-            once = [i for i in np.unique(sig, return_index=True)[1] if off[i + 1] > off[i]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[once]), pa.array(np.diff(off)[once]),
-                 as_binary([x[off[i]:off[i + 1]] for i in once])], names=["sig", "n", "grams"])
+            once = np.unique(sig, return_index=True)[1]
+            once = once[(off[once + 1] > off[once]) & in_bit_table(filled, sig[once])]
+            if len(once):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig[once]), pa.array(np.diff(off)[once]),
+                     as_binary([x[off[i]:off[i + 1]] for i in once])], names=["sig", "n", "grams"])
     return run
 
 
@@ -225,83 +231,171 @@ def overlaps(pct: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of signatures that are linked; the sets join in by shuffles."""
-    one = sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb"))
-    two = sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga"))
-    full = pairs.join(one, "b").join(two, "a").select("a", "b", "ga", "gb")
-    return full.mapInArrow(overlaps(pct), "a long, b long")
-
+def product(pct: int):
+    """Task of one pair of bins: overlap counts of all their rows, as a dense product over
+    blocks of the columns that both bins hold.  Returns a spanning forest of the links
+    between different labels (all that components need)."""
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy() if "side" in t.column_names else np.ones(t.num_rows, np.int64)
+        sig, label = t.column("sig").to_numpy(), t.column("label").to_numpy()
+        grams = [np.frombuffer(g.as_buffer(), U64) for g in t.column("grams")]
+        size = np.array([len(g) for g in grams])
+        one = np.flatnonzero(side == 1)
+        two = np.flatnonzero(side == 2) if (side == 2).any() else one
+        x1, r1 = np.concatenate([grams[i] for i in one]), np.repeat(np.arange(len(one)), size[one])
+        x2, r2 = np.concatenate([grams[i] for i in two]), np.repeat(np.arange(len(two)), size[two])
+        both = np.intersect1d(x1, x2)
+        if two is one:
+            both, n = np.unique(x1, return_counts=True)
+            both = both[n > 1]
+        count = np.zeros((len(one), len(two)), np.float32)
+        at1, at2 = (np.searchsorted(both, x) for x in (x1, x2))
+        ok1 = both[np.minimum(at1, len(both) - 1)] == x1 if len(both) else np.zeros(len(x1), bool)
+        ok2 = both[np.minimum(at2, len(both) - 1)] == x2 if len(both) else np.zeros(len(x2), bool)
+        for c in range(0, len(both), COLUMNS_AT_ONCE):
+            m1, m2 = (ok & (at >= c) & (at < c + COLUMNS_AT_ONCE) for ok, at in ((ok1, at1), (ok2, at2)))
+            a = np.zeros((len(one), COLUMNS_AT_ONCE), np.float32)
+            b = np.zeros((len(two), COLUMNS_AT_ONCE), np.float32)
+            a[r1[m1], at1[m1] - c] = 1
+            b[r2[m2], at2[m2] - c] = 1
+            count += a @ b.T
+        count = count.astype(np.int64)
+        union = size[one][:, None] + size[two][None, :] - count
+        i, j = np.nonzero((100 * count >= pct * union) & (label[one][:, None] != label[two][None, :]))
+        name = {}
+
+        def top(v):
+            while name.setdefault(v, v) != v:
+                name[v] = v = name[name[v]]
+            return v
+
+        out = []
+        for v, w, lv, lw in zip(sig[one[i]], sig[two[j]], label[one[i]], label[two[j]]):
+            p, q = top(lv), top(lw)
+            if p != q:
+                name[p] = q
+                out.append((min(v, w), max(v, w)))
+        return pa.table({"a": pa.array([v for v, _ in out], pa.int64()), "b": pa.array([w for _, w in out], pa.int64())})
+    return run
 
-def _row_links(sets: DataFrame, columns: DataFrame, pct: int, rounds: int) -> DataFrame:
-    """Component label of every row that has a link."""
-    def near(n1, n2):
-        return (F.lit(100) * F.least(n1, n2)) >= (F.lit(pct) * F.greatest(n1, n2))
 
-    links, labels, tested = None, None, None
-    for r in range(rounds + 1):
-        c = columns
+def _bins(rows: DataFrame) -> DataFrame:
+    """Adds ``bin`` and ``only`` (the label, where a bin has one alone) to rows
+    ``(sig, n, cluster, label)``.  Rows of a large label share bins with no other label."""
+    per = rows.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    per = per.withColumn("only", F.when((F.col("c") >= BIN_ROWS / 2) | (F.col("s") >= BIN_ENTRIES / 2), F.col("label")))
+    parts = per.groupBy("cluster", "only").agg(F.greatest(
+        F.ceil(F.sum("c") / BIN_ROWS), F.ceil(F.sum("s") / BIN_ENTRIES)).alias("parts"))
+    parts = parts.withColumn("key", F.coalesce("only", F.lit(-1)))
+    per = (per.select("cluster", "label", F.coalesce("only", F.lit(-1)).alias("key"))
+           .join(parts, ["cluster", "key"]).select("cluster", "label", "only", "key", "parts"))
+    return (rows.join(per, ["cluster", "label"])
+            .withColumn("bin", F.xxhash64("cluster", "key", F.pmod(F.xxhash64("sig"), F.col("parts"))))
+            .select("sig", "cluster", "label", "only", "bin"))
+
+
+def _clusters(columns: DataFrame) -> DataFrame:
+    """``(sig, n, cluster)``: rows that lead most of each other's columns share a cluster.
+    No test yet; clusters only decide which rows are multiplied together first."""
+    lead = columns.groupBy("gram").agg(F.min("sig").alias("cluster"))
+    rows = written(columns.join(lead, "gram").groupBy("sig", "cluster").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+                   .groupBy("sig").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("cluster"), F.first("n").alias("n")),
+                   "clusters")
+    for _ in range(2):  # then the cluster that most of a row's columns mostly belong to
+        mode = (columns.join(rows.select("sig", "cluster"), "sig").groupBy("gram", "cluster").agg(F.count("*").alias("c"))
+                .groupBy("gram").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("cluster")))
+        rows = written(columns.join(mode, "gram").groupBy("sig", "cluster").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+                       .groupBy("sig").agg(F.max_by("cluster", F.struct("c", "cluster")).alias("cluster"), F.first("n").alias("n")),
+                       "clusters")
+    return rows
+
+
+def _row_links(sets: DataFrame, columns: DataFrame, pct: int, rounds: int) -> DataFrame | None:
+    """Component label of every row that has a link (None: there is none)."""
+    def labelled(rows, labels):
         if labels is None:
-            c = c.withColumn("label", F.col("sig"))
-        else:
-            c = (c.join(labels.withColumnRenamed("v", "sig"), "sig", "left")
-                 .withColumn("label", F.coalesce("label", "sig")))
-            many = c.groupBy("gram").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
-            c = c.join(many.filter("l0 < l1").select("gram"), "gram", "left_semi")
-        if r < rounds:  # each row with the leaders of its columns, most frequent leader only
-            rank = F.xxhash64(F.lit(r), F.col("label"), F.col("sig")) if r else F.col("sig")
-            lead = c.groupBy("gram").agg(F.min_by(F.struct(F.col("sig").alias("lead"), F.col("n").alias("ln"),
-                                                           F.col("label").alias("ll")), rank).alias("x"))
-            pairs = (c.join(lead.select("gram", "x.*"), "gram")
-                     .filter((F.col("label") != F.col("ll")) & near(F.col("n"), F.col("ln")))
-                     .groupBy("sig", "lead").agg(F.count("*").alias("c"))
-                     .groupBy("sig").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead")))
-            pairs = pairs.select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
-        else:  # every pair still in different components
-            x = c.select("gram", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = c.select("gram", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = (x.join(y, "gram").filter("a < b and la <> lb").filter(near(F.col("na"), F.col("nb")))
-                     .select("a", "b").distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_linked(pairs, sets, pct), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
+            return rows.withColumn("label", F.col("sig"))
+        return (rows.join(labels.withColumnRenamed("v", "sig"), "sig", "left")
+                .withColumn("label", F.coalesce("label", "sig")))
+
+    links, labels = None, None
+
+    def add(found):
+        nonlocal links, labels
+        found = written(found, "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = connected_components(links)
+
+    full = written(_clusters(columns).join(sets.select("sig", "grams"), "sig"), "clustered")
+    rows = full.select("sig", "n", "cluster")
+    large = (rows.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+             .filter((F.col("c") > BIN_ROWS) | (F.col("s") > BIN_ENTRIES)).select("cluster"))
+    big = full.join(large, "cluster", "left_semi")
+    for r in range(rounds):  # clusters of several bins: each row with one row of the largest label
+        now = labelled(big, labels)
+        lead = (now.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("sig", "n", "grams"), F.xxhash64(F.lit(r), "sig")).alias("x"))
+                .groupBy("cluster").agg(F.max_by(F.struct("label", "x"), F.struct("c", "label")).alias("y"))
+                .select("cluster", F.col("y.label").alias("ll"), F.col("y.x.sig").alias("lead"), F.col("y.x.n").alias("ln"), F.col("y.x.grams").alias("lg")))
+        near = 100 * F.least("n", "ln") >= pct * F.greatest("n", "ln")
+        add(now.join(lead, "cluster").filter((F.col("label") != F.col("ll")) & near)
+            .select(F.col("sig").alias("a"), F.col("lead").alias("b"), F.col("grams").alias("ga"), F.col("lg").alias("gb"))
+            .mapInArrow(overlaps(pct), "a long, b long"))
+    # what is left: bins of rows, each with itself, and pairs of bins that may hold a link between labels
+    rows = written(_bins(labelled(rows, labels)), "bins")
+    dealt = full.select("sig", "grams").join(rows.select("sig", "label", "bin"), "sig")
+    bins = rows.groupBy("cluster", "bin", "only").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+
+    alone = (dealt.join(bins.filter("l0 < l1").select("bin"), "bin", "left_semi").select("bin", "sig", "label", "grams")
+             .groupBy("bin").applyInArrow(product(pct), "a long, b long"))
+    # pairs of bins of one cluster
+    one, two = (bins.select("cluster", F.col("bin").alias(f"bin{i}"), F.col("only").alias(f"only{i}")) for i in (1, 2))
+    differ = F.col("only1").isNull() | F.col("only2").isNull() | (F.col("only1") != F.col("only2"))
+    inside = one.join(two, "cluster").filter("bin1 < bin2").filter(differ).select("bin1", "bin2")
+    # a row that meets a larger cluster in a column is a guest there, in bins of that cluster's guests
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("c"))
+    held = columns.select("gram", "sig").join(rows.select("sig", "cluster"), "sig").join(sizes, "cluster")
+    mixed = held.groupBy("gram").agg(F.min("cluster").alias("c1"), F.max("cluster").alias("c2")).filter("c1 < c2").select("gram")
+    held = held.join(mixed, "gram", "left_semi")
+    hosts = held.select("gram", F.col("cluster").alias("host"), F.col("c").alias("hc")).distinct()
+    guests = (held.join(hosts, "gram").filter("hc > c or (hc = c and host > cluster)").select("sig", "host").distinct())
+    guests = written(guests, "guests")
+    parts = guests.groupBy("host").agg(F.ceil(F.count("*") / BIN_ROWS).alias("parts"))
+    guests = (guests.join(parts, "host").withColumn("bin1", F.xxhash64("host", F.lit("guests"), F.pmod(F.xxhash64("sig"), F.col("parts"))))
+              .join(bins.select(F.col("cluster").alias("host"), F.col("bin").alias("bin2")), "host").select("sig", "bin1", "bin2"))
+    by_bin = (inside.select("bin1", "bin2", F.col("bin1").alias("bin"), F.lit(1).alias("side"))
+              .union(inside.select("bin1", "bin2", F.col("bin2").alias("bin"), F.lit(2).alias("side")))
+              .union(guests.select("bin1", "bin2", F.col("bin2").alias("bin"), F.lit(2).alias("side")).distinct()))
+    sided = written(by_bin.join(rows, "bin").select("bin1", "bin2", "side", "sig").union(guests.select("bin1", "bin2", F.lit(1).alias("side"), "sig")),
+                    "bin-pairs")
+    crossed = (sided.join(dealt.join(sided.select("sig").distinct(), "sig", "left_semi"), "sig")
+               .select("bin1", "bin2", "side", "sig", "label", "grams")
+               .groupBy("bin1", "bin2").applyInArrow(product(pct), "a long, b long"))
+    add(alone.union(crossed))
     return labels
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-                     pct: int = 75, rounds: int = 2) -> DataFrame:
-    """``(id, n_shingles, component_id)`` for each row of ``docs``.
-
-    Two rows are linked when the Jaccard similarity of their n-gram sets is at least
-    ``pct`` per cent; ``component_id`` is the smallest id reachable by links.  A null,
-    empty or white-space text has ``n_shingles`` 0 and is linked with nothing.  Repeated
-    rows are rows of their own with the same result.  A null id never becomes a
-    component's name unless all ids of the component are null.  Other columns are ignored.
-    """
+def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                 pct: int = 75, rounds: int = 2) -> DataFrame:
+    """``(k, v, n, group, component_id)`` for each row of ``docs``: its id, a hash of its
+    text, its set's size, its group (null: no words) and the group's smallest id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
-    rows = written(base.mapInArrow(describe(n), "k long, n long, sig long"), "rows")
+    t = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("k"), t.alias("t"), F.xxhash64(t).alias("v"))
+    rows = written(base.mapInArrow(describe(n), "k long, v long, n long, sig long"), "rows")
+    base = base.select("k", "t")
     total = rows.agg(F.sum("n")).first()[0] or 0
     sizes = (rows.filter("sig <> 0").groupBy("sig")
-             .agg(F.first("n").alias("n"), F.min("k").alias("rep"), F.min(F.coalesce("k", F.lit(-1 << 63))).alias("key")))
+             .agg(F.first("n").alias("n"), F.min("k").alias("rep")))
     blocks = block_count(total * 10 * (100 - pct + EXTRA_PCT) / 100)
     shared = (base.mapInArrow(first_parts(n, pct, blocks), BLOCK_SCHEMA)
               .groupBy("block").applyInArrow(count_shared, "sig long, shared long")
               .groupBy("sig").agg(F.sum("shared").alias("shared")))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * pct / 100) * EXTRA_PCT / 100))
-    maybe = written(sizes.join(shared, "sig").filter(F.col("shared") >= least).select("sig", "n", "key"), "maybe")
-    # only texts of remaining rows are read into sets again (Catalyst may add a Bloom filter)
-    texts = (base.withColumn("key", F.coalesce("k", F.lit(-1 << 63)))
-             .join(maybe.select("key").distinct(), "key", "left_semi").select("k", "t"))
-    sets = written(texts.mapInArrow(whole_sets(n), "sig long, n long, grams binary")
-                   .join(maybe.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    maybe = written(sizes.join(shared, "sig").filter(F.col("shared") >= least).select("sig"), "maybe")
+    sets = written(base.mapInArrow(whole_sets(n, bit_table(maybe, "sig")), "sig long, n long, grams binary")
+                   .join(maybe, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
     grams = sets.agg(F.sum("n")).first()[0] or 0
     columns = written(
         sets.mapInArrow(deal_sets(block_count(grams * 10)), BLOCK_SCHEMA)
@@ -310,16 +404,48 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .join(sets.select("sig", "n"), "sig").select("sig", "n", "grams", "counts")
         .mapInArrow(rarest(pct), "gram long, sig long, n long"), "columns")
     labels = _row_links(sets, columns, pct, rounds)
-    if labels is None:
-        names = sizes.select("sig", F.col("rep").alias("component_id"))
-    else:
-        named = sizes.join(labels.withColumnRenamed("v", "sig"), "sig", "left")
-        group = F.coalesce("label", "sig")
-        least_id = named.groupBy(group.alias("g")).agg(F.min("rep").alias("component_id"))
-        names = named.select("sig", group.alias("g")).join(least_id, "g").select("sig", "component_id")
-    return (rows.join(names, "sig", "left")
-            .select(F.col("k").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "k").alias("component_id")))
+    named = sizes.withColumn("group", F.col("sig"))
+    if labels is not None:
+        named = (sizes.join(labels.withColumnRenamed("v", "sig"), "sig", "left")
+                 .withColumn("group", F.coalesce("label", "sig")))
+    least_id = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    names = named.select("sig", "group").join(least_id, "group")
+    return rows.join(names, "sig", "left").select("k", "v", "n", "group", "component_id")
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                     pct: int = 75) -> DataFrame:
+    """``(id, n_shingles, component_id)`` for each row of ``docs``.
+
+    Two rows are linked when the Jaccard similarity of their n-gram sets is at least
+    ``pct`` per cent; ``component_id`` is the smallest id reachable by links.  A null,
+    empty or white-space text has ``n_shingles`` 0 and is linked with nothing.  Repeated
+    rows are rows of their own with the same result.  A null id never becomes a
+    component's name unless all ids of the component are null.  Other columns are ignored.
+    """
+    return ngram_groups(docs, id_col, text_col, n, pct).select(
+        F.col("k").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
+                     pct: int = 75) -> DataFrame:
+    """One row of each group of near copies, all columns unchanged: the one with the smallest
+    id (null ids last; then by a hash of the text; of repeated rows any).  Texts without
+    words are in no group and stay."""
+    rows = written(ngram_groups(docs, id_col, text_col, n, pct), "groups")
+    one = F.struct(F.col("k").isNull(), "k", "v")
+    kept = (rows.filter("group IS NOT NULL").groupBy("group").agg(F.min(one).alias("x"))
+            .select(F.col("x.k").alias("__k"), F.col("x.v").alias("__v")).distinct())
+    repeated = rows.filter("group IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("__rows"))
+    kept = (kept.join(repeated, F.col("__k").eqNullSafe(F.col("k")) & (F.col("__v") == F.col("v")))
+            .select(F.coalesce("__k", F.lit(-1 << 63)).alias("__k"), "__v", "__rows"))
+    empty = rows.filter("group IS NULL").select(F.coalesce("k", F.lit(-1 << 63)).alias("__k"), F.coalesce("v", F.lit(0)).alias("__v")).distinct()
+    kept = written(kept.unionByName(empty.withColumn("__rows", F.lit(1).cast("long"))), "kept")
+    t = F.col(text_col).cast("string")
+    found = (docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)), "__v": F.coalesce(F.xxhash64(t), F.lit(0))})
+             .join(kept, ["__k", "__v"]))
+    once = found.filter("__rows = 1").unionByName(found.filter("__rows > 1").dropDuplicates(["__k", "__v"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
