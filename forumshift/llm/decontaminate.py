@@ -7,7 +7,7 @@ placeholders are not used.  Each window also has a plain form without placeholde
 verbatim passage is found whatever the types.  Windows of a text and an item on one
 diagonal are one alignment: its slots must be consistent, the same item value always
 against the same text value and the other way round.  An item leaks into a text if
-consistent windows cover at least ``COVERED_PCT`` of its words: a re-parameterised question
+consistent windows cover at least ``COVERED_PCT`` per cent of its words: a re-parameterised question
 (other numbers, names, units in every place) is caught like a copy.
 
 Texts are scanned once; of their windows only those go to the join that pass a bit table
@@ -25,6 +25,8 @@ from . import LlmQuery
 from .common import (LOWER, U64, bit_table, bounded_batches, in_bit_table, mix, table, text_buffer, windows, word_hashes, word_spans, written)
 
 WINDOW, COVERED_PCT, LEAST_WORDS, LITERAL_PCT = 8, 50, 5, 60
+#: slot pairs of an alignment that may contradict the others
+MOST_CLASHES_PCT = 20
 BROADCAST_ROWS = 500_000
 
 # fixed values: words that stand for numbers, and units of measure
@@ -159,13 +161,17 @@ def _consistent(batches):
         for w in b.column("w").to_pylist():
             there: dict = {}
             back: dict = {}
-            ok = set()
+            ok, seen, clashes = set(), set(), set()
             for x in sorted(w, key=lambda x: (x["item_at"], x["k"], len(x["slots"]))):
-                pairs = list(zip(x["item_slots"], x["slots"]))
-                if all(there.get(i, t) == t and back.get(t, i) == i for i, t in pairs):
-                    there.update(pairs)
-                    back.update((t, i) for i, t in pairs)
-                    ok.update(range(x["item_at"], x["item_at"] + x["k"]))
+                pairs = [(x["item_at"], i, p) for i, p in enumerate(zip(x["item_slots"], x["slots"]))]
+                bad = [p for p in pairs if there.setdefault(p[2][0], p[2][1]) != p[2][1] or back.setdefault(p[2][1], p[2][0]) != p[2][0]]
+                seen.update(pairs)
+                clashes.update(bad)
+                if not bad:
+                    ok.add((x["item_at"], x["k"], bool(pairs)))
+            # one slot value that stands for several others is no substitution: then only plain windows count
+            agree = 100 * len(clashes) <= MOST_CLASHES_PCT * len(seen)
+            ok = {i for at, k, typed in ok if agree or not typed for i in range(at, at + k)}
             keep.append(bool(ok))
             places.append(sorted(ok))
             verbatim.append(all(i == t for i, t in there.items()))
