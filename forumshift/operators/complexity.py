@@ -1,8 +1,8 @@
 """Question complexity: z-scores, composite score, weekly means, arm means (A4-A10).
 
 Z-scores need global (or per-frame) statistics.  They come from one aggregate
-(one row per frame), cached, size-checked and broadcast back to the rows: no
-unpartitioned window ever sorts the facts into one task.
+(one row per frame) joined back to the rows: no unpartitioned window ever sorts the
+facts into one task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from .panel import period_split, weekly_panel
 # The four length metrics of the composite score and their output names.
 METRICS = (("tag_count", "norm_tag_count"), ("tech_expr_length", "norm_tech_expr_length"),
            ("body_length", "norm_body_length"), ("title_length", "norm_title_length"))
-BROADCAST_MAX_FRAMES = 100_000
 
 
 def zscore(df: DataFrame, cols: dict[str, str] | Sequence[tuple[str, str]],
@@ -33,11 +32,7 @@ def zscore(df: DataFrame, cols: dict[str, str] | Sequence[tuple[str, str]],
         x = F.col(src).cast("double")
         aggs += [F.avg(x).alias(f"_mu_{src}"), F.stddev_samp(x).alias(f"_sd_{src}")]
     if keys:
-        stats = df.groupBy(*keys).agg(*aggs).cache()
-        if stats.count() > BROADCAST_MAX_FRAMES:
-            joined = df.join(stats, keys, "left")
-        else:
-            joined = df.join(F.broadcast(stats), keys, "left")
+        joined = df.join(df.groupBy(*keys).agg(*aggs), keys, "left")  # AQE decides by measured bytes
     else:
         row = df.agg(*aggs).first()                # exactly one row of scalars
         joined = df.withColumns({k: F.lit(row[k]).cast("double") for k in row.asDict()})

@@ -123,37 +123,40 @@ def tokens_long(df: DataFrame, key: str, col: str) -> DataFrame:
               .where(F.col("token").isNotNull() & (F.col("token") != "")))
 
 
-def word_freq(df: DataFrame, col: str = "processed_text", k: int | None = 200,
-              where=None) -> DataFrame:
-    """Word -> count, top ``k`` by count (ties by word).
-
-    The aggregate is partial per task before the shuffle; the top-k is a
-    distributed TakeOrderedAndProject, never a single-task sort of all words.
-    """
-    base = df if where is None else df.where(where)
+def _words(df: DataFrame, col: str, *keep) -> DataFrame:
     # explode_outer + filter on the word: no predicate on the (expensive) text column
     # is pushed below its projection, so the text is computed once.
-    words = base.select(F.explode_outer(F.split(F.col(col), r"\s+")).alias("word")).where(
+    return df.select(*keep, F.explode_outer(F.split(F.col(col), r"\s+")).alias("word")).where(
         F.col("word").isNotNull() & (F.col("word") != ""))
-    freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    if k is None:
-        return freq
-    return freq.orderBy(F.desc("n"), F.asc("word")).limit(k)
+
+
+def word_freq(df: DataFrame, col: str = "processed_text", k: int | None = None) -> DataFrame:
+    """Word -> count, all words; ``k`` keeps the most frequent (ties by word).
+
+    The aggregate is partial per task before the shuffle; a top-k is a distributed
+    TakeOrderedAndProject, never a single-task sort of all words.
+    """
+    freq = _words(df, col).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return freq if k is None else freq.orderBy(F.desc("n"), F.asc("word")).limit(k)
+
+
+def word_freq_by(df: DataFrame, period: str, col: str = "processed_text") -> DataFrame:
+    """(period, word) -> count in one pass; rows without a period are left out."""
+    return (_words(df, col, F.col(period)).where(F.col(period).isNotNull())
+            .groupBy(period, "word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def apply_lemmas(df: DataFrame, key: str, col: str, lemmas: DataFrame,
-                 out: str = "lemmatized_text", broadcast_max_rows: int = 500_000) -> DataFrame:
+                 out: str = "lemmatized_text") -> DataFrame:
     """Replace every token by its dictionary entry (``token -> lemma``).
 
     Tokens are exploded with their position, joined with the dictionary, and
-    regrouped per document in position order.  The dictionary is broadcast only
-    after its row count is checked; beyond the bound it is a shuffle join (AQE
-    splits skewed tokens).  Documents without tokens keep an empty string.
+    regrouped per document in position order.  No join hint: AQE broadcasts the
+    dictionary if its measured bytes allow it and else splits skewed tokens.
+    Documents without tokens keep an empty string.
     """
-    n = lemmas.count()
-    dic = F.broadcast(lemmas) if n <= broadcast_max_rows else lemmas
     toks = tokens_long(df, key, col)
-    joined = toks.join(dic, "token", "left").select(
+    joined = toks.join(lemmas, "token", "left").select(
         key, "pos", F.coalesce(F.col("lemma"), F.col("token")).alias("lemma"))
     regrouped = joined.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))),

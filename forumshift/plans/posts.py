@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import lenient_timestamp
+from ..functions.dates import as_timestamp, lenient_timestamp
 from ..operators import posts as O
+from ..operators.panel import BOUNDARIES, period_split
 from . import sqltext as Q
 from .fixtures import DOCS_EVENT_DATE, fixture, register_tables, with_views
-from .registry import register
+from .registry import register, rounded
 
 INGEST_RANGE = ("2021-01-01", "2022-12-31")
 
@@ -134,38 +135,64 @@ def q_lemma_join(spark, sf):
     return O.apply_lemmas(p, "Id", "processed_text", lemmas).select("Id", "lemmatized_text")
 
 
-@register("word_freq", processed_sql("""
-SELECT word, count(*) AS n
-FROM (SELECT unnest(string_split_regex(processed_text, '\\s+')) AS word FROM p
+_WORDS_SQL = """
+SELECT {keep}word, count(*) AS n
+FROM (SELECT {expr}unnest(string_split_regex(processed_text, '\\s+')) AS word FROM p
       WHERE processed_text IS NOT NULL)
-WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 200"""))
+WHERE word <> ''{where} GROUP BY ALL"""
+
+
+@register("word_freq", processed_sql(_WORDS_SQL.format(keep="", expr="", where="")))
 def q_word_freq(spark, sf):
-    """Top-200 word frequencies of the processed corpus (word-cloud input)."""
+    """Frequencies of all words of the processed corpus."""
     return O.word_freq(processed(spark, sf))
 
 
-@register("word_freq_prepost", processed_sql(f"""
-SELECT * FROM (
-  SELECT 'pre' AS period, word, count(*) AS n
-  FROM (SELECT unnest(string_split_regex(processed_text, '\\s+')) AS word FROM p
-        WHERE processed_text IS NOT NULL
-          AND {Q.lenient_timestamp('CreationDate')} <= TIMESTAMP '{DOCS_EVENT_DATE}')
-  WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 200)
-UNION ALL
-SELECT * FROM (
-  SELECT 'post' AS period, word, count(*) AS n
-  FROM (SELECT unnest(string_split_regex(processed_text, '\\s+')) AS word FROM p
-        WHERE processed_text IS NOT NULL
-          AND {Q.lenient_timestamp('CreationDate')} > TIMESTAMP '{DOCS_EVENT_DATE}')
-  WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 200)"""))
+@register("word_freq_top", processed_sql(_WORDS_SQL.format(keep="", expr="", where="") + " ORDER BY n DESC, word LIMIT 200"))
+def q_word_freq_top(spark, sf):
+    """The 200 most frequent words (a word cloud's input, a top-k report)."""
+    return O.word_freq(processed(spark, sf), k=200)
+
+
+_PERIOD_SQL = (f"CASE WHEN {Q.lenient_timestamp('CreationDate')} <= TIMESTAMP '{DOCS_EVENT_DATE}' THEN 'pre' "
+               f"WHEN {Q.lenient_timestamp('CreationDate')} > TIMESTAMP '{DOCS_EVENT_DATE}' THEN 'post' END AS period, ")
+
+
+@register("word_freq_prepost", processed_sql(_WORDS_SQL.format(
+    keep="period, ", expr=_PERIOD_SQL, where=" AND period IS NOT NULL")))
 def q_word_freq_prepost(spark, sf):
-    """Top-200 frequencies before (<=) and after (>) the event."""
-    p = processed(spark, sf)
-    ts = lenient_timestamp("CreationDate")
-    ev = F.lit(DOCS_EVENT_DATE).cast("timestamp_ntz")
-    pre = O.word_freq(p, where=ts <= ev).select(F.lit("pre").alias("period"), "word", "n")
-    post = O.word_freq(p, where=ts > ev).select(F.lit("post").alias("period"), "word", "n")
-    return pre.unionByName(post)
+    """Frequencies before (<=) and after (>) the event, all words, one pass."""
+    p = processed(spark, sf).withColumn("ts", lenient_timestamp("CreationDate"))
+    p = period_split(p, "ts", DOCS_EVENT_DATE + "T00:00:00", "le_gt")
+    return O.word_freq_by(p, "period")
+
+
+def _boundary_sql(rule: str) -> str:
+    pre, post = {"le_gt": ("<=", ">"), "lt_gt": ("<", ">"), "lt_ge": ("<", ">=")}[rule]
+    return f"""
+SELECT '{rule}' AS rule, CASE WHEN d {pre} DATE '{DOCS_EVENT_DATE}' THEN 'pre' WHEN d {post} DATE '{DOCS_EVENT_DATE}' THEN 'post' END AS period,
+       count(*) AS n FROM (SELECT CAST({Q.lenient_timestamp('CreationDate')} AS DATE) AS d FROM posts_docs) GROUP BY 1, 2"""
+
+
+@register("period_boundaries", _sql(" UNION ALL ".join(_boundary_sql(r) for r in BOUNDARIES)))
+def q_period_boundaries(spark, sf):
+    """Posts per period under the three boundary rules; the time column is parsed
+    only where it is not a timestamp yet."""
+    p = as_timestamp(as_timestamp(docs_posts(spark, sf).select("CreationDate"))).select(F.to_date("CreationDate").alias("d"))
+    out = None
+    for rule in BOUNDARIES:
+        c = period_split(p, "d", DOCS_EVENT_DATE, rule).groupBy("period").agg(F.count("*").alias("n")).select(
+            F.lit(rule).alias("rule"), "period", "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@register("mean_text_length", processed_sql("""
+SELECT forum, count(*) AS n, round(avg(length(processed_text)), 6) AS mean_text_length FROM p GROUP BY forum"""))
+def q_mean_text_length(spark, sf):
+    """Mean length of the processed text by forum."""
+    return rounded(processed(spark, sf, extra=("forum",)).groupBy("forum").agg(
+        F.count("*").alias("n"), F.avg(F.char_length("processed_text")).alias("mean_text_length")))
 
 
 @register("html_split_parser")

@@ -15,6 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local(master: str | None) -> bool:
+    """One JVM on this machine (``local``, ``local[n]``), not ``local-cluster`` or a cluster."""
+    return bool(master) and (master == "local" or master.startswith("local["))
+
+
 def get_spark(master: str | None = None, app: str = "forumshift",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here assumes.
@@ -27,11 +32,13 @@ def get_spark(master: str | None = None, app: str = "forumshift",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
-    parts = shuffle_partitions or int(cpus)
+    if shuffle_partitions is None and is_local(master):
+        # a cluster's own value stays: it is sized for the cluster, not for this machine
+        shuffle_partitions = int(os.environ.get("BENCH_CPUS") or os.cpu_count() or 8)
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -56,7 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: only happens in local tests / benches.
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="forumshift-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -15,7 +15,8 @@ POSTS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in POS
 
 
 def pick_posts_file(spark: SparkSession, path: str, suffix: str = "Posts.xml") -> str:
-    """The file whose name ends in ``Posts.xml``, else the first file; error if none.
+    """The file whose name ends in ``Posts.xml``, else the first file; error if there is
+    none or more than one dump (read several with ``read_forums``).
 
     Only the directory listing is read (``binaryFile`` with a path filter returns
     paths lazily; no content column is selected)."""
@@ -23,7 +24,9 @@ def pick_posts_file(spark: SparkSession, path: str, suffix: str = "Posts.xml") -
     # the member may be a file or a folder of part files (as Spark writes it)
     pattern = "^(.*?/[^/]*" + suffix.replace(".", "[.]") + ")(/|$)"
     member = F.regexp_extract(F.col("path"), pattern, 1)
-    hit = listing.select(member.alias("m")).where(F.col("m") != "").orderBy("m").limit(1).collect()
+    hit = listing.select(member.alias("m")).where(F.col("m") != "").distinct().orderBy("m").limit(2).collect()
+    if len(hit) > 1:
+        raise ValueError(f"several dumps under {path} ({hit[0][0]}, {hit[1][0]}, ...): name one, or use read_forums")
     if hit:
         return hit[0][0]
     first = listing.orderBy("path").limit(1).collect()
@@ -81,9 +84,10 @@ def write_panel(df: DataFrame, path: str, csv: bool = False) -> None:
 
 
 def read_forums(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
-    """One dataset per forum, read as one table with a ``forum`` column
-    (union by name, missing columns null)."""
-    frames = [spark.read.format(fmt).load(p).withColumn("forum", F.lit(name)) for name, p in paths.items()]
+    """One dataset per forum, read as one table with a ``forum`` column (union by name,
+    missing columns null).  ``fmt="xml"`` reads post dumps."""
+    frames = [(read_posts_xml(spark, p) if fmt == "xml" else spark.read.format(fmt).load(p)).withColumn("forum", F.lit(name))
+              for name, p in paths.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

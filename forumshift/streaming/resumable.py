@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 def resumable_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str,
                      schema: T.StructType, transform: Callable[[DataFrame], DataFrame],
                      max_files_per_trigger: int | None = None, fmt: str = "parquet") -> int:
-    """Run one availableNow pass; returns the number of micro-batches executed."""
+    """Run one availableNow pass; returns the number of batches committed so far (0 before
+    the first), read from the last progress, which Spark keeps however many there were."""
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -26,4 +27,7 @@ def resumable_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str,
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return len(q.recentProgress)
+    last = q.lastProgress
+    if last is None:
+        return 0
+    return last["batchId"] + (1 if last["numInputRows"] > 0 else 0)
