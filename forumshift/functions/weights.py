@@ -1,35 +1,39 @@
-"""Simplex-constrained weight fits for synthetic control / synthetic DiD
-(Arkhangelsky et al. 2021).  Small numpy helpers run inside one Spark task per
-(experiment, replicate); their inputs are bounded panels (see ``operators.sdid``).
+"""Simplex-constrained weights from Gram matrices (Arkhangelsky et al. 2021).
+
+The solvers see only second moments: a Gram block and a vector of products with the
+target, both sums that Spark computed.  They run in one small group per experiment and
+replicate and say whether they converged.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
-def fw_simplex(A: np.ndarray, b: np.ndarray, zeta2: float, intercept: bool = True,
-               max_iter: int = 10000, min_decrease: float = 1e-8) -> np.ndarray:
-    """Frank-Wolfe for ``min ||A w - b||^2 / R + zeta2 ||w||^2`` over the simplex.
+@dataclass(frozen=True)
+class Fit:
+    weights: np.ndarray
+    converged: bool
+    iterations: int
+
 
-    Rows of ``A`` are observations, columns candidates.  With ``intercept`` both
-    sides are centred over rows first (free intercept).  Exact line search on the
-    quadratic; stops when the objective decreases by less than ``min_decrease**2``.
+def fw_gram(Q: np.ndarray, c: np.ndarray, max_iter: int = 10_000, min_decrease: float = 1e-8,
+            num_iter_no_change: int = 1) -> Fit:
+    """Frank-Wolfe with exact line search for ``min w'Qw - 2c'w`` over the simplex.
+
+    Stops when the objective decreases by less than ``min_decrease**2`` in
+    ``num_iter_no_change`` consecutive steps.
     """
-    A = np.asarray(A, dtype=float)
-    b = np.asarray(b, dtype=float)
-    if intercept:
-        A = A - A.mean(axis=0)
-        b = b - b.mean()
-    R, K = A.shape
+    K = len(c)
     if K == 1:
-        return np.ones(1)
-    Q = A.T @ A / R + zeta2 * np.eye(K)
-    c = A.T @ b / R
+        return Fit(np.ones(1), True, 0)
     w = np.full(K, 1.0 / K)
     Qw = Q @ w
     f = w @ Qw - 2 * c @ w
-    for _ in range(max_iter):
+    calm = 0
+    for it in range(1, max_iter + 1):
         g = 2 * (Qw - c)
         i = int(np.argmin(g))
         d = -w.copy()
@@ -37,16 +41,16 @@ def fw_simplex(A: np.ndarray, b: np.ndarray, zeta2: float, intercept: bool = Tru
         Qd = Q[:, i] - Qw
         dQd = d @ Qd
         if dQd <= 0:
-            break
+            return Fit(w, True, it)
         gamma = min(1.0, max(0.0, (c @ d - w @ Qd) / dQd))
         w = w + gamma * d
         Qw = Qw + gamma * Qd
         f_new = w @ Qw - 2 * c @ w
-        if f - f_new < min_decrease ** 2:
-            f = f_new
-            break
+        calm = calm + 1 if f - f_new < min_decrease ** 2 else 0
         f = f_new
-    return w
+        if calm >= num_iter_no_change:
+            return Fit(w, True, it)
+    return Fit(w, False, max_iter)
 
 
 def project_simplex(v: np.ndarray) -> np.ndarray:
@@ -58,72 +62,26 @@ def project_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - css[rho] / (rho + 1), 0.0)
 
 
-def pg_simplex(A: np.ndarray, b: np.ndarray, zeta2: float = 0.0, intercept: bool = False,
-               max_iter: int = 20000, tol: float = 1e-14) -> np.ndarray:
-    """Accelerated projected gradient for the same objective as ``fw_simplex``;
-    converges to the exact optimum (used for synthetic control, where the
-    optimum usually sits on a face of the simplex)."""
-    A = np.asarray(A, dtype=float)
-    b = np.asarray(b, dtype=float)
-    if intercept:
-        A = A - A.mean(axis=0)
-        b = b - b.mean()
-    R, K = A.shape
+def pg_gram(Q: np.ndarray, c: np.ndarray, max_iter: int = 20_000, tol: float = 1e-14) -> Fit:
+    """Accelerated projected gradient for the same objective; reaches optima on a face of
+    the simplex, where synthetic controls usually sit."""
+    K = len(c)
     if K == 1:
-        return np.ones(1)
-    Q = A.T @ A / R + zeta2 * np.eye(K)
-    c = A.T @ b / R
+        return Fit(np.ones(1), True, 0)
     L = 2 * np.linalg.eigvalsh(Q).max() or 1.0
     w = np.full(K, 1.0 / K)
     z, t = w.copy(), 1.0
-    for _ in range(max_iter):
+    for it in range(1, max_iter + 1):
         w_new = project_simplex(z - (2 * (Q @ z - c)) / L)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = w_new + (t - 1) / t_new * (w_new - w)
-        if np.abs(w_new - w).max() < tol:
-            w = w_new
-            break
+        step = np.abs(w_new - w).max()
         w, t = w_new, t_new
-    return w
-
+        if step < tol:
+            return Fit(w, True, it)
+    return Fit(w, False, max_iter)
 
-def sdid_fit(Y: np.ndarray, treated: np.ndarray, T0: int, method: str = "sdid") -> dict:
-    """Fit one experiment on a balanced ``units x periods`` matrix.
 
-    ``method``: ``sdid`` (unit + time weights, ridge), ``sc`` (unit weights, no
-    intercept, no ridge, no time weights), ``did`` (uniform weights).
-    Returns att, omega (controls), lambda (pre periods), per-period effects.
-    """
-    Y = np.asarray(Y, dtype=float)
-    tr = np.asarray(treated, dtype=bool)
-    co = ~tr
-    N1, N0 = int(tr.sum()), int(co.sum())
-    T = Y.shape[1]
-    T1 = T - T0
-    Yco, Ytr = Y[co], Y[tr].mean(axis=0)
-    diffs = np.diff(Yco[:, :T0], axis=1)
-    noise = float(np.std(diffs, ddof=1)) if diffs.size > 1 else 0.0
-    if method == "did":
-        omega = np.full(N0, 1.0 / N0)
-        lam = np.full(T0, 1.0 / T0)
-        zeta = 0.0
-    elif method == "sc":
-        omega = pg_simplex(Yco[:, :T0].T, Ytr[:T0], 0.0, intercept=False)
-        lam = np.zeros(T0)
-        zeta = 0.0
-    else:
-        zeta = (N1 * T1) ** 0.25 * noise
-        omega = fw_simplex(Yco[:, :T0].T, Ytr[:T0], zeta ** 2, intercept=True,
-                           min_decrease=1e-5 * max(noise, 1e-12))
-        lam = fw_simplex(Yco[:, :T0], Yco[:, T0:].mean(axis=1), (1e-6 * noise) ** 2,
-                         intercept=True, min_decrease=1e-5 * max(noise, 1e-12))
-    gap = Ytr - omega @ Yco                       # treated minus synthetic control, per period
-    effects = gap - lam @ gap[:T0]                # per-period effects (leads and lags)
-    if method == "sc":
-        att = float(gap[T0:].mean())
-        effects = gap
-    else:
-        att = float(effects[T0:].mean())
-    return {"att": att, "omega": omega, "lambda": lam, "effects": effects, "zeta": zeta,
-            "noise": noise, "synthetic": omega @ Yco, "treated_mean": Ytr,
-            "control_mean": Yco.mean(axis=0)}
+def centred(G: np.ndarray, mean: np.ndarray, n: float) -> np.ndarray:
+    """Second moments per row about the mean (a free intercept), from raw sums."""
+    return G / n - np.outer(mean, mean)

@@ -3,10 +3,11 @@
 The two-way fixed-effects estimator is computed by double demeaning: unit means,
 time means and the grand mean are three ``groupBy`` aggregates of the panel
 (which is units x periods rows, small), joined back.  On a balanced panel one
-pass is exact; on an unbalanced one the demeaning is repeated (alternating
-projections) with the lineage cut every few rounds.  Covariates enter by
-Frisch-Waugh-Lovell: their demeaned cross-products form a k x k Gram matrix
-(k = number of covariates, bounded by the specification, not the data).
+pass is exact; on any other the demeaning is repeated (alternating projections)
+until the means vanish, with the lineage cut into the shared folder, and an error
+if they do not.  Covariates enter by Frisch-Waugh-Lovell: their demeaned
+cross-products form a k x k Gram matrix (k = number of covariates, bounded by the
+specification, not the data).
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 Z95 = 1.959963984540054
-MAX_UNBALANCED_ROWS = 5_000_000     # unbalanced panels up to this size are solved in one task
+#: a regressor is absorbed if the effects leave less than this share of its variation
+ABSORBED = 1e-10
 
 
 def _demean_once(df: DataFrame, unit: str, time: str, cols: Sequence[str]) -> DataFrame:
@@ -36,62 +37,67 @@ def _demean_once(df: DataFrame, unit: str, time: str, cols: Sequence[str]) -> Da
                       for c in cols])
 
 
-def _is_balanced(df: DataFrame, unit: str, time: str) -> bool:
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("u"),
-               F.countDistinct(time).alias("t"),
-               F.countDistinct(unit, time).alias("cells")).first()
-    return r["n"] == r["cells"] == r["u"] * r["t"]
-
-
 def two_way_demean(df: DataFrame, unit: str, time: str, cols: Sequence[str],
-                   max_iter: int = 200, tol: float = 1e-12, checkpoint_every: int = 5) -> DataFrame:
-    """Residualise ``cols`` on unit and time fixed effects."""
+                   max_iter: int = 600, tol: float = 1e-11, every: int = 4) -> DataFrame:
+    """Residualise ``cols`` on unit and time fixed effects.
+
+    ``tol`` is the largest unit mean left, relative to the column's spread.  Raises if
+    ``max_iter`` rounds do not reach it.
+    """
     base = df.select(unit, time, *[F.col(c).cast("double").alias(c) for c in cols])
     r = base.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("u"),
-                 F.countDistinct(time).alias("t"), F.countDistinct(unit, time).alias("cells")).first()
+                 F.countDistinct(time).alias("t"), F.countDistinct(unit, time).alias("cells"),
+                 *[F.stddev_pop(c).alias(f"sd_{c}") for c in cols]).first()
+    if r["n"] == 0:
+        return base
     if r["n"] == r["cells"] == r["u"] * r["t"]:
         return _demean_once(base, unit, time, cols)
-    if r["n"] > MAX_UNBALANCED_ROWS:
-        return _demean_iterative(base, unit, time, cols, max_iter, tol, checkpoint_every)
-    # Unbalanced but bounded panel (checked above): alternating projections to
-    # convergence inside one Arrow task, instead of hundreds of tiny Spark jobs.
-    schema = base.schema
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = pd.factorize(pdf[unit])[0]
-        t = pd.factorize(pdf[time])[0]
-        nu, nt = np.bincount(u), np.bincount(t)
-        for c in cols:
-            x = pdf[c].to_numpy(dtype=float).copy()
-            for _ in range(max_iter * 50):
-                x -= (np.bincount(u, x) / nu)[u]
-                step = (np.bincount(t, x) / nt)[t]
-                x -= step
-                if np.abs(step).max() < tol:
-                    break
-            pdf[c] = x
-        return pdf
-
-    return base.groupBy(F.lit(0).alias("_one")).applyInPandas(
-        lambda pdf: solve(pdf.drop(columns=["_one"], errors="ignore")), schema)
-
-
-def _demean_iterative(base, unit, time, cols, max_iter, tol, checkpoint_every):
-    """Alternating projections as Spark jobs (very large unbalanced panels)."""
-    cur = base
-    for it in range(max_iter):
-        um = cur.groupBy(unit).agg(*[F.avg(c).alias(f"_u_{c}") for c in cols])
-        cur = cur.join(um, unit).select(unit, time, *[(F.col(c) - F.col(f"_u_{c}")).alias(c) for c in cols])
-        tm = cur.groupBy(time).agg(*[F.avg(c).alias(f"_t_{c}") for c in cols])
-        cur = cur.join(tm, time).select(unit, time, *[(F.col(c) - F.col(f"_t_{c}")).alias(c) for c in cols])
-        if (it + 1) % checkpoint_every == 0:
+    scale = {c: r[f"sd_{c}"] or 1.0 for c in cols}
+    cur, left = base, math.inf
+    for it in range(1, max_iter + 1):
+        for key in (unit, time):
+            means = cur.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
+            cur = cur.join(means, key).select(unit, time, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in cols])
+        if it % every == 0:
             cur = cut_lineage(cur)
-            um2 = cur.groupBy(unit).agg(*[F.avg(c).alias(c) for c in cols])
-            worst = um2.agg(F.max(F.greatest(*[F.abs(c) for c in cols]) if len(cols) > 1
-                                  else F.abs(cols[0]))).first()[0] or 0.0
-            if worst < tol:
-                break
-    return cur
+            worst = cur.groupBy(unit).agg(*[(F.abs(F.avg(c)) / scale[c]).alias(c) for c in cols]).agg(
+                *[F.max(c).alias(c) for c in cols]).first()
+            left = max(worst[c] or 0.0 for c in cols)
+            if left < tol:
+                return cur
+    raise ValueError(f"demeaning did not converge in {max_iter} rounds (largest unit mean left: {left:.2e})")
+
+
+def gram_of(dm: DataFrame, xs: Sequence[str], y: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-products of demeaned regressors and with the outcome: one aggregate."""
+    k = len(xs)
+    names = [(i, j) for i in range(k) for j in range(i, k)]
+    g = dm.agg(*[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"g_{i}_{j}") for i, j in names],
+               *[F.sum(F.col(x) * F.col(y)).alias(f"y_{i}") for i, x in enumerate(xs)]).first()
+    xtx = np.zeros((k, k))
+    for i, j in names:
+        xtx[i, j] = xtx[j, i] = g[f"g_{i}_{j}"] or 0.0
+    return xtx, np.array([g[f"y_{i}"] or 0.0 for i in range(k)])
+
+
+def absorbed(data: DataFrame, xs: Sequence[str], xtx: np.ndarray) -> list[int]:
+    """Regressors to keep: those with variation left after demeaning, relative to their own
+    variation before it (so the unit of measure does not matter), and not a combination of
+    the ones before."""
+    raw = data.agg(*[(F.var_pop(F.col(x).cast("double")) * F.count(x)).alias(f"v_{i}") for i, x in enumerate(xs)]).first()
+    keep: list[int] = []
+    for i in range(len(xs)):
+        own = raw[f"v_{i}"] or 0.0
+        if own <= 0 or xtx[i, i] <= ABSORBED * own:
+            continue
+        if keep:
+            d = np.sqrt(np.diag(xtx)[[*keep, i]])
+            c = xtx[np.ix_([*keep, i], [*keep, i])] / np.outer(d, d)
+            left = 1.0 - c[-1, :-1] @ np.linalg.solve(c[:-1, :-1], c[:-1, -1])
+            if left <= ABSORBED:
+                continue
+        keep.append(i)
+    return keep
 
 
 def varying_covariates(panel: DataFrame, time: str, covariates: Sequence[str]) -> list[str]:
@@ -114,46 +120,34 @@ def twfe_did(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
     quarter dummies) are absorbed by the time effects and drop out.
     """
     cluster = cluster or unit
+    panel = cut_lineage(panel.select(*dict.fromkeys([unit, time, cluster, outcome, treat, *covariates])))  # small; facts are read once
     covariates = varying_covariates(panel, time, covariates)
     cols = [outcome, treat, *covariates]
-    data = panel.select(unit, time, *cols) if cluster == unit else panel.select(
-        unit, time, cluster, *cols)
-    dm = two_way_demean(data.select(unit, time, *cols), unit, time, cols).cache()
+    dm = cut_lineage(two_way_demean(panel.select(unit, time, *cols), unit, time, cols))
     xs = [treat, *covariates]
-    # Gram of the demeaned regressors and their products with y: (k+1)^2 + (k+1) numbers.
-    prods = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(xs) for b in xs[i:]]
-    prods += [F.sum(F.col(a) * F.col(outcome)).alias(f"{a}__y") for a in xs]
-    g = dm.agg(*prods, F.count(F.lit(1)).alias("n")).first()
-    k = len(xs)
-    xtx = np.zeros((k, k))
-    xty = np.zeros(k)
-    for i, a in enumerate(xs):
-        xty[i] = g[f"{a}__y"] or 0.0
-        for j in range(i, k):
-            xtx[i, j] = xtx[j, i] = g[f"{xs[i]}__{xs[j]}"] or 0.0
-    # Drop regressors with no variation left after demeaning (absorbed by the FE).
-    keep = [i for i in range(k) if xtx[i, i] > 1e-9 * max(1.0, xtx[0, 0])]
+    xtx, xty = gram_of(dm, xs, outcome)
+    keep = absorbed(panel, xs, xtx)
     if 0 not in keep:
         raise ValueError("treatment has no variation after removing unit and time effects")
     sub = np.ix_(keep, keep)
-    beta_k = np.linalg.solve(xtx[sub], xty[keep])
-    beta = dict(zip([xs[i] for i in keep], beta_k))
+    scale = 1 / np.sqrt(np.diag(xtx)[keep])
+    inv = np.linalg.inv(xtx[sub] * np.outer(scale, scale)) * np.outer(scale, scale)
+    beta = dict(zip([xs[i] for i in keep], inv @ xty[keep]))
     resid = F.col(outcome)
     for name, b in beta.items():
         resid = resid - F.lit(float(b)) * F.col(name)
     # Cluster score for the treatment coefficient: row of (X'X)^-1 applied to X'e per cluster.
-    inv_row = np.linalg.inv(xtx[sub])[keep.index(0)]
+    inv_row = inv[keep.index(0)]
     score = None
     for coef, i in zip(inv_row, keep):
         term = F.lit(float(coef)) * F.col(xs[i])
         score = term if score is None else score + term
     sc = dm.withColumn("_s", score * resid)
     if cluster != unit:
-        sc = sc.join(data.select(unit, time, cluster), [unit, time])
+        sc = sc.join(panel.select(unit, time, cluster), [unit, time])
     per_cluster = sc.groupBy(cluster).agg(F.sum("_s").alias("_g"))
     agg = per_cluster.agg(F.sum(F.col("_g") * F.col("_g")).alias("v"),
                           F.count(F.lit(1)).alias("G")).first()
-    dm.unpersist()
     G = agg["G"]
     factor = G / (G - 1) if (ssc and G > 1) else 1.0
     att = float(beta[treat])
@@ -171,9 +165,12 @@ def twfe_did(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
 
 def cluster_scores(panel: DataFrame, unit: str, time: str, outcome: str, treat: str) -> DataFrame:
     """C5 without covariates: per-unit score ``sum_t D~ e / sum D~^2``."""
-    dm = two_way_demean(panel.select(unit, time, outcome, treat), unit, time, [outcome, treat])
-    b = dm.agg((F.sum(F.col(treat) * F.col(outcome)) / F.sum(F.col(treat) * F.col(treat))).alias("_b"),
+    panel = cut_lineage(panel.select(unit, time, outcome, treat))
+    dm = cut_lineage(two_way_demean(panel, unit, time, [outcome, treat]))
+    b = dm.agg(F.try_divide(F.sum(F.col(treat) * F.col(outcome)), F.sum(F.col(treat) * F.col(treat))).alias("_b"),
                F.sum(F.col(treat) * F.col(treat)).alias("_sxx")).first()     # one row
+    if not b["_sxx"]:
+        raise ValueError("treatment has no variation after removing unit and time effects")
     j = dm.withColumns({"_b": F.lit(float(b["_b"])), "_sxx": F.lit(float(b["_sxx"]))})
     return j.groupBy(unit).agg(F.sum(F.col(treat) / F.col("_sxx")
                                      * (F.col(outcome) - F.col("_b") * F.col(treat))).alias("score"))
@@ -193,8 +190,8 @@ def did_2x2(df: DataFrame, treated: str, post: str, outcome: str) -> DataFrame:
           for t in (0, 1) for p in (0, 1) for c in ("n", "m", "v")])
     rss = sum(F.col(f"n{t}{p}") * F.col(f"v{t}{p}") for t in (0, 1) for p in (0, 1))
     n = sum(F.col(f"n{t}{p}") for t in (0, 1) for p in (0, 1))
-    inv = sum(F.lit(1.0) / F.col(f"n{t}{p}") for t in (0, 1) for p in (0, 1))
+    inv = sum(F.try_divide(F.lit(1.0), F.col(f"n{t}{p}")) for t in (0, 1) for p in (0, 1))
     effect = (F.col("m11") - F.col("m10")) - (F.col("m01") - F.col("m00"))
-    se = F.sqrt(rss / (n - F.lit(4)) * inv)
-    return w.select(effect.alias("effect"), se.alias("se"), (effect / se).alias("t_stat"),
+    se = F.sqrt(F.try_divide(rss, n - F.lit(4)) * inv)
+    return w.select(effect.alias("effect"), se.alias("se"), F.try_divide(effect, se).alias("t_stat"),
                     n.cast("long").alias("n_obs"))

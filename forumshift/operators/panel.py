@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_columns, week_monday, year_month, year_quarter
+from ..session import cut_lineage
 
 BOUNDARIES = ("le_gt", "lt_gt", "lt_ge")
 
@@ -137,7 +138,7 @@ def dummies(df: DataFrame, key, prefix: str, drop_first: bool = True) -> DataFra
     """
     key_col = F.col(key) if isinstance(key, str) else key
     keyed = df.withColumn(f"_{prefix}", key_col)
-    values = sorted(r[0] for r in keyed.select(f"_{prefix}").distinct().collect() if r[0] is not None)
+    values = _labels(keyed, f"_{prefix}")
     if drop_first:
         values = values[1:]
     return keyed.withColumns({
@@ -156,9 +157,13 @@ def quarter_dummies(df: DataFrame, date_col: str = "week_start") -> DataFrame:
 def pivot_wide(df: DataFrame, index: str, on: str, values: Sequence[str],
                on_values: Iterable[str] | None = None, agg: str = "sum") -> DataFrame:
     """R5 (+A11): sum the value columns by (index, on) and spread ``on`` into
-    ``<value>_<on value>`` columns.  Explicit ``on_values`` skip the distinct job."""
-    on_values = list(on_values) if on_values is not None else sorted(
-        r[0] for r in df.select(on).distinct().collect())
+    ``<value>_<on value>`` columns.  Explicit ``on_values`` fix the columns; a value that is
+    not among them is an error, never left out."""
+    seen = _labels(df, on)
+    on_values = list(on_values) if on_values is not None else seen
+    lost = sorted(set(seen) - set(on_values))
+    if lost:
+        raise ValueError(f"{on} has values without a column: {lost[:5]}")
     aggf = getattr(F, agg)
     wide = df.groupBy(index).pivot(on, on_values).agg(*[aggf(v).alias(v) for v in values])
     renames = {}
@@ -179,6 +184,7 @@ def encode_labels(df: DataFrame, col: str, name: str | None = None) -> DataFrame
 
 def panel_check(df: DataFrame, unit: str, time: str) -> DataFrame:
     """Per unit, cells, distinct periods, duplicate keys and missing periods."""
+    df = cut_lineage(df.select(unit, time))
     n_periods = df.agg(F.countDistinct(time)).first()[0]    # one scalar
     per_unit = df.groupBy(unit).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -231,18 +237,23 @@ def remap(df: DataFrame, col: str, mapping: dict, out: str | None = None) -> Dat
     return df.withColumn(out or col, looked)
 
 
-def complete_counts(df: DataFrame, unit: str, time: str, count: str,
-                    units: Sequence[str] | None = None, max_units: int = 5_000) -> DataFrame:
-    """R7 ``balance="zero"``: every (unit, time) cell of a count panel, absent
-    cells counted 0 (no posts that week).  Built by a pivot on the unit (explicit,
-    bounded unit list) and an unpivot - no cross join.  Times are those observed."""
-    if units is None:
-        units = sorted(r[0] for r in df.select(unit).distinct().limit(max_units + 1).collect())
-    if len(units) > max_units:
-        raise ValueError(f"more than {max_units} units")
-    names = [f"_u{i}" for i in range(len(units))]
-    wide = df.groupBy(time).pivot(unit, list(units)).agg(F.sum(count)).na.fill(0)
-    wide = wide.withColumnsRenamed({str(u): n for u, n in zip(units, names)})
-    long = wide.unpivot(time, names, "_unit_slot", count)
-    label = F.create_map(*[x for n, u in zip(names, units) for x in (F.lit(n), F.lit(u))])
-    return long.select(label[F.col("_unit_slot")].alias(unit), time, F.col(count).cast("long").alias(count))
+def complete_counts(df: DataFrame, unit: str, time: str, count: str) -> DataFrame:
+    """R7 ``balance="zero"``: every (unit, time) cell of a count panel, absent cells counted
+    0 (no posts that week).  Units and times are those observed; the times (bounded by the
+    calendar) are exploded per unit and the counts joined on, no cross join."""
+    df = cut_lineage(df.groupBy(unit, time).agg(F.sum(count).cast("long").alias(count)))
+    times = df.agg(F.sort_array(F.collect_set(time))).first()[0]     # one row
+    if not times:
+        return df
+    cells = df.select(unit).distinct().withColumn(time, F.explode(F.array(*[F.lit(t) for t in times])))
+    return cells.join(df, [unit, time], "left").withColumn(count, F.coalesce(F.col(count), F.lit(0).cast("long")))
+
+
+def _labels(df: DataFrame, col: str) -> list:
+    """Distinct values of a column that becomes columns; more than Spark's own limit for
+    pivots (``spark.sql.pivotMaxValues``) is an error."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    values = [r[0] for r in df.select(col).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{col} has more than {most} values: it cannot become columns")
+    return sorted(v for v in values if v is not None)

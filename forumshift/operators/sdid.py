@@ -1,203 +1,386 @@
 """Synthetic DiD, synthetic control, replicate standard errors and event studies
-(C7-C21).
-
-Spark does the data work: the panel is built and checked by aggregations,
-replicates are a generated key (``explode(sequence)``), each (replicate) group is
-solved by ``applyInPandas`` and every summary (ATT, SE, event-study bands,
-weights, synthetic paths) is an aggregation over the long solver output.  One
-group holds one experiment's panel, so the panel size is checked against
-``MAX_CELLS`` first (unit x period cells, bounded by design, not by rows of
-posts).
+(C7-C21) as Spark aggregations.
+
+What the weight problems need are second moments, and those are sums over the panel:
+
+* unit weights: ``sum_t y_it y_jt`` over pre-periods for pairs of units (a self-join on
+  the period, then one aggregate); the treated mean and every replicate's subset are
+  combinations of these numbers;
+* time weights: ``sum_i copies_i y_it y_is`` over an assignment's controls (a self-join on
+  the unit, then one aggregate), with the post-period mean as one more column.
+
+A solver task gets one assignment's numbers: ``N_co**2`` and ``T0**2`` of them, never the
+panel.  Everything after the weights is a join of weights with the panel and an aggregate:
+gaps, effects, ATT, event study, bands and paths.
+
+An *assignment* says which units are treated and how often a unit counts: 0 is the
+estimate; replicates are placebo (treated drawn from the controls) or bootstrap (units
+drawn with replacement).  Draws are md5 hashes of (seed, replicate, unit), so SQL can make
+the same; equal assignments are solved once and shared by their replicates.  ``experiment``
+is a key: many panels are estimated in one pass.  Treatment must start in one period for
+all treated units of an experiment (checked).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.weights import sdid_fit
+from ..functions.weights import centred, fw_gram, pg_gram
+from ..session import cut_lineage
 
-MAX_CELLS = 5_000_000          # unit x period cells solved in one task
-MAX_UNITS = 5_000
-MAX_PERIODS = 5_000
-OUT_SCHEMA = "rep int, kind string, key string, idx int, value double"
+Z95 = 1.959963984540054
+TWO52 = float(2 ** 52)
 # Week bands of the published event-study table.
 EVENT_BANDS = ((1, 4), (5, 12), (13, 24), (25, 36), (37, 48), (49, 60), (61, 65))
+KEY = ["experiment", "aid"]
+WEIGHTS = "experiment string, aid string, kind string, unit string, t int, value double"
+
+
+@dataclass(frozen=True)
+class SdidRuns:
+    """``weights`` (experiment, aid, kind, unit, t, value), ``effects`` (experiment, aid, t,
+    rel_time, period, effect, treated, synthetic, control), ``reps`` (experiment, rep, aid)."""
+
+    weights: DataFrame
+    effects: DataFrame
+    reps: DataFrame
+
+
+def uniform(seed: int, *parts):
+    """U(0, 1) from the first 52 bits of an md5 (the same in SQL)."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO52)
+
+
+def check_panel(base: DataFrame) -> None:
+    """Balanced, one treatment start per experiment, both arms present: else an error."""
+    per = (base.groupBy("experiment").agg(
+        F.count("*").alias("n"), F.countDistinct("unit").alias("u"), F.countDistinct("time").alias("t"),
+        F.countDistinct("unit", "time").alias("cells"), F.min(F.when(F.col("d") > 0, F.col("time"))).alias("start"),
+        F.sum("y").isNull().alias("empty")))
+    starts = (base.where("d > 0").groupBy("experiment", "unit").agg(F.min("time").alias("s"), F.count("*").alias("c"))
+              .groupBy("experiment").agg(F.countDistinct("s").alias("starts"), F.countDistinct("c").alias("lengths"),
+                                         F.count("*").alias("treated")))
+    bad = (per.join(starts, "experiment", "left").withColumn("why", F.expr(
+        "CASE WHEN start IS NULL THEN 'has no treated cell' WHEN n <> cells OR n <> u * t THEN 'is not balanced' "
+        "WHEN starts > 1 OR lengths > 1 THEN 'has treated units that start or end at different times' "
+        "WHEN treated = u THEN 'has no control unit' END")).where("why IS NOT NULL").orderBy("experiment").limit(3).collect())
+    if bad:
+        raise ValueError("; ".join(f"panel {r['experiment']!r} {r['why']}" for r in bad))
+
+
+def _indexed(base: DataFrame) -> DataFrame:
+    """Adds ``t`` (period number from 0), ``t0`` (number of pre-periods) and ``treated``.
+    Periods are ranked within their experiment on the distinct (experiment, period) table."""
+    w = Window.partitionBy("experiment").orderBy("time")
+    times = base.select("experiment", "time").distinct().withColumn("t", F.row_number().over(w) - 1)
+    start = base.where("d > 0").groupBy("experiment").agg(F.min("time").alias("time")).join(times, ["experiment", "time"])
+    arms = base.groupBy("experiment", "unit").agg(F.max(F.when(F.col("d") > 0, 1).otherwise(0)).alias("treated"))
+    return (base.join(times, ["experiment", "time"]).join(start.select("experiment", F.col("t").alias("t0")), "experiment")
+            .join(arms, ["experiment", "unit"]).select("experiment", "unit", "time", "t", "t0", "treated", "y"))
+
+
+def assignments(units: DataFrame, vce: str, reps: int, seed: int) -> DataFrame:
+    """``(experiment, rep, unit, copies, treated)`` from units ``(experiment, unit, treated)``."""
+    out = units.select("experiment", F.lit(0).alias("rep"), "unit", F.lit(1).alias("copies"), "treated")
+    if vce == "none" or reps == 0:
+        return out
+    rep = F.explode(F.sequence(F.lit(1), F.lit(reps)))
+    if vce == "placebo":
+        arms = units.groupBy("experiment").agg(F.sum("treated").alias("n1"), F.count("*").alias("n"))
+        short = arms.where("n - n1 <= n1").limit(1).collect()
+        if short:
+            raise ValueError(f"placebo needs more controls than treated units (panel {short[0]['experiment']!r}): use bootstrap")
+        order = Window.partitionBy("experiment", "rep").orderBy("u", "unit")
+        drawn = (units.where("treated = 0").withColumn("rep", rep).withColumn("u", uniform(seed, F.col("rep"), F.col("unit")))
+                 .join(arms, "experiment").withColumn("r", F.row_number().over(order)))
+        return out.unionByName(drawn.select("experiment", "rep", "unit", F.lit(1).alias("copies"),
+                                            F.when(F.col("r") <= F.col("n1"), 1).otherwise(0).alias("treated")))
+    if vce != "bootstrap":
+        raise ValueError("vce must be 'placebo', 'bootstrap' or 'none'")
+    # n draws with replacement; of several tries the first that holds both arms
+    order = Window.partitionBy("experiment").orderBy("unit")
+    numbered = units.withColumn("i", F.row_number().over(order) - 1)
+    n = units.groupBy("experiment").agg(F.count("*").alias("n"))
+    tries = F.explode(F.sequence(F.lit(0), F.lit(BOOTSTRAP_TRIES - 1)))
+    draws = (n.withColumn("rep", rep).withColumn("try", tries)
+             .withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+             .withColumn("i", F.floor(uniform(seed, F.col("rep"), F.col("try"), F.col("j")) * F.col("n")).cast("int"))
+             .groupBy("experiment", "rep", "try", "i").agg(F.count("*").cast("int").alias("copies"))
+             .join(numbered, ["experiment", "i"]))
+    first = (draws.groupBy("experiment", "rep", "try").agg(F.min("treated").alias("a"), F.max("treated").alias("b"))
+             .where("a <> b").groupBy("experiment", "rep").agg(F.min("try").alias("try")))
+    lost = n.count() * reps - first.count()
+    if lost:
+        raise ValueError(f"{lost} bootstrap replicates never drew both arms in {BOOTSTRAP_TRIES} tries")
+    return out.unionByName(draws.join(first, ["experiment", "rep", "try"]).select("experiment", "rep", "unit", "copies", "treated"))
+
 
+#: tries of a bootstrap replicate to draw both arms; more are an error, not a silent loss
+BOOTSTRAP_TRIES = 64
 
-def _solver(method: str, vce: str, seed: int):
+
+def _solve(method: str, max_iter: int, tol: float | None, num_iter_no_change: int):
+    """Moments of one assignment -> its weights, ridge and convergence."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep = int(pdf["rep"].iloc[0])
-        wide = pdf.pivot(index="_unit", columns="_time", values="_y").sort_index().sort_index(axis=1)
-        d = pdf.pivot(index="_unit", columns="_time", values="_d").reindex_like(wide)
-        units = wide.index.to_numpy()
-        times = [str(t) for t in wide.columns]
-        Y = wide.to_numpy(dtype=float)
-        treated = d.max(axis=1).to_numpy() > 0
-        post_cols = d.max(axis=0).to_numpy() > 0
-        T0 = int(np.argmax(post_cols)) if post_cols.any() else Y.shape[1]
+        exp, aid = pdf["experiment"].iloc[0], pdf["aid"].iloc[0]
+        info = pdf[pdf["kind"] == "info"].iloc[0]
+        n0, n1, T0, T1, noise = (float(info[c]) for c in ("v1", "v2", "v3", "v4", "v5"))
+        units = pdf[pdf["kind"] == "unit"].sort_values("a")  # controls: name, copies, pre-period sum
+        gram = pdf[pdf["kind"] == "gram"]
+        names = units["a"].to_numpy()
+        at = {u: i for i, u in enumerate(names)}
+        G = np.zeros((len(names), len(names)))
+        G[[at[a] for a in gram["a"]], [at[b] for b in gram["b"]]] = gram["v1"]
+        to = pdf[pdf["kind"] == "target"].set_index("a")["v1"].reindex(names).to_numpy(dtype=float)  # with the treated mean
+        copies = units["v1"].to_numpy(dtype=int)
+        each = np.repeat(np.arange(len(names)), copies)
+        zeta = (n1 * T1) ** 0.25 * noise
+        least = tol if tol is not None else 1e-5 * max(noise, 1e-12)
         rows = []
-        if rep == 0:
-            fit = sdid_fit(Y, treated, T0, method)
-            rows.append((rep, "att", None, None, fit["att"]))
-            rows.append((rep, "zeta", None, None, fit["zeta"]))
-            for u, w in zip(units[~treated], fit["omega"]):
-                rows.append((rep, "omega", str(u), None, float(w)))
-            for k, lam in enumerate(fit["lambda"]):
-                rows.append((rep, "lambda", times[k], k + 1, float(lam)))
-            for k, t in enumerate(times):
-                rows.append((rep, "effect", t, k + 1 - T0, float(fit["effects"][k])))
-                rows.append((rep, "path_treated", t, k + 1 - T0, float(fit["treated_mean"][k])))
-                rows.append((rep, "path_synthetic", t, k + 1 - T0, float(fit["synthetic"][k])))
-                rows.append((rep, "path_control", t, k + 1 - T0, float(fit["control_mean"][k])))
+        if method == "sc":
+            fit = pg_gram(G[np.ix_(each, each)] / T0, to[each] / T0, max(max_iter, 20_000))
+            zeta = 0.0
         else:
-            rng = np.random.default_rng([seed, rep])
-            if vce == "placebo":
-                co = np.flatnonzero(~treated)
-                n1 = int(treated.sum())
-                if len(co) <= n1:
-                    return pd.DataFrame([], columns=["rep", "kind", "key", "idx", "value"])
-                pick = rng.permutation(co)
-                fake = np.zeros(len(co), dtype=bool)
-                fake[np.isin(co, pick[:n1])] = True
-                fit = sdid_fit(Y[co], fake, T0, method)
-            else:
-                n = Y.shape[0]
-                while True:
-                    idx = rng.integers(0, n, n)
-                    tr = treated[idx]
-                    if tr.any() and (~tr).any():
-                        break
-                fit = sdid_fit(Y[idx], tr, T0, method)
-            rows.append((rep, "att", None, None, fit["att"]))
-            for k, t in enumerate(times):
-                rows.append((rep, "effect", t, k + 1 - T0, float(fit["effects"][k])))
-        return pd.DataFrame(rows, columns=["rep", "kind", "key", "idx", "value"])
+            mean = units["v2"].to_numpy(dtype=float) / T0
+            Q = centred(G, mean, T0)[np.ix_(each, each)] + zeta ** 2 * np.eye(len(each))
+            c = (to / T0 - mean * float(info["v6"]) / T0)[each]
+            fit = fw_gram(Q, c, max_iter, least, num_iter_no_change)
+        omega = np.bincount(each, fit.weights, len(names))
+        rows += [("omega", u, None, w) for u, w in zip(names, omega)]
+        rows += [("zeta", None, None, zeta), ("omega_converged", None, None, float(fit.converged)),
+                 ("omega_iterations", None, None, float(fit.iterations))]
+        if method == "sdid":
+            m = pdf[pdf["kind"] == "time"]
+            k = int(T0)
+            M = np.zeros((k + 1, k + 1))  # the last row and column: the post-period mean
+            i, j = m["t"].to_numpy(dtype=int), m["s"].to_numpy(dtype=int)
+            M[i, j] = M[j, i] = m["v1"]
+            s = pdf[pdf["kind"] == "timesum"]
+            mean = np.zeros(k + 1)
+            mean[s["t"].to_numpy(dtype=int)] = s["v1"] / n0
+            C = centred(M, mean, n0)
+            fit = fw_gram(C[:k, :k] + (1e-6 * noise) ** 2 * np.eye(k), C[:k, k], max_iter, least, num_iter_no_change)
+            rows += [("lambda", None, t, w) for t, w in enumerate(fit.weights)]
+            rows += [("lambda_converged", None, None, float(fit.converged)), ("lambda_iterations", None, None, float(fit.iterations))]
+        return pd.DataFrame([(exp, aid, kind, u, t, float(v)) for kind, u, t, v in rows],
+                            columns=["experiment", "aid", "kind", "unit", "t", "value"]).astype({"t": "Int32"})
     return run
 
 
-def check_panel(panel: DataFrame, unit: str, time: str) -> dict:
-    r = panel.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(unit).alias("u"),
-                  F.countDistinct(time).alias("t"), F.countDistinct(unit, time).alias("cells")).first()
-    if r["u"] * r["t"] > MAX_CELLS or r["u"] > MAX_UNITS or r["t"] > MAX_PERIODS:
-        raise ValueError(f"panel of {r['u']} units x {r['t']} periods exceeds the per-experiment "
-                         f"bounds ({MAX_UNITS} units, {MAX_PERIODS} periods, {MAX_CELLS} cells)")
-    if not (r["n"] == r["cells"] == r["u"] * r["t"]):
-        raise ValueError("panel is not balanced: run panel_check and fill or drop gaps first")
-    return r.asDict()
+def _moments(cells: DataFrame, assigned: DataFrame, method: str) -> DataFrame:
+    """Long table of the moments that each assignment's solver needs."""
+    key = ["experiment", "aid"]
+    pre = cells.where("t < t0")
+    control, treated = assigned.where("treated = 0"), assigned.where("treated = 1")
+    # pairs of units, once per experiment
+    a = pre.select("experiment", "t", F.col("unit").alias("a"), F.col("y").alias("ya"))
+    b = pre.select("experiment", "t", F.col("unit").alias("b"), F.col("y").alias("yb"))
+    pairs = cut_lineage(a.join(b, ["experiment", "t"]).groupBy("experiment", "a", "b").agg(F.sum(F.col("ya") * F.col("yb")).alias("v")))
+    sums = pre.groupBy("experiment", "unit").agg(F.sum("y").alias("s"))
+    step = Window.partitionBy("experiment", "unit").orderBy("t")
+    steps = (pre.withColumn("e", F.col("y") - F.lag("y").over(step)).groupBy("experiment", "unit")
+             .agg(F.sum("e").alias("e1"), F.sum(F.col("e") * F.col("e")).alias("e2"), F.count("e").alias("m")))
+    length = cells.groupBy("experiment").agg(F.max("t0").alias("T0"), (F.max("t") + 1 - F.max("t0")).alias("T1"))
+    noise = (control.join(steps, ["experiment", "unit"]).groupBy(*key).agg(
+        F.sum(F.col("copies") * F.col("e1")).alias("e1"), F.sum(F.col("copies") * F.col("e2")).alias("e2"), F.sum(F.col("copies") * F.col("m")).alias("m"),
+        F.sum("copies").alias("n0"))
+        .withColumn("noise", F.when(F.col("m") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("e2") - F.col("e1") * F.col("e1") / F.col("m")) / (F.col("m") - 1))).otherwise(0.0)))
+    n1 = treated.groupBy(*key).agg(F.sum("copies").alias("n1"))
+    level = (treated.join(sums, ["experiment", "unit"]).join(n1, key)
+             .groupBy(*key).agg(F.sum(F.col("copies") * F.col("s") / F.col("n1")).alias("level")))  # pre-period sum of the treated mean
+    nul, nui = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def rows(df, kind, a=nul, b=nul, t=nui, s=nui, values=()):
+        v = [F.col(x).cast("double") if isinstance(x, str) else x for x in values] + [F.lit(None).cast("double")] * (6 - len(values))
+        return df.select(*key, F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), t.cast("int").alias("t"), s.cast("int").alias("s"),
+                         *[x.alias(f"v{i + 1}") for i, x in enumerate(v)])
 
+    info = noise.join(n1, key).join(length, "experiment").join(level, key)
+    own = control.select(*key, F.col("unit").alias("a"))
+    out = rows(info, "info", values=("n0", "n1", "T0", "T1", "noise", "level"))
+    out = out.union(rows(control.join(sums, ["experiment", "unit"]), "unit", a=F.col("unit"), values=("copies", "s")))
+    out = out.union(rows(own.join(pairs, ["experiment", "a"]).join(control.select(*key, F.col("unit").alias("b")), [*key, "b"]),
+                         "gram", a=F.col("a"), b=F.col("b"), values=("v",)))
+    target = (own.join(pairs, ["experiment", "a"]).join(treated.select(*key, F.col("unit").alias("b"), "copies"), [*key, "b"])
+              .join(n1, key).groupBy(*key, "a").agg(F.sum(F.col("copies") * F.col("v") / F.col("n1")).alias("v")))
+    out = out.union(rows(target, "target", a=F.col("a"), values=("v",)))
+    if method == "sdid":
+        # pre-periods and, as period t0, the unit's post-period mean
+        wide = pre.select("experiment", "unit", "t", "y").unionByName(
+            cells.where("t >= t0").groupBy("experiment", "unit").agg(F.first("t0").alias("t"), F.avg("y").alias("y")))
+        s = wide.select("experiment", "unit", F.col("t").alias("s"), F.col("y").alias("ys"))
+        use = control.select(*key, "unit", "copies")
+        product = (wide.join(s, ["experiment", "unit"]).where("t <= s").join(use, ["experiment", "unit"])
+                   .groupBy(*key, "t", "s").agg(F.sum(F.col("copies") * F.col("y") * F.col("ys")).alias("v")))
+        out = out.union(rows(product, "time", t=F.col("t"), s=F.col("s"), values=("v",)))
+        total = wide.join(use, ["experiment", "unit"]).groupBy(*key, "t").agg(F.sum(F.col("copies") * F.col("y")).alias("v"))
+        out = out.union(rows(total, "timesum", t=F.col("t"), values=("v",)))
+    return out
 
-def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
-              method: str = "sdid", vce: str = "placebo", reps: int = 100, seed: int = 123,
-              covariates: Sequence[str] = ()) -> DataFrame:
-    """Long solver output for the estimate (rep 0) and ``reps`` replicates.
 
-    ``covariates`` (C13, "projected"): the outcome is first residualised on the
-    covariates within the untreated cells; time-only covariates leave it unchanged.
+def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str, method: str = "sdid",
+              vce: str = "none", reps: int = 100, seed: int = 123, covariates: Sequence[str] = (),
+              experiment: str | None = None, max_iter: int = 10_000, tol: float | None = None,
+              num_iter_no_change: int = 1) -> SdidRuns:
+    """Weights and per-period effects of the estimate (``rep`` 0) and its replicates.
+
+    ``method``: ``sdid`` (unit and time weights, ridge), ``sc`` (unit weights, no intercept,
+    no ridge, no time weights) or ``did`` (uniform weights).  ``covariates`` (C13,
+    "projected"): the outcome is first residualised on them within untreated cells.
+    Replicates are made only if ``vce`` asks for them.
     """
-    check_panel(panel, unit, time)
-    base = panel.select(F.col(unit).cast("string").alias("_unit"), F.col(time).alias("_time"),
-                        F.col(outcome).cast("double").alias("_y"), F.col(treat).cast("double").alias("_d"),
-                        *covariates)
+    if method not in ("sdid", "sc", "did"):
+        raise ValueError("method must be 'sdid', 'sc' or 'did'")
+    base = panel.select((F.col(experiment).cast("string") if experiment else F.lit("all")).alias("experiment"),
+                        F.col(unit).cast("string").alias("unit"), F.col(time).alias("time"),
+                        F.col(outcome).cast("double").alias("y"), F.col(treat).cast("double").alias("d"),
+                        *[F.col(c).cast("double").alias(c) for c in covariates])
+    base = cut_lineage(base)  # the panel is small; the facts are read once
+    check_panel(base)
     if covariates:
         base = project_covariates(base, covariates)
-    base = base.select("_unit", "_time", "_y", "_d")
-    rep_col = F.explode(F.sequence(F.lit(0), F.lit(reps)))
-    return base.withColumn("rep", rep_col).groupBy("rep").applyInPandas(
-        _solver(method, vce, seed), OUT_SCHEMA)
+    cells = cut_lineage(_indexed(base))
+    units = cells.select("experiment", "unit", "treated").distinct()
+    drawn = assignments(units, vce, reps, seed)
+    # equal assignments share an id
+    signature = F.md5(F.concat_ws(";", F.sort_array(F.collect_list(F.concat_ws(":", "unit", "copies", "treated")))))
+    reps_ = cut_lineage(drawn.groupBy("experiment", "rep").agg(signature.alias("aid")))
+    once = reps_.groupBy("experiment", "aid").agg(F.min("rep").alias("rep"))
+    assigned = cut_lineage(drawn.join(once, ["experiment", "rep"]).select("experiment", "aid", "unit", "copies", "treated"))
+    if method == "did":
+        n0 = Window.partitionBy(*KEY)
+        omega = assigned.where("treated = 0").select(*KEY, F.lit("omega").alias("kind"), "unit", F.lit(None).cast("int").alias("t"),
+                                                     (F.col("copies") / F.sum("copies").over(n0)).cast("double").alias("value"))
+        pre = cells.where("t < t0").select("experiment", "t", "t0").distinct()
+        lam = once.join(pre, "experiment").select(*KEY, F.lit("lambda").alias("kind"), F.lit(None).cast("string").alias("unit"),
+                                                  F.col("t").cast("int").alias("t"), (F.lit(1.0) / F.col("t0")).alias("value"))
+        weights = omega.unionByName(lam)
+    else:
+        weights = _moments(cells, assigned, method).groupBy(*KEY).applyInPandas(
+            _solve(method, max_iter, tol, num_iter_no_change), WEIGHTS)
+    weights = cut_lineage(weights)
+    return SdidRuns(weights, cut_lineage(_effects(cells, assigned, weights, method)), reps_)
+
+
+def _effects(cells: DataFrame, assigned: DataFrame, weights: DataFrame, method: str) -> DataFrame:
+    """Per-period gap of the treated mean to the synthetic control, less its weighted
+    pre-period level: joins of weights with the panel and aggregates."""
+    omega = weights.where("kind = 'omega'").select(*KEY, "unit", F.col("value").alias("omega"))
+    coef = (assigned.join(omega, [*KEY, "unit"], "left").join(
+        assigned.groupBy(*KEY).agg(F.sum(F.col("copies") * F.col("treated")).alias("n1"),
+                                   F.sum(F.col("copies") * (1 - F.col("treated"))).alias("n0")), KEY)
+        .select(*KEY, "unit", F.when(F.col("treated") == 1, F.col("copies") / F.col("n1")).otherwise(0.0).alias("w1"),
+                F.coalesce("omega", F.lit(0.0)).alias("w0"),
+                F.when(F.col("treated") == 0, F.col("copies") / F.col("n0")).otherwise(0.0).alias("wc")))
+    paths = (cells.join(coef, ["experiment", "unit"]).groupBy(*KEY, "t", "t0", "time").agg(
+        F.sum(F.col("w1") * F.col("y")).alias("treated"), F.sum(F.col("w0") * F.col("y")).alias("synthetic"),
+        F.sum(F.col("wc") * F.col("y")).alias("control")))
+    paths = paths.withColumn("gap", F.col("treated") - F.col("synthetic"))
+    if method == "sc":
+        paths = paths.withColumn("effect", F.col("gap"))
+    else:
+        lam = weights.where("kind = 'lambda'").select(*KEY, "t", F.col("value").alias("lam"))
+        level = paths.join(lam, [*KEY, "t"]).groupBy(*KEY).agg(F.sum(F.col("lam") * F.col("gap")).alias("level"))
+        paths = paths.join(level, KEY).withColumn("effect", F.col("gap") - F.col("level"))
+    return paths.select(*KEY, "t", (F.col("t") + 1 - F.col("t0")).cast("int").alias("rel_time"), F.col("time").cast("string").alias("period"),
+                        "effect", "treated", "synthetic", "control")
 
 
 def project_covariates(base: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """Regress y on covariates + unit and time effects among untreated cells and
-    subtract the covariate part (k x k Gram, k = number of covariates)."""
-    from .did import two_way_demean
-    # Covariates constant within every period are absorbed by the time effects:
-    # one aggregate finds them and they are dropped before any regression.
-    spread = base.groupBy("_time").agg(*[(F.max(c) - F.min(c)).alias(c) for c in covariates]).agg(
-        *[F.max(F.abs(c)).alias(c) for c in covariates]).first()
-    covariates = [c for c in covariates if (spread[c] or 0) > 0]
+    """Regress y on covariates + unit and time effects among untreated cells and subtract
+    the covariate part (k x k Gram, k = number of covariates).  Covariates that the effects
+    absorb (no variation left, relative to their own) drop out."""
+    from .did import absorbed, gram_of, two_way_demean, varying_covariates
+    covariates = varying_covariates(base, "time", covariates)
     if not covariates:
         return base
-    untreated = base.where(F.col("_d") == 0)
-    dm = two_way_demean(untreated.select("_unit", "_time", "_y", *covariates), "_unit", "_time",
-                        ["_y", *covariates])
-    xs = list(covariates)
-    sums = dm.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(xs)
-                    for j, b in enumerate(xs)],
-                  *[F.sum(F.col(a) * F.col("_y")).alias(f"{i}_y") for i, a in enumerate(xs)]).first()
-    k = len(xs)
-    xtx = np.array([[sums[f"{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    xty = np.array([sums[f"{i}_y"] or 0.0 for i in range(k)])
-    keep = [i for i in range(k) if xtx[i, i] > 1e-9]
+    cols = ["y", *covariates]
+    # units and periods of different experiments have effects of their own
+    untreated = base.where("d = 0").select(F.concat_ws("|", "experiment", "unit").alias("u"),
+                                           F.concat_ws("|", "experiment", F.col("time").cast("string")).alias("p"), *cols)
+    dm = two_way_demean(untreated, "u", "p", cols)
+    xtx, xty = gram_of(dm, covariates, "y")
+    keep = absorbed(untreated, covariates, xtx)
     if not keep:
         return base
-    beta = np.linalg.lstsq(xtx[np.ix_(keep, keep)], xty[keep], rcond=None)[0]
-    adj = F.col("_y")
+    scale = 1 / np.sqrt(np.diag(xtx)[keep])
+    beta = np.linalg.lstsq(xtx[np.ix_(keep, keep)] * np.outer(scale, scale), xty[keep] * scale, rcond=None)[0] * scale
+    adj = F.col("y")
     for b, i in zip(beta, keep):
-        adj = adj - F.lit(float(b)) * F.col(xs[i]).cast("double")
-    return base.withColumn("_y", adj)
+        adj = adj - F.lit(float(b)) * F.col(covariates[i])
+    return base.withColumn("y", adj)
+
+
+# ---- summaries ------------------------------------------------------------------------
+
+def _by_rep(runs: SdidRuns) -> DataFrame:
+    return runs.reps.join(runs.effects, KEY)
 
 
-def summarize_att(runs: DataFrame, label: str, vce: str) -> DataFrame:
-    """ATT (rep 0), replicate SE = population sd of replicate ATTs, t, CI, percent effect."""
-    att = runs.where(F.col("kind") == "att")
-    agg = att.agg(F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("att"),
-                  F.stddev_pop(F.when(F.col("rep") > 0, F.col("value"))).alias("se"),
-                  F.count(F.when(F.col("rep") > 0, 1)).alias("n_reps"))
-    return agg.select(
-        F.lit(label).alias("spec"), F.lit(vce).alias("vce"), "att", "se",
-        (F.col("att") / F.col("se")).alias("t_stat"),
-        (F.col("att") - F.lit(1.959963984540054) * F.col("se")).alias("ci_lower"),
-        (F.col("att") + F.lit(1.959963984540054) * F.col("se")).alias("ci_upper"),
-        (F.expm1("att") * 100.0).alias("pct_effect"), F.col("n_reps").cast("long").alias("n_reps"))
+def _estimate(runs: SdidRuns) -> DataFrame:
+    return runs.reps.where("rep = 0").select(*KEY).join(runs.effects, KEY)
 
 
-def event_study(runs: DataFrame) -> DataFrame:
+def summarize_att(runs: SdidRuns, label: str, vce: str = "none") -> DataFrame:
+    """ATT (mean post-period effect), SE = population sd of replicate ATTs, t, CI, percent."""
+    att = _by_rep(runs).where("rel_time >= 1").groupBy("experiment", "rep").agg(F.avg("effect").alias("value"))
+    agg = att.groupBy("experiment").agg(F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("att"),
+                                        F.stddev_pop(F.when(F.col("rep") > 0, F.col("value"))).alias("se"),
+                                        F.count(F.when(F.col("rep") > 0, 1)).alias("n_reps"))
+    return agg.select("experiment", F.lit(label).alias("spec"), F.lit(vce).alias("vce"), "att", "se",
+                      F.try_divide("att", "se").alias("t_stat"),
+                      (F.col("att") - F.lit(Z95) * F.col("se")).alias("ci_lower"), (F.col("att") + F.lit(Z95) * F.col("se")).alias("ci_upper"),
+                      (F.expm1("att") * 100.0).alias("pct_effect"), F.col("n_reps").cast("long").alias("n_reps"))
+
+
+def event_study(runs: SdidRuns) -> DataFrame:
     """Per relative period effect (leads <= 0, lags >= 1), replicate SE and CI."""
-    eff = runs.where(F.col("kind") == "effect")
-    est = eff.where(F.col("rep") == 0).select(F.col("idx").alias("rel_time"), F.col("key").alias("period"),
-                                              F.col("value").alias("estimate"))
-    se = eff.where(F.col("rep") > 0).groupBy(F.col("idx").alias("rel_time")).agg(
-        F.stddev_pop("value").alias("se"))
-    j = est.join(se, "rel_time", "left")
-    return j.withColumns({"ci_lower": F.col("estimate") - F.lit(1.959963984540054) * F.col("se"),
-                          "ci_upper": F.col("estimate") + F.lit(1.959963984540054) * F.col("se")})
+    each = _by_rep(runs)
+    est = each.where("rep = 0").select("experiment", "rel_time", "period", F.col("effect").alias("estimate"))
+    se = each.where("rep > 0").groupBy("experiment", "rel_time").agg(F.stddev_pop("effect").alias("se"))
+    return est.join(se, ["experiment", "rel_time"], "left").withColumns({
+        "ci_lower": F.col("estimate") - F.lit(Z95) * F.col("se"), "ci_upper": F.col("estimate") + F.lit(Z95) * F.col("se")})
 
 
 def effect_bands(es: DataFrame, bands=EVENT_BANDS) -> DataFrame:
     """Plain mean of the post-period effects within week bands, and overall."""
     band = None
     for lo, hi in bands:
-        cond = (F.col("rel_time") >= lo) & (F.col("rel_time") <= hi)
-        lab = F.lit(f"{lo}-{hi}")
-        band = F.when(cond, lab) if band is None else band.when(cond, lab)
-    post = es.where(F.col("rel_time") >= 1)
-    by_band = post.withColumn("band", band).where(F.col("band").isNotNull()).groupBy("band").agg(
-        F.avg("estimate").alias("estimate"), F.count(F.lit(1)).alias("n_periods"))
-    overall = post.agg(F.lit("overall").alias("band"), F.avg("estimate").alias("estimate"),
-                       F.count(F.lit(1)).alias("n_periods"))
-    return by_band.unionByName(overall)
-
-
-def unit_weights(runs: DataFrame) -> DataFrame:
+        cond = F.col("rel_time").between(lo, hi)
+        band = F.when(cond, F.lit(f"{lo}-{hi}")) if band is None else band.when(cond, F.lit(f"{lo}-{hi}"))
+    post = es.where("rel_time >= 1").withColumn("band", F.explode(F.array(F.lit("overall"), band))).where("band IS NOT NULL")
+    return post.groupBy("experiment", "band").agg(F.avg("estimate").alias("estimate"), F.count(F.lit(1)).alias("n_periods"))
+
+
+def _weights(runs: SdidRuns, kind: str) -> DataFrame:
+    return runs.reps.where("rep = 0").select(*KEY).join(runs.weights.where(F.col("kind") == kind), KEY)
+
+
+def unit_weights(runs: SdidRuns) -> DataFrame:
     """Control-unit weights of the estimate."""
-    return runs.where((F.col("rep") == 0) & (F.col("kind") == "omega")).select(
-        F.col("key").alias("unit"), F.col("value").alias("omega"))
+    return _weights(runs, "omega").select("experiment", "unit", F.col("value").alias("omega"))
 
 
-def time_weights(runs: DataFrame) -> DataFrame:
+def time_weights(runs: SdidRuns) -> DataFrame:
     """Pre-period weights of the estimate."""
-    return runs.where((F.col("rep") == 0) & (F.col("kind") == "lambda")).select(
-        F.col("key").alias("period"), F.col("idx").alias("period_index"), F.col("value").alias("lambda"))
+    periods = runs.effects.select(*KEY, "t", "period")
+    return (_weights(runs, "lambda").select(*KEY, "t", F.col("value").alias("lambda")).join(periods, [*KEY, "t"])
+            .select("experiment", "period", (F.col("t") + 1).cast("int").alias("period_index"), "lambda"))
+
+
+def convergence(runs: SdidRuns) -> DataFrame:
+    """Ridge, convergence and iterations of every assignment's solvers."""
+    kinds = ["zeta", "omega_converged", "omega_iterations", "lambda_converged", "lambda_iterations"]
+    return runs.weights.where(F.col("kind").isin(kinds)).groupBy(*KEY).pivot("kind", kinds).agg(F.first("value"))
 
 
-def synthetic_path(runs: DataFrame) -> DataFrame:
+def synthetic_path(runs: SdidRuns) -> DataFrame:
     """Treated mean, synthetic control and plain control mean per period."""
-    p = runs.where((F.col("rep") == 0) & F.col("kind").startswith("path_"))
-    return p.groupBy(F.col("key").alias("period"), F.col("idx").alias("rel_time")).agg(
-        *[F.max(F.when(F.col("kind") == f"path_{k}", F.col("value"))).alias(k)
-          for k in ("treated", "synthetic", "control")])
+    return _estimate(runs).select("experiment", "period", "rel_time", "treated", "synthetic", "control")

@@ -1,9 +1,10 @@
 """Properties of the estimators (SURVEY §5 (b)) on inline panels."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from forumshift.functions.weights import fw_simplex, sdid_fit
+from forumshift.functions.weights import fw_gram, pg_gram
 from forumshift.operators import sdid as SD
 
 
@@ -18,49 +19,135 @@ def _additive_panel(n_units=6, n_times=30, t0=20, effect=-0.5, seed=3):
     return Y, treated, t0
 
 
-def test_weights_on_simplex():
-    rng = np.random.default_rng(0)
-    A = rng.normal(size=(40, 7))
-    b = rng.normal(size=40)
-    w = fw_simplex(A, b, 0.1)
-    assert np.all(w >= -1e-12) and abs(w.sum() - 1) < 1e-9
+def _panel(spark, Y, tr, t0, experiment="all"):
+    rows = [(experiment, f"u{i}", t, float(Y[i, t]), 1.0 if (tr[i] and t >= t0) else 0.0)
+            for i in range(Y.shape[0]) for t in range(Y.shape[1])]
+    return spark.createDataFrame(rows, "e string, unit string, t int, y double, d double")
 
 
-def test_additive_panel_recovers_effect_for_all_methods():
-    Y, tr, t0 = _additive_panel()
-    for method in ("sdid", "did"):
-        fit = sdid_fit(Y, tr, t0, method)
-        assert abs(fit["att"] + 0.5) < 1e-9, method
-        # mean of the post-period event effects equals the ATT
-        assert abs(fit["effects"][t0:].mean() - fit["att"]) < 1e-12
+def _simplex_optimum(Q, c, w):
+    """First-order conditions over the simplex: no vertex has a smaller gradient."""
+    g = 2 * (Q @ w - c)
+    return g.min() >= g @ w - 1e-5
 
 
-def test_synthetic_control_recovers_mixture():
+def test_solvers_reach_the_optimum_and_say_so():
+    rng = np.random.default_rng(0)
+    A = rng.normal(size=(40, 7))
+    b = rng.normal(size=40)
+    Q, c = A.T @ A / 40 + 0.1 * np.eye(7), A.T @ b / 40
+    for fit in (fw_gram(Q, c), pg_gram(Q, c)):
+        assert fit.converged and np.all(fit.weights >= -1e-12) and abs(fit.weights.sum() - 1) < 1e-9
+        assert _simplex_optimum(Q, c, fit.weights)
+    assert not fw_gram(Q, c, max_iter=1, min_decrease=0.0).converged
+
+
+def test_additive_panels_recover_their_effects_in_one_pass(spark):
+    panels, want = None, {}
+    for k, effect in enumerate((-0.5, 0.25)):
+        Y, tr, t0 = _additive_panel(effect=effect, seed=3 + k, n_units=6 + k)
+        p = _panel(spark, Y, tr, t0, f"e{k}")
+        panels = p if panels is None else panels.unionByName(p)
+        want[f"e{k}"] = effect
+    for method in ("sdid", "did"):
+        runs = SD.sdid_runs(panels, "unit", "t", "y", "d", method=method, reps=10, vce="placebo", experiment="e")
+        att = {r.experiment: r for r in SD.summarize_att(runs, method, "placebo").collect()}
+        assert set(att) == set(want)
+        assert all(abs(att[e].att - want[e]) < 1e-9 and att[e].n_reps == 10 for e in want)
+        w = SD.unit_weights(runs).groupBy("experiment").agg(F.sum("omega").alias("s"), F.min("omega").alias("m")).collect()
+        assert all(abs(r.s - 1) < 1e-9 and r.m >= 0 for r in w)
+        lam = SD.time_weights(runs).groupBy("experiment").agg(F.sum("lambda").alias("s")).collect()
+        assert all(abs(r.s - 1) < 1e-9 for r in lam)
+        bands = {(r.experiment, r.band): r.estimate for r in SD.effect_bands(SD.event_study(runs)).collect()}
+        assert all(abs(bands[e, "overall"] - want[e]) < 1e-9 for e in want)
+
+
+def test_synthetic_control_recovers_mixture(spark):
     rng = np.random.default_rng(5)
     T, t0 = 40, 30
     controls = rng.normal(size=(4, T)).cumsum(axis=1)
     treated = 0.5 * controls[0] + 0.5 * controls[1]
     treated[t0:] -= 0.5
-    Y = np.vstack([treated, controls])
-    fit = sdid_fit(Y, np.array([True, False, False, False, False]), t0, "sc")
-    assert abs(fit["att"] + 0.5) < 1e-3
-    assert abs(fit["omega"][0] - 0.5) < 1e-2 and abs(fit["omega"][1] - 0.5) < 1e-2
+    runs = SD.sdid_runs(_panel(spark, np.vstack([treated, controls]), [True] + [False] * 4, t0), "unit", "t", "y", "d", method="sc")
+    assert abs(SD.summarize_att(runs, "sc").first().att + 0.5) < 1e-3
+    w = {r.unit: r.omega for r in SD.unit_weights(runs).collect()}
+    assert abs(w["u1"] - 0.5) < 1e-2 and abs(w["u2"] - 0.5) < 1e-2
+
+
+def test_sdid_matches_dense_matrices(spark):
+    """Weights against the textbook problem solved on whole matrices; bootstrap copies too."""
+    rng = np.random.default_rng(9)
+    Y = rng.normal(size=(7, 24)).cumsum(axis=1)
+    tr, t0 = np.array([True, True] + [False] * 5), 16
+    runs = SD.sdid_runs(_panel(spark, Y, tr, t0), "unit", "t", "y", "d", vce="bootstrap", reps=8)
+    drawn = {}
+    for r in SD.assignments(spark.createDataFrame([("all", f"u{i}", int(tr[i])) for i in range(7)], "experiment string, unit string, treated int"),
+                            "bootstrap", 8, 123).collect():
+        drawn.setdefault(r.rep, []).extend([int(r.unit[1:])] * r.copies)
+    weights = {}
+    for r in runs.reps.join(runs.weights, ["experiment", "aid"]).collect():
+        weights.setdefault((r.rep, r.kind), {})[r.unit or r.t] = r.value
+    effects = {}
+    for r in runs.reps.join(runs.effects, ["experiment", "aid"]).collect():
+        effects.setdefault(r.rep, {})[r.t] = r.effect
+    assert len(drawn) == 9
+    for rep, idx in drawn.items():
+        co, ta = [i for i in idx if not tr[i]], [i for i in idx if tr[i]]
+        A, b = Y[co][:, :t0].T, Y[ta].mean(axis=0)
+        noise = np.diff(Y[co][:, :t0], axis=1).std(ddof=1)
+        zeta = (len(ta) * 8) ** 0.25 * noise
+        assert abs(weights[rep, "zeta"][None] - zeta) < 1e-9
+        Ac, bc = A - A.mean(0), b[:t0] - b[:t0].mean()
+        w = fw_gram(Ac.T @ Ac / t0 + zeta ** 2 * np.eye(len(co)), Ac.T @ bc / t0, min_decrease=1e-5 * noise).weights
+        for u in set(co):
+            assert abs(sum(x for x, i in zip(w, co) if i == u) - weights[rep, "omega"][f"u{u}"]) < 1e-4
+        om = np.array([weights[rep, "omega"][f"u{i}"] / co.count(i) for i in co])
+        lam = np.array([weights[rep, "lambda"][t] for t in range(t0)])
+        gap = b - om @ Y[co]
+        want = gap - lam @ gap[:t0]
+        assert np.allclose([effects[rep][t] for t in range(24)], want, atol=1e-9)
+
+
+def test_bad_designs_are_errors(spark):
+    Y, _, t0 = _additive_panel()
+    three = _panel(spark, Y, [True] * 3 + [False] * 3, t0)
+    with pytest.raises(ValueError, match="bootstrap"):
+        SD.sdid_runs(three, "unit", "t", "y", "d", vce="placebo", reps=5)
+    staggered = three.withColumn("d", F.when((F.col("unit") == "u1") & (F.col("t") < t0 + 2), 0.0).otherwise(F.col("d")))
+    with pytest.raises(ValueError, match="different times"):
+        SD.sdid_runs(staggered, "unit", "t", "y", "d")
+    with pytest.raises(ValueError, match="balanced"):
+        SD.sdid_runs(three.where("not (unit = 'u4' and t = 3)"), "unit", "t", "y", "d")
+
+
+def test_covariate_unit_of_measure_does_not_matter(spark):
+    from forumshift.operators import did as D
+    rng = np.random.default_rng(2)
+    rows = []
+    for u in range(8):
+        for t in range(20):
+            d, x = float(u < 3 and t >= 12), rng.normal()
+            rows.append((u, t, 0.4 * d + 3 * x + 0.1 * u + rng.normal(scale=0.01), d, x, 1e-7 * x, float(t)))
+    df = spark.createDataFrame(rows, "u int, t int, y double, d double, x double, small double, trend double")
+    a, b, c = (D.twfe_did(df, "u", "t", "y", "d", covariates=v).first().att for v in (["x"], ["small"], ["x", "small", "trend"]))
+    assert abs(a - 0.4) < 0.02 and abs(a - b) < 1e-6 and abs(a - c) < 1e-6
 
 
-def test_spark_sdid_runs_on_additive_panel(spark):
-    Y, tr, t0 = _additive_panel()
-    rows = [(f"u{i}", t, float(Y[i, t]), 1.0 if (tr[i] and t >= t0) else 0.0)
-            for i in range(Y.shape[0]) for t in range(Y.shape[1])]
-    panel = spark.createDataFrame(rows, "unit string, t int, y double, d double")
-    runs = SD.sdid_runs(panel, "unit", "t", "y", "d", reps=20, vce="placebo")
-    att = SD.summarize_att(runs, "sdid", "placebo").first()
-    assert abs(att.att + 0.5) < 1e-9 and att.n_reps == 20
-    w = SD.unit_weights(runs).agg(F.sum("omega"), F.min("omega")).first()
-    assert abs(w[0] - 1) < 1e-9 and w[1] >= 0
-    lam = SD.time_weights(runs).agg(F.sum("lambda")).first()[0]
-    assert abs(lam - 1) < 1e-9
-    bands = {r.band: r.estimate for r in SD.effect_bands(SD.event_study(runs)).collect()}
-    assert abs(bands["overall"] + 0.5) < 1e-9
+def test_unlisted_values_and_gaps(spark):
+    from forumshift.operators import panel as P
+    df = spark.createDataFrame([("a", 1, 2), ("zz", 2, 3)], "forum string, wk int, n int")
+    got = {(r.forum, r.wk): r.n for r in P.complete_counts(df, "forum", "wk", "n").collect()}
+    assert got == {("a", 1): 2, ("a", 2): 0, ("zz", 1): 0, ("zz", 2): 3}
+    with pytest.raises(ValueError, match="zz"):
+        P.pivot_wide(df, "wk", "forum", ["n"], ["a"])
+
+
+def test_demeaning_that_does_not_converge_is_an_error(spark):
+    from forumshift.operators import did as D
+    rows = [(i, t, float(i * t % 7)) for i in range(6) for t in (i, i + 1)]
+    df = spark.createDataFrame(rows, "u int, t int, y double")
+    with pytest.raises(ValueError, match="converge"):
+        D.two_way_demean(df, "u", "t", ["y"], max_iter=4)
 
 
 def test_student_t_pvalues():
