@@ -33,7 +33,7 @@ def literal_lookup(table: DataFrame, key: str, value: str, per_bucket: int = 8,
                    max_rows: int = MAX_ROWS) -> tuple[Callable[[str], str], list]:
     """Return ``probe(key_sql) -> value-or-null SQL`` and the collected rows.
 
-    Raises if the table holds more than ``max_rows`` rows (use a join instead).
+    For tables with a proven bound; raises if there are more than ``max_rows`` rows.
     """
     n = table.limit(max_rows + 1).count()
     if n > max_rows:

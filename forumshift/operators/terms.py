@@ -4,7 +4,8 @@ Plan shape (no densified matrix, no driver-side corpus):
 
 1. per document, tokens -> uni/bigrams -> (term, tf) pairs by sorting the
    array and reading run lengths (narrow, no shuffle);
-2. vocabulary: explode distinct terms -> ``groupBy(term)`` with map-side partial
+2. vocabulary: word totals bound what a bigram can reach, so only terms of frequent
+   words are counted; explode terms -> ``groupBy(term)`` with map-side partial
    aggregation -> min/max document-frequency filter -> top ``max_features`` by
    total count.  The result is bounded by ``max_features`` and collected once;
 3. per document, keep vocabulary terms, weight by idf and L2-normalise inside
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +40,48 @@ class TfidfResult:
     docs: DataFrame         # doc, period columns (all documents, incl. those without terms)
 
 
-def doc_terms(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = (),
-              bigrams: bool = True) -> DataFrame:
-    """Per-document ``terms`` array of struct(term, tf)."""
-    toks = docs.select(F.col(doc), *[F.col(k) for k in keep], X.tfidf_tokens(text).alias("_t"))
-    grams = toks.select(doc, *keep, (X.with_bigrams("_t") if bigrams else F.col("_t")).alias("_g"))
-    return X.with_term_counts(grams, "_g", "terms", keep=(doc, *keep))
+def doc_tokens(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col(doc), *[F.col(k) for k in keep], X.tfidf_tokens(text).alias("_t"))
+
+
+def frequent_words(tokens: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int) -> list[str] | None:
+    """The words that a kept term can consist of (None: no limit known).
+
+    A bigram occurs no more often than either of its words, in text and in documents.  With
+    theta the ``max_features``-th largest total among words that are kept by document
+    frequency, only words with a total of theta or more and at least ``min_df`` documents can
+    be in a kept term: an exact prune that takes most bigrams out of the vocabulary's
+    exchange.  The list holds about ``max_features`` words (and those above ``max_df``).
+    """
+    # one pass: a row for each occurrence (c) and one for each word of a document (d)
+    each = F.concat(F.transform("_t", lambda w: F.struct(w.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+                    F.transform(F.array_distinct("_t"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
+    stats = cut_lineage(tokens.select(F.explode(each).alias("x")).select("x.*").groupBy("term")
+                        .agg(F.sum("c").alias("total"), F.sum("d").alias("df")).where(F.col("df") >= min_df))
+    hi = max_df * n_docs if isinstance(max_df, float) else max_df
+    top = stats.where(F.col("df") <= hi).orderBy(F.desc("total")).limit(max_features).agg(
+        F.min("total").alias("theta"), F.count("*").alias("n")).first()
+    if top["n"] < max_features:
+        return None
+    return [r["term"] for r in stats.where(F.col("total") >= top["theta"]).select("term").collect()]
+
+
+def doc_terms(tokens: DataFrame, doc: str, keep: tuple[str, ...] = (), bigrams: bool = True,
+              words: list[str] | None = None) -> DataFrame:
+    """Per-document ``terms`` array of struct(term, tf); with ``words`` only terms of them."""
+    if words is None:
+        grams = X.with_bigrams("_t") if bigrams else F.col("_t")
+        return X.with_term_counts(tokens.select(doc, *keep, grams.alias("_g")), "_g", "terms", keep=(doc, *keep))
+    known = F.expr(f"transform(_t, w -> IF(w IN ({in_list_sql(words)}), w, NULL))")
+    marked = tokens.select(doc, *keep, known.alias("_t"))
+    single = F.filter("_t", lambda w: w.isNotNull())
+    if bigrams:
+        n = F.greatest(F.size("_t") - 1, F.lit(0))
+        pair = F.zip_with(F.slice("_t", 1, n), F.slice("_t", 2, n), lambda a, b: F.concat(a, F.lit(" "), b))  # null if either is
+        grams = F.concat(single, F.filter(pair, lambda g: g.isNotNull()))
+    else:
+        grams = single
+    return X.with_term_counts(marked.select(doc, *keep, grams.alias("_g")), "_g", "terms", keep=(doc, *keep))
 
 
 def fit_vocabulary(per_doc: DataFrame, n_docs: int, min_df: int = MIN_DF,
@@ -64,30 +100,32 @@ def fit_vocabulary(per_doc: DataFrame, n_docs: int, min_df: int = MIN_DF,
 
 def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
           keep: tuple[str, ...] = ("pre",), min_df: int = MIN_DF, max_df: float = MAX_DF,
-          max_features: int | None = MAX_FEATURES, bigrams: bool = True,
-          vocab_max_rows: int = 200_000, materialize: str = "persist") -> TfidfResult:
+          max_features: int | None = MAX_FEATURES, bigrams: bool = True) -> TfidfResult:
     """Fit on all documents with non-null text, transform them, long result.
 
-    The per-document term counts are read twice (fit, then transform).
-    ``materialize="persist"`` keeps them in executor memory/disk (lost blocks are
-    recomputed from lineage); ``"checkpoint"`` writes them to the shared checkpoint
-    folder, so a lost executor costs no recomputation of the tokenisation.
+    The per-document term counts are read twice (fit, then transform); they are written to
+    the shared folder, so a lost executor costs no second tokenisation.  With
+    ``max_features`` the vocabulary is bounded by it and weighting happens inside the row;
+    with ``None`` it is joined on the term.
     """
-    base = docs.where(F.col(text).isNotNull())
-    per_doc = doc_terms(base, doc, text, keep, bigrams)
-    if materialize == "checkpoint":
-        per_doc = cut_lineage(per_doc)
-    else:
-        per_doc = per_doc.persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = per_doc.count()
-    vocab = fit_vocabulary(per_doc, n_docs, min_df, max_df, max_features).cache()
-    # The fitted vocabulary is bounded by max_features (size checked in literal_lookup):
-    # it becomes a hashed literal table in the plan, so weighting and normalising a
-    # document happen inside its row with no shuffle.
-    probe, rows = literal_lookup(vocab, "term", "idf", max_rows=vocab_max_rows)
+    tokens = doc_tokens(docs.where(F.col(text).isNotNull()), doc, text, keep)
+    n_docs = tokens.count()
+    words = frequent_words(tokens, n_docs, min_df, max_df, max_features) if max_features is not None else None
+    per_doc = cut_lineage(doc_terms(tokens, doc, keep, bigrams, words))
+    vocab = cut_lineage(fit_vocabulary(per_doc, n_docs, min_df, max_df, max_features))
+    all_docs = per_doc.select(doc, *keep)
+    if max_features is None:
+        terms = (per_doc.select(doc, *keep, F.explode("terms").alias("t")).select(doc, *keep, "t.term", "t.tf")
+                 .join(vocab.select("term", "idf"), "term").withColumn("_w", F.col("tf") * F.col("idf")))
+        norms = terms.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+        long = terms.join(norms, doc).select(doc, *keep, "term", "tf", (F.col("_w") / F.col("_norm")).alias("tfidf"))
+        return TfidfResult(vocab=vocab, long=long, docs=all_docs)
+    # The fitted vocabulary is bounded by max_features: it becomes a hashed literal table in
+    # the plan, so weighting and normalising a document happen inside its row, no shuffle.
+    probe, rows = literal_lookup(vocab, "term", "idf", max_rows=max_features)
     # Membership first (an IN list over the vocabulary compiles to a hash set), then
     # the idf probe only for the kept terms; tf * idf is the weight.
-    member = f"filter(terms, t -> t.term IN ({in_list_sql([r['k'] for r in rows])}))"
+    member = f"filter(terms, t -> t.term IN ({in_list_sql([r['k'] for r in rows]) or 'NULL'}))"
     weighted = F.expr(f"transform({member}, t -> named_struct('term', t.term, 'tf', t.tf, "
                       f"'w', t.tf * {probe('t.term')}))")
     # Two projections: the weighted array is materialised once, then read twice.
@@ -97,7 +135,7 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
     long = (scored.select(doc, *keep, "_norm", F.explode_outer("_w").alias("t")).where(F.col("t").isNotNull())
                   .select(doc, *keep, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"),
                           (F.col("t.w") / F.col("_norm")).alias("tfidf")))
-    return TfidfResult(vocab=vocab, long=long, docs=per_doc.select(doc, *keep))
+    return TfidfResult(vocab=vocab, long=long, docs=all_docs)
 
 
 def term_shift(res: TfidfResult, period: str = "pre") -> DataFrame:

@@ -142,7 +142,9 @@ def _flags(panel, treated):
     return panel.withColumns({"treated": treated.cast("int"), "post": post.cast("int"), "d": (treated & post).cast("double")})
 
 
-GROUP_TREATED = F.col("group").startswith(ORDERS_TREATED_FORUM)
+def group_treated():
+    return F.col("group").startswith(ORDERS_TREATED_FORUM)
+
 _GROUP_CTES = f"""
 , c0 AS (SELECT grp AS unit, CAST(date_trunc('week', CreationDate) AS DATE) AS wk, count(*) AS n, avg(Score) AS score
          FROM posts_orders GROUP BY 1, 2 HAVING wk > DATE '{ORDERS_TRIM[0]}' AND wk <= DATE '{ORDERS_TRIM[1]}'),
@@ -160,7 +162,7 @@ def filled_groups(spark, sf):
     cells = cut_lineage(posts.groupBy("group", "wk").agg(F.count("*").alias("n"), F.avg("Score").alias("score")))
     full = P.complete_counts(cells, "group", "wk", "n").join(cells.select("group", "wk", "score"), ["group", "wk"], "left")
     full = full.withColumns({"y": F.log1p(F.col("n").cast("double")), "x": F.coalesce("score", F.lit(0.0)) / 1000.0})
-    return _flags(full, GROUP_TREATED)
+    return _flags(full, group_treated())
 
 
 @register("did_groups", group_sql(_did_select("groups")))
@@ -200,7 +202,7 @@ def q_did_unbalanced(spark, sf):
     """The panel with its gaps.  Least squares is known by its normal equations: the
     residuals sum to zero for every unit, for every period and with the treatment."""
     cells = group_panel(spark, sf).groupBy("group", "wk").agg(F.count("*").alias("n"))
-    panel = cut_lineage(_flags(cells.withColumn("y", F.log1p(F.col("n").cast("double"))), GROUP_TREATED))
+    panel = cut_lineage(_flags(cells.withColumn("y", F.log1p(F.col("n").cast("double"))), group_treated()))
     att = D.twfe_did(panel, "group", "wk", "y", "d").first()["att"]
     dm = D.two_way_demean(panel, "group", "wk", ["y", "d"])
     e = cut_lineage(dm.select("group", "wk", "d", (F.col("y") - F.lit(att) * F.col("d")).alias("e")))

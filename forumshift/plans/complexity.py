@@ -1,40 +1,58 @@
 """Question complexity over the document analogue.
 
-Frames: 'Stack Overflow' rows (tech expression = code length) and the control
-forum rows (tech expression = equation length), z-scored separately (G3).
+Frames: the treated forum's rows (tech expression = code length) and the rows of all
+control forums together (tech expression = equation length), z-scored separately (G3).
+The fixture's control rows are two forums (``CONTROL_SQL``).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.dates import lenient_timestamp
 from ..operators import complexity as C
 from ..operators import posts as O
+from ..session import cut_lineage
 from . import sqltext as Q
+from ..functions.dates import year_quarter
+from ..operators import did as D
+from .causal import _DID_CTES, _did_select
 from .fixtures import DOCS_EVENT_DATE, STUDY_TRIM
-from .posts import processed, processed_sql
+from .posts import docs_posts, processed_sql
 from .registry import register, rounded
 
 TREATED_FORUM = "Stack Overflow"
 NORM_COLS = tuple(d for _, d in C.METRICS)
 
 
-def question_metrics(spark, sf):
-    """Per-question metrics, z-scored per frame, with the composite score."""
-    p = processed(spark, sf, extra=("forum",))
+# The control rows of the fixture belong to two forums, by their source.
+CONTROL_SQL = "CASE WHEN forum <> 'Stack Overflow' AND CAST(Id AS BIGINT) % 2 = 0 THEN 'Physics' ELSE forum END"
+
+
+def question_metrics(spark, sf, arm: str | None = None):
+    """Per-question metrics, z-scored per arm, with the composite score.
+
+    ``arm`` ('treated' or 'control') keeps one arm before any text work: the statistics are
+    per arm, so the other arm's posts need not be parsed.
+    """
+    p = O.filter_questions(docs_posts(spark, sf)).withColumn("forum", F.expr(CONTROL_SQL))
+    treated = F.col("forum") == TREATED_FORUM
+    if arm is not None:
+        p = p.where(treated if arm == "treated" else ~treated)
+    p = O.process_posts(p, extra=("forum",))
     p = O.language_group(p, out="Lang")
     p = p.withColumns({
+        "arm": F.when(treated, F.lit("treated")).otherwise(F.lit("control")),
         "CreationDate": lenient_timestamp("CreationDate"),
-        "tech_expr_length": F.when(F.col("forum") == TREATED_FORUM, F.col("code_length"))
-                             .otherwise(X.math_length("clean_text")),
+        "tech_expr_length": F.when(treated, F.col("code_length")).otherwise(X.math_length("clean_text")),
     })
-    # The text work is done once: the narrow per-question metrics are cached, since
-    # the z-score statistics and the scores both read them.
-    p = p.select("Id", "forum", "Lang", "CreationDate", *[m for m, _ in C.METRICS]).persist()
-    z = C.zscore(p, dict(C.METRICS), partition="forum")
-    return C.complexity_score(z, NORM_COLS)
+    # The text work is done once: the narrow per-question metrics go to the shared folder,
+    # since the z-score statistics and the scores both read them.
+    p = cut_lineage(p.select("Id", "forum", "arm", "Lang", "CreationDate", *[m for m, _ in C.METRICS]))
+    return C.complexity_score(C.zscore(p, dict(C.METRICS), partition="arm"), NORM_COLS)
 
 
 def _z_sql() -> str:
@@ -46,14 +64,14 @@ def _z_sql() -> str:
     math_len = f"length(array_to_string(regexp_extract_all(clean_text, {Q.lit(X.MATH_RE)}, 1), ''))"
     return f"""
 , base AS (
-  SELECT Id, forum, {Q.lenient_timestamp('CreationDate')} AS CreationDate, tag_count, body_length,
-         title_length,
+  SELECT Id, {CONTROL_SQL} AS forum, CASE WHEN forum = '{TREATED_FORUM}' THEN 'treated' ELSE 'control' END AS arm,
+         {Q.lenient_timestamp('CreationDate')} AS CreationDate, tag_count, body_length, title_length,
          CASE WHEN forum = '{TREATED_FORUM}' THEN code_length ELSE {math_len} END AS tech_expr_length,
          CASE WHEN list_contains(tag_list, 'python') THEN 'Python' WHEN list_contains(tag_list, 'r') THEN 'R'
               WHEN list_contains(tag_list, 'php') THEN 'PHP' ELSE 'JavaScript' END AS Lang
   FROM p),
-stats AS (SELECT forum, {stats} FROM base GROUP BY forum),
-z0 AS (SELECT base.*, {zs} FROM base JOIN stats USING (forum)),
+stats AS (SELECT arm, {stats} FROM base GROUP BY arm),
+z0 AS (SELECT base.*, {zs} FROM base JOIN stats USING (arm)),
 z AS (SELECT *, 0.25 * ({' + '.join(NORM_COLS)}) AS score FROM z0)"""
 
 
@@ -82,14 +100,14 @@ def q_complexity_score(spark, sf):
 @register("weekly_complexity", processed_sql(_weekly_sql("", f"WHERE forum = '{TREATED_FORUM}'")))
 def q_weekly_complexity(spark, sf):
     """A4: weekly complexity means over all languages of the treated forum."""
-    m = question_metrics(spark, sf).where(F.col("forum") == TREATED_FORUM)
+    m = question_metrics(spark, sf, "treated")
     return rounded(C.weekly_complexity(m, (), trim=STUDY_TRIM))
 
 
 @register("weekly_complexity_lang", processed_sql(_weekly_sql("Lang", f"WHERE forum = '{TREATED_FORUM}'")))
 def q_weekly_complexity_lang(spark, sf):
     """A5: weekly complexity means by language."""
-    m = question_metrics(spark, sf).where(F.col("forum") == TREATED_FORUM)
+    m = question_metrics(spark, sf, "treated")
     return rounded(C.weekly_complexity(m, ("Lang",), trim=STUDY_TRIM))
 
 
@@ -143,3 +161,63 @@ def q_complexity_union(spark, sf):
                          ctl.select("forum", "yearweek", "week_start", "mean_score")])
     u = P.mark_treated(P.coalesce_group(u), TREATED_FORUM)
     return rounded(u.select("group", "forum", "yearweek", "week_start", "mean_score", "treated"))
+
+
+def _arm_sql(select: str, cells: str, group: str) -> str:
+    lo, hi = STUDY_TRIM
+    pre, post = (f"CASE WHEN week_start {op} DATE '{DOCS_EVENT_DATE}' THEN mean_score END" for op in ("<", ">"))
+    return processed_sql(_z_sql() + f"""
+, wk AS (SELECT {cells} min(CAST(CreationDate AS DATE)) AS week_start, avg(score) AS mean_score
+         FROM z GROUP BY {cells} year(CreationDate), week(CreationDate)
+         HAVING min(CAST(CreationDate AS DATE)) > DATE '{lo}' AND min(CAST(CreationDate AS DATE)) <= DATE '{hi}')
+SELECT {select} round(avg({pre}), 6) AS pre_mean, round(avg({post}), 6) AS post_mean,
+       count({pre}) AS pre_weeks, count({post}) AS post_weeks,
+       min(week_start) AS first_week, max(week_start) AS last_week, round(avg({post}) - avg({pre}), 6) AS diff
+FROM wk {group}""")
+
+
+@register("arm_means_pooled", _arm_sql("arm,", "arm,", "GROUP BY arm"))
+def q_arm_means_pooled(spark, sf):
+    """pre/post means of the treated forum and of all control forums pooled."""
+    wk = C.weekly_complexity(question_metrics(spark, sf), ("arm",), trim=STUDY_TRIM)
+    return rounded(C.arm_means(wk, DOCS_EVENT_DATE, arm="arm"))
+
+
+@register("arm_means_overall", _arm_sql("", "", ""))
+def q_arm_means_overall(spark, sf):
+    """pre/post means over all questions."""
+    wk = C.weekly_complexity(question_metrics(spark, sf), (), trim=STUDY_TRIM)
+    return rounded(C.arm_means(wk, DOCS_EVENT_DATE))
+
+
+_QUARTER_PANEL = f"""
+, cp AS (SELECT coalesce(CASE WHEN arm = 'treated' THEN Lang END, forum) AS forum,
+               CAST(year(CreationDate) * 10 + quarter(CreationDate) AS INTEGER) AS wk, avg(score) AS y,
+               max(CAST(arm = 'treated' AND CAST(year(CreationDate) * 10 + quarter(CreationDate) AS INTEGER) > 20224 AS DOUBLE)) AS d
+        FROM z WHERE CreationDate IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2)"""
+
+
+def complexity_panel(spark, sf):
+    """Mean complexity by unit (language of the treated forum, or control forum) and quarter,
+    with its regression columns: flags, quarter index, coded group."""
+    from ..operators import panel as P
+    m = question_metrics(spark, sf).where(F.col("CreationDate").isNotNull() & F.col("score").isNotNull())
+    m = m.withColumn("unit", F.when(F.col("arm") == "treated", F.col("Lang")).otherwise(F.col("forum")))
+    q = m.groupBy("unit", "arm", year_quarter("CreationDate").alias("quarter")).agg(
+        F.avg("score").alias("y"), F.count("*").alias("n"), F.min(F.to_date("CreationDate")).alias("week_start"))
+    q = q.withColumns({"treated": (F.col("arm") == "treated").cast("int"), "post": (F.col("quarter") > 20224).cast("int")})
+    q = q.withColumn("d", (F.col("treated") * F.col("post")).cast("double"))
+    return cut_lineage(P.encode_labels(cut_lineage(q), "unit", "unit_id"))
+
+
+@register("complexity_panel", processed_sql(_z_sql() + _QUARTER_PANEL + """
+SELECT forum AS unit, wk AS quarter, round(y, 6) AS y, d, CAST(dense_rank() OVER (ORDER BY forum) AS INTEGER) AS unit_id FROM cp"""))
+def q_complexity_panel(spark, sf):
+    """The regression table of the complexity study."""
+    return rounded(complexity_panel(spark, sf).select("unit", "quarter", "y", "d", "unit_id"))
+
+
+@register("did_complexity", processed_sql(_z_sql() + _QUARTER_PANEL + re.sub(r"\bp\b", "cp", _DID_CTES) + _did_select("complexity")))
+def q_did_complexity(spark, sf):
+    """C1/C5 on complexity: DiD over languages and control forums by quarter."""
+    return rounded(D.twfe_did(complexity_panel(spark, sf), "unit", "quarter", "y", "d", label="complexity"))
