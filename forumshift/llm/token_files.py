@@ -1,12 +1,14 @@
 """Operator 6: token ids in fixed-width bit-packed files.
 
-Format: a folder of Parquet part files.  A row is one block of one document range: the
-place of its first id in the whole stream (``start``), how many ids it holds, the bits of
-an id (``width``, the fewest that hold the vocabulary), its documents (``doc_ids``,
-``doc_starts`` within the block) and the ids packed with ``width`` bits each,
-least significant bit first.  All ids have the same width, so id ``i`` of a block begins at
-bit ``i * width``: a block, or any slice of it, unpacks by vectorised numpy, and the block
-that holds position ``p`` is found from ``start`` (Parquet's statistics skip the others).
+Format: ``blocks``, a folder of Parquet part files, and ``ranges``, their index.  A row of
+``blocks`` is one block of one document range (``part``): the place of its first id in the
+range (``at``), how many ids it holds, the bits of an id (``width``, the fewest that hold
+the vocabulary), its documents (``doc_ids``, ``doc_starts`` within the block) and the ids
+packed with ``width`` bits each, least significant bit first.  A row of ``ranges`` is a
+range's place in the whole stream (``base``) and length.  All ids have the same width, so
+id ``i`` of a block begins at bit ``i * width``: a block, or any slice of it, unpacks by
+vectorised numpy, and position ``p`` is found from ``ranges`` and ``at`` (Parquet's
+statistics skip the other blocks).
 
 Writing: documents are dealt in ranges of their id and sorted; each range is encoded and
 packed by its own task into blocks of about ``BLOCK_IDS`` ids (whole documents); the global starts are a prefix sum over the ranges' totals.  Encoding looks each
@@ -27,17 +29,18 @@ from pyspark.sql import functions as F
 from forumshift.session import scratch_path
 
 from . import LlmQuery
-from .common import (U64, bounded_batches, process_cache, table, text_buffer, text_bytes, word_hashes, word_spans,
-                     written)
+from .common import U64, bounded_batches, process_cache, table, text_buffer, text_bytes, word_hashes, word_spans
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
 RANGE_MB = 16
 #: distinct words a worker keeps (bounds its memory)
 KEEP_WORDS = 1_500_000
+#: ranges (12 bytes each) whose places are broadcast; more are joined
+BROADCAST_RANGES = 500_000
 #: ids packed or unpacked at once
 AT_ONCE = 1 << 16
-BLOCK_SCHEMA = ("part int, block int, count long, width int, doc_ids array<long>, row_keys array<long>, "
+BLOCK_SCHEMA = ("part int, at long, count long, width int, doc_ids array<long>, row_keys array<long>, "
                 "doc_starts array<long>, ids binary")
 
 
@@ -45,8 +48,14 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: widths at which the packed bits are plain little-endian integers
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
     """``width`` bits for each id, least significant bit first."""
+    if width in WHOLE:
+        return ids.astype(WHOLE[width]).tobytes()
     out = []
     for i in range(0, len(ids), AT_ONCE):  # a multiple of 8 ids ends on a whole byte
         part = ids[i:i + AT_ONCE].astype(np.uint32)
@@ -57,6 +66,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(data, width: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` (exclusive) of a packed block, reading only their bytes."""
+    if width in WHOLE:
+        return np.frombuffer(data, WHOLE[width])[start:stop].astype(np.uint32)
     out = [np.empty(0, np.uint32)]
     weights = np.left_shift(np.uint32(1), np.arange(width, dtype=np.uint32))
     for i in range(start, stop, AT_ONCE):
@@ -127,7 +138,7 @@ def encode_ranges(path: str, width: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
+        part, at = TaskContext.get().partitionId(), 0
         kept = process_cache()  # one loaded file for each worker process
         if path not in kept:
             kept[path] = WordEncoder(path)
@@ -139,12 +150,12 @@ def encode_ranges(path: str, width: int):
             for i, j in zip(cut, np.append(cut[1:], len(docs))):
                 lo, hi = off[i], off[j]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([hi - lo], pa.int64()),
+                    [pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([hi - lo], pa.int64()),
                      pa.array([width], pa.int32()), pa.array([docs[i:j]], pa.list_(pa.int64())),
                      pa.array([keys[i:j]], pa.list_(pa.int64())), pa.array([(off[i:j] - lo).tolist()], pa.list_(pa.int64())),
                      pa.array([pack(ids[lo:hi], width)], pa.binary())],
-                    names=["part", "block", "count", "width", "doc_ids", "row_keys", "doc_starts", "ids"])
-                block += 1
+                    names=["part", "at", "count", "width", "doc_ids", "row_keys", "doc_starts", "ids"])
+                at += hi - lo
     return run
 
 
@@ -167,30 +178,37 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_path: str | None
     sorted_ = (docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(t), F.lit(0)).alias("v"), t.alias("t"))
                .repartitionByRange(ranges, F.col("id").asc_nulls_last(), F.col("v"))
                .sortWithinPartitions(F.col("id").asc_nulls_last(), "v"))
-    blocks = written(sorted_.mapInArrow(encode_ranges(tokenizer_path, bits_for(vocabulary)), BLOCK_SCHEMA), "blocks")
-    # prefix sums: over the ranges' totals (one row a range), then within each range
-    totals = blocks.groupBy("part").agg(F.sum("count").alias("total"))
+    (sorted_.mapInArrow(encode_ranges(tokenizer_path, bits_for(vocabulary)), BLOCK_SCHEMA)
+     .write.option("compression", "zstd").parquet(f"{out_path}/blocks"))
+    # prefix sum over the ranges' totals (one row a range)
+    totals = spark.read.parquet(f"{out_path}/blocks").groupBy("part").agg(F.sum("count").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (blocks.select("part", "block", "count").withColumn("at", F.coalesce(F.sum("count").over(inside), F.lit(0)))
-              .join(totals, "part").select("part", "block", (F.col("base") + F.col("at")).alias("start")))
-    blocks.join(starts, ["part", "block"]).write.option("compression", "zstd").parquet(out_path)
+    (totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), "total")
+     .write.parquet(f"{out_path}/ranges"))
     return out_path
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks with their place in the whole stream (``start``)."""
+    ranges = spark.read.parquet(f"{path}/ranges").select("part", "base")
+    if ranges.count() <= BROADCAST_RANGES:
+        ranges = F.broadcast(ranges)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    return blocks.join(ranges, "part").withColumn("start", F.col("base") + F.col("at"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(id, row_key, start, n_tokens, ids_crc32)`` of every document in the files.
 
     Each block's task unpacks its ids and cuts them at the documents' starts.
     """
-    files = spark.read.parquet(path).select("start", "count", "width", "doc_ids", "row_keys", "doc_starts", "ids")
+    files = _placed(spark, path).select("start", "count", "width", "doc_ids", "row_keys", "doc_starts", "ids")
     return files.mapInArrow(_documents, "id long, row_key long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_slice(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` (exclusive) of the whole stream: random access by position."""
-    rows = (spark.read.parquet(path).filter((F.col("start") < stop) & (F.col("start") + F.col("count") > start))
+    rows = (_placed(spark, path).filter((F.col("start") < stop) & (F.col("start") + F.col("count") > start))
             .select("start", "count", "width", "ids").orderBy("start").collect())
     return np.concatenate([np.empty(0, np.uint32)] + [
         unpack(r["ids"], r["width"], max(0, start - r["start"]), min(r["count"], stop - r["start"])) for r in rows])
