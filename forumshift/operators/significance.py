@@ -12,11 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.normal import two_sided_sql
 from .terms import TfidfResult, term_values
 
 TWO52 = float(2 ** 52)
@@ -31,29 +30,24 @@ def uniform(seed: int, rep, doc) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(TWO52)
 
 
-def poisson1_cdf(kmax: int = 12) -> list[float]:
-    """Cumulative Poisson(1) probabilities F(0..kmax) (built by rule, not typed in)."""
-    out, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(kmax + 1):
-        acc += term
+def poisson1_cdf() -> list[float]:
+    """Cumulative Poisson(1) probabilities up to the first that is 1.0 in double precision,
+    beyond which no uniform below 1 lies (built by rule, not typed in)."""
+    out, acc, k = [], 0.0, 0
+    while acc < 1.0 and (not out or 1.0 / math.factorial(k) > 0):
+        acc = math.fsum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))
         out.append(acc)
-        term /= (k + 1)
+        k += 1
     return out
 
 
-def poisson1_weight(u: Column, kmax: int = 12) -> Column:
+def poisson1_weight(u: Column) -> Column:
     """Inverse-CDF Poisson(1) draw: the bootstrap multiplicity of a document."""
-    cdf = poisson1_cdf(kmax)
     expr = None
+    cdf = poisson1_cdf()
     for k, c in enumerate(cdf):
         expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
-    return expr.otherwise(F.lit(kmax + 1))
-
-
-@F.pandas_udf(T.DoubleType())
-def erfc_udf(z: pd.Series) -> pd.Series:
-    """Complementary error function on one row per term (tiny Arrow helper)."""
-    return z.map(lambda v: math.erfc(v) if v is not None and not math.isnan(v) else float("nan"))
+    return expr.otherwise(F.lit(len(cdf)))
 
 
 def period_counts(res: TfidfResult, period: str = "pre") -> DataFrame:
@@ -76,8 +70,8 @@ def observed(res: TfidfResult, terms: Sequence[str], period: str = "pre") -> Dat
     t = (tdf.join(sums, "term", "left").na.fill(0, ["s_pre", "s_post", "nnz_pre", "nnz_post"])
          .withColumns({"n_pre": F.lit(c["n_pre"] or 0).cast("long"),
                        "n_post": F.lit(c["n_post"] or 0).cast("long")}))
-    pre = F.col("s_pre") / F.col("n_pre")
-    post = F.col("s_post") / F.col("n_post")
+    pre = F.try_divide("s_pre", "n_pre")
+    post = F.try_divide("s_post", "n_post")
     return t.withColumns({"pre_mean": pre, "post_mean": post, "difference": post - pre,
                           "percent_change": F.when(pre > 0, (post - pre) / pre * 100.0)})
 
@@ -91,8 +85,11 @@ def mann_whitney(res: TfidfResult, terms: Sequence[str], period: str = "pre") ->
     """
     vals = term_values(res, terms)
     obs = observed(res, terms, period)
-    # Ties are decided at 1e-10 so summation-order noise cannot split a tie block.
-    blocks = vals.groupBy("term", F.round("tfidf", TIE_DIGITS).alias("value")).agg(
+    # Ties are decided at TIE_DIGITS significant digits, so summation-order noise cannot split
+    # a tie block and a small value never becomes a zero.
+    digits = F.lit(TIE_DIGITS) - F.ceil(F.log10("tfidf"))
+    tied = F.when(F.col("tfidf") > 0, F.round(F.col("tfidf") * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)).otherwise(F.col("tfidf"))
+    blocks = vals.groupBy("term", tied.alias("value")).agg(
         F.count(F.when(F.col(period) == 0, 1)).alias("c_post"),
         F.count(F.when(F.col(period) == 1, 1)).alias("c_pre"))
     zeros = obs.select("term", F.lit(0.0).alias("value"),
@@ -110,8 +107,7 @@ def mann_whitney(res: TfidfResult, terms: Sequence[str], period: str = "pre") ->
                .withColumn("offset", F.coalesce(F.sum("bt").over(before_bucket), F.lit(0.0)))
                .drop("bt"))
     within = Window.partitionBy("term", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    # offsets: one row per (tested term, bucket) - bounded by terms x grid size
-    ranked = allb.join(F.broadcast(offsets), ["term", "bucket"]).withColumn(
+    ranked = allb.join(offsets, ["term", "bucket"]).withColumn(
         "rank", F.col("offset") + F.coalesce(F.sum("t").over(within), F.lit(0.0)) + (F.col("t") + 1) / 2)
     per = ranked.groupBy("term").agg(F.sum(F.col("c_post") * F.col("rank")).alias("r1"),
                                      F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
@@ -123,7 +119,7 @@ def mann_whitney(res: TfidfResult, terms: Sequence[str], period: str = "pre") ->
     var = n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     z = F.when(var > 0, (F.abs(u - n1 * n2 / 2) - 0.5) / F.sqrt(var))
     out = j.select("term", u.alias("mw_u"), z.alias("mw_z"))
-    return out.withColumn("mw_pvalue", F.least(F.lit(1.0), erfc_udf(F.col("mw_z") / F.lit(math.sqrt(2)))))
+    return out.withColumn("mw_pvalue", F.least(F.lit(1.0), F.expr(two_sided_sql("mw_z"))))
 
 
 def with_replicates(df: DataFrame, n: int) -> DataFrame:
@@ -151,7 +147,8 @@ def permutation_test(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
     """
     obs = observed(res, terms, period)
     c = period_counts(res, period).first()
-    frac = F.lit(float(c["n_pre"]) / float(c["n_pre"] + c["n_post"]))
+    n_all = (c["n_pre"] or 0) + (c["n_post"] or 0)
+    frac = F.lit((c["n_pre"] or 0) / n_all if n_all else 0.0)
     lab = lambda r, d: uniform(seed, r, d) < frac
     den = (with_replicates(res.docs.select(doc), n_perm)
            .groupBy("rep").agg(F.sum(F.when(lab(F.col("rep"), F.col(doc)), 1).otherwise(0)).alias("m_pre"),
@@ -160,27 +157,29 @@ def permutation_test(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
     num = (with_replicates(vals, n_perm)
            .groupBy("term", "rep").agg(
                F.sum(F.when(lab(F.col("rep"), F.col(doc)), F.col("tfidf")).otherwise(0.0)).alias("sp")))
-    j = (num.join(F.broadcast(den), "rep")                     # den: n_perm rows
+    j = (num.join(den, "rep")
          .join(obs.select("term", "s_pre", "s_post", "difference"), "term"))
     total = F.col("s_pre") + F.col("s_post")
-    diff = (total - F.col("sp")) / (F.col("m_all") - F.col("m_pre")) - F.col("sp") / F.col("m_pre")
+    diff = F.try_divide(total - F.col("sp"), F.col("m_all") - F.col("m_pre")) - F.try_divide("sp", "m_pre")
     return j.groupBy("term").agg(
         F.avg(F.when(_at_least_as_extreme(diff, F.col("difference")), 1.0).otherwise(0.0))
         .alias("perm_pvalue"))
 
 
 def exact_thresholds(res: TfidfResult, n_perm: int, seed: int, doc: str = "doc_id",
-                     period: str = "pre", buckets: int = 1024) -> DataFrame:
+                     period: str = "pre") -> DataFrame:
     """Per replicate, the n_pre-th smallest (uniform, doc) pair - the cut that
     labels exactly n_pre documents 'pre' (an exact permutation of the labels).
 
     Distributed selection, no per-replicate sort of all documents: (1) bucket
     counts per (rep, bucket) by partial aggregation; (2) the bucket holding the
-    n_pre-th value, from a running sum over the small (rep, bucket) table; (3) a
-    window over that bucket only (about N / buckets rows per replicate).
+    n_pre-th value, from a running sum over the (rep, bucket) table; (3) a window
+    over that bucket only.
     """
     c = period_counts(res, period).first()
-    k = int(c["n_pre"])
+    k = int(c["n_pre"] or 0)
+    # about 1000 documents a bucket, so a replicate's window does not grow with the corpus
+    buckets = max(16, ((c["n_pre"] or 0) + (c["n_post"] or 0)) // 1000)
     u = uniform(seed, F.col("rep"), F.col(doc))
     reps = with_replicates(res.docs.select(doc), n_perm).withColumn("u", u)
     reps = reps.withColumn("b", F.least(F.floor(F.col("u") * buckets), F.lit(buckets - 1)).cast("int"))
@@ -189,8 +188,7 @@ def exact_thresholds(res: TfidfResult, n_perm: int, seed: int, doc: str = "doc_i
     cum = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
     target = cum.where((F.col("before") < k) & (F.col("upto") >= k)).select(
         "rep", "b", (F.lit(k) - F.col("before")).alias("kk"))
-    # target: one row per replicate (bounded by n_perm)
-    inb = reps.join(F.broadcast(target), ["rep", "b"])
+    inb = reps.join(target, ["rep", "b"])
     rn = F.row_number().over(Window.partitionBy("rep").orderBy("u", doc))
     return (inb.withColumn("rn", rn).where(F.col("rn") == F.col("kk"))
                .select("rep", F.col("u").alias("u_cut"), F.col(doc).alias("doc_cut")))
@@ -202,16 +200,17 @@ def permutation_test_exact(res: TfidfResult, terms: Sequence[str], n_perm: int =
     md5 uniforms), as a shuffle of the labels does; denominators are fixed."""
     obs = observed(res, terms, period)
     c = period_counts(res, period).first()
-    n_pre, n_post = float(c["n_pre"]), float(c["n_post"])
+    n_pre, n_post = float(c["n_pre"] or 0), float(c["n_post"] or 0)
     cuts = exact_thresholds(res, n_perm, seed, doc, period)
     vals = with_replicates(term_values(res, terms).select("term", doc, "tfidf"), n_perm)
     u = uniform(seed, F.col("rep"), F.col(doc))
     lab = (u < F.col("u_cut")) | ((u == F.col("u_cut")) & (F.col(doc) <= F.col("doc_cut")))
-    num = (vals.join(F.broadcast(cuts), "rep")                 # cuts: n_perm rows
+    num = (vals.join(cuts, "rep")
            .groupBy("term", "rep").agg(F.sum(F.when(lab, F.col("tfidf")).otherwise(0.0)).alias("sp")))
     full = with_replicates(obs.select("term", "s_pre", "s_post", "difference"), n_perm)
     j = full.join(num, ["term", "rep"], "left").na.fill(0.0, ["sp"])
-    diff = (F.col("s_pre") + F.col("s_post") - F.col("sp")) / F.lit(n_post) - F.col("sp") / F.lit(n_pre)
+    diff = (F.try_divide(F.col("s_pre") + F.col("s_post") - F.col("sp"), F.lit(n_post))
+            - F.try_divide(F.col("sp"), F.lit(n_pre)))
     return j.groupBy("term").agg(
         F.avg(F.when(_at_least_as_extreme(diff, F.col("difference")), 1.0).otherwise(0.0))
         .alias("perm_pvalue"))
@@ -236,8 +235,8 @@ def bootstrap_ci(res: TfidfResult, terms: Sequence[str], n_boot: int = 100, seed
                F.sum(F.when(F.col(period) == 0, F.col("w") * F.col("tfidf")).otherwise(0.0)).alias("x_post")))
     tdf = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
     full = with_replicates(tdf, n_boot).join(num, ["term", "rep"], "left").na.fill(0.0, ["x_pre", "x_post"])
-    j = full.join(F.broadcast(den), "rep")                       # den: n_boot rows
-    d = F.col("x_post") / F.col("w_post") - F.col("x_pre") / F.col("w_pre")
+    j = full.join(den, "rep")
+    d = F.try_divide("x_post", "w_post") - F.try_divide("x_pre", "w_pre")
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     out = j.groupBy("term").agg(F.percentile(d, lo).alias("ci_lower"), F.percentile(d, hi).alias("ci_upper"))
     return out.withColumn("ci_excludes_zero", ((F.col("ci_lower") > 0) & (F.col("ci_upper") > 0))
@@ -271,47 +270,24 @@ def average_rank(df: DataFrame, partition: str, order: str, name: str = "time_tr
     return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def _betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) by Lentz's continued fraction."""
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _betainc(b, a, 1 - x)
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(math.log(x) * a + math.log(1 - x) * b + lbeta) / a
-    tiny = 1e-300
-    f, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            num = 1.0
-        elif i % 2 == 0:
-            num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 + num * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + num / c
-        c = c if abs(c) > tiny else tiny
-        f *= c * d
-        if abs(1.0 - c * d) < 1e-15:
-            break
-    return front * (f - 1.0)
-
-
-def t_two_sided_p(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or math.isnan(t) or df <= 0:
-        return float("nan")
-    return _betainc(df / 2.0, 0.5, df / (df + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def t_pvalue_udf(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Student-t two-sided p-values, one row per coefficient (tiny Arrow helper)."""
-    return pd.Series([t_two_sided_p(a, b) for a, b in zip(t, df)], dtype="float64")
+def t_squared_sql(t: str, df: str) -> str:
+    """First step of Hill's normal transform of Student's t: a squared deviate."""
+    return f"(({df} - 0.5e0) * ln(1e0 + ({t}) * ({t}) / {df}))"
+
+
+def t_deviate_sql(z2: str, df: str) -> str:
+    """Second step: the normal deviate of the same two-sided probability (CACM Algorithm 395
+    without its tables; error below 1e-5 from five degrees of freedom up)."""
+    b = f"(48e0 * ({df} - 0.5e0) * ({df} - 0.5e0))"
+    return (f"(sqrt({z2}) * (1e0 + ({z2} + 3e0) / {b} - (4e0 * {z2} * {z2} * {z2} + 33e0 * {z2} * {z2} + 240e0 * {z2} + 855e0) "
+            f"/ (10e0 * {b} * ({b} + 0.8e0 * {z2} * {z2} + 100e0))))")
+
+
+def t_two_sided(t: str, df: str) -> Column:
+    """Two-sided p-value of Student's t with at least three degrees of freedom (else null).
+    One-element arrays hold the two steps, so each is computed once."""
+    z2 = f"transform(array({t_squared_sql(t, df)}), z2 -> {t_deviate_sql('z2', df)})"
+    return F.expr(f"CASE WHEN {df} >= 3 THEN transform({z2}, z -> {two_sided_sql('z')})[0] END")
 
 
 def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "forum",
@@ -321,7 +297,10 @@ def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "for
 
     Full interaction = one line per forum with pooled residual variance; the
     interaction is ``b_f - b_ref`` with ``se = sqrt(s2 (1/sxx_f + 1/sxx_ref))``.
+    Without a ``reference`` it is the first forum by name.
     """
+    if reference is None:
+        reference = panel.agg(F.min(forum)).first()[0]
     pre = panel if event_date is None else panel.where(F.col(date_col) <= F.lit(event_date).cast("date"))
     pre = average_rank(pre, forum, date_col)
     long = pre.select(forum, "time_trend", F.explode(F.array(*[
@@ -333,17 +312,17 @@ def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "for
         F.regr_count("y", "time_trend").alias("n"))
     ref = reference
     pooled = per.groupBy("outcome").agg(
-        (F.sum(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"))
-         / (F.sum("n") - 2 * F.count(F.lit(1)))).alias("s2"),
+        F.try_divide(F.sum(F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))),
+                     F.sum("n") - 2 * F.count(F.lit(1))).alias("s2"),
         (F.sum("n") - 2 * F.count(F.lit(1))).alias("df_resid"),
         F.max(F.when(F.col(forum) == F.lit(ref), F.col("slope"))).alias("ref_slope"),
         F.max(F.when(F.col(forum) == F.lit(ref), F.col("sxx"))).alias("ref_sxx"))
     j = per.join(pooled, "outcome")
     inter = F.col("slope") - F.col("ref_slope")
-    se = F.sqrt(F.col("s2") * (F.lit(1.0) / F.col("sxx") + F.lit(1.0) / F.col("ref_sxx")))
+    se = F.sqrt(F.col("s2") * (F.try_divide(F.lit(1.0), F.col("sxx")) + F.try_divide(F.lit(1.0), F.col("ref_sxx"))))
     out = j.where(F.col(forum) != F.lit(ref)).select(
         "outcome", forum, "slope", inter.alias("interaction"), se.alias("se"),
-        (inter / se).alias("t_stat"), F.col("df_resid").cast("long").alias("df_resid"))
+        F.try_divide(inter, se).alias("t_stat"), F.col("df_resid").cast("long").alias("df_resid"))
     return out
 
 
@@ -352,7 +331,7 @@ def pretrend_test(panel: DataFrame, outcomes: Sequence[str], forum: str = "forum
                   event_date: str | None = None, alpha: float = 0.05) -> DataFrame:
     """H7/H8: slopes plus the two-sided t p-value and the parallel-trend label."""
     s = pretrend_slopes(panel, outcomes, forum, reference, date_col, event_date)
-    s = s.withColumn("p_value", t_pvalue_udf(F.col("t_stat"), F.col("df_resid").cast("double")))
+    s = s.withColumn("p_value", t_two_sided("t_stat", "cast(df_resid as double)"))
     return s.withColumn("verdict", F.when(F.col("p_value") < alpha, F.lit("non-parallel"))
                         .otherwise(F.lit("parallel")))
 

@@ -192,19 +192,20 @@ def q_arm_means_overall(spark, sf):
 
 _QUARTER_PANEL = f"""
 , cp AS (SELECT coalesce(CASE WHEN arm = 'treated' THEN Lang END, forum) AS forum,
-               CAST(year(CreationDate) * 10 + quarter(CreationDate) AS INTEGER) AS wk, avg(score) AS y,
+               CAST(year(CreationDate) * 10 + quarter(CreationDate) AS INTEGER) AS wk, avg(norm_body_length) AS y,
                max(CAST(arm = 'treated' AND CAST(year(CreationDate) * 10 + quarter(CreationDate) AS INTEGER) > 20224 AS DOUBLE)) AS d
-        FROM z WHERE CreationDate IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2)"""
+        FROM z WHERE CreationDate IS NOT NULL AND norm_body_length IS NOT NULL GROUP BY 1, 2)"""
 
 
 def complexity_panel(spark, sf):
-    """Mean complexity by unit (language of the treated forum, or control forum) and quarter,
-    with its regression columns: flags, quarter index, coded group."""
+    """Mean complexity (z-score of the body length: the fixture's control posts all have as
+    many tags, so their composite score is undefined) by unit (language of the treated forum,
+    or control forum) and quarter, with its regression columns: flags, coded group."""
     from ..operators import panel as P
-    m = question_metrics(spark, sf).where(F.col("CreationDate").isNotNull() & F.col("score").isNotNull())
+    m = question_metrics(spark, sf).where(F.col("CreationDate").isNotNull() & F.col("norm_body_length").isNotNull())
     m = m.withColumn("unit", F.when(F.col("arm") == "treated", F.col("Lang")).otherwise(F.col("forum")))
     q = m.groupBy("unit", "arm", year_quarter("CreationDate").alias("quarter")).agg(
-        F.avg("score").alias("y"), F.count("*").alias("n"), F.min(F.to_date("CreationDate")).alias("week_start"))
+        F.avg("norm_body_length").alias("y"), F.count("*").alias("n"), F.min(F.to_date("CreationDate")).alias("week_start"))
     q = q.withColumns({"treated": (F.col("arm") == "treated").cast("int"), "post": (F.col("quarter") > 20224).cast("int")})
     q = q.withColumn("d", (F.col("treated") * F.col("post")).cast("double"))
     return cut_lineage(P.encode_labels(cut_lineage(q), "unit", "unit_id"))

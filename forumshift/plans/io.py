@@ -16,8 +16,8 @@ from .fixtures import ORDERS_EVENT_DATE, ORDERS_TREATED_FORUM
 from .registry import register, rounded
 from .volume import orders_panel, panel_sql
 
-# Columns without line breaks (XML attribute values normalise newlines to blanks).
-XML_COLS = ("Id", "PostTypeId", "CreationDate", "Score", "Tags", "AnswerCount", "CommentCount")
+# All columns of the dump, with the text (markup and line breaks are escaped in attributes).
+XML_COLS = ("Id", "PostTypeId", "CreationDate", "Score", "ViewCount", "Title", "Body", "Tags", "AnswerCount", "CommentCount")
 
 
 def _dump(spark, sf):
@@ -115,3 +115,29 @@ def q_resumable_ingest(spark, sf):
     resumable_ingest(spark, src, dst, ckpt, schema, plan, max_files_per_trigger=2)
     resumable_ingest(spark, src, dst, ckpt, schema, plan, max_files_per_trigger=2)
     return spark.read.parquet(dst)
+
+
+@register("forum_ingest", with_views("SELECT Id, Score, Body, forum FROM posts_docs", "posts_docs"))
+def q_forum_ingest(spark, sf):
+    """One dump per forum, read into one table with a forum column, written
+    partitioned by forum and read back."""
+    base = scratch_path(spark, "forums")
+    posts = docs_posts(spark, sf).select(*XML_COLS, "forum")
+    paths = {}
+    for i, name in enumerate(("Stack Overflow", "Mathematics")):
+        paths[name] = f"{base}/{i}/Posts.xml"
+        IO.write_posts_xml(posts.where(F.col("forum") == name).drop("forum"), paths[name])
+    IO.write_parquet(IO.read_forums(spark, paths, "xml").select("Id", "Score", "Body", "forum"), f"{base}/table", partition_by=("forum",))
+    return spark.read.parquet(f"{base}/table").select("Id", "Score", "Body", "forum")
+
+
+@register("merge_skip_corrupt", with_views("SELECT Id, Score FROM posts_docs WHERE forum = 'Mathematics'", "posts_docs"))
+def q_merge_skip_corrupt(spark, sf):
+    """A part that is no Parquet file is skipped on request, the others are read."""
+    path = scratch_path(spark, "corrupt")
+    posts = docs_posts(spark, sf)
+    IO.write_parquet(posts.where(F.col("forum") == "Mathematics").select("Id", "Score"), f"{path}/part=a")
+    # the other forum's rows as text under a Parquet name: unreadable parts
+    (posts.where(F.col("forum") != "Mathematics").select(F.concat_ws(",", "Id", "Score").alias("value"))
+     .write.format("text").save(f"{path}/part=b"))
+    return IO.read_parquet_merged(spark, path, ignore_corrupt=True, schema=posts.select("Id", "Score").schema).select("Id", "Score")

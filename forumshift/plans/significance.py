@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions.normal import two_sided_sql
 from ..operators import significance as S
 from ..operators import terms as T
 from .fixtures import ORDERS_EVENT_DATE
 from .registry import register, rounded
 from .terms import _PRESENT, corpus_tfidf, tfidf_sql
-from .volume import ORDERS_FORUMS, orders_panel, panel_sql
+from .volume import ORDERS_FORUMS, orders_panel, panel_sql, stored_panel
 
 PRETREND_REFERENCE = "2-HIGH"
 PRETREND_OUTCOMES = ("question_count", "log_question_count", "indexed_count")
@@ -28,7 +29,7 @@ obs AS (SELECT t.term, coalesce(sum(CASE WHEN pre = 1 THEN tfidf END), 0) AS s_p
                coalesce(sum(CASE WHEN pre = 0 THEN tfidf END), 0) AS s_post,
                count(CASE WHEN pre = 1 THEN 1 END) AS nnz_pre, count(CASE WHEN pre = 0 THEN 1 END) AS nnz_post
         FROM tested t LEFT JOIN vals USING (term) GROUP BY t.term),
-blocks AS (SELECT term, round(tfidf, {S.TIE_DIGITS}) AS value, count(CASE WHEN pre = 0 THEN 1 END) AS c_post,
+blocks AS (SELECT term, CASE WHEN tfidf > 0 THEN round(tfidf * pow(10.0, {S.TIE_DIGITS} - ceil(log10(tfidf)))) / pow(10.0, {S.TIE_DIGITS} - ceil(log10(tfidf))) ELSE tfidf END AS value, count(CASE WHEN pre = 0 THEN 1 END) AS c_post,
                   count(CASE WHEN pre = 1 THEN 1 END) AS c_pre FROM vals GROUP BY 1, 2
            UNION ALL
            SELECT term, 0.0, n_post - nnz_post, n_pre - nnz_pre FROM obs, n),
@@ -54,6 +55,18 @@ def q_mannwhitney(spark, sf):
     return rounded(S.mann_whitney(res, tested_terms(res)).select("term", "mw_u", "mw_z"))
 
 
+_MW_P = f"least(1.0, {two_sided_sql('mw_z')})"
+_MWZ = "mwz AS (SELECT term, CASE WHEN var > 0 THEN (abs(u - mu) - 0.5) / sqrt(var) END AS mw_z FROM mw)"
+
+
+@register("mw_pvalue", tfidf_sql(_TESTED_CTES + f"""
+, {_MWZ} SELECT term, round({_MW_P}, 6) AS mw_pvalue FROM mwz"""))
+def q_mw_pvalue(spark, sf):
+    """H2: two-sided p-values of the Mann-Whitney test."""
+    res = corpus_tfidf(spark, sf)
+    return rounded(S.mann_whitney(res, tested_terms(res)).select("term", "mw_pvalue"))
+
+
 @register("term_observed", tfidf_sql(_TESTED_CTES + """
 SELECT term, round(s_pre / n_pre, 6) AS pre_mean, round(s_post / n_post, 6) AS post_mean,
        round(s_post / n_post - s_pre / n_pre, 6) AS difference,
@@ -146,7 +159,14 @@ def q_permutation_exact(spark, sf):
     return rounded(S.permutation_test_exact(res, tested_terms(res), n_perm=1000, seed=0))
 
 
-@register("term_significance")
+@register("term_significance", tfidf_sql(_TESTED_CTES + _PERM_SQL + _PERM_EXACT_SQL + _BOOT_SQL + f"""
+, {_MWZ}
+SELECT o.term, round(s_pre / n_pre, 6) AS pre_mean, round(s_post / n_post, 6) AS post_mean,
+       round(s_post / n_post - s_pre / n_pre, 6) AS difference,
+       round(CASE WHEN s_pre > 0 THEN (s_post / n_post - s_pre / n_pre) / (s_pre / n_pre) * 100.0 END, 6) AS percent_change,
+       round({_MW_P}, 6) AS mw_pvalue, round(perm_pvalue, 6) AS perm_pvalue, round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper,
+       ({_MW_P}) < 0.05 AND perm_pvalue < 0.05 AND ((ci_lower > 0 AND ci_upper > 0) OR (ci_lower < 0 AND ci_upper < 0)) AS significant_05
+FROM obs o JOIN mwz USING (term) JOIN xperm USING (term) JOIN boot USING (term), n"""))
 def q_term_significance(spark, sf):
     """H6: joint significance table (MW p from erfc, permutation p, bootstrap CI)."""
     res = corpus_tfidf(spark, sf)
@@ -157,7 +177,7 @@ _OUT_UNION = " UNION ALL ".join(
     f"SELECT forum, tt, '{o}' AS outcome, CAST({o} AS DOUBLE) AS y FROM r" for o in PRETREND_OUTCOMES)
 
 
-@register("pretrend_slopes", panel_sql(f"""
+_PRETREND = f"""
 , pre AS (SELECT * FROM panel WHERE week_start <= DATE '{ORDERS_EVENT_DATE}'),
 r AS (SELECT *, rank() OVER (PARTITION BY forum ORDER BY week_start)
                 + (count(*) OVER (PARTITION BY forum, week_start) - 1) / 2.0 AS tt FROM pre),
@@ -168,19 +188,32 @@ pooled AS (SELECT outcome, sum(syy - sxy * sxy / sxx) / (sum(n) - 2 * count(*))
                   sum(n) - 2 * count(*) AS df_resid,
                   max(CASE WHEN forum = '{PRETREND_REFERENCE}' THEN slope END) AS ref_slope,
                   max(CASE WHEN forum = '{PRETREND_REFERENCE}' THEN sxx END) AS ref_sxx
-           FROM per GROUP BY outcome)
+           FROM per GROUP BY outcome)"""
+
+
+@register("pretrend_slopes", panel_sql(_PRETREND + f"""
 SELECT outcome, forum, round(slope, 6) AS slope, round(slope - ref_slope, 6) AS interaction,
        round(sqrt(s2 * (1 / sxx + 1 / ref_sxx)), 6) AS se,
        round((slope - ref_slope) / sqrt(s2 * (1 / sxx + 1 / ref_sxx)), 6) AS t_stat,
        CAST(df_resid AS BIGINT) AS df_resid
-FROM per JOIN pooled USING (outcome) WHERE forum <> '{PRETREND_REFERENCE}'""".replace("\n, pre AS", "\n, pre AS", 1)))
+FROM per JOIN pooled USING (outcome) WHERE forum <> '{PRETREND_REFERENCE}'"""))
 def q_pretrend_slopes(spark, sf):
     """Pre-trend interaction slopes vs the reference forum, three outcomes."""
     return rounded(S.pretrend_slopes(orders_panel(spark, sf), PRETREND_OUTCOMES, "forum",
                                      PRETREND_REFERENCE, "week_start", ORDERS_EVENT_DATE))
 
 
-@register("pretrend_test")
+_PT = "(slope - ref_slope) / sqrt(s2 * (1 / sxx + 1 / ref_sxx))"
+
+
+@register("pretrend_test", panel_sql(_PRETREND + f"""
+, s AS (SELECT outcome, forum, slope, slope - ref_slope AS interaction, sqrt(s2 * (1 / sxx + 1 / ref_sxx)) AS se, {_PT} AS t_stat,
+               CAST(df_resid AS BIGINT) AS df_resid FROM per JOIN pooled USING (outcome) WHERE forum <> '{PRETREND_REFERENCE}'),
+s2 AS (SELECT *, {S.t_squared_sql('t_stat', 'cast(df_resid as double)')} AS z2 FROM s),
+s3 AS (SELECT *, {S.t_deviate_sql('z2', 'cast(df_resid as double)')} AS z FROM s2),
+p AS (SELECT *, {two_sided_sql('z')} AS p_value FROM s3)
+SELECT outcome, forum, round(slope, 6) AS slope, round(interaction, 6) AS interaction, round(se, 6) AS se, round(t_stat, 6) AS t_stat,
+       df_resid, round(p_value, 6) AS p_value, CASE WHEN p_value < 0.05 THEN 'non-parallel' ELSE 'parallel' END AS verdict FROM p"""))
 def q_pretrend_test(spark, sf):
     """H7/H8: pre-trend interactions with Student-t p-values and parallel/non-parallel labels."""
     return rounded(S.pretrend_test(orders_panel(spark, sf), PRETREND_OUTCOMES, "forum",
@@ -205,7 +238,7 @@ _CORR_PARTS = " UNION ALL ".join(
 def q_corr_prepost(spark, sf):
     """Pairwise forum correlations of weekly log counts, pre (<=) and post (>)."""
     from ..operators.panel import pivot_wide
-    wide = pivot_wide(orders_panel(spark, sf), "week_start", "forum", ["log_question_count"],
+    wide = pivot_wide(stored_panel(spark, sf), "week_start", "forum", ["log_question_count"],
                       ORDERS_FORUMS)
     cols = [f"log_question_count_{f}" for f in ORDERS_FORUMS]
     return rounded(S.corr_prepost(wide, cols, ORDERS_FORUMS, "week_start", ORDERS_EVENT_DATE))

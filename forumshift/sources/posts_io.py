@@ -44,17 +44,33 @@ def read_posts_xml(spark: SparkSession, path: str, record_tag: str = "row",
     ``.gz`` or ``.bz2`` input is split across tasks by the XML source.
     """
     r = (spark.read.format("xml").option("rowTag", record_tag).option("attributePrefix", "")
-         .option("mode", "PERMISSIVE").option("inferSchema", "false"))
+         .option("mode", "PERMISSIVE").option("inferSchema", "false").option("ignoreSurroundingSpaces", "false"))
     if schema is not None:
         r = r.schema(schema)
     return r.load(path)
 
 
 def write_posts_xml(df: DataFrame, path: str, record_tag: str = "row", root_tag: str = "posts") -> None:
-    """Write rows as ``<row a="…"/>`` attributes (used to build test dumps)."""
-    attrs = df.select(*[F.col(c).cast("string").alias(f"_{c}") for c in df.columns])
-    (attrs.write.format("xml").option("rowTag", record_tag).option("rootTag", root_tag)
-     .option("attributePrefix", "_").mode("overwrite").save(path))
+    """Write rows as ``<row a="..."/>`` lines (used to build test dumps): attribute values
+    with markup, quotes and line breaks as character references, nulls left out, each part a
+    document of its own."""
+    def attribute(c):
+        v = F.col(c).cast("string")
+        for char, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+            v = F.replace(v, F.lit(char), F.lit(ref))
+        return F.concat(F.lit(f' {c}="'), v, F.lit('"'))
+
+    row = F.concat(F.lit(f"  <{record_tag}"), F.concat_ws("", *[attribute(c) for c in df.columns]), F.lit(" />"))
+
+    def framed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [f"<{root_tag}>"]})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])
+        yield pa.RecordBatch.from_pydict({"value": [f"</{root_tag}>"]})
+
+    df.select(row.alias("value")).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", max_rows: int | None = None,
@@ -69,11 +85,13 @@ def write_parquet(df: DataFrame, path: str, codec: str = "zstd", max_rows: int |
     w.parquet(path)
 
 
-def read_parquet_merged(spark: SparkSession, path: str, ignore_corrupt: bool = False) -> DataFrame:
-    """Read part files of differing schema (union of columns); optionally skip
-    unreadable parts."""
-    return (spark.read.option("mergeSchema", "true")
-            .option("ignoreCorruptFiles", "true" if ignore_corrupt else "false").parquet(path))
+def read_parquet_merged(spark: SparkSession, path: str, ignore_corrupt: bool = False,
+                        schema: T.StructType | None = None) -> DataFrame:
+    """Read part files of differing schema (union of columns).  ``ignore_corrupt`` skips
+    unreadable parts; with a given ``schema`` no footer is read before the scan."""
+    r = spark.read.option("ignoreCorruptFiles", "true" if ignore_corrupt else "false").option("pathGlobFilter", "*")
+    r = r.schema(schema) if schema is not None else r.option("mergeSchema", "true")
+    return r.parquet(path)
 
 
 def write_panel(df: DataFrame, path: str, csv: bool = False) -> None:

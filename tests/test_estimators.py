@@ -150,12 +150,25 @@ def test_demeaning_that_does_not_converge_is_an_error(spark):
         D.two_way_demean(df, "u", "t", ["y"], max_iter=4)
 
 
-def test_student_t_pvalues():
-    from forumshift.operators.significance import t_two_sided_p
-    # reference values of the t distribution (two-sided)
-    assert abs(t_two_sided_p(2.0, 10) - 0.07338803477) < 1e-9
-    assert abs(t_two_sided_p(1.96, 1e6) - 0.04999579) < 1e-6
-    assert abs(t_two_sided_p(0.0, 5) - 1.0) < 1e-12
+def test_normal_and_t_tails(spark):
+    """Against the error function and numerical integration of the t density."""
+    import math
+
+    from forumshift.functions.normal import two_sided_sql, upper_tail_sql
+    from forumshift.operators.significance import t_two_sided
+    rows = [(float(z),) for z in (-6.0, -1.0, 0.0, 0.3, 1.96, 5.0, 9.0)]
+    for r in spark.createDataFrame(rows, "z double").selectExpr("z", f"{two_sided_sql('z')} AS p", f"{upper_tail_sql('z')} AS u").collect():
+        assert abs(r.p / math.erfc(abs(r.z) / math.sqrt(2)) - 1) < 1e-6
+        assert abs(r.u / (0.5 * math.erfc(r.z / math.sqrt(2))) - 1) < 1e-6
+
+    def tail(t, n):
+        x = np.linspace(0, t, 200_001)
+        d = np.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi) * (1 + x * x / n) ** (-(n + 1) / 2)
+        return 1 - 2 * np.trapezoid(d, x)
+
+    rows = [(t, n) for t in (0.0, 0.5, 2.0, 3.3) for n in (5, 10, 30, 400)]
+    for r in spark.createDataFrame(rows, "t double, n long").withColumn("p", t_two_sided("t", "cast(n as double)")).collect():
+        assert abs(r.p - tail(r.t, r.n)) < 1e-5
 
 
 def test_twfe_unbalanced_matches_dummy_regression(spark):
