@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lookup import sql_literal
+
 # The default English stop-word list shipped with Spark ML
 # (StopWordsRemover.loadDefaultStopWords("english")), in its natural order.
 ENGLISH_STOP_WORDS = tuple("""
@@ -35,30 +37,59 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_STYLE_RE = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 TAG_RE = r"<[^>]*>"
 EDGE_SPACE_RE = r"^\s+|\s+$"
-# The white-space characters stripped from both ends (ASCII \s).
-WS_CHARS = " \t\n\r\x0b\x0c"
+# The white-space characters stripped from both ends (ASCII \s and the
+# no-break space, which text nodes of markup often consist of).
+WS_CHARS = " \t\n\r\x0b\x0c\xa0"
 WORD_RE = r"[\p{L}\p{N}]+"
 ALPHA_RE = r"^\p{L}+$"
 TFIDF_TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 MATH_RE = r"(?s)\$\$?([^$]+)\$\$?"
-# HTML entities decoded after tag removal (``&amp;`` last).
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&"))
+# A character reference: decimal, hexadecimal or named.
+ENTITY_RE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def named_entities() -> dict[str, dict[str, str]]:
+    """The public HTML table of named references (from the standard library), by first letter."""
+    from html.entities import html5
+
+    out: dict[str, dict[str, str]] = {}
+    for name, text in sorted(html5.items()):
+        if name.endswith(";"):
+            out.setdefault(name[0], {})[name[:-1]] = text
+    return out
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _character(code) -> Column:
+    """The character of a code point as text (null: no such character)."""
+    ok = ((code >= 1) & (code <= 0x10FFFF)) & ~code.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def unescape_entities(col) -> Column:
+    """Character references decoded: decimal, hexadecimal and all named ones.  Unknown names
+    and impossible numbers stay as they are."""
     c = _c(col)
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    table = F.expr("map(" + ", ".join(
+        f"{sql_literal(k)}, map({', '.join(f'{sql_literal(n)}, {sql_literal(t)}' for n, t in names.items())})"
+        for k, names in named_entities().items()) + ")")
+
+    def decoded(ref):
+        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7))
+        named = F.try_element_at(F.try_element_at(table, F.substring(ref, 1, 1)), ref)
+        text = F.when(F.substring(ref, 1, 1) == "#", _character(number.try_cast("long"))).otherwise(named)
+        return F.when(ref.isNotNull(), F.coalesce(text, F.concat(F.lit("&"), ref, F.lit(";"))))
+
+    pieces = F.arrays_zip(F.split(c, ENTITY_RE, -1), F.regexp_extract_all(c, F.lit(ENTITY_RE), F.lit(1)))
+    joined = F.array_join(F.transform(pieces, lambda z: F.concat(z["0"], F.coalesce(decoded(z["1"]), F.lit("")))), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
 
 
 def strip_ws(col) -> Column:
-    """Strip leading/trailing white space (all of ASCII ``\\s``, not only blanks);
+    """Strip leading/trailing white space (``WS_CHARS``, not only blanks);
     a character-set trim, no regex scan over the text."""
     return F.btrim(_c(col), F.lit(WS_CHARS))
 

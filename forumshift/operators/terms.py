@@ -100,18 +100,22 @@ def fit_vocabulary(per_doc: DataFrame, n_docs: int, min_df: int = MIN_DF,
 
 def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
           keep: tuple[str, ...] = ("pre",), min_df: int = MIN_DF, max_df: float = MAX_DF,
-          max_features: int | None = MAX_FEATURES, bigrams: bool = True) -> TfidfResult:
+          max_features: int | None = MAX_FEATURES, bigrams: bool = True,
+          materialize: str = "checkpoint") -> TfidfResult:
     """Fit on all documents with non-null text, transform them, long result.
 
     The per-document term counts are read twice (fit, then transform); they are written to
-    the shared folder, so a lost executor costs no second tokenisation.  With
+    the shared folder, so a lost executor costs no second tokenisation
+    (``materialize="persist"`` caches them on the executors instead, until the caller
+    releases the cache).  With
     ``max_features`` the vocabulary is bounded by it and weighting happens inside the row;
     with ``None`` it is joined on the term.
     """
     tokens = doc_tokens(docs.where(F.col(text).isNotNull()), doc, text, keep)
     n_docs = tokens.count()
     words = frequent_words(tokens, n_docs, min_df, max_df, max_features) if max_features is not None else None
-    per_doc = cut_lineage(doc_terms(tokens, doc, keep, bigrams, words))
+    per_doc = doc_terms(tokens, doc, keep, bigrams, words)
+    per_doc = cut_lineage(per_doc) if materialize == "checkpoint" else per_doc.persist()
     vocab = cut_lineage(fit_vocabulary(per_doc, n_docs, min_df, max_df, max_features))
     all_docs = per_doc.select(doc, *keep)
     if max_features is None:

@@ -15,10 +15,17 @@ def lit(s: str) -> str:
 STOPS = "[" + ", ".join(lit(w) for w in X.ENGLISH_STOP_WORDS) + "]"
 
 
+_NAMED = "MAP {" + ", ".join(f"{lit(n)}: {lit(t)}" for names in X.named_entities().values() for n, t in names.items()) + "}"
+_CODE = "CASE WHEN lower(r[2]) = 'x' THEN TRY_CAST('0x' || substr(r, 3) AS BIGINT) ELSE TRY_CAST(substr(r, 2) AS BIGINT) END"
+_DECODED = (f"coalesce(CASE WHEN r[1] = '#' THEN CASE WHEN ({_CODE}) BETWEEN 1 AND 1114111 AND NOT ({_CODE}) BETWEEN 55296 AND 57343 "
+            f"THEN chr(CAST(({_CODE}) AS INTEGER)) END ELSE map_extract({_NAMED}, r)[1] END, '&' || r || ';')")
+
+
 def unescape(e: str) -> str:
-    for ent, ch in X.ENTITIES:
-        e = f"replace({e}, {lit(ent)}, {lit(ch)})"
-    return e
+    gaps = f"regexp_split_to_array({e}, {lit(X.ENTITY_RE.replace('(#', '(?:#'))})"
+    refs = f"list_append(list_transform(regexp_extract_all({e}, {lit(X.ENTITY_RE)}, 1), lambda r: {_DECODED}), '')"
+    joined = f"array_to_string(list_transform(list_zip({gaps}, {refs}), lambda z: concat(z[1], z[2])), '')"
+    return f"CASE WHEN contains({e}, '&') THEN {joined} ELSE {e} END"
 
 
 WS = " || ".join(f"chr({ord(c)})" for c in X.WS_CHARS)

@@ -149,3 +149,60 @@ def test_tfidf_checkpoint_equals_persist(spark):
     a = T.tfidf(df, min_df=2, max_df=1.0).long.orderBy("doc_id", "term").collect()
     b = T.tfidf(df, min_df=2, max_df=1.0, materialize="checkpoint").long.orderBy("doc_id", "term").collect()
     assert [(r.doc_id, r.term, round(r.tfidf, 12)) for r in a] == [(r.doc_id, r.term, round(r.tfidf, 12)) for r in b]
+
+
+def test_character_references(spark):
+    """Expected texts written out, not taken from the table the code uses."""
+    from forumshift.functions import text as X
+    cases = {
+        "caf&eacute; &#8217;x&#8217; a&ndash;b": "caf\u00e9 \u2019x\u2019 a\u2013b",
+        "&amp;lt; &lt;b&gt; &quot;q&quot; &#39;": "&lt; <b> \"q\" '",
+        "&copy;&middot;&euro;&hellip;&#x1F600;": "\u00a9\u00b7\u20ac\u2026\U0001f600",
+        "&nosuch; &#0; &#xD800; &#9999999; & &amp": "&nosuch; &#0; &#xD800; &#9999999; & &amp",
+        "plain": "plain", "&amp;&amp;": "&&", "": "",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r.t: r.u for r in df.select("t", X.unescape_entities("t").alias("u")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_both_split_modes_agree_on_pages(spark):
+    from forumshift.operators import posts as O
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    a = {r.page_id: r.clean_text for r in O.split_html(pages, "html").collect()}
+    b = {r.page_id: r.clean_text for r in O.split_html(pages, "html", mode="parser").collect()}
+    same = sum(" ".join(a[k].split()) == " ".join(b[k].split()) for k in a)
+    assert same >= 0.95 * len(a)
+
+
+def test_cluster_value_of_shuffle_partitions_stays(spark):
+    from forumshift.session import get_spark, is_local
+    assert is_local("local") and is_local("local[8]")
+    assert not is_local("local-cluster[2,1,1024]") and not is_local("yarn") and not is_local(None)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert get_spark().conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_several_dumps_are_an_error(spark):
+    import pytest
+
+    from forumshift.session import scratch_path
+    from forumshift.sources import posts_io as IO
+    base = scratch_path(spark, "dumps")
+    for name in ("a", "b"):
+        IO.write_posts_xml(spark.createDataFrame([("1", "x\n<y>")], "Id string, Body string"), f"{base}/{name}/Posts.xml")
+    with pytest.raises(ValueError, match="several dumps"):
+        IO.pick_posts_file(spark, f"{base}/*/*")
+    rows = IO.read_forums(spark, {n: f"{base}/{n}/Posts.xml" for n in ("a", "b")}, "xml").select("forum", "Id", "Body").collect()
+    assert sorted(map(tuple, rows)) == [("a", "1", "x\n<y>"), ("b", "1", "x\n<y>")]
+
+
+def test_committed_batches_are_counted(spark):
+    from forumshift.session import scratch_path
+    from forumshift.streaming.resumable import resumable_ingest
+    src, dst, ckpt = (scratch_path(spark, n) for n in ("src", "dst", "ckpt"))
+    spark.range(40).repartition(5).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    assert resumable_ingest(spark, src, dst, ckpt, schema, lambda d: d, max_files_per_trigger=2) == 3
+    assert resumable_ingest(spark, src, dst, ckpt, schema, lambda d: d, max_files_per_trigger=2) in (0, 3)
+    assert spark.read.parquet(dst).count() == 40
