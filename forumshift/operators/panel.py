@@ -175,10 +175,19 @@ def pivot_wide(df: DataFrame, index: str, on: str, values: Sequence[str],
 
 
 def encode_labels(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """1-based code of the sorted distinct labels (small distinct table, joined back)."""
+    """1-based code of the sorted distinct labels, joined back.
+
+    Labels are dealt in ranges; a label's code is its place in its range plus the labels in
+    the ranges before it (one row per range), so no task sorts them all.
+    """
     name = name or f"{col}_id"
-    labels = df.select(col).distinct().where(F.col(col).isNotNull())
-    coded = labels.withColumn(name, F.dense_rank().over(Window.orderBy(col)).cast("int"))
+    labels = df.select(col).where(F.col(col).isNotNull()).distinct()
+    ranged = cut_lineage(labels.repartitionByRange(F.col(col)).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(col))
+    coded = ranged.join(starts, "_range").select(col, (F.col("_start") + inside).cast("int").alias(name))
     return df.join(coded, col, "left")
 
 
