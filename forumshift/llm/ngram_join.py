@@ -7,7 +7,7 @@ it.  Three size-derived bounds keep the product small, all of them exact:
 
 * a linked pair with sizes a <= b overlaps in at least ``ceil(t * b)`` n-grams, so a row
   can only be linked if at least ``ceil(t * size)`` of its n-grams occur in other rows;
-* the same bound on the part of the row with the smallest hashes (30 %) already removes
+* the same bound on the part of the row with the smallest hashes (40 %) already removes
   most rows before their whole sets are exchanged;
 * among a row's n-grams ordered by rarity, only the ``shared - ceil(t * size) + 1``
   rarest shared columns have to be multiplied: a linked pair meets in one of them.
@@ -33,7 +33,7 @@ from .common import (LOWER, U64, as_binary, bit_table, block_count, block_of, bo
 from .components import connected_components
 
 #: share (per cent) of a row's n-grams, beyond those that a link may miss, in the first part
-EXTRA_PCT = 5
+EXTRA_PCT = 15
 #: rows and set entries of a bin, about; columns of one dense product
 BIN_ROWS, BIN_ENTRIES, COLUMNS_AT_ONCE = 256, 200_000, 4096
 
@@ -194,39 +194,35 @@ def shared_columns(t: pa.Table) -> pa.Table:
                      "counts": as_binary([count[i:j] for i, j in zip(cut, end)])})
 
 
-def rarest(pct: int):
-    """The rarest shared columns of each row in which a linked row must meet it."""
+def candidates(pct: int):
+    """Rows that may have a link: their shared columns (``grams``; what others do not hold
+    adds nothing to an overlap) and the rarest of them, in which a linked row must meet."""
     def run(batches):
         for b in batches:
-            g, s, n = [], [], []
+            out = []
             for sig, size, grams, counts in zip(*(b.column(i) for i in range(4))):
                 x = np.frombuffer(b"".join(grams.as_py()), U64)
-                c = np.frombuffer(b"".join(counts.as_py()), np.uint32)
                 k = len(x) - need(size.as_py(), pct) + 1
                 if k > 0:
-                    o = np.lexsort((x, c))[:k]
-                    g.append(x[o])
-                    s.append(np.full(len(o), sig.as_py()))
-                    n.append(np.full(len(o), size.as_py()))
-            if g:
+                    c = np.frombuffer(b"".join(counts.as_py()), np.uint32)
+                    out.append((sig.as_py(), size.as_py(), x[np.lexsort((x, c))[:k]].view(np.int64), np.sort(x)))
+            if out:
+                sig, size, rare, grams = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(g).view(np.int64)), pa.array(np.concatenate(s)),
-                     pa.array(np.concatenate(n))], names=["gram", "sig", "n"])
+                    [pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.list_(pa.int64())), as_binary(grams)],
+                    names=["sig", "n", "rare", "grams"])
     return run
 
 
 def overlaps(pct: int):
-    """Pairs with both sets -> those that are linked."""
+    """Pairs with both rows' shared columns and sizes -> those that are linked."""
     def run(batches):
         for batch in batches:
             a, b, ga, gb = (batch.column(i) for i in range(4))
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(ga[i].as_buffer(), U64)
-                y = np.frombuffer(gb[i].as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * both >= pct * (len(x) + len(y) - both)
-            m = pa.array(ok)
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+            both = np.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), assume_unique=True))
+                             for x, y in zip(ga, gb)], np.int64)
+            m = pa.array(100 * both >= pct * (na + nb - both))
             yield pa.RecordBatch.from_arrays([a.filter(m), b.filter(m)], names=["a", "b"])
     return run
 
@@ -239,11 +235,11 @@ def product(pct: int):
         side = t.column("side").to_numpy() if "side" in t.column_names else np.ones(t.num_rows, np.int64)
         sig, label = t.column("sig").to_numpy(), t.column("label").to_numpy()
         grams = [np.frombuffer(g.as_buffer(), U64) for g in t.column("grams")]
-        size = np.array([len(g) for g in grams])
+        size, held = t.column("n").to_numpy(), np.array([len(g) for g in grams])
         one = np.flatnonzero(side == 1)
         two = np.flatnonzero(side == 2) if (side == 2).any() else one
-        x1, r1 = np.concatenate([grams[i] for i in one]), np.repeat(np.arange(len(one)), size[one])
-        x2, r2 = np.concatenate([grams[i] for i in two]), np.repeat(np.arange(len(two)), size[two])
+        x1, r1 = np.concatenate([grams[i] for i in one]), np.repeat(np.arange(len(one)), held[one])
+        x2, r2 = np.concatenate([grams[i] for i in two]), np.repeat(np.arange(len(two)), held[two])
         both = np.intersect1d(x1, x2)
         if two is one:
             both, n = np.unique(x1, return_counts=True)
@@ -310,7 +306,7 @@ def _clusters(columns: DataFrame) -> DataFrame:
     return rows
 
 
-def _row_links(sets: DataFrame, columns: DataFrame, pct: int, rounds: int) -> DataFrame | None:
+def _row_links(full: DataFrame, pct: int, rounds: int) -> DataFrame | None:
     """Component label of every row that has a link (None: there is none)."""
     def labelled(rows, labels):
         if labels is None:
@@ -327,11 +323,11 @@ def _row_links(sets: DataFrame, columns: DataFrame, pct: int, rounds: int) -> Da
             links = found if links is None else links.union(found)
             labels = connected_components(links)
 
-    full = written(_clusters(columns).join(sets.select("sig", "grams"), "sig"), "clustered")
-    rows = full.select("sig", "n", "cluster")
+    columns = full.select(F.explode("rare").alias("gram"), "sig", "n")
+    rows = _clusters(columns)
     large = (rows.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
              .filter((F.col("c") > BIN_ROWS) | (F.col("s") > BIN_ENTRIES)).select("cluster"))
-    big = full.join(large, "cluster", "left_semi")
+    big = full.select("sig", "grams").join(rows.join(large, "cluster", "left_semi"), "sig")
     for r in range(rounds):  # clusters of several bins: each row with one row of the largest label
         now = labelled(big, labels)
         lead = (now.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("sig", "n", "grams"), F.xxhash64(F.lit(r), "sig")).alias("x"))
@@ -339,14 +335,14 @@ def _row_links(sets: DataFrame, columns: DataFrame, pct: int, rounds: int) -> Da
                 .select("cluster", F.col("y.label").alias("ll"), F.col("y.x.sig").alias("lead"), F.col("y.x.n").alias("ln"), F.col("y.x.grams").alias("lg")))
         near = 100 * F.least("n", "ln") >= pct * F.greatest("n", "ln")
         add(now.join(lead, "cluster").filter((F.col("label") != F.col("ll")) & near)
-            .select(F.col("sig").alias("a"), F.col("lead").alias("b"), F.col("grams").alias("ga"), F.col("lg").alias("gb"))
+            .select(F.col("sig").alias("a"), F.col("lead").alias("b"), F.col("grams").alias("ga"), F.col("lg").alias("gb"), "n", "ln")
             .mapInArrow(overlaps(pct), "a long, b long"))
     # what is left: bins of rows, each with itself, and pairs of bins that may hold a link between labels
     rows = written(_bins(labelled(rows, labels)), "bins")
-    dealt = full.select("sig", "grams").join(rows.select("sig", "label", "bin"), "sig")
+    dealt = full.select("sig", "n", "grams").join(rows.select("sig", "label", "bin"), "sig")
     bins = rows.groupBy("cluster", "bin", "only").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
 
-    alone = (dealt.join(bins.filter("l0 < l1").select("bin"), "bin", "left_semi").select("bin", "sig", "label", "grams")
+    alone = (dealt.join(bins.filter("l0 < l1").select("bin"), "bin", "left_semi").select("bin", "sig", "n", "label", "grams")
              .groupBy("bin").applyInArrow(product(pct), "a long, b long"))
     # pairs of bins of one cluster
     one, two = (bins.select("cluster", F.col("bin").alias(f"bin{i}"), F.col("only").alias(f"only{i}")) for i in (1, 2))
@@ -369,7 +365,7 @@ def _row_links(sets: DataFrame, columns: DataFrame, pct: int, rounds: int) -> Da
     sided = written(by_bin.join(rows, "bin").select("bin1", "bin2", "side", "sig").union(guests.select("bin1", "bin2", F.lit(1).alias("side"), "sig")),
                     "bin-pairs")
     crossed = (sided.join(dealt.join(sided.select("sig").distinct(), "sig", "left_semi"), "sig")
-               .select("bin1", "bin2", "side", "sig", "label", "grams")
+               .select("bin1", "bin2", "side", "sig", "n", "label", "grams")
                .groupBy("bin1", "bin2").applyInArrow(product(pct), "a long, b long"))
     add(alone.union(crossed))
     return labels
@@ -397,13 +393,13 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = written(base.mapInArrow(whole_sets(n, bit_table(maybe, "sig")), "sig long, n long, grams binary")
                    .join(maybe, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
     grams = sets.agg(F.sum("n")).first()[0] or 0
-    columns = written(
+    full = written(
         sets.mapInArrow(deal_sets(block_count(grams * 10)), BLOCK_SCHEMA)
         .groupBy("block").applyInArrow(shared_columns, "sig long, grams binary, counts binary")
         .groupBy("sig").agg(F.collect_list("grams").alias("grams"), F.collect_list("counts").alias("counts"))
         .join(sets.select("sig", "n"), "sig").select("sig", "n", "grams", "counts")
-        .mapInArrow(rarest(pct), "gram long, sig long, n long"), "columns")
-    labels = _row_links(sets, columns, pct, rounds)
+        .mapInArrow(candidates(pct), "sig long, n long, rare array<long>, grams binary"), "candidates")
+    labels = _row_links(full, pct, rounds)
     named = sizes.withColumn("group", F.col("sig"))
     if labels is not None:
         named = (sizes.join(labels.withColumnRenamed("v", "sig"), "sig", "left")
