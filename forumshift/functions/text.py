@@ -116,6 +116,42 @@ def prose_text(html) -> Column:
     return text_nodes_joined(h)
 
 
+# Markup read piece by piece: comments, scripts and styles, tags, text runs.
+PIECE_RE = (r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[a-z/!?][^>]*>"
+            r"|[^<]+")
+# A "<" that begins no markup is text.
+STRAY_RE = r"<(?![a-zA-Z/!?])"
+
+
+def split_nested(html) -> Column:
+    """X1 for nested or unclosed markup: struct of visible text and code blocks.
+
+    One fold over the pieces of the markup keeps the depth of open ``<code>`` elements:
+    nested code belongs to the outermost block, an unclosed block ends with the page.
+    """
+    text, code = F.array().cast("array<string>"), F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("buf"), text.alias("text"), code.alias("code"))
+
+    def step(s, p):
+        tag = p.rlike("(?i)^<[a-z/!?]")
+        opens, closes = p.rlike(r"(?i)^<code[\s/>]"), p.rlike(r"(?i)^</code[\s>]") & (s["depth"] > 0)
+        data = unescape_entities(p)
+        seen = strip_ws(data)
+        return F.struct(
+            F.when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"]).alias("depth"),
+            F.when(opens & (s["depth"] == 0), F.lit("")).when(~tag & (s["depth"] > 0), F.concat(s["buf"], data)).otherwise(s["buf"]).alias("buf"),
+            F.when(~tag & (s["depth"] == 0) & (seen != ""), F.concat(s["text"], F.array(seen))).otherwise(s["text"]).alias("text"),
+            F.when(closes & (s["depth"] == 1), F.concat(s["code"], F.array(s["buf"]))).otherwise(s["code"]).alias("code"))
+
+    def finish(s):
+        return F.struct(F.array_join(s["text"], " ").alias("text"),
+                        F.when(s["depth"] > 0, F.concat(s["code"], F.array(s["buf"]))).otherwise(s["code"]).alias("code"))
+
+    c = _c(html)
+    return F.when(c.isNotNull(), F.aggregate(
+        F.regexp_extract_all(F.regexp_replace(c, STRAY_RE, "&lt;"), F.lit(PIECE_RE), F.lit(0)), start, step, finish))
+
+
 def split_tags(col) -> Column:
     """Strip one leading and one trailing ``|`` then split on ``|``."""
     return F.split(F.regexp_replace(_c(col), r"^[|]|[|]$", ""), "[|]", -1)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.dates import lenient_date
+from ..functions.porter import porter_stem
 
 # Language precedence of the study (first hit wins) and its default group.
 LANGUAGE_RULES = (("python", "Python"), ("r", "R"), ("php", "PHP"))
@@ -61,15 +62,14 @@ def language_group(df: DataFrame, tag_col: str = "tag_list", out: str = "group",
 def split_html(df: DataFrame, col: str = "Body", mode: str = "regex") -> DataFrame:
     """``content`` struct {text, code[]} plus ``clean_text`` / ``code_blocks``.
 
-    ``regex`` mode is fully native; ``parser`` mode runs the stdlib HTML parser in
-    an Arrow-batched pandas UDF for malformed or nested markup.
+    ``regex`` mode takes code blocks by one pattern; ``parser`` mode reads the markup piece
+    by piece and follows nested or unclosed code elements.  Both are column expressions.
     """
     if mode == "regex":
         content = F.struct(X.prose_text(col).alias("text"), X.code_blocks(col).alias("code"))
         content = F.when(F.col(col).isNotNull(), content)
     elif mode == "parser":
-        from ..functions.html_parser import split_html_udf
-        content = split_html_udf(F.col(col))
+        content = X.split_nested(col)
     else:
         raise ValueError("mode must be 'regex' or 'parser'")
     return (df.withColumn("content", content)
@@ -186,12 +186,9 @@ def row_slice(df: DataFrame, offset: int, length: int, order: str = "Id") -> Dat
     return df.orderBy(order).offset(offset).limit(length)
 
 
-
-
 def stem_dictionary(df: DataFrame, col: str) -> DataFrame:
-    """``(token, lemma)`` pairs from the Porter stemmer, computed once per
-    distinct token (a distinct job + Arrow UDF), only where the stem differs."""
-    from ..functions.porter import porter_udf
+    """``(token, lemma)`` pairs of the Porter stemmer, computed once per distinct
+    token (a distinct job, then column expressions), only where the stem differs."""
     vocab = df.select(F.explode_outer(F.split(F.col(col), r"\s+")).alias("token")).where(
         F.col("token").isNotNull() & (F.col("token") != "")).distinct()
-    return vocab.withColumn("lemma", porter_udf("token")).where(F.col("lemma") != F.col("token"))
+    return vocab.withColumn("lemma", porter_stem("token")).where(F.col("lemma") != F.col("token"))

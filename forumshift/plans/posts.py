@@ -197,7 +197,7 @@ def q_mean_text_length(spark, sf):
 
 @register("html_split_parser")
 def q_html_split_parser(spark, sf):
-    """X1 parser mode on raw web pages (stdlib HTML parser in an Arrow UDF)."""
+    """X1 parser mode on raw web pages (nested and unclosed code followed piece by piece)."""
     register_tables(spark, sf, ("pages",))
     df = O.split_html(spark.table("pages"), "html", mode="parser")
     return df.select("page_id", "clean_text", F.array_size("code_blocks").alias("n_code_blocks"))

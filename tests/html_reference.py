@@ -1,18 +1,10 @@
-"""Parser-mode HTML split (X1 variant for malformed or nested markup).
-
-A small stdlib ``html.parser`` helper inside an Arrow-batched pandas UDF: code
-element text (nested code counted once, in the outermost element), visible text
-nodes stripped and joined by a blank; script/style/comments dropped.
-"""
+"""Parser-mode HTML split by the standard library, page by page: what the column
+expression of ``forumshift.functions.text.split_nested`` is tested against."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 SKIP = {"script", "style"}
 
 
@@ -59,11 +51,3 @@ def split_one(html: str | None):
     if p._code_depth:                     # unclosed <code>: keep what was read
         p.code.append("".join(p._buf))
     return {"text": " ".join(p.text), "code": p.code}
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()),
-                             T.StructField("code", T.ArrayType(T.StringType()))]))
-def split_html_udf(html: pd.Series) -> pd.DataFrame:
-    parts = [split_one(h) for h in html]
-    return pd.DataFrame({"text": [None if p is None else p["text"] for p in parts],
-                         "code": [None if p is None else p["code"] for p in parts]})

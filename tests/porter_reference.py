@@ -1,16 +1,8 @@
-"""Porter (1980) suffix-stripping stemmer as a per-word helper.
-
-It runs once per *distinct* word (a distinct-vocabulary job feeds it through an
-Arrow UDF); the result is a ``(token, lemma)`` dictionary applied by join, so
-the work grows with the vocabulary, not with the number of tokens.
-"""
+"""Porter (1980) suffix-stripping stemmer, word by word: what the column expressions of
+``forumshift.functions.porter`` are tested against."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 VOWELS = "aeiou"
 
 # Suffix rules of the published algorithm (M. F. Porter, 1980), in order.
@@ -124,8 +116,3 @@ def porter_stem(word: str) -> str:
     if w.endswith("ll") and _measure(w) > 1:
         w = w[:-1]
     return w
-
-
-@F.pandas_udf(T.StringType())
-def porter_udf(words: pd.Series) -> pd.Series:
-    return words.map(lambda s: None if s is None else porter_stem(s))

@@ -129,7 +129,7 @@ def test_parser_mode_matches_regex_on_clean_markup(spark):
 
 
 def test_porter_published_examples():
-    from forumshift.functions.porter import porter_stem
+    from porter_reference import porter_stem
     cases = {"caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat",
              "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled",
              "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl",
@@ -206,3 +206,31 @@ def test_committed_batches_are_counted(spark):
     assert resumable_ingest(spark, src, dst, ckpt, schema, lambda d: d, max_files_per_trigger=2) == 3
     assert resumable_ingest(spark, src, dst, ckpt, schema, lambda d: d, max_files_per_trigger=2) in (0, 3)
     assert spark.read.parquet(dst).count() == 40
+
+
+def test_stems_equal_the_word_by_word_algorithm(spark):
+    import random
+
+    from porter_reference import porter_stem as reference
+
+    from forumshift.functions.porter import porter_stem
+    rng = random.Random(7)
+    ends = ["", "s", "ies", "sses", "ed", "eed", "ing", "ational", "izer", "iveness", "ement", "ion", "tion", "e", "ll", "y", "yed", "ying", "ate", "icate"]
+    words = {"".join(rng.choice("abcdeilnorstuvyz") for _ in range(rng.randrange(1, 7))) + rng.choice(ends) for _ in range(3000)}
+    words |= {"caresses", "ponies", "ties", "agreed", "plastered", "motoring", "hopping", "falling", "hissing", "filing", "happy", "sky",
+              "relational", "digitizer", "h1n1s", "r2", "caf\u00e9s", "yyy", "cyyed", "a", "oed"}
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", porter_stem("w").alias("s")).collect()}
+    assert {w: s for w, s in got.items() if s != reference(w)} == {}
+
+
+def test_nested_split_equals_a_page_by_page_parser(spark):
+    from html_reference import split_one
+
+    from forumshift.functions import text as X
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    pages += ["<p>a<code>x <b>y</b> <code>in</code> z</code>b</p>", "t <code>open &lt;c&gt;", "</code>x<code></code>", "a < b &amp; c <i>d</i>",
+              "<script>var a='<p>no</p>';</script>yes<style>p{}</style><!-- <b>no</b> -->end", "", "plain", "<CODE class='x'>U</CODE>v", None]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string").select("i", X.split_nested("h").alias("s")).collect()
+    for r in got:
+        want = split_one(pages[r.i])
+        assert (None if r.s is None else {"text": r.s.text, "code": list(r.s.code)}) == want, pages[r.i]
