@@ -145,6 +145,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.expr("uuid()").alias("row")), "spans")
     free = found.withColumn("x", F.explode(F.expr(
         "filter(tokens, x -> not exists(base, b -> b.s < x.e and x.s < b.e))"))).select("row", "x.*")
+    free = free.filter(F.length(F.regexp_replace("token", "=+$", "")) >= TOKEN_LEAST)  # padding does not count
     tested = written(token_tests(free).withColumn("band", F.floor(F.log2("n")).cast("int"))
                      .select("row", "s", "e", "encoding", "n", "band", "p_random", "p_text"), "tokens")
     limits = band_thresholds(tested)
@@ -166,12 +167,75 @@ def joined(spans):
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))))
 
 
+def _sql() -> str:
+    """The same spans in DuckDB: patterns, tests, threshold."""
+    from forumshift.functions.normal import two_sided_sql as two, upper_tail_sql as upper
+
+    def lit(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    def matches(name, k, pattern, group, least):
+        return f"""
+{name} AS (SELECT rid, {k} AS k, x, s, s + length(x) AS e FROM (
+  SELECT rid, m[i] AS x, g[i] AS grp, list_sum(list_transform(gaps[1:i], lambda z: length(z)))
+         + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS s
+  FROM (SELECT rid, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT rid, regexp_extract_all(t, {lit(pattern)}) AS m, regexp_extract_all(t, {lit(pattern)}, {group}) AS g,
+           regexp_split_to_array(t, {lit(pattern)}) AS gaps FROM d WHERE regexp_matches(t, {lit(pattern)}))))
+  WHERE length(grp) >= {least})"""
+
+    parts = [matches(f"k{i}", i, p.replace('\\"', '"'), g, least) for i, (_, p, g, least) in enumerate(KINDS)]
+    enc = "CASE " + " ".join(f"WHEN translate(body, {lit(a)}, '') = '' THEN {lit(e)}" for e, a in ENCODINGS) + " ELSE 'none' END"
+    alpha = "CASE encoding " + " ".join(f"WHEN {lit(e)} THEN {lit(a)}" for e, a in ENCODINGS) + " ELSE '' END"
+    kind = "CASE WHEN regexp_matches(c, '[a-z]') THEN 1 WHEN regexp_matches(c, '[A-Z]') THEN 2 WHEN regexp_matches(c, '[0-9]') THEN 3 ELSE 4 END"
+    q = TEXT_SWITCH
+    names = "CASE k " + " ".join(f"WHEN {i} THEN {lit(n)}" for i, (n, *_) in enumerate(KINDS)) + f" ELSE {lit(KEY_KIND)} END"
+    n_kind = ", ".join(f"count(CASE WHEN k = {i} THEN 1 END) AS n_{n}" for i, (n, *_) in enumerate(KINDS))
+    changes = "list_sum(list_transform(range(1, n), lambda i: CASE WHEN {0}[i] = {0}[i + 1] THEN 0 ELSE 1 END))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),{','.join(parts)},
+{matches('tk', 9, TOKEN, 0, TOKEN_LEAST).strip()},
+base AS (SELECT rid, k, s, e FROM k0 UNION ALL SELECT rid, k, s, e FROM k1 UNION ALL SELECT rid, k, s, e FROM k2),
+free AS (SELECT rid, s, e, regexp_replace(x, '=+$', '') AS body FROM tk
+         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tk.rid AND b.s < tk.e AND tk.s < b.e) AND length(regexp_replace(x, '=+$', '')) >= {TOKEN_LEAST}),
+f1 AS (SELECT *, CAST(length(body) AS BIGINT) AS n, {enc} AS encoding FROM free),
+f2 AS (SELECT *, {alpha} AS alphabet FROM f1),
+f3 AS (SELECT *, length(alphabet) AS size, list_transform(string_split(body, ''), lambda c: CAST(instr(alphabet, c) - 1 AS DOUBLE)) AS code,
+              list_transform(string_split(body, ''), lambda c: {kind}) AS class,
+              coalesce(list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(n - length(replace(body, c, '')), 2))), 0) AS squares FROM f2),
+f4 AS (SELECT *, squares * size / n - n AS chi2, CAST(size - 1 AS DOUBLE) AS df, list_transform(code, lambda x: CASE WHEN x >= size / 2.0 THEN 1 ELSE 0 END) AS high,
+              list_sum(code) / n AS mean, {changes.format('class')} / (n - 1.0) AS rate FROM f3),
+f5 AS (SELECT *, (pow(greatest(chi2 / df, 0), 1 / 3.0) - (1 - 2 / (9 * df))) / sqrt(abs(2 / (9 * df))) AS z_chi, CAST(list_sum(high) AS DOUBLE) AS n1,
+              1 + {changes.format('high')} AS runs, list_sum(list_transform(code, lambda x: (x - mean) * (x - mean))) AS spread,
+              list_sum(list_transform(range(1, n), lambda i: (code[i] - mean) * (code[i + 1] - mean))) AS lag FROM f4),
+f6 AS (SELECT *, 2 * n1 * (n - n1) / n + 1 AS runs_mean FROM f5),
+f7 AS (SELECT *, (runs_mean - 1) * (runs_mean - 2) / (n - 1.0) AS runs_var FROM f6),
+f8 AS (SELECT *, CASE WHEN runs_var > 0 THEN (runs - runs_mean) / sqrt(runs_var) END AS z_runs, CASE WHEN spread > 0 THEN lag / spread * sqrt(n) END AS z_lag FROM f7),
+f9 AS (SELECT rid, s, e, encoding, n, CAST(floor(log2(n)) AS INTEGER) AS band,
+              least(1, 3 * least({upper('z_chi')}, CASE WHEN z_runs IS NULL THEN pow(2e0, 1 - n) ELSE {two('z_runs')} END, CASE WHEN z_lag IS NULL THEN 0 ELSE {two('z_lag')} END)) AS p_random,
+              CASE WHEN rate > {q} THEN exp(-(n - 1) * (rate * ln(rate / {q}) + CASE WHEN rate < 1 THEN (1 - rate) * ln((1 - rate) / {1 - q}) ELSE 0 END)) ELSE 1 END AS p_text
+       FROM f8),
+cells AS (SELECT band, least(floor(-log10(greatest(p_text, 1e-300)) * {GRID}), {GRID * DECADES}) AS cell, count(*) AS c FROM f9 GROUP BY 1, 2),
+ranked AS (SELECT band, pow(10.0, -cell / {GRID}) AS top, sum(c) OVER (PARTITION BY band ORDER BY cell DESC) AS r, sum(c) OVER (PARTITION BY band) AS m FROM cells),
+limits AS (SELECT band, max(top) AS lim FROM ranked WHERE top * m <= {FDR} * r GROUP BY 1),
+keys AS (SELECT rid, {len(KINDS)} AS k, s, e FROM f9 JOIN limits USING (band) WHERE encoding NOT IN ('decimal', 'none') AND p_random >= {ALPHA} AND p_text <= lim),
+every AS (SELECT rid, k, s, e, {names} || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM keys)),
+per AS (SELECT rid, {n_kind}, string_agg(x, ',' ORDER BY s, k) FILTER (k < {len(KINDS)}) AS base, string_agg(x, ',' ORDER BY s, k) AS spans FROM every GROUP BY 1)
+SELECT doc_id, {', '.join(f'coalesce(n_{n}, 0) AS n_{n}' for n, *_ in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (rid)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
-    r = find_secrets(table(spark, sf_dir, "documents"))
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def digest(r: DataFrame) -> DataFrame:
+    """Counts, base checksum and joined spans of ``find_secrets``' rows."""
     count = {k: F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) AS n_{k}") for k, *_ in KINDS}
     return r.select("doc_id", *count.values(), F.sha2(joined(F.filter("spans", lambda x: x.kind != KEY_KIND)), 256).alias("base_sha256"),
                     joined(F.col("spans")).alias("spans"))
 
 
-QUERY = LlmQuery("op4_secret_scan", query, None)
+QUERY = LlmQuery("op4_secret_scan", query, _sql())
