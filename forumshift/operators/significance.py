@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import two_sided_sql
+from ..session import cut_lineage
 from .terms import TfidfResult, term_values
 
 TWO52 = float(2 ** 52)
@@ -171,27 +172,35 @@ def exact_thresholds(res: TfidfResult, n_perm: int, seed: int, doc: str = "doc_i
     """Per replicate, the n_pre-th smallest (uniform, doc) pair - the cut that
     labels exactly n_pre documents 'pre' (an exact permutation of the labels).
 
-    Distributed selection, no per-replicate sort of all documents: (1) bucket
-    counts per (rep, bucket) by partial aggregation; (2) the bucket holding the
-    n_pre-th value, from a running sum over the (rep, bucket) table; (3) a window
-    over that bucket only.
+    Distributed selection in one pass over documents x replicates: the cut lies close to
+    n_pre / N, so a partial aggregate counts the uniforms below a band around it and keeps
+    only the pairs inside; the cut is a rank in the band.  If a replicate's cut is outside,
+    the band is widened and the pass repeated - nothing is cut off.
     """
     c = period_counts(res, period).first()
-    k = int(c["n_pre"] or 0)
-    # about 1000 documents a bucket, so a replicate's window does not grow with the corpus
-    buckets = max(16, ((c["n_pre"] or 0) + (c["n_post"] or 0)) // 1000)
-    u = uniform(seed, F.col("rep"), F.col(doc))
-    reps = with_replicates(res.docs.select(doc), n_perm).withColumn("u", u)
-    reps = reps.withColumn("b", F.least(F.floor(F.col("u") * buckets), F.lit(buckets - 1)).cast("int"))
-    counts = reps.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("rep").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    cum = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
-    target = cum.where((F.col("before") < k) & (F.col("upto") >= k)).select(
-        "rep", "b", (F.lit(k) - F.col("before")).alias("kk"))
-    inb = reps.join(target, ["rep", "b"])
-    rn = F.row_number().over(Window.partitionBy("rep").orderBy("u", doc))
-    return (inb.withColumn("rn", rn).where(F.col("rn") == F.col("kk"))
-               .select("rep", F.col("u").alias("u_cut"), F.col(doc).alias("doc_cut")))
+    k, n = int(c["n_pre"] or 0), int((c["n_pre"] or 0) + (c["n_post"] or 0))
+    reps = with_replicates(res.docs.select(doc), n_perm).withColumn("u", uniform(seed, F.col("rep"), F.col(doc)))
+    if k == 0:
+        return reps.where("false").select("rep", F.col("u").alias("u_cut"), F.col(doc).alias("doc_cut"))
+    share = k / n
+    half = 6.0 * math.sqrt(share * (1 - share) / n) + 2.0 / n
+    while True:
+        lo, hi = share - half, share + half
+        side = F.when(F.col("u") < lo, -1).when(F.col("u") >= hi, 1).otherwise(0)
+        cells = cut_lineage(reps.withColumn("side", side)
+                            .groupBy("rep", "side", F.when(F.col("side") == 0, F.col("u")).alias("u"),
+                                     F.when(F.col("side") == 0, F.col(doc)).alias("d"))
+                            .agg(F.count(F.lit(1)).alias("n")))
+        per = cells.groupBy("rep").agg(F.sum(F.when(F.col("side") < 0, F.col("n")).otherwise(0)).alias("below"),
+                                       F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("inside"))
+        if (lo < 0 and hi > 1) or per.where((F.col("below") >= k) | (F.col("below") + F.col("inside") < k)).isEmpty():
+            break
+        half *= 4
+    upto = F.sum("n").over(Window.partitionBy("rep").orderBy("u", "d").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = (cells.where("side = 0").withColumn("upto", upto).join(per.select("rep", "below"), "rep")
+              .withColumn("upto", F.col("upto") + F.col("below")))
+    return (ranked.where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
+            .select("rep", F.col("u").alias("u_cut"), F.col("d").alias("doc_cut")))
 
 
 def permutation_test_exact(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.dates import as_timestamp, lenient_timestamp
 from ..operators import posts as O
 from ..operators.panel import BOUNDARIES, period_split
@@ -113,6 +114,17 @@ def q_normalise_text(spark, sf):
     return processed(spark, sf).select("Id", "processed_text")
 
 
+def _with_stops(e: str) -> str:
+    return f"array_to_string(regexp_extract_all({e}, {Q.lit(X.WORD_RE)}, 0), ' ')"
+
+
+@register("normalise_text_all", processed_sql(f"SELECT Id, {_with_stops(Q.clean_lower('clean_text'))} AS processed_text FROM p"))
+def q_normalise_text_all(spark, sf):
+    """X8 with stop words kept: all word tokens."""
+    p = O.normalise_text(processed(spark, sf), remove_stops=False)
+    return p.select("Id", "processed_text")
+
+
 @register("lemma_join", processed_sql("""
 , toks AS (SELECT Id, unnest(range(1, len(string_split_regex(processed_text, '\\s+')) + 1)) AS pos,
                   unnest(string_split_regex(processed_text, '\\s+')) AS token

@@ -234,3 +234,19 @@ def test_nested_split_equals_a_page_by_page_parser(spark):
     for r in got:
         want = split_one(pages[r.i])
         assert (None if r.s is None else {"text": r.s.text, "code": list(r.s.code)}) == want, pages[r.i]
+
+
+def test_correlations_drop_rows_with_nan(spark):
+    from forumshift.operators import significance as S
+    rows = [(f"2022-01-{d:02d}", float(d), float(2 * d)) for d in range(1, 10)] + [("2022-01-10", float("nan"), 1.0), ("2022-01-11", None, 5.0)]
+    df = spark.createDataFrame(rows, "d string, a double, b double").selectExpr("cast(d as date) as d", "a", "b")
+    got = {r.period: r["corr"] for r in S.corr_prepost(df, ["a", "b"], ["a", "b"], "d", "2022-12-31").collect()}
+    assert abs(got["pre"] - 1.0) < 1e-12 and got["post"] is None
+
+
+def test_pretrend_reference_defaults_to_the_first_forum(spark):
+    from forumshift.operators import significance as S
+    rows = [(f, f"2022-01-{d:02d}", float(d * k + d % 3)) for k, f in enumerate(("x", "y", "z")) for d in range(1, 15)]
+    df = spark.createDataFrame(rows, "forum string, week_start string, y double").selectExpr("forum", "cast(week_start as date) as week_start", "y")
+    got = {r.forum: r.interaction for r in S.pretrend_slopes(df, ["y"]).collect()}
+    assert set(got) == {"y", "z"} and abs(got["y"] - 1) < 0.05 and abs(got["z"] - 2) < 0.05
