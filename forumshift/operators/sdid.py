@@ -39,6 +39,8 @@ TWO52 = float(2 ** 52)
 # Week bands of the published event-study table.
 EVENT_BANDS = ((1, 4), (5, 12), (13, 24), (25, 36), (37, 48), (49, 60), (61, 65))
 KEY = ["experiment", "aid"]
+#: a covariate with less residual than this share of the outcome's has no say
+ABSORBED_SHARE = 1e-9
 WEIGHTS = "experiment string, aid string, kind string, unit string, t int, value double"
 
 
@@ -75,7 +77,7 @@ def check_panel(base: DataFrame) -> None:
         raise ValueError("; ".join(f"panel {r['experiment']!r} {r['why']}" for r in bad))
 
 
-def _indexed(base: DataFrame) -> DataFrame:
+def _indexed(base: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Adds ``t`` (period number from 0), ``t0`` (number of pre-periods) and ``treated``.
     Periods are ranked within their experiment on the distinct (experiment, period) table."""
     w = Window.partitionBy("experiment").orderBy("time")
@@ -83,7 +85,7 @@ def _indexed(base: DataFrame) -> DataFrame:
     start = base.where("d > 0").groupBy("experiment").agg(F.min("time").alias("time")).join(times, ["experiment", "time"])
     arms = base.groupBy("experiment", "unit").agg(F.max(F.when(F.col("d") > 0, 1).otherwise(0)).alias("treated"))
     return (base.join(times, ["experiment", "time"]).join(start.select("experiment", F.col("t").alias("t0")), "experiment")
-            .join(arms, ["experiment", "unit"]).select("experiment", "unit", "time", "t", "t0", "treated", "y"))
+            .join(arms, ["experiment", "unit"]).select("experiment", "unit", "time", "t", "t0", "treated", "y", *extra))
 
 
 def assignments(units: DataFrame, vce: str, reps: int, seed: int) -> DataFrame:
@@ -228,14 +230,17 @@ def _moments(cells: DataFrame, assigned: DataFrame, method: str) -> DataFrame:
 def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str, method: str = "sdid",
               vce: str = "none", reps: int = 100, seed: int = 123, covariates: Sequence[str] = (),
               experiment: str | None = None, max_iter: int = 10_000, tol: float | None = None,
-              num_iter_no_change: int = 1) -> SdidRuns:
+              num_iter_no_change: int = 1, covariate_form: str = "projected") -> SdidRuns:
     """Weights and per-period effects of the estimate (``rep`` 0) and its replicates.
 
     ``method``: ``sdid`` (unit and time weights, ridge), ``sc`` (unit weights, no intercept,
-    no ridge, no time weights) or ``did`` (uniform weights).  ``covariates`` (C13,
-    "projected"): the outcome is first residualised on them within untreated cells.
-    Replicates are made only if ``vce`` asks for them.
+    no ridge, no time weights) or ``did`` (uniform weights).  ``covariates`` (C13) adjust the
+    outcome first: ``projected`` residualises it on them within untreated cells,
+    ``optimized`` finds coefficients jointly with the estimate's weights.  Replicates use the
+    adjusted outcome and are made only if ``vce`` asks for them.
     """
+    if covariate_form not in ("projected", "optimized"):
+        raise ValueError("covariate_form must be 'projected' or 'optimized'")
     if method not in ("sdid", "sc", "did"):
         raise ValueError("method must be 'sdid', 'sc' or 'did'")
     base = panel.select((F.col(experiment).cast("string") if experiment else F.lit("all")).alias("experiment"),
@@ -244,9 +249,12 @@ def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
                         *[F.col(c).cast("double").alias(c) for c in covariates])
     base = cut_lineage(base)  # the panel is small; the facts are read once
     check_panel(base)
-    if covariates:
+    if covariates and covariate_form == "projected":
         base = project_covariates(base, covariates)
-    cells = cut_lineage(_indexed(base))
+    solve = _solve(method, max_iter, tol, num_iter_no_change)
+    cells = cut_lineage(_indexed(base, covariates if covariate_form == "optimized" else ()))
+    if covariates and covariate_form == "optimized":
+        cells = optimise_covariates(cells, covariates, method, solve)
     units = cells.select("experiment", "unit", "treated").distinct()
     drawn = assignments(units, vce, reps, seed)
     # equal assignments share an id
@@ -263,8 +271,7 @@ def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
                                                   F.col("t").cast("int").alias("t"), (F.lit(1.0) / F.col("t0")).alias("value"))
         weights = omega.unionByName(lam)
     else:
-        weights = _moments(cells, assigned, method).groupBy(*KEY).applyInPandas(
-            _solve(method, max_iter, tol, num_iter_no_change), WEIGHTS)
+        weights = _moments(cells, assigned, method).groupBy(*KEY).applyInPandas(solve, WEIGHTS)
     weights = cut_lineage(weights)
     return SdidRuns(weights, cut_lineage(_effects(cells, assigned, weights, method)), reps_)
 
@@ -318,6 +325,73 @@ def project_covariates(base: DataFrame, covariates: Sequence[str]) -> DataFrame:
     return base.withColumn("y", adj)
 
 
+def optimise_covariates(cells: DataFrame, covariates: Sequence[str], method: str, solve, rounds: int = 40,
+                        tol: float = 1e-7) -> DataFrame:
+    """Adjust y by coefficients that minimise the weight problems' residuals jointly with the
+    weights of the estimate, by alternation: given coefficients the weights are solved as
+    usual; given weights the coefficients are a k x k least-squares problem per experiment
+    whose products are Spark sums.  Raises if the coefficients do not settle."""
+    if method == "did":
+        raise ValueError("uniform weights leave nothing to optimise: use the projected form")
+    names = ["y", *covariates]
+    units = cells.select("experiment", "unit", "treated").distinct()
+    assigned = cut_lineage(units.select("experiment", F.lit("estimate").alias("aid"), "unit", F.lit(1).alias("copies"), "treated"))
+    long = cut_lineage(cells.select("experiment", "unit", "t", "t0", "treated", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("x")) for c in names])).alias("v")).select("experiment", "unit", "t", "t0", "treated", "v.*"))
+    n1 = units.groupBy("experiment").agg(F.sum("treated").alias("n1"))
+    beta, previous = None, None
+
+    def adjusted(b):
+        if b is None:
+            return cells
+        by = b.groupBy("experiment").pivot("name", list(covariates)).agg(F.first("beta")).withColumnsRenamed({c: f"_b_{c}" for c in covariates})
+        out = cells.join(by, "experiment", "left")
+        y = F.col("y")
+        for c in covariates:
+            y = y - F.coalesce(F.col(f"_b_{c}"), F.lit(0.0)) * F.col(c)
+        return out.withColumn("y", y).select(cells.columns)
+
+    def normal_equations(pdf: pd.DataFrame) -> pd.DataFrame:
+        exp = pdf["experiment"].iloc[0]
+        A = pdf.pivot(index="a", columns="b", values="v").reindex(index=names, columns=names).to_numpy(dtype=float)
+        d = np.sqrt(np.maximum(np.diag(A)[1:], 0.0))
+        ok = d > ABSORBED_SHARE * np.sqrt(max(A[0, 0], 1e-300))
+        b = np.zeros(len(covariates))
+        if ok.any():
+            s = 1 / d[ok]
+            b[ok] = np.linalg.lstsq(A[1:, 1:][np.ix_(ok, ok)] * np.outer(s, s), A[1:, 0][ok] * s, rcond=None)[0] * s
+        return pd.DataFrame({"experiment": exp, "name": list(covariates), "beta": b})
+
+    for _ in range(rounds):
+        weights = cut_lineage(_moments(adjusted(beta), assigned, method).groupBy(*KEY).applyInPandas(solve, WEIGHTS))
+        omega = weights.where("kind = 'omega'").select("experiment", "unit", F.col("value").alias("w"))
+        # unit problem: treated mean less synthetic control, per pre-period, about its mean
+        coef = units.join(omega, ["experiment", "unit"], "left").join(n1, "experiment").select(
+            "experiment", "unit", F.when(F.col("treated") == 1, 1.0 / F.col("n1")).otherwise(-F.coalesce("w", F.lit(0.0))).alias("w"))
+        over_t = (long.where("t < t0").join(coef, ["experiment", "unit"]).groupBy("experiment", "name", "t")
+                  .agg(F.sum(F.col("w") * F.col("x")).alias("r")).select("experiment", "name", F.concat(F.lit("t"), "t").alias("i"), F.lit("t").alias("part"), "r"))
+        parts = over_t
+        if method == "sdid":
+            lam = weights.where("kind = 'lambda'").select("experiment", "t", F.col("value").alias("w"))
+            post = long.where("treated = 0 and t >= t0").groupBy("experiment", "unit", "name").agg(F.avg("x").alias("m"))
+            pre = (long.where("treated = 0").join(lam, ["experiment", "t"]).groupBy("experiment", "unit", "name").agg(F.sum(F.col("w") * F.col("x")).alias("l")))
+            parts = parts.unionByName(pre.join(post, ["experiment", "unit", "name"]).select(
+                "experiment", "name", F.concat(F.lit("u"), "unit").alias("i"), F.lit("u").alias("part"), (F.col("l") - F.col("m")).alias("r")))
+        about = Window.partitionBy("experiment", "name", "part")
+        centre = F.avg("r").over(about) if method == "sdid" else F.lit(0.0)
+        parts = cut_lineage(parts.withColumn("r", (F.col("r") - centre) / F.sqrt(F.count("*").over(about))))
+        a = parts.select("experiment", "part", "i", F.col("name").alias("a"), F.col("r").alias("ra"))
+        b = parts.select("experiment", "part", "i", F.col("name").alias("b"), F.col("r").alias("rb"))
+        products = a.join(b, ["experiment", "part", "i"]).groupBy("experiment", "a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("v"))
+        previous, beta = beta, cut_lineage(products.groupBy("experiment").applyInPandas(normal_equations, "experiment string, name string, beta double"))
+        if previous is not None:
+            moved = beta.join(previous.withColumnRenamed("beta", "was"), ["experiment", "name"]).agg(
+                F.max(F.abs(F.col("beta") - F.col("was")) / (1 + F.abs("beta")))).first()[0]
+            if (moved or 0.0) < tol:
+                return cut_lineage(adjusted(beta))
+    raise ValueError(f"covariate coefficients did not settle in {rounds} rounds")
+
+
 # ---- summaries ------------------------------------------------------------------------
 
 def _by_rep(runs: SdidRuns) -> DataFrame:

@@ -292,6 +292,13 @@ def q_sdid_convergence(spark, sf):
     return SD.convergence(sdid_runs(spark, sf, vce="placebo"))
 
 
+@register("sdid_optimized")
+def q_sdid_optimized(spark, sf):
+    """SDID over the seven groups with a covariate optimized jointly with the weights."""
+    runs = SD.sdid_runs(filled_groups(spark, sf), "group", "wk", "y", "d", covariates=["x"], covariate_form="optimized")
+    return SD.summarize_att(runs, "sdid_optimized")
+
+
 # With uniform weights everything after the weights has a closed form in SQL.
 _UNIFORM = (f"CAST(('0x' || substr(md5('{SDID_SEED}:' || rep || ':' || forum), 1, 13)) AS BIGINT) / {2 ** 52}.0::DOUBLE")
 _UNIFORM_CTES = f"""

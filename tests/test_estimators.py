@@ -108,6 +108,17 @@ def test_sdid_matches_dense_matrices(spark):
         assert np.allclose([effects[rep][t] for t in range(24)], want, atol=1e-9)
 
 
+def test_optimized_covariates_come_back(spark):
+    Y, tr, t0 = _additive_panel(n_units=7)
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=Y.shape)
+    rows = [(f"u{i}", t, float(Y[i, t] + 2 * X[i, t]), 1.0 if (tr[i] and t >= t0) else 0.0, float(X[i, t]), float(t % 3))
+            for i in range(Y.shape[0]) for t in range(Y.shape[1])]
+    df = spark.createDataFrame(rows, "unit string, t int, y double, d double, x double, season double")
+    runs = SD.sdid_runs(df, "unit", "t", "y", "d", covariates=["x", "season"], covariate_form="optimized")
+    assert abs(SD.summarize_att(runs, "optimized").first().att + 0.5) < 1e-4
+
+
 def test_bad_designs_are_errors(spark):
     Y, _, t0 = _additive_panel()
     three = _panel(spark, Y, [True] * 3 + [False] * 3, t0)
