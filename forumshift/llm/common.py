@@ -205,3 +205,13 @@ def bit_table(keys: DataFrame, col: str) -> np.ndarray:
 def in_bit_table(filled: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h.astype(U64) & U64(len(filled) * 64 - 1)
     return (filled[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+
+def hits(df: DataFrame, col: str, filled: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose hash column passes the bit table (or certainly is not in it)."""
+    def run(batches):
+        for b in batches:
+            m = in_bit_table(filled, b.column(col).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(m if inside else ~m))
+
+    return df.mapInArrow(run, df.schema)

@@ -9,7 +9,7 @@ it.  Three size-derived bounds keep the product small, all of them exact:
   can only be linked if at least ``ceil(t * size)`` of its n-grams occur in other rows;
 * the same bound on the part of the row with the smallest hashes (40 %) already removes
   most rows before their whole sets are exchanged;
-* among a row's n-grams ordered by rarity, only the ``shared - ceil(t * size) + 1``
+* among a row's n-grams ordered by rarity (counts up to ``COMMON``, then by hash), only the ``shared - ceil(t * size) + 1``
   rarest shared columns have to be multiplied: a linked pair meets in one of them.
 
 Rows that meet are multiplied by their whole sets.  Rows of one group of near copies all
@@ -22,18 +22,24 @@ found; no link between different components is lost.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import LlmQuery
-from .common import (LOWER, U64, as_binary, bit_table, block_count, block_of, bounded_batches, in_bit_table, mix,
-                     table, text_buffer, windows, word_hashes, word_spans, written)
+from .common import (LOWER, U64, as_binary, bit_table, block_count, block_of, bounded_batches, hits, in_bit_table,
+                     mix, table, text_buffer, windows, word_hashes, word_spans, written)
 from .components import connected_components
 
 #: share (per cent) of a row's n-grams, beyond those that a link may miss, in the first part
 EXTRA_PCT = 15
+#: a column is common from so many rows on; ranks of rarity stop there
+COMMON = 50
+#: rows, or set entries, that are dealt together
+DEAL_ROWS, DEAL_ENTRIES = 5000, 4_000_000
 #: rows and set entries of a bin, about; columns of one dense product
 BIN_ROWS, BIN_ENTRIES, COLUMNS_AT_ONCE = 256, 200_000, 4096
 
@@ -77,26 +83,48 @@ def extra(n):
     return np.maximum(1, n * EXTRA_PCT // 100)
 
 
-def _blocks(x, owner, sig, n, blocks):
-    """Rows (block, sigs, sizes, hashes, local row) of a sorted incidence part."""
-    b = block_of(x, blocks)
-    order = np.argsort(b, kind="stable")
-    x, owner, b = x[order], owner[order], b[order]
-    cuts = np.flatnonzero(np.diff(b, prepend=-1))
-    ends = np.append(cuts[1:], len(b))
-    out = {"block": [], "sigs": [], "hashes": [], "rows": []}
+def _blocks(x, owner, sig, block, weight):
+    """Rows (block, sigs, hashes, local rows, weights) of a part of the incidence matrix."""
+    order = np.argsort(block, kind="stable")
+    x, owner, block, weight = x[order], owner[order], block[order], weight[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=-2))
+    ends = np.append(cuts[1:], len(block)).astype(np.int64)
+    out = {"block": [], "sigs": [], "hashes": [], "rows": [], "weights": []}
     for i, j in zip(cuts, ends):
         used, local = np.unique(owner[i:j], return_inverse=True)
-        out["block"].append(int(b[i]))
+        out["block"].append(int(block[i]))
         out["sigs"].append(sig[used].astype(np.int64))
         out["hashes"].append(x[i:j])
         out["rows"].append(local.astype(np.uint16 if len(used) < 65536 else np.uint32))
+        out["weights"].append(weight[i:j].astype(np.uint8))
     return pa.RecordBatch.from_arrays(
-        [pa.array(out["block"], pa.int32())] + [as_binary(out[c]) for c in ("sigs", "hashes", "rows")],
-        names=["block", "sigs", "hashes", "rows"])
+        [pa.array(out["block"], pa.int32())] + [as_binary(out[c]) for c in ("sigs", "hashes", "rows", "weights")],
+        names=["block", "sigs", "hashes", "rows", "weights"])
+
+
+BLOCK_SCHEMA = "block int, sigs binary, hashes binary, rows binary, weights binary"
 
 
-BLOCK_SCHEMA = "block int, sigs binary, hashes binary, rows binary"
+def _deal(x, owner, sig, blocks, most):
+    """A batch's entries by column block.  A column that more than ``most`` of the batch's
+    rows hold is known to be common: one entry with weight ``COMMON`` stands for them in the
+    column's block, and the rows themselves are answered on the spot (block -1).  So a block
+    gets few entries of a column however many rows hold it."""
+    u, first, back, n = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+    common = (n > most)[back]
+    if common.any():
+        at = first[n > most]
+        yield _blocks(x[common], owner[common], sig, np.full(int(common.sum()), -1), np.full(int(common.sum()), COMMON))
+        yield _blocks(np.concatenate([x[~common], x[at]]), np.concatenate([owner[~common], owner[at]]), sig,
+                      np.concatenate([block_of(x[~common], blocks), block_of(x[at], blocks)]),
+                      np.concatenate([np.ones(int((~common).sum())), np.full(len(at), COMMON)]))
+    else:
+        yield _blocks(x, owner, sig, block_of(x, blocks), np.ones(len(x)))
+
+
+def _by_block(df: DataFrame):
+    """Groups of one column block; answers on the spot are dealt by their rows."""
+    return df.groupBy("block", F.when(F.col("block") < 0, F.crc32("sigs")).otherwise(0))
 
 
 def describe(n: int):
@@ -123,7 +151,7 @@ def first_parts(n: int, pct: int, blocks: int):
             owner = np.repeat(np.arange(len(size)), size)
             keep = take[owner] & (np.arange(len(x)) - off[owner] < part[owner])
             if keep.any():
-                yield _blocks(x[keep], owner[keep], sig, size, blocks)
+                yield from _deal(x[keep], owner[keep], sig, blocks, 1)
     return run
 
 
@@ -143,35 +171,44 @@ def whole_sets(n: int, filled: np.ndarray):
 
 
 def deal_sets(blocks: int):
-    """Whole sets dealt in column blocks."""
+    """Whole sets dealt in column blocks, some thousand rows at a time."""
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = b.column(0).to_numpy(zero_copy_only=False)
-            size = b.column(1).to_numpy(zero_copy_only=False)
-            x = np.concatenate([np.frombuffer(v.as_buffer(), U64) for v in b.column(2)])
-            yield _blocks(x, np.repeat(np.arange(len(sig)), size), sig, size, blocks)
+        sigs, grams, size = [], [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                sigs.append(b.column(0).to_numpy(zero_copy_only=False))
+                grams += [np.frombuffer(v.as_buffer(), U64) for v in b.column(2)]
+                size += sum(len(g) for g in grams[-b.num_rows:]) if b.num_rows else 0
+            if grams and (b is None or len(grams) >= DEAL_ROWS or size >= DEAL_ENTRIES):
+                owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+                yield from _deal(np.concatenate(grams), owner, np.concatenate(sigs), blocks, COMMON)
+                sigs, grams, size = [], [], 0
     return run
 
 
 def _columns(t: pa.Table):
-    """Sorted distinct (column, row) entries of a block and each entry's column count."""
-    h, s = [], []
-    for sigs, hashes, rows in zip(*(t.column(c) for c in ("sigs", "hashes", "rows"))):
+    """Sorted distinct (column, row) entries of a block that need an answer, and the number of
+    rows that hold their column (at most ``COMMON``)."""
+    h, s, w = [], [], []
+    for sigs, hashes, rows, weights in zip(*(t.column(c) for c in ("sigs", "hashes", "rows", "weights"))):
         sig, x = np.frombuffer(sigs.as_buffer(), np.int64), np.frombuffer(hashes.as_buffer(), U64)
         local = np.frombuffer(rows.as_buffer(), np.uint16 if len(sig) < 65536 else np.uint32)
         h.append(x)
         s.append(sig[local])
-    h, s = np.concatenate(h), np.concatenate(s)
-    order = np.lexsort((s, h))
-    h, s = h[order], s[order]
+        w.append(np.frombuffer(weights.as_buffer(), np.uint8).astype(np.int64))
+    h, s, w = np.concatenate(h), np.concatenate(s), np.concatenate(w)
+    if t.column("block")[0].as_py() < 0:
+        return h, s, w
+    order = np.lexsort((-w, s, h))
+    h, s, w = h[order], s[order], w[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-    h, s = h[keep], s[keep]
+    h, s, w = h[keep], s[keep], w[keep]
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    count = np.diff(np.append(start, len(h)))
-    return h, s, np.repeat(count, count)
+    count = np.minimum(np.add.reduceat(w, start), COMMON)
+    count = np.repeat(count, np.diff(np.append(start, len(h))))
+    ask = w == 1
+    return h[ask], s[ask], count[ask]
 
 
 def count_shared(t: pa.Table) -> pa.Table:
@@ -184,7 +221,7 @@ def shared_columns(t: pa.Table) -> pa.Table:
     """For each row of the block: its shared columns and their counts."""
     h, s, count = _columns(t)
     m = count > 1
-    h, s, count = h[m], s[m], count[m].astype(np.uint32)
+    h, s, count = h[m], s[m], count[m].astype(np.uint8)
     order = np.argsort(s, kind="stable")
     h, s, count = h[order], s[order], count[order]
     cut = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
@@ -204,7 +241,7 @@ def candidates(pct: int):
                 x = np.frombuffer(b"".join(grams.as_py()), U64)
                 k = len(x) - need(size.as_py(), pct) + 1
                 if k > 0:
-                    c = np.frombuffer(b"".join(counts.as_py()), np.uint32)
+                    c = np.frombuffer(b"".join(counts.as_py()), np.uint8)
                     out.append((sig.as_py(), size.as_py(), x[np.lexsort((x, c))[:k]].view(np.int64), np.sort(x)))
             if out:
                 sig, size, rare, grams = zip(*out)
@@ -327,7 +364,8 @@ def _row_links(full: DataFrame, pct: int, rounds: int) -> DataFrame | None:
     rows = _clusters(columns)
     large = (rows.groupBy("cluster").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
              .filter((F.col("c") > BIN_ROWS) | (F.col("s") > BIN_ENTRIES)).select("cluster"))
-    big = full.select("sig", "grams").join(rows.join(large, "cluster", "left_semi"), "sig")
+    large = rows.join(large, "cluster", "left_semi")
+    big = hits(full.select("sig", "grams"), "sig", bit_table(large, "sig")).join(large, "sig")
     for r in range(rounds):  # clusters of several bins: each row with one row of the largest label
         now = labelled(big, labels)
         lead = (now.groupBy("cluster", "label").agg(F.count("*").alias("c"), F.min_by(F.struct("sig", "n", "grams"), F.xxhash64(F.lit(r), "sig")).alias("x"))
@@ -385,8 +423,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = (rows.filter("sig <> 0").groupBy("sig")
              .agg(F.first("n").alias("n"), F.min("k").alias("rep")))
     blocks = block_count(total * 10 * (100 - pct + EXTRA_PCT) / 100)
-    shared = (base.mapInArrow(first_parts(n, pct, blocks), BLOCK_SCHEMA)
-              .groupBy("block").applyInArrow(count_shared, "sig long, shared long")
+    shared = (_by_block(base.mapInArrow(first_parts(n, pct, blocks), BLOCK_SCHEMA))
+              .applyInArrow(count_shared, "sig long, shared long")
               .groupBy("sig").agg(F.sum("shared").alias("shared")))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * pct / 100) * EXTRA_PCT / 100))
     maybe = written(sizes.join(shared, "sig").filter(F.col("shared") >= least).select("sig"), "maybe")
@@ -394,8 +432,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    .join(maybe, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
     grams = sets.agg(F.sum("n")).first()[0] or 0
     full = written(
-        sets.mapInArrow(deal_sets(block_count(grams * 10)), BLOCK_SCHEMA)
-        .groupBy("block").applyInArrow(shared_columns, "sig long, grams binary, counts binary")
+        _by_block(sets.mapInArrow(deal_sets(block_count(grams * 10)), BLOCK_SCHEMA))
+        .applyInArrow(shared_columns, "sig long, grams binary, counts binary")
         .groupBy("sig").agg(F.collect_list("grams").alias("grams"), F.collect_list("counts").alias("counts"))
         .join(sets.select("sig", "n"), "sig").select("sig", "n", "grams", "counts")
         .mapInArrow(candidates(pct), "sig long, n long, rare array<long>, grams binary"), "candidates")
@@ -428,20 +466,23 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of each group of near copies, all columns unchanged: the one with the smallest
     id (null ids last; then by a hash of the text; of repeated rows any).  Texts without
     words are in no group and stay."""
-    rows = written(ngram_groups(docs, id_col, text_col, n, pct), "groups")
+    key = F.xxhash64(F.coalesce(F.col("k"), F.lit(-1 << 63)), F.coalesce(F.col("v"), F.lit(0)))
+    rows = written(ngram_groups(docs, id_col, text_col, n, pct).filter("group IS NOT NULL")
+                   .groupBy("k", "v", "group").agg(F.count("*").alias("rows")).withColumn("key", key), "groups")
     one = F.struct(F.col("k").isNull(), "k", "v")
-    kept = (rows.filter("group IS NOT NULL").groupBy("group").agg(F.min(one).alias("x"))
-            .select(F.col("x.k").alias("__k"), F.col("x.v").alias("__v")).distinct())
-    repeated = rows.filter("group IS NOT NULL").groupBy("k", "v").agg(F.count("*").alias("__rows"))
-    kept = (kept.join(repeated, F.col("__k").eqNullSafe(F.col("k")) & (F.col("__v") == F.col("v")))
-            .select(F.coalesce("__k", F.lit(-1 << 63)).alias("__k"), "__v", "__rows"))
-    empty = rows.filter("group IS NULL").select(F.coalesce("k", F.lit(-1 << 63)).alias("__k"), F.coalesce("v", F.lit(0)).alias("__v")).distinct()
-    kept = written(kept.unionByName(empty.withColumn("__rows", F.lit(1).cast("long"))), "kept")
+    best = rows.groupBy("group").agg(F.min(one).alias("x")).select("group", F.col("x.v").alias("bv"), F.col("x.k").alias("bk"))
+    ranked = rows.join(best, "group").withColumn("best", F.col("k").eqNullSafe(F.col("bk")) & (F.col("v") == F.col("bv")))
+    # most rows stay and are passed on where they are read; only rows that go, repeated rows
+    # and what a bit table takes for them meet the exact decision in a join
+    other = written(ranked.filter("not best or rows > 1").select("key", "best").distinct(), "other")
+    filled = bit_table(other, "key")
     t = F.col(text_col).cast("string")
-    found = (docs.withColumns({"__k": F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)), "__v": F.coalesce(F.xxhash64(t), F.lit(0))})
-             .join(kept, ["__k", "__v"]))
-    once = found.filter("__rows = 1").unionByName(found.filter("__rows > 1").dropDuplicates(["__k", "__v"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)), F.coalesce(F.xxhash64(t), F.lit(0))))
+    met = hits(d, "__key", filled).join(other.select(F.col("key").alias("__key"), F.col("best").alias("__best")), "__key", "left")
+    found = (hits(d, "__key", filled, inside=False).drop("__key")
+             .unionByName(met.filter("__best IS NULL").drop("__key", "__best"))
+             .unionByName(met.filter("__best").dropDuplicates(["__key"]).drop("__key", "__best")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

@@ -72,3 +72,15 @@ def test_one_row_of_each_group_stays(spark):
 def test_empty_table(spark):
     assert ngram_join.ngram_components(empty_docs(spark)).collect() == []
     assert ngram_join.drop_near_copies(empty_docs(spark)).collect() == []
+
+
+def test_common_columns_are_collapsed(spark, monkeypatch):
+    """Tiny limits: most columns are common, ranks stop at two, rows are dealt a few at a time."""
+    monkeypatch.setattr(ngram_join, "COMMON", 2)
+    monkeypatch.setattr(ngram_join, "DEAL_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "BIN_ROWS", 6)
+    texts = edge_texts(seed=21)
+    extra = [(9000 + i, " ".join(texts[0][1].split()[:20]) + f" t{i} " + (texts[4][1] or "")) for i in range(30)]
+    got = Counter(map(tuple, ngram_join.ngram_components(docs_frame(spark, texts + extra)).collect()))
+    sets, _, names = brute(texts + extra)
+    assert got == Counter((d, len(s), n) for (d, _), s, n in zip(texts + extra, sets, names))

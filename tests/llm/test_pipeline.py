@@ -1,16 +1,22 @@
 from collections import Counter
 
 import corpus_pipeline as P
+import pytest
 from helpers import words
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_take_effect_and_chain(spark):
-    docs = P.table(spark, SF, "documents")
-    columns, frames = docs.columns, [docs]
+@pytest.fixture(scope="module")
+def frames(spark):
+    out = [P.table(spark, SF, "documents")]
     for name, stage in P.STAGES:
-        frames.append(P.written(stage(spark, frames[-1], SF), name))
+        out.append(P.written(stage(spark, out[-1], SF), name))
+    return out
+
+
+def test_stages_take_effect_and_chain(spark, frames):
+    columns = frames[0].columns
     before, good, single, clean, mixed, tokens = ([r.asDict() for r in f.collect()] for f in frames)
     assert all(f.columns == columns for f in frames[:-1])
     ids = [[r["doc_id"] for r in rows] for rows in (before, good, single, clean, mixed, tokens)]
@@ -43,7 +49,7 @@ def test_stages_take_effect_and_chain(spark):
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
 
 
-def test_run_equals_the_stages(spark):
+def test_run_equals_the_stages(spark, frames):
     rows = P.run(spark, SF).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "start", "n_tokens", "ids_crc32"}
-    assert Counter(rows) == Counter(P.run(spark, SF).collect())
+    assert Counter(rows) == Counter(frames[-1].collect())
