@@ -19,6 +19,8 @@ SF = os.environ.get("FORUMSHIFT_TEST_SF", "/root/testdata/sf0.001")
 SF_BALANCED = "/root/testdata/sf0.01"
 BALANCED_PANEL = {"did_att", "did_cluster_se", "did_month_fe", "did_quarter_fe", "did_week_fe", "did_groups",
                   "did_covariates", "did_complexity"}
+# reports that may rightly be empty on the smallest tables (the oracle must be empty too)
+MAY_BE_EMPTY = {"terms_new", "terms_gone"}
 QUERIES = all_queries()
 
 
@@ -32,7 +34,7 @@ def test_query_matches_oracle(spark, con, name):
     sf = SF_BALANCED if name in BALANCED_PANEL else SF
     status, n, _ = check(spark, con[sf], QUERIES[name], sf, verbose=True)
     assert status in ("ok", "rows-only"), f"{name}: {status}"
-    assert n > 0, f"{name}: no rows"
+    assert n > 0 or name in MAY_BE_EMPTY, f"{name}: no rows"
 
 
 def test_entry_contract(spark):
