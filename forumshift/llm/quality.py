@@ -48,7 +48,9 @@ N_VALUES = max(len(v) for v in LIMITS.values()) + 1
 def _byte_counts(a: np.ndarray, which: bytes | np.ndarray) -> np.ndarray:
     t = np.zeros(256, np.int32)
     t[np.frombuffer(which, np.uint8) if isinstance(which, bytes) else which] = 1
-    return np.concatenate([[0], np.cumsum(t[a])])
+    out = np.zeros(len(a) + 1, np.int32 if len(a) < 2**31 else np.int64)
+    np.cumsum(t[a], out=out[1:])
+    return out
 
 
 def measure(arr: pa.Array) -> dict:
