@@ -5,13 +5,14 @@ page's tree of blocks is aligned with it by simple tree matching (the largest to
 order-preserving matching of nodes with equal labels).  Counts of how often a reference
 node is met, and met with the same text, are summed over the host's pages: nodes whose
 text stays the same are template, varying ones are slots.  A page's text is then read
-from its content slots: the article element where the page names one, else the body
-without template nodes.  Menus, headers, footers, side bars, notices, adverts, forms and
-reader comments vary from page to page too, so slots under an element that says so (by
-tag, role, class or id) are never content.
+from its content slots: those of the article element where the page names one, else of
+the body.  Menus, headers, footers, side bars, notices, adverts, forms and reader comments
+vary from page to page too, so slots under an element that says so (by tag, role, class or
+id) are never content.
 
-Inside a named article nothing is dropped as template: copies of one page, or a licence
-line, would look constant without being boilerplate.
+Copies are no evidence of a template: pages of a host with equal text count as one page,
+and inside a named article a page counts for a node only if at least half of the
+article's other text differs from the reference's.
 
 Counting is pre-aggregated in each task by host and node, so a host with a third of all
 pages adds a few rows per task.  References go to the tasks as a broadcast if their
@@ -20,6 +21,7 @@ measured size allows it, else by a join on the host.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
@@ -34,8 +36,8 @@ from .common import bounded_batches, process_cache, table, written
 BROADCAST_BYTES = 16 << 20
 #: a reference node is template if met on so many pages and unchanged on this share of them
 LEAST_PAGES, CONSTANT_PCT = 5, 90
-#: children of one node that are aligned cell by cell; longer lists pair up in order of place
-LONGEST = 200
+#: cells of a table of child lists that is held at once; larger ones are solved by halves
+CELLS = 1 << 16
 #: open elements beyond which the tree of a page gets no deeper
 DEEPEST = 150
 
@@ -61,22 +63,27 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|noscript|iframe|template|svg)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# what a reader does not see: copies of a page may differ in it
+UNSEEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>"
 _PARTS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
     """A block element: its label, its text runs and child blocks in order."""
 
-    __slots__ = ("tag", "label", "items", "chrome", "size", "number")
+    __slots__ = ("tag", "label", "items", "chrome", "size", "number", "own")
 
     def __init__(self, tag, label, chrome):
         self.tag, self.label, self.chrome, self.items, self.size, self.number = tag, label, chrome, [], 0, -1
+        self.own = None
 
     def children(self):
         return [x for x in self.items if x.__class__ is Node]
 
     def text(self):
-        return " ".join("".join(x if x.__class__ is str else " " for x in self.items).split())
+        if self.own is None:
+            self.own = " ".join("".join(x if x.__class__ is str else " " for x in self.items).split())
+        return self.own
 
 
 def _is_chrome(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
@@ -181,45 +188,111 @@ def _flat(root: Node) -> list[Node]:
     return out
 
 
+def _leaf_pairs(xs: list[Node], ys: list[Node]):
+    """Leaves of one label: all of the shorter list pair up, and among those matchings the
+    one with the most pairs of equal text (texts that either list holds once) is taken.
+
+    With d = place in the longer list minus place in the shorter, a matching is complete if
+    d never falls and stays within the difference of the lengths: a longest chain.
+    """
+    if len(xs) > len(ys):
+        return [(u, v) for v, u in _leaf_pairs(ys, xs)]
+    spare, place, seen = len(ys) - len(xs), {}, {}
+    for j, v in enumerate(ys):
+        place[v.text()] = -1 if v.text() in place else j
+    for u in xs:
+        seen[u.text()] = u.text() in seen
+    tops: list[int] = []  # smallest last d of the chains of each length
+    ends, back, known = [], {}, []
+    for i, u in enumerate(xs):
+        j = place.get(u.text(), -1)
+        if u.text() and j >= 0 and not seen[u.text()] and 0 <= j - i <= spare:
+            k = bisect.bisect_right(tops, j - i)
+            tops[k:k + 1], ends[k:k + 1] = [j - i], [i]
+            back[i] = (ends[k - 1] if k else -1, j - i)
+    i = ends[-1] if ends else -1
+    while i >= 0:
+        known.append((i, back[i][1]))
+        i = back[i][0]
+    shift, known, out = 0, known[::-1], []
+    for i, u in enumerate(xs):
+        if known and known[0][0] == i:
+            shift = known.pop(0)[1]
+        out.append((u, ys[i + shift]))
+    return out
+
+
 def match(a: Node, b: Node) -> dict[int, int]:
-    """Simple tree matching: numbers of a's nodes -> numbers of b's nodes."""
+    """Simple tree matching: numbers of a's nodes -> numbers of b's nodes.
+
+    Among the largest matchings those with more nodes of equal text go first.
+    """
     memo: dict = {}
+    one = 1 << 32  # a pair; equal text counts 1
+
+    def alone(x: Node, y: Node) -> int:
+        return one + (x.text() == y.text() != "")
 
     def size(x: Node, y: Node) -> int:
         if x.label != y.label:
             return 0
+        if not (x.size and y.size):
+            return alone(x, y)
         key = (x.number, y.number)
         if key not in memo:
-            memo[key] = table_of(x, y)[-1][-1] + 1 if x.size and y.size else 1
+            memo[key] = alone(x, y) + sum(size(u, v) for u, v in aligned(x.children(), y.children()))
         return memo[key]
 
-    def table_of(x: Node, y: Node):
-        xs, ys = x.children(), y.children()
+    def aligned(xs: list[Node], ys: list[Node]):
+        """Pairs of an order-preserving matching of two lists with the largest sum of sizes."""
+        at, n, m = 0, len(xs), len(ys)
+        # equal leaves at both ends: no other partner is better
+        while at < n and at < m and equal(xs[at], ys[at]):
+            at += 1
+        while n > at and m > at and equal(xs[n - 1], ys[m - 1]):
+            n, m = n - 1, m - 1
+        out = [*zip(xs[:at], ys[:at]), *zip(xs[n:], ys[m:])]
+        xs, ys = xs[at:n], ys[at:m]
+        if not xs or not ys:
+            return out
+        if not any(x.size for x in xs) and not any(y.size for y in ys) and len({x.label for x in xs} | {y.label for y in ys}) == 1:
+            return out + _leaf_pairs(xs, ys)
+        return out + table_pairs(xs, ys)
+
+    def equal(x: Node, y: Node) -> bool:
+        return not x.size and not y.size and x.label == y.label and x.text() == y.text()
+
+    def sums(xs, ys):
+        """Last row of the table of best sums."""
+        last = [0] * (len(ys) + 1)
+        for u in xs:
+            row = [0]
+            for j, v in enumerate(ys):
+                best = last[j + 1] if last[j + 1] > row[j] else row[j]
+                if u.label == v.label:
+                    w = last[j] + size(u, v)
+                    best = w if w > best else best
+                row.append(best)
+            last = row
+        return last
+
+    def table_pairs(xs, ys):
+        if len(xs) > 1 and len(xs) * len(ys) > CELLS:  # halves of the list, so that the memory stays linear
+            half = len(xs) // 2
+            left, right = sums(xs[:half], ys), sums(xs[half:][::-1], ys[::-1])
+            cut = max(range(len(ys) + 1), key=lambda j: left[j] + right[len(ys) - j])
+            return table_pairs(xs[:half], ys[:cut]) + table_pairs(xs[half:], ys[cut:])
         m = [[0] * (len(ys) + 1)]
         for u in xs:
             last, row = m[-1], [0]
             for j, v in enumerate(ys):
                 best = last[j + 1] if last[j + 1] > row[j] else row[j]
                 if u.label == v.label:
-                    w = last[j] + (1 if not u.size or not v.size else size(u, v))
+                    w = last[j] + size(u, v)
                     best = w if w > best else best
                 row.append(best)
             m.append(row)
-        return m
-
-    pairs, todo = {}, [(a, b)] if a.label == b.label else []
-    while todo:
-        x, y = todo.pop()
-        pairs[x.number] = y.number
-        if not (x.size and y.size):
-            continue
-        xs, ys = x.children(), y.children()
-        labels = {n.label for n in xs} | {n.label for n in ys}
-        if len(labels) == 1 and not any(n.size for n in xs) and not any(n.size for n in ys) or max(len(xs), len(ys)) > LONGEST:
-            # leaves of one label (their best matching is the order), and very long lists
-            todo.extend((u, v) for u, v in zip(xs, ys) if u.label == v.label)
-            continue
-        m, i, j = table_of(x, y), len(xs), len(ys)
+        out, i, j = [], len(xs), len(ys)
         while i and j:
             if m[i][j] == m[i - 1][j]:
                 i -= 1
@@ -227,7 +300,15 @@ def match(a: Node, b: Node) -> dict[int, int]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((xs[i], ys[j]))
+                out.append((xs[i], ys[j]))
+        return out
+
+    pairs, todo = {}, [(a, b)] if a.label == b.label else []
+    while todo:
+        x, y = todo.pop()
+        pairs[x.number] = y.number
+        if x.size and y.size:
+            todo.extend(aligned(x.children(), y.children()))
     return pairs
 
 
@@ -250,7 +331,7 @@ def decode_reference(data: str) -> tuple[Node, list[str]]:
     nodes, texts = [], []
     for number, (label, parent, text) in enumerate(json.loads(data)):
         n = Node(label.split(".")[0], label, False)
-        n.number = number
+        n.number, n.own = number, text
         nodes.append(n)
         texts.append(text)
         if parent >= 0:
@@ -269,8 +350,8 @@ def _reference(data: str):
     return kept[data]
 
 
-def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
-    """Text of the content blocks; ``template``: numbers of the page's template nodes."""
+def named_content(root: Node) -> list[Node]:
+    """The page's article elements, else its main elements, outside chrome."""
     named: list[Node] = []
 
     def find(n: Node, tag: str):
@@ -285,13 +366,30 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
     find(root, "article")
     if not named:
         find(root, "main")
+    return named
+
+
+def content_nodes(n: Node) -> list[Node]:
+    """Nodes with text of their own at and below ``n``, outside chrome."""
+    out, todo = [], [n]
+    while todo:
+        x = todo.pop()
+        if not x.chrome:
+            if x.text():
+                out.append(x)
+            todo.extend(x.children())
+    return out
+
+
+def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
+    """Text of the content blocks; ``template``: numbers of the page's template nodes."""
     blocks: list[str] = []
 
-    def read(n: Node, skip: bool):
+    def read(n: Node):
         if n.chrome:
             return
         run: list[str] = []
-        mute = skip and n.number in template
+        mute = n.number in template
 
         def flush():
             if run and not mute:
@@ -305,11 +403,11 @@ def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
                 run.append(x)
             else:
                 flush()
-                read(x, skip)
+                read(x)
         flush()
 
-    for n in named or [root]:
-        read(n, not named)
+    for n in named_content(root) or [root]:
+        read(n)
     return "\n".join(blocks)
 
 
@@ -321,18 +419,33 @@ def _encode(batches):
             [b.column("host"), pa.array([encode_reference(x) for x in b.column("html").to_pylist()], pa.string())], names=["host", "ref"])
 
 
+def _evidence(root: Node, nodes: list[Node], pairs: dict[int, int], texts: list[str]):
+    """``(reference node, same text)`` of the pairs that count.  Inside a named article a
+    node counts if at least half of the article's other text is not the reference's."""
+    inside = {x.number: len(x.text()) for n in named_content(root) for x in content_nodes(n)}
+    total = sum(inside.values())
+    same = {i for i, j in pairs.items() if nodes[i].text() == texts[j]}
+    alike = sum(inside[i] for i in same if i in inside)
+    for i, j in pairs.items():
+        if i in inside:
+            own = inside[i]
+            if 2 * (alike - own * (i in same)) > total - own or total == own:
+                continue
+        if texts[j] or nodes[i].items:
+            yield j, i in same
+
+
 def _compare(batches):
-    """Counts (host, node, met, same) of a task's pages."""
+    """Counts (host, node, met, same) of a task's pages, each page with its weight."""
     met: dict = {}
     for b in batches:
-        for host, page, ref in zip(*(b.column(c).to_pylist() for c in ("host", "html", "ref"))):
+        for host, page, weight, ref in zip(*(b.column(c).to_pylist() for c in ("host", "html", "weight", "ref"))):
             ref_root, texts = _reference(ref)
             root, nodes = tree(page)
-            for i, j in match(root, ref_root).items():
-                if texts[j] or nodes[i].items:
-                    c = met.setdefault((host, j), [0, 0])
-                    c[0] += 1
-                    c[1] += nodes[i].text() == texts[j]
+            for j, same in _evidence(root, nodes, match(root, ref_root), texts):
+                c = met.setdefault((host, j), [0.0, 0.0])
+                c[0] += weight
+                c[1] += weight * same
         if len(met) > 100_000:
             yield _counts(met)
             met = {}
@@ -342,7 +455,7 @@ def _compare(batches):
 def _counts(met):
     return pa.RecordBatch.from_arrays(
         [pa.array([h for h, _ in met], pa.string()), pa.array([j for _, j in met], pa.int32()),
-         pa.array([c for c, _ in met.values()], pa.int64()), pa.array([s for _, s in met.values()], pa.int64())],
+         pa.array([c for c, _ in met.values()], pa.float64()), pa.array([s for _, s in met.values()], pa.float64())],
         names=["host", "node", "met", "same"])
 
 
@@ -381,9 +494,14 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     refs = written(base.filter("html <> ''").groupBy("host")
                    .agg(F.min_by("html", F.struct(F.xxhash64("page_id"), F.xxhash64("html"))).alias("html"))
                    .mapInArrow(_encode, "host string, ref string"), "references")
-    counts = (_with_references(base.select("host", "html"), refs).filter("ref IS NOT NULL")
-              .mapInArrow(_compare, "host string, node int, met long, same long")
-              .groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same")))
+    keyed = base.select("host", "html", F.xxhash64(F.regexp_replace("html", UNSEEN, "")).alias("seen"))
+    copies = written(keyed.groupBy("host", "seen").agg(F.count("*").alias("n")).filter("n > 1")
+                     .select("host", "seen", (F.lit(1.0) / F.col("n")).alias("weight")), "copies")
+    weighed = (keyed.join(F.broadcast(copies) if copies.count() * 100 <= BROADCAST_BYTES else copies, ["host", "seen"], "left")
+               .select("host", "html", F.coalesce("weight", F.lit(1.0)).alias("weight")))
+    counts = (_with_references(weighed, refs).filter("ref IS NOT NULL")
+              .mapInArrow(_compare, "host string, node int, met double, same double")
+              .groupBy("host", "node").agg(F.round(F.sum("met"), 6).alias("met"), F.round(F.sum("same"), 6).alias("same")))
     fixed = (counts.filter((F.col("met") >= LEAST_PAGES) & (F.col("same") * 100 >= F.col("met") * CONSTANT_PCT))
              .groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("fixed")))
     wrappers = written(refs.join(fixed, "host", "left"), "wrappers")

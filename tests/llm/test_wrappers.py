@@ -90,3 +90,30 @@ def test_odd_rows(spark, monkeypatch):
         assert {(1, ""), (2, ""), (3, "plain text"), (None, "x")} <= got
         assert (5, "\n".join(["word word"] * 5000)) in got
     assert W.extract_pages(pages(spark, [])).collect() == []
+
+
+def test_constant_blocks_inside_an_article_are_template(spark):
+    """Learned nodes also decide where the article is named; copies and near copies are no evidence."""
+    def story(i, n):
+        return "".join(f"<p>own text {i} of paragraph {k}, told at some length</p>" for k in range(n))
+
+    rows = [(i, f"http://h.example/{i}", page(i, f"<article><h1>T{i}</h1><p>Read our guide first.</p>{story(i, 2 + i % 5)}"
+                                               "<p>Reprints need our consent.</p></article>")) for i in range(12)]
+    near = [f"<article><h1>Same</h1>{story(0, 9)}<p>copy {i}</p></article>" for i in range(12)]
+    rows += [(100 + i, f"http://near.example/{i}", page(i, near[i])) for i in range(12)]
+    got = {r.page_id: r.text for r in W.extract_pages(pages(spark, rows)).collect()}
+    for i in range(12):
+        assert got[i] == "\n".join([f"T{i}"] + [f"own text {i} of paragraph {k}, told at some length" for k in range(2 + i % 5)])
+        assert got[100 + i].count("\n") == 10 and got[100 + i].endswith(f"copy {i}")
+
+
+def test_long_lists_align_by_text():
+    """A closing paragraph meets itself, however many paragraphs stand before it."""
+    def body(i, n):
+        return "<div>" + "".join(f"<p>{i} {k}</p>" for k in range(n)) + "<p>closing</p><ul><li>x</li></ul></div>"
+
+    (a, xs), (b, ys) = W.tree(body(1, 900)), W.tree(body(2, 350))
+    pairs = W.match(a, b)
+    closing = [[n.number for n in t if n.text() == "closing"][0] for t in (xs, ys)]
+    assert pairs[closing[0]] == closing[1]
+    assert len(pairs) == len(ys)
