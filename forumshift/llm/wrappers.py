@@ -55,6 +55,9 @@ CHROME_WORDS = frozenset("nav navbar navigation menu footer sidebar aside ad ads
                          "subscription newsletter signup login search comment comments commentlist respond reply replies disqus "
                          "discussion share sharing social related breadcrumb breadcrumbs widget toolbar masthead".split())
 HEADER_WORDS = frozenset(("header", "masthead"))
+# words that only say where or how an element stands: comment-list is a list of comments, has-sidebar no side bar
+PLACE_WORDS = frozenset("area bar block bottom box buttons container content form global group inner item items left links list main "
+                        "outer panel posts right row section site slot top unit wrap wrapper".split())
 # an open element that a start tag of the same group ends
 ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = {"li": ("ul", "ol", "menu", "dir"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -71,11 +74,11 @@ _PARTS = re.compile(r"[a-z0-9]+")
 class Node:
     """A block element: its label, its text runs and child blocks in order."""
 
-    __slots__ = ("tag", "label", "items", "chrome", "size", "number", "own")
+    __slots__ = ("tag", "label", "items", "chrome", "size", "number", "own", "said", "hidden")
 
     def __init__(self, tag, label, chrome):
         self.tag, self.label, self.chrome, self.items, self.size, self.number = tag, label, chrome, [], 0, -1
-        self.own = None
+        self.own, self.said, self.hidden = None, False, False
 
     def children(self):
         return [x for x in self.items if x.__class__ is Node]
@@ -86,24 +89,76 @@ class Node:
         return self.own
 
 
-def _is_chrome(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    label, chrome = tag, tag in CHROME_TAGS or (tag == "header" and not in_article)
+def _says(name: str, words: frozenset) -> bool:
+    """Whether a class or id names one of the words, alone or with words of place."""
+    parts = {x for x in _PARTS.findall(name) if x.isalpha()}  # not the 300x250 of ad-300x250
+    return bool(parts & words) and parts <= words | PLACE_WORDS
+
+
+def _is_chrome(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool, str]:
+    """Chrome by its tag, chrome by its words or role, hidden, and the label."""
+    label, chrome, said, hidden = tag, tag in CHROME_TAGS, tag == "header" and not in_article, False
     if attrs and attrs.strip():
         words = ""
         for name, *values in _ATTR.findall(attrs):
             name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
             if name in ("class", "id"):
                 words += " " + value
+                if name == "id" and in_article and (tag in HEADINGS or tag == "section"):
+                    continue  # the target of a link, named by the story
+                for x in value.split():
+                    said = said or _says(x, CHROME_WORDS) or (not in_article and _says(x, HEADER_WORDS))
             elif name == "role":
-                chrome = chrome or value in CHROME_ROLES
+                said = said or value in CHROME_ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                     name == "style" and "display:none" in value.replace(" ", "")):
-                chrome = True
+                hidden = True
         if words:
             label += "." + "".join(words.split())
-            found = set(_PARTS.findall(words))
-            chrome = chrome or bool(found & CHROME_WORDS) or (bool(found & HEADER_WORDS) and not in_article)
-    return chrome, label
+    return chrome, said, hidden, label
+
+
+def _settle(root: Node) -> None:
+    """Marks chrome.  If every article (or main element) of a page is, or stands in, an
+    element whose words, role or form tag make it chrome, then these elements are none,
+    provided that they hold at least as much text as the rest of the page."""
+    free, marked = False, []  # (element, marked elements from the top to it)
+    todo: list = [(root, [])]
+    while todo:
+        n, above = todo.pop()
+        if n.hidden or (n.chrome and n.tag != "form"):
+            continue
+        if n.chrome or n.said:
+            above = [*above, n]
+        if n.tag in ("article", "main"):
+            free = free or not above
+            marked.append((n, above))
+        todo.extend((c, above) for c in n.children())
+
+    def mark(n: Node):
+        rest = [n]
+        while rest:
+            x = rest.pop()
+            x.chrome = x.chrome or x.said or x.hidden
+            rest.extend(x.children())
+
+    def weight(n: Node):
+        return sum(len(x.text()) for x in content_nodes(n))
+
+    one = sum(n.tag == "article" for n, _ in marked) == 1
+    marked = [] if free else [(n, above) for n, above in marked if one or not n.said]  # many that say so: readers' comments
+    if marked:
+        fewest = min(len(above) for _, above in marked)
+        cleared = {id(x): x for _, above in marked if len(above) == fewest for x in above}.values()
+        before = [(x, x.chrome, x.said) for x in cleared]
+        mark(root)
+        rest = weight(root)
+        for x in cleared:
+            x.chrome = x.said = False
+        if sum(weight(n) for n, above in marked if len(above) == fewest) < rest:
+            for x, chrome, said in before:
+                x.chrome, x.said = chrome, said
+    mark(root)
 
 
 def parse(page: str) -> Node:
@@ -156,12 +211,13 @@ def parse(page: str) -> Node:
             if tag in ("br", "hr"):
                 here.items.append(" ")
             continue
-        chrome, label = _is_chrome(tag, m.group("attrs"), articles > 0)
-        if block or chrome:
+        chrome, said, hidden, label = _is_chrome(tag, m.group("attrs"), articles > 0)
+        if block or chrome or said or hidden:
             if len(stack) > DEEPEST:  # deeper blocks become siblings, in page order
-                chrome = chrome or here.chrome
+                chrome, said, hidden = chrome or here.chrome, said or here.said, hidden or here.hidden
                 here = stack[DEEPEST][1]
             node = Node(tag, label, chrome)
+            node.said, node.hidden = said, hidden
             here.items.append(node)
             if tag in ("article", "main"):
                 articles += 1
@@ -174,6 +230,7 @@ def parse(page: str) -> Node:
     if at < len(page):
         t = page[at:]
         stack[-1][1].items.append(entities.unescape(t) if "&" in t else t)
+    _settle(root)
     return root
 
 

@@ -117,3 +117,22 @@ def test_long_lists_align_by_text():
     closing = [[n.number for n in t if n.text() == "closing"][0] for t in (xs, ys)]
     assert pairs[closing[0]] == closing[1]
     assert len(pairs) == len(ys)
+
+
+@pytest.mark.parametrize("body,text", [
+    ("<div class='page has-sidebar'><article><p>a</p></article><div class='sidebar'>s</div></div>", "a"),
+    ("<article class='post comments-open'><p>a</p></article>", "a"),
+    ("<form id='aspnet'><div class='widget'><article><p>a</p></article></div><div class='share-buttons'>s</div></form>", "a"),
+    ("<article><h2 id='related-work'>Related work</h2><h2 id='search'>Search</h2><section id='discussion'><p>d</p></section>"
+     "<div class='social-history'>h</div></article>", "Related work\nSearch\nd\nh"),
+    ("<article><p>a</p><div class='comment-list'>c</div><div class='ad_box'>x</div><div class='site-footer'>f</div>"
+     "<section class='related-posts'>r</section></article>", "a"),
+    ("<article><p>a</p></article><div class='comments'><article class='comment'>c</article></div>", "a"),
+    ("<main class='site-content no-sidebar'><p>m</p></main><aside><article>teaser</article></aside>", "m"),
+    ("<div hidden><article>gone</article></div><main><p>m</p></main>", "m"),
+    ("<div class='sidebar'><article>teaser</article></div><div><p>the story itself</p></div>", "the story itself"),
+    ("<div class='text'>s</div><div class='comments'><article class='comment'>long one</article><article class='comment'>two</article></div>", "s"),
+])
+def test_words_that_name_no_chrome(body, text):
+    """An element that holds the article is no chrome, nor one whose name only contains a word."""
+    assert W.main_text(W.tree(page(1, body))[0]) == text
