@@ -6,8 +6,10 @@ token must pass three tests of randomness over that alphabet (chi-squared unifor
 runs about the middle of the alphabet, lag-1 serial correlation; the smallest p-value
 times three).  Passing is not enough, since short text passes too: against the null
 "ordinary text, where the class of a character (lower, upper, digit, sign) changes with
-probability ``TEXT_SWITCH``", the number of changes has a Chernoff tail as p-value, and
-Benjamini-Hochberg keeps the false discovery rate at ``FDR`` within each length band over
+probability ``TEXT_SWITCH``", the number of changes has a Chernoff tail as p-value.  Letters
+of one case never change class: their null is "letters as frequent as in a language", and
+the p-value is the likelihood ratio of that against equal letters (Markov's inequality),
+the largest over the languages.  Benjamini-Hochberg keeps the false discovery rate at ``FDR`` within each length band over
 the whole corpus.  The step-up threshold comes from counts on a fixed logarithmic grid (a
 partial aggregate); the table of bands is bounded and joins in as one row.
 
@@ -17,6 +19,8 @@ in column expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +36,10 @@ KINDS = (
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 KEY_KIND = "key"
-#: tokens that are tested, and their least length
-TOKEN, TOKEN_LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
+#: tokens that are tested ('=' only as padding, so the value of NAME=value is a token), and their least length
+TOKEN, TOKEN_LEAST = r"[A-Za-z0-9+/_-]{16,}={0,2}", 16
+#: tokens of the SQL, which knows neither values after '=' nor shorter ones nor letters of one case
+SQL_TOKEN, SQL_LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 TEXT_SWITCH, ALPHA, FDR = 0.1, 0.001, 0.01
 #: p-values are counted on a grid of this many steps a decade, down to 1e-60
 GRID, DECADES = 4, 60
@@ -76,6 +82,22 @@ ENCODINGS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+-/_"),
 )
+# fixed values: percentages of the letters a to z in text (English, German, French, Spanish)
+LETTERS = (
+    (8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07),
+    (6.52, 1.89, 2.73, 5.08, 16.40, 1.66, 3.01, 4.58, 6.55, 0.27, 1.42, 3.44, 2.53, 9.78, 2.59, 0.67, 0.02, 7.00, 7.27, 6.15, 4.17, 0.85, 1.92, 0.03, 0.04, 1.13),
+    (7.64, 0.90, 3.26, 3.67, 14.72, 1.07, 0.87, 0.74, 7.53, 0.61, 0.07, 5.46, 2.97, 7.10, 5.80, 2.52, 1.36, 6.69, 7.95, 7.24, 6.31, 1.84, 0.05, 0.43, 0.13, 0.33),
+    (11.53, 2.22, 4.02, 5.01, 12.18, 0.69, 1.77, 0.70, 6.25, 0.49, 0.01, 4.97, 3.16, 6.71, 8.68, 2.51, 0.88, 6.87, 7.98, 4.63, 2.93, 1.14, 0.02, 0.22, 1.01, 0.47),
+)
+
+
+def _letters_sql(body: str) -> str:
+    """SQL: largest likelihood of a language's letters over that of equal letters, at most 1."""
+    def logs(shares):
+        return ", ".join(f"{math.log(x / sum(shares) * 26)!r}D" for x in shares)
+
+    sums = (f"aggregate(split(lower({body}), ''), 0D, (s, c) -> s + element_at(array({logs(x)}), ascii(c) - 96))" for x in LETTERS)
+    return f"exp(least(0D, greatest({', '.join(sums)})))"
 
 
 def token_tests(tokens: DataFrame) -> DataFrame:
@@ -109,8 +131,8 @@ def token_tests(tokens: DataFrame) -> DataFrame:
     d = d.withColumn("rate", F.expr("aggregate(zip_with(slice(class, 1, n - 1), slice(class, 2, n - 1), (x, y) -> if(x = y, 0, 1)), 0D, (s, x) -> s + x) / (n - 1)"))
     q = TEXT_SWITCH
     kl = f"(if(rate > 0, rate * ln(rate / {q}), 0D) + if(rate < 1, (1 - rate) * ln((1 - rate) / {1 - q}), 0D))"
-    return (d.withColumn("p_text", F.expr(f"if(rate > {q}, exp(-(n - 1) * {kl}), 1D)"))
-            .select(*tokens.columns, "encoding", "n", "p_random", "p_text"))
+    d = d.withColumn("p_text", F.expr(f"if(body rlike '^([a-z]+|[A-Z]+)$', {_letters_sql('body')}, if(rate > {q}, exp(-(n - 1) * {kl}), 1D))"))
+    return d.select(*tokens.columns, "encoding", "n", "p_random", "p_text")
 
 
 def band_thresholds(tested: DataFrame) -> DataFrame:
@@ -145,8 +167,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.expr("uuid()").alias("row")), "spans")
     free = found.withColumn("x", F.explode(F.expr(
         "filter(tokens, x -> not exists(base, b -> b.s < x.e and x.s < b.e))"))).select("row", "x.*")
-    free = free.filter(F.length(F.regexp_replace("token", "=+$", "")) >= TOKEN_LEAST)  # padding does not count
-    tested = written(token_tests(free).withColumn("band", F.floor(F.log2("n")).cast("int"))
+    # tokens under 20 characters are a band of their own
+    tested = written(token_tests(free).withColumn("band", F.when(F.col("n") < 20, 3).otherwise(F.floor(F.log2("n"))).cast("int"))
                      .select("row", "s", "e", "encoding", "n", "band", "p_random", "p_text"), "tokens")
     limits = band_thresholds(tested)
     keys = (tested.join(F.broadcast(limits))  # one row
@@ -194,10 +216,10 @@ def _sql() -> str:
     changes = "list_sum(list_transform(range(1, n), lambda i: CASE WHEN {0}[i] = {0}[i + 1] THEN 0 ELSE 1 END))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),{','.join(parts)},
-{matches('tk', 9, TOKEN, 0, TOKEN_LEAST).strip()},
+{matches('tk', 9, SQL_TOKEN, 0, SQL_LEAST).strip()},
 base AS (SELECT rid, k, s, e FROM k0 UNION ALL SELECT rid, k, s, e FROM k1 UNION ALL SELECT rid, k, s, e FROM k2),
 free AS (SELECT rid, s, e, regexp_replace(x, '=+$', '') AS body FROM tk
-         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tk.rid AND b.s < tk.e AND tk.s < b.e) AND length(regexp_replace(x, '=+$', '')) >= {TOKEN_LEAST}),
+         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tk.rid AND b.s < tk.e AND tk.s < b.e) AND length(regexp_replace(x, '=+$', '')) >= {SQL_LEAST}),
 f1 AS (SELECT *, CAST(length(body) AS BIGINT) AS n, {enc} AS encoding FROM free),
 f2 AS (SELECT *, {alpha} AS alphabet FROM f1),
 f3 AS (SELECT *, length(alphabet) AS size, list_transform(string_split(body, ''), lambda c: CAST(instr(alphabet, c) - 1 AS DOUBLE)) AS code,

@@ -81,3 +81,29 @@ def test_equal_to_sql(spark):
     rows = secrets.digest(secrets.find_secrets(docs_frame(spark, texts))).collect()
     assert Counter(tuple(r[c] for c in names) for r in rows) == Counter(
         tuple(None if v is None or v != v else v for v in w) for w in want)
+
+
+def test_values_after_names_single_case_and_short_keys(spark):
+    """The value of NAME=value is a token of its own; letters of one case and 16 to 19 characters are tested."""
+    rng = random.Random(4)
+
+    def draw(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys, texts = [], []
+    for form, alphabet, n, pad in (("AWS_SECRET_ACCESS_KEY={}", low + up + "0123456789", 40, ""), ("AccountKey={};", low + up + "0123456789+/", 86, "=="),
+                                   ("a link?sig={}&x=1", low + up + "0123456789", 32, ""), ("key {} here", low, 32, ""), ("key {} here", up, 40, ""),
+                                   ("id {} here", low + up + "0123456789", 18, "")):
+        for _ in range(20):
+            keys.append(draw(alphabet, n) + pad)
+            texts.append((len(texts), form.format(keys[-1])))
+    words = ["internationalizationandlocalization", "Donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtsgesellschaft",
+             "anticonstitutionnellement", "electroencefalografista", "INTERNATIONALISATION", "responsibilities", "incomprehensible",
+             "some_variable_name=other_variable_name", "ANOTHER_LONG_CONSTANT_NAME=1", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    texts += [(1000 + i, w) for i, w in enumerate(words)]
+    text = dict(texts)
+    found = [text[r.doc_id][s.start:s.end] for r in secrets.find_secrets(docs_frame(spark, texts)).collect() for s in r.spans if s.kind == "key"]
+    assert set(found) <= set(keys)
+    for kind in range(6):
+        assert sum(k in found for k in keys[kind * 20:kind * 20 + 20]) >= 17, kind
