@@ -136,3 +136,22 @@ def test_long_lists_align_by_text():
 def test_words_that_name_no_chrome(body, text):
     """An element that holds the article is no chrome, nor one whose name only contains a word."""
     assert W.main_text(W.tree(page(1, body))[0]) == text
+
+
+def test_long_mixed_lists_are_aligned_in_full(monkeypatch):
+    """Lists of more than 200 children get the largest matching, also when the table is solved by halves."""
+    import random
+
+    rest = "<p>a</p><ul><li>b</li></ul>" * 120
+    for cells in (W.CELLS, 1):
+        monkeypatch.setattr(W, "CELLS", cells)
+        (a, _), (b, ys) = W.tree("<div><h2>new</h2>" + rest + "</div>"), W.tree("<div>" + rest + "</div>")
+        assert len(W.match(a, b)) == len(ys)
+    rng = random.Random(8)
+    for _ in range(30):
+        x, y = ("<div>" + "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c</li></ul>"]) for _ in range(40)) + "</div>" for _ in range(2))
+        sizes = []
+        for cells in (1 << 16, 1):
+            monkeypatch.setattr(W, "CELLS", cells)
+            sizes.append(len(W.match(W.tree(x)[0], W.tree(y)[0])))
+        assert sizes[0] == sizes[1]
