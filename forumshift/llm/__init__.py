@@ -14,7 +14,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ("ngram_join", "mixing", "substrings", "secrets", "pseudonyms", "token_files", "decontaminate",
-           "preferences", "quality", "wrappers", "prefix_trie")
+           "preferences", "quality", "wrappers", "prefix_trie", "bpe")
 
 
 @dataclass(frozen=True)
