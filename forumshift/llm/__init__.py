@@ -14,7 +14,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ("ngram_join", "mixing", "substrings", "secrets", "pseudonyms", "token_files", "decontaminate",
-           "preferences", "quality", "wrappers", "prefix_trie", "bpe")
+           "preferences", "quality", "wrappers", "prefix_trie", "bpe",
+           "hard_negatives")
 
 
 @dataclass(frozen=True)
