@@ -105,3 +105,30 @@ def test_rows_columns_and_odd_tables(spark):
     assert all((model[k] == v).all() for k, v in Q.empty_model().items())
     assert Q.rate_texts(empty_docs(spark), model).collect() == []
     assert Q.judge(model, pa.array([], pa.string()))["kept"].tolist() == []
+
+
+def test_blocks_of_long_texts_decode_like_one_chain(monkeypatch):
+    rng = np.random.default_rng(8)
+    m = random_model(rng)
+    lengths = [1, 40, 9, 0, 27, 3, 8, 16]
+    doc = np.repeat(np.arange(8), lengths)
+    f = rng.integers(0, 3, (len(doc), len(Q.LIMITS)))
+    whole = Q.viterbi(m, f, doc, 8)
+    for block in (1, 2, 3, 8, 39):
+        monkeypatch.setattr(Q, "BLOCK_LINES", block)
+        assert Q.viterbi(m, f, doc, 8).tolist() == whole.tolist()
+
+
+def test_memory_follows_lines_not_the_longest_text():
+    """A child process judges 499 short texts and one of 600,000 lines in bounded memory."""
+    import subprocess
+    import sys
+    code = ("import resource, sys; sys.path.insert(0, sys.argv[1]); import pyarrow as pa\n"
+            "from forumshift.llm import quality as Q\n"
+            "texts = ['a b c\\nd'] * 499 + [''.join(f'{i % 7919:04d}\\n' for i in range(600_000))]\n"
+            "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "Q.judge(Q.empty_model(), pa.array(texts))\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert int(subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, check=True).stdout) < 300
