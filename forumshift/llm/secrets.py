@@ -13,8 +13,9 @@ the largest over the languages.  Benjamini-Hochberg keeps the false discovery ra
 the whole corpus.  The step-up threshold comes from counts on a fixed logarithmic grid (a
 partial aggregate); the table of bands is bounded and joins in as one row.
 
-Positions come from the lengths of the gaps and matches of a split, so everything stays
-in column expressions.
+Positions are running sums of the lengths of the gaps and matches of a split, one row for each
+match; which tokens touch a pattern's span is a running maximum over both in order.  So time
+follows the number of matches, in column expressions throughout.
 """
 
 from __future__ import annotations
@@ -38,32 +39,27 @@ KINDS = (
 KEY_KIND = "key"
 #: tokens that are tested ('=' only as padding, so the value of NAME=value is a token), and their least length
 TOKEN, TOKEN_LEAST = r"[A-Za-z0-9+/_-]{16,}={0,2}", 16
-#: tokens of the SQL, which knows neither values after '=' nor shorter ones nor letters of one case
-SQL_TOKEN, SQL_LEAST = r"[A-Za-z0-9+/_=-]{20,}", 20
 TEXT_SWITCH, ALPHA, FDR = 0.1, 0.001, 0.01
 #: p-values are counted on a grid of this many steps a decade, down to 1e-60
 GRID, DECADES = 4, 60
 
-_EMPTY = "cast(array() as array<struct<s:int,e:int,k:int>>)"
+_SPAN = "struct<s:int,k:int,e:int>"
+_MATCH = "struct<k:int,i:int,gap:int,len:int,grp:int,token:string>"
 
 
 def _lit(s: str) -> str:
     return "r'" + s.replace("'", "\\x27") + "'"
 
 
-def _spans(pattern: str, group: int, least: int, kind: int, text: str = "t") -> str:
-    """SQL: spans (s, e, k) of a pattern's matches whose group is long enough."""
+def _matches(pattern: str, group: int, kind: int, text: str = "t") -> str:
+    """SQL: the matches of a pattern in order, each with the length of the gap before it, its own
+    and its group's; the text of tokens."""
     p = _lit(pattern)
-    return f"""if({text} rlike {p}, aggregate(
+    token = "x['1']" if kind == len(KINDS) else "cast(null as string)"
+    return f"""if({text} rlike {p}, filter(transform(
       arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
-      named_struct('at', 0, 'out', {_EMPTY}),
-      (acc, x) -> named_struct(
-        'at', acc.at + length(x['0']) + coalesce(length(x['1']), 0),
-        'out', if(coalesce(length(x['2']), 0) >= {least},
-                  concat(acc.out, array(named_struct('s', acc.at + length(x['0']),
-                                                     'e', acc.at + length(x['0']) + length(x['1']), 'k', {kind}))),
-                  acc.out)),
-      acc -> acc.out), {_EMPTY})"""
+      (x, i) -> named_struct('k', {kind}, 'i', i, 'gap', length(x['0']), 'len', length(x['1']), 'grp', length(x['2']), 'token', {token})),
+      x -> x.len is not null), cast(array() as array<{_MATCH}>))"""
 
 
 # fixed values: alphabets of the inferred encodings, in order of the test
@@ -152,34 +148,38 @@ def band_thresholds(tested: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, spans)``: spans ``(kind, start, end)`` of every text, in code points.
 
-    ``spans`` are ordered by start, then by kind as listed in ``KINDS``, keys last.  Null
-    texts are empty and have no spans; repeated rows are rows of their own; a null id is
+    ``spans`` are ordered by start, then by kind as listed in ``KINDS``, keys last; ids may
+    have any type.  Null texts are empty and have no spans; repeated rows are rows of their own; a null id is
     kept; other columns are ignored.  A key never overlaps a pattern's span.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    found = base
-    for i, (kind, pattern, group, least) in enumerate(KINDS):
-        found = found.withColumn(kind, F.expr(_spans(pattern, group, least, i)))
-    found = found.withColumn("tokens", F.expr(_spans(TOKEN, 0, TOKEN_LEAST, len(KINDS))))
-    found = written(found.select(
-        "id", F.concat(*[k for k, *_ in KINDS]).alias("base"),
-        F.expr("transform(tokens, x -> named_struct('s', x.s, 'e', x.e, 'token', substring(t, x.s + 1, x.e - x.s)))").alias("tokens"),
-        F.expr("uuid()").alias("row")), "spans")
-    free = found.withColumn("x", F.explode(F.expr(
-        "filter(tokens, x -> not exists(base, b -> b.s < x.e and x.s < b.e))"))).select("row", "x.*")
+    patterns = [*((p, g) for _, p, g, _ in KINDS), (TOKEN, 0)]
+    found = written(base.select("id", F.concat(*[F.expr(_matches(p, g, i)) for i, (p, g) in enumerate(patterns)]).alias("m"),
+                                F.expr("uuid()").alias("row")), "matches")
+    least = F.array(*[F.lit(n) for *_, n in KINDS], F.lit(TOKEN_LEAST))
+    order = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    spans = (found.select("row", F.explode("m").alias("m")).select("row", "m.*").repartition("row")
+             .withColumn("e", F.sum(F.col("gap") + F.col("len")).over(order).cast("int"))
+             .filter(F.col("grp") >= F.element_at(least, F.col("k") + 1))
+             .select("row", (F.col("e") - F.col("len")).alias("s"), "k", "e", "token"))
+    spans = written(spans, "spans")
+    # a token is free if no pattern's span that begins before its end reaches beyond its start
+    is_token = F.col("k") == len(KINDS)
+    until = Window.partitionBy("row").orderBy(F.when(is_token, F.col("e")).otherwise(F.col("s")), F.when(is_token, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    free = (spans.withColumn("reach", F.max(F.when(~is_token, F.col("e"))).over(until))
+            .filter(is_token & (F.coalesce("reach", F.lit(0)) <= F.col("s"))).select("row", "s", "e", "token"))
     # tokens under 20 characters are a band of their own
     tested = written(token_tests(free).withColumn("band", F.when(F.col("n") < 20, 3).otherwise(F.floor(F.log2("n"))).cast("int"))
                      .select("row", "s", "e", "encoding", "n", "band", "p_random", "p_text"), "tokens")
     limits = band_thresholds(tested)
     keys = (tested.join(F.broadcast(limits))  # one row
             .filter((F.col("encoding") != "decimal") & (F.col("encoding") != "none") & (F.col("p_random") >= ALPHA)
-                    & (F.col("p_text") <= F.coalesce(F.col("limits")[F.col("band")], F.lit(-1.0))))
-            .groupBy("row").agg(F.collect_list(F.struct("s", "e", F.lit(len(KINDS)).alias("k"))).alias("more")))
+                    & (F.col("p_text") <= F.coalesce(F.col("limits")[F.col("band")], F.lit(-1.0)))))
+    per = (spans.filter(~is_token).select("row", "s", "k", "e").unionByName(keys.select("row", "s", F.lit(len(KINDS)).alias("k"), "e"))
+           .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e"))).alias("every")))
     names = F.array(*[F.lit(k) for k, *_ in KINDS], F.lit(KEY_KIND))
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.expr(_EMPTY))), lambda a, b: F.when(
-        a.s != b.s, F.when(a.s < b.s, -1).otherwise(1)).otherwise(F.when(a.k < b.k, -1).when(a.k > b.k, 1).otherwise(0)))
-    return (found.join(keys, "row", "left")
-            .select("id", F.transform(every, lambda x: F.struct(
+    return (found.select("id", "row").join(per, "row", "left")
+            .select("id", F.transform(F.coalesce("every", F.expr(f"cast(array() as array<{_SPAN}>)")), lambda x: F.struct(
                 F.element_at(names, x.k + 1).alias("kind"), x.s.alias("start"), x.e.alias("end"))).alias("spans"))
             .withColumnRenamed("id", id_col))
 
@@ -213,13 +213,16 @@ def _sql() -> str:
     q = TEXT_SWITCH
     names = "CASE k " + " ".join(f"WHEN {i} THEN {lit(n)}" for i, (n, *_) in enumerate(KINDS)) + f" ELSE {lit(KEY_KIND)} END"
     n_kind = ", ".join(f"count(CASE WHEN k = {i} THEN 1 END) AS n_{n}" for i, (n, *_) in enumerate(KINDS))
+    logs = [", ".join(f"{math.log(x / sum(r) * 26)!r}e0" if "e" not in repr(math.log(x / sum(r) * 26)) else repr(math.log(x / sum(r) * 26)) for x in r) for r in LETTERS]
+    each = ", ".join(f"list_sum(list_transform(string_split(lower(body), ''), lambda c: [{x}][ascii(c) - 96]))" for x in logs)
+    letters = f"exp(least(0, greatest({each})))"
     changes = "list_sum(list_transform(range(1, n), lambda i: CASE WHEN {0}[i] = {0}[i + 1] THEN 0 ELSE 1 END))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),{','.join(parts)},
-{matches('tk', 9, SQL_TOKEN, 0, SQL_LEAST).strip()},
+{matches('tk', 9, TOKEN, 0, TOKEN_LEAST).strip()},
 base AS (SELECT rid, k, s, e FROM k0 UNION ALL SELECT rid, k, s, e FROM k1 UNION ALL SELECT rid, k, s, e FROM k2),
 free AS (SELECT rid, s, e, regexp_replace(x, '=+$', '') AS body FROM tk
-         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tk.rid AND b.s < tk.e AND tk.s < b.e) AND length(regexp_replace(x, '=+$', '')) >= {SQL_LEAST}),
+         WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tk.rid AND b.s < tk.e AND tk.s < b.e)),
 f1 AS (SELECT *, CAST(length(body) AS BIGINT) AS n, {enc} AS encoding FROM free),
 f2 AS (SELECT *, {alpha} AS alphabet FROM f1),
 f3 AS (SELECT *, length(alphabet) AS size, list_transform(string_split(body, ''), lambda c: CAST(instr(alphabet, c) - 1 AS DOUBLE)) AS code,
@@ -233,9 +236,10 @@ f5 AS (SELECT *, (pow(greatest(chi2 / df, 0), 1 / 3.0) - (1 - 2 / (9 * df))) / s
 f6 AS (SELECT *, 2 * n1 * (n - n1) / n + 1 AS runs_mean FROM f5),
 f7 AS (SELECT *, (runs_mean - 1) * (runs_mean - 2) / (n - 1.0) AS runs_var FROM f6),
 f8 AS (SELECT *, CASE WHEN runs_var > 0 THEN (runs - runs_mean) / sqrt(runs_var) END AS z_runs, CASE WHEN spread > 0 THEN lag / spread * sqrt(n) END AS z_lag FROM f7),
-f9 AS (SELECT rid, s, e, encoding, n, CAST(floor(log2(n)) AS INTEGER) AS band,
+f9 AS (SELECT rid, s, e, encoding, n, CASE WHEN n < 20 THEN 3 ELSE CAST(floor(log2(n)) AS INTEGER) END AS band,
               least(1, 3 * least({upper('z_chi')}, CASE WHEN z_runs IS NULL THEN pow(2e0, 1 - n) ELSE {two('z_runs')} END, CASE WHEN z_lag IS NULL THEN 0 ELSE {two('z_lag')} END)) AS p_random,
-              CASE WHEN rate > {q} THEN exp(-(n - 1) * (rate * ln(rate / {q}) + CASE WHEN rate < 1 THEN (1 - rate) * ln((1 - rate) / {1 - q}) ELSE 0 END)) ELSE 1 END AS p_text
+              CASE WHEN regexp_full_match(body, '[a-z]+|[A-Z]+') THEN {letters}
+                   WHEN rate > {q} THEN exp(-(n - 1) * (rate * ln(rate / {q}) + CASE WHEN rate < 1 THEN (1 - rate) * ln((1 - rate) / {1 - q}) ELSE 0 END)) ELSE 1 END AS p_text
        FROM f8),
 cells AS (SELECT band, least(floor(-log10(greatest(p_text, 1e-300)) * {GRID}), {GRID * DECADES}) AS cell, count(*) AS c FROM f9 GROUP BY 1, 2),
 ranked AS (SELECT band, pow(10.0, -cell / {GRID}) AS top, sum(c) OVER (PARTITION BY band ORDER BY cell DESC) AS r, sum(c) OVER (PARTITION BY band) AS m FROM cells),

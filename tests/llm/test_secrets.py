@@ -74,9 +74,16 @@ def test_equal_to_sql(spark):
     import pandas as pd
 
     texts, _ = fixture()
+    rng = random.Random(12)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for i in range(60):  # values after names, letters of one case, 16 to 19 characters, padding
+        texts += [(300_000 + i, f"AWS_SECRET_ACCESS_KEY={draw(low + low.upper() + digits, 40)}; AccountKey={draw(low + digits + '+/', 43)}="),
+                  (301_000 + i, f"{draw(low, 24 + i % 20)} {draw(low.upper(), 30)} internationalizationandlocalization"),
+                  (302_000 + i, f"x {draw(low + low.upper() + digits, 16 + i % 4)} sig={draw(low + digits, 33)}&y=1 {draw(digits, 20)}")]
     con = duckdb.connect()
     documents = pd.DataFrame(texts, columns=["doc_id", "text"])  # noqa: F841
-    want = con.execute(secrets.QUERY.sql.replace("FROM documents)", "FROM documents)")).fetchall()
+    want = con.execute(secrets.QUERY.sql).fetchall()
     names = [c[0] for c in con.description]
     rows = secrets.digest(secrets.find_secrets(docs_frame(spark, texts))).collect()
     assert Counter(tuple(r[c] for c in names) for r in rows) == Counter(
@@ -107,3 +114,13 @@ def test_values_after_names_single_case_and_short_keys(spark):
     assert set(found) <= set(keys)
     for kind in range(6):
         assert sum(k in found for k in keys[kind * 20:kind * 20 + 20]) >= 17, kind
+
+
+def test_many_spans_in_one_text(spark):
+    """Time follows the number of spans: 30,000 ids, keys and overlapping spans of one text."""
+    rng = random.Random(6)
+    ids = [f"{rng.getrandbits(64):016x}" for _ in range(30_000)]
+    text = "\n".join(f"{x} token={x}" if i % 3 else f"{x} {random_key(rng, 20)}" for i, x in enumerate(ids))
+    r = secrets.find_secrets(docs_frame(spark, [(1, text), (2, "none")])).filter("doc_id = 1").first()
+    assert [tuple(s) for s in r.spans if s.kind != "key"] == brute(text)
+    assert sum(s.kind == "key" for s in r.spans) > 8000
