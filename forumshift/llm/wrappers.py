@@ -25,6 +25,8 @@ import bisect
 import html as entities
 import json
 import re
+import sys
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +40,8 @@ BROADCAST_BYTES = 16 << 20
 LEAST_PAGES, CONSTANT_PCT = 5, 90
 #: cells of a table of child lists that is held at once; larger ones are solved by halves
 CELLS = 1 << 16
-#: open elements beyond which the tree of a page gets no deeper
-DEEPEST = 150
+#: levels down to which trees are aligned; deeper blocks are no template, their text is read as any other
+ALIGNED_LEVELS = 3000
 
 # fixed values: the public HTML element names by role
 RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "template", "svg")
@@ -96,7 +98,8 @@ def _says(name: str, words: frozenset) -> bool:
 
 
 def _is_chrome(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool, str]:
-    """Chrome by its tag, chrome by its words or role, hidden, and the label."""
+    """Chrome by its tag, chrome by its words or role, hidden, and the label.  Words count on
+    blocks only: an inline element's class says how a part of a sentence looks."""
     label, chrome, said, hidden = tag, tag in CHROME_TAGS, tag == "header" and not in_article, False
     if attrs and attrs.strip():
         words = ""
@@ -104,8 +107,8 @@ def _is_chrome(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool
             name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
             if name in ("class", "id"):
                 words += " " + value
-                if name == "id" and in_article and (tag in HEADINGS or tag == "section"):
-                    continue  # the target of a link, named by the story
+                if tag not in BLOCK or (name == "id" and in_article and (tag in HEADINGS or tag == "section")):
+                    continue  # also the target of a link, named by the story
                 for x in value.split():
                     said = said or _says(x, CHROME_WORDS) or (not in_article and _says(x, HEADER_WORDS))
             elif name == "role":
@@ -122,19 +125,24 @@ def _settle(root: Node) -> None:
     """Marks chrome.  If every article (or main element) of a page is, or stands in, an
     element whose words, role or form tag make it chrome, then these elements are none,
     provided that they hold at least as much text as the rest of the page."""
-    free, marked = False, []  # (element, marked elements from the top to it)
-    todo: list = [(root, [])]
+    free, marked = False, []  # (element, marked elements above it as a linked list: how many, the last, the rest)
+    todo: list = [(root, None)]
     while todo:
         n, above = todo.pop()
         if n.hidden or (n.chrome and n.tag != "form"):
             continue
         if n.chrome or n.said:
-            above = [*above, n]
+            above = (above[0] + 1 if above else 1, n, above)
         if n.tag in ("article", "main"):
             free = free or not above
             marked.append((n, above))
         todo.extend((c, above) for c in n.children())
 
+    def each(above):
+        while above:
+            yield above[1]
+            above = above[2]
+
     def mark(n: Node):
         rest = [n]
         while rest:
@@ -148,14 +156,14 @@ def _settle(root: Node) -> None:
     one = sum(n.tag == "article" for n, _ in marked) == 1
     marked = [] if free else [(n, above) for n, above in marked if one or not n.said]  # many that say so: readers' comments
     if marked:
-        fewest = min(len(above) for _, above in marked)
-        cleared = {id(x): x for _, above in marked if len(above) == fewest for x in above}.values()
+        fewest = min(above[0] for _, above in marked)
+        cleared = {id(x): x for _, above in marked if above[0] == fewest for x in each(above)}.values()
         before = [(x, x.chrome, x.said) for x in cleared]
         mark(root)
         rest = weight(root)
         for x in cleared:
             x.chrome = x.said = False
-        if sum(weight(n) for n, above in marked if len(above) == fewest) < rest:
+        if sum(weight(n) for n, above in marked if above[0] == fewest) < rest:
             for x, chrome, said in before:
                 x.chrome, x.said = chrome, said
     mark(root)
@@ -166,10 +174,12 @@ def parse(page: str) -> Node:
     root = Node("html", "html", False)
     stack = [("html", root)]  # open elements (also inline ones) and the block they write to
     articles, at = 0, 0
+    opened: Counter = Counter()  # open elements by tag
 
     def close_to(i):
         nonlocal articles
         for tag, node in stack[i:]:
+            opened[tag] -= 1
             if node.tag == tag and tag in ("article", "main"):
                 articles -= 1
         del stack[i:]
@@ -184,7 +194,7 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group("end"):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if stack[i][0] == tag:
                     close_to(i)
                     break
@@ -213,9 +223,6 @@ def parse(page: str) -> Node:
             continue
         chrome, said, hidden, label = _is_chrome(tag, m.group("attrs"), articles > 0)
         if block or chrome or said or hidden:
-            if len(stack) > DEEPEST:  # deeper blocks become siblings, in page order
-                chrome, said, hidden = chrome or here.chrome, said or here.said, hidden or here.hidden
-                here = stack[DEEPEST][1]
             node = Node(tag, label, chrome)
             node.said, node.hidden = said, hidden
             here.items.append(node)
@@ -227,6 +234,7 @@ def parse(page: str) -> Node:
                 here.items.append(" ")
         if not m.group("attrs").rstrip().endswith("/") or block:
             stack.append((tag, node))
+            opened[tag] += 1
     if at < len(page):
         t = page[at:]
         stack[-1][1].items.append(entities.unescape(t) if "&" in t else t)
@@ -285,6 +293,8 @@ def match(a: Node, b: Node) -> dict[int, int]:
     Among the largest matchings those with more nodes of equal text go first.
     """
     memo: dict = {}
+    level = [0]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * ALIGNED_LEVELS))
     one = 1 << 32  # a pair; equal text counts 1
 
     def alone(x: Node, y: Node) -> int:
@@ -297,7 +307,14 @@ def match(a: Node, b: Node) -> dict[int, int]:
             return alone(x, y)
         key = (x.number, y.number)
         if key not in memo:
-            memo[key] = alone(x, y) + sum(size(u, v) for u, v in aligned(x.children(), y.children()))
+            if level[0] >= ALIGNED_LEVELS:
+                return alone(x, y)
+            level[0] += 1
+            total = alone(x, y)
+            for u, v in aligned(x.children(), y.children()):  # calls of Python functions only: frames are on the heap
+                total += size(u, v)
+            level[0] -= 1
+            memo[key] = total
         return memo[key]
 
     def aligned(xs: list[Node], ys: list[Node]):
@@ -360,12 +377,13 @@ def match(a: Node, b: Node) -> dict[int, int]:
                 out.append((xs[i], ys[j]))
         return out
 
-    pairs, todo = {}, [(a, b)] if a.label == b.label else []
+    pairs, todo = {}, [(a, b, 0)] if a.label == b.label else []
     while todo:
-        x, y = todo.pop()
+        x, y, depth = todo.pop()
         pairs[x.number] = y.number
-        if x.size and y.size:
-            todo.extend(aligned(x.children(), y.children()))
+        if x.size and y.size and depth < ALIGNED_LEVELS:
+            level[0] = depth
+            todo.extend((u, v, depth + 1) for u, v in aligned(x.children(), y.children()))
     return pairs
 
 
@@ -409,21 +427,18 @@ def _reference(data: str):
 
 def named_content(root: Node) -> list[Node]:
     """The page's article elements, else its main elements, outside chrome."""
-    named: list[Node] = []
-
-    def find(n: Node, tag: str):
-        if n.chrome:
-            return
-        if n.tag == tag:
-            named.append(n)
-            return
-        for c in n.children():
-            find(c, tag)
-
-    find(root, "article")
-    if not named:
-        find(root, "main")
-    return named
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    for tag, named in found.items():
+        todo = [root] if not found["article"] else []
+        while todo:
+            n = todo.pop()
+            if n.chrome:
+                continue
+            if n.tag == tag:
+                named.append(n)
+            else:
+                todo.extend(reversed(n.children()))
+    return found["article"] or found["main"]
 
 
 def content_nodes(n: Node) -> list[Node]:
@@ -441,30 +456,23 @@ def content_nodes(n: Node) -> list[Node]:
 def main_text(root: Node, template: frozenset | set = frozenset()) -> str:
     """Text of the content blocks; ``template``: numbers of the page's template nodes."""
     blocks: list[str] = []
-
-    def read(n: Node):
-        if n.chrome:
-            return
-        run: list[str] = []
-        mute = n.number in template
-
-        def flush():
-            if run and not mute:
+    for top in named_content(root) or [root]:
+        todo = [] if top.chrome else [(top, 0)]
+        while todo:
+            n, at = todo.pop()
+            run = []
+            while at < len(n.items) and (n.items[at].__class__ is str or (n.items[at].chrome and n.items[at].tag not in BLOCK)):
+                if n.items[at].__class__ is str:  # what is left out inside a line does not break it
+                    run.append(n.items[at])
+                at += 1
+            if run and n.number not in template:
                 t = " ".join("".join(run).split())
                 if t:
                     blocks.append(t)
-            run.clear()
-
-        for x in n.items:
-            if x.__class__ is str:
-                run.append(x)
-            else:
-                flush()
-                read(x)
-        flush()
-
-    for n in named_content(root) or [root]:
-        read(n)
+            if at < len(n.items):
+                todo.append((n, at + 1))
+                if not n.items[at].chrome:
+                    todo.append((n.items[at], 0))
     return "\n".join(blocks)
 
 

@@ -155,3 +155,62 @@ def test_long_mixed_lists_are_aligned_in_full(monkeypatch):
             monkeypatch.setattr(W, "CELLS", cells)
             sizes.append(len(W.match(W.tree(x)[0], W.tree(y)[0])))
         assert sizes[0] == sizes[1]
+
+
+@pytest.mark.parametrize("body,text", [
+    ('<article><pre>x = 1 <span class="token comment"># set x</span></pre><p>see <em class="notice">this</em>, <a class="share">that</a> '
+     'and <span id="search">there</span></p><p>a <span hidden>not</span>b</p></article>', "x = 1 # set x\nsee this, that and there\na b"),
+    ("<article>" + "<div>" * 200 + "before<p>mid</p>after" + "</div>" * 200 + "<p>end</p></article>", "before\nmid\nafter\nend"),
+    ("<article>" + "<div>x<b>" * 30_000 + "</i>" * 30_000 + "</article>", "\n".join(["x"] * 30_000)),
+])
+def test_depth_and_inline_elements(body, text):
+    assert W.main_text(W.tree(page(1, body))[0]) == text
+
+
+def grown(rng, depth, out, run):
+    """A random story: its markup; appends the blocks it must give to ``out``; ``run``: the open text run."""
+    def close():
+        t = " ".join("".join(run).split())
+        if t:
+            out.append(t)
+        run.clear()
+
+    html = ""
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.randrange(8)
+        if kind < 3:
+            t = rng.choice(["word ", " two  words\n", "&amp;&eacute; ", "x"])
+            html += t
+            run.append(t.replace("&amp;&eacute;", "&é"))
+        elif kind == 3:
+            html += f'<{(i := rng.choice(["b", "em", "span", "code"]))} class="{rng.choice(["comment", "notice", "x", "ad"])}">in</{i}>'
+            run.append("in")
+        elif kind == 4:
+            html += rng.choice(['<div class="ad">no</div>', "<nav><p>no</p>no</nav>", "<!-- no -->", "<script>no<p></script>", "<aside>no</aside>",
+                                '<div style="display: none">no<p>no</p></div>'])
+            if not html.endswith(("-->", "</script>")):
+                close()
+        elif depth:
+            close()
+            tag = rng.choice(["div", "section", "blockquote", "div class='x'"])
+            html += f"<{tag}>" * (levels := rng.choice([1, 1, 1, 3, 3000] if depth == 3 else [1, 2])) + grown(rng, depth - 1, out, run)
+            close()
+            html += f"</{tag.split()[0]}>" * levels
+    return html
+
+
+def test_random_nested_pages_give_every_block_in_order():
+    import random
+
+    deep = 0
+    for seed in range(150):
+        rng, out, run = random.Random(seed), [], []
+        html = grown(rng, 3, out, run)
+        t = " ".join("".join(run).split())
+        out += [t] if t else []
+        deep += html.count("<div>" * 3000) > 0
+        root, nodes = W.tree(page(seed, f"<article>{html}</article>"))
+        assert W.main_text(root) == "\n".join(out), html[:500]
+        if len(nodes) > 3000:
+            assert len(W.match(root, W.tree(page(seed, f"<article>{html}</article>"))[0])) >= 3000
+    assert deep >= 5
