@@ -8,7 +8,12 @@ verbatim passage is found whatever the types.  Windows of a text and an item on
 diagonal are one alignment: its slots must be consistent, the same item value always
 against the same text value and the other way round.  An item leaks into a text if
 consistent windows cover at least ``COVERED_PCT`` per cent of its words: a re-parameterised question
-(other numbers, names, units in every place) is caught like a copy.
+(other numbers, names, units in every place) is caught like a copy.  So does one that has
+``VERBATIM_RUN`` words in a row word for word in the text, whatever their share of a long item.
+
+Items of fewer than ``LEAST_WORDS`` canonical words say too little as templates.  They leak by their
+whole literal sequence of words, signs included: anywhere in a text if that has ``SHORT_WORDS``
+words or more, else only as the whole text.
 
 Texts are scanned once; of their windows only those go to the join that pass a bit table
 of the benchmark's windows (a Bloom filter whose size is bounded; it only saves exchange).
@@ -27,6 +32,7 @@ from .common import (LOWER, U64, bit_table, bounded_batches, in_bit_table, mix,
 WINDOW, COVERED_PCT, LEAST_WORDS, LITERAL_PCT = 8, 50, 5, 60
 #: slot pairs of an alignment that may contradict the others
 MOST_CLASHES_PCT = 20
+VERBATIM_RUN, SHORT_WORDS = 30, 4  # the fixed words of a question template make shorter runs
 BROADCAST_ROWS = 500_000
 
 # fixed values: words that stand for numbers, and units of measure
@@ -157,7 +163,7 @@ def _text_windows(sizes, filled):
 def _consistent(batches):
     """Alignments -> covered places of the item, if the slots agree."""
     for b in batches:
-        keep, places, verbatim = [], [], []
+        keep, places, verbatim, runs = [], [], [], []
         for w in b.column("w").to_pylist():
             there: dict = {}
             back: dict = {}
@@ -171,15 +177,95 @@ def _consistent(batches):
                     ok.add((x["item_at"], x["k"], bool(pairs)))
             # one slot value that stands for several others is no substitution: then only plain windows count
             agree = 100 * len(clashes) <= MOST_CLASHES_PCT * len(seen)
+            plain, longest = {}, 0  # last place of a run of plain windows that begin one word after the other
+            for at, k, typed in sorted(ok):
+                if not typed:
+                    begin = plain.pop((at - 1, k), at)
+                    plain[at, k] = begin
+                    longest = max(longest, at + k - begin)
             ok = {i for at, k, typed in ok if agree or not typed for i in range(at, at + k)}
             keep.append(bool(ok))
+            runs.append(longest)
             places.append(sorted(ok))
             verbatim.append(all(i == t for i, t in there.items()))
         m = pa.array(keep)
         yield pa.RecordBatch.from_arrays(
             [b.column(c).filter(m) for c in ("id", "v", "item", "item_words")]
-            + [pa.array(places, pa.list_(pa.int32())).filter(m), pa.array(verbatim).filter(m)],
-            names=["id", "v", "item", "item_words", "places", "verbatim"])
+            + [pa.array(places, pa.list_(pa.int32())).filter(m), pa.array(verbatim).filter(m), pa.array(runs, pa.int32()).filter(m)],
+            names=["id", "v", "item", "item_words", "places", "verbatim", "run"])
+
+
+# ---- items too short for templates -------------------------------------------------------
+
+def literal_words(arr: pa.Array):
+    """Owner and hash of each word in lower case, without punctuation at its ends unless it is
+    nothing else."""
+    raw, off = text_buffer(arr)
+    s, e, doc = word_spans(raw, off)
+    a = LOWER[raw]
+    low = np.arange(256)
+    inside = np.concatenate([[0], np.cumsum(((low >= 48) & (low < 58) | (low >= 97) & (low < 123) | (low >= 128))[a])])
+    if not len(s):
+        return doc, np.empty(0, U64)
+    at = np.flatnonzero(np.diff(inside))
+    some = inside[e] > inside[s]
+    s, e = s.copy(), e.copy()
+    s[some], e[some] = at[inside[s[some]]], at[inside[e[some]] - 1] + 1
+    return doc, word_hashes(a, s, e)
+
+
+def _sequences(doc, h, texts, sizes, whole):
+    """Windows of the given sizes, and for texts of ``whole`` words or fewer the text itself (size 0)."""
+    n = np.bincount(doc, minlength=texts)
+    first = np.searchsorted(doc, np.arange(texts))
+    for k in sizes:
+        x, at = windows(h, doc, k)
+        yield doc[at], at - first[doc[at]], np.full(len(at), k), x
+    for k in range(1, whole + 1):
+        x, at = windows(h, doc, k)
+        own = n[doc[at]] == k
+        yield doc[at][own], np.zeros(own.sum(), np.int64), np.zeros(own.sum(), np.int64), x[own]
+
+
+def _short_items(batches):
+    for b in batches:
+        short = np.bincount(canonical(b.column("t"))[0], minlength=b.num_rows) < LEAST_WORDS
+        doc, h = literal_words(b.column("t"))
+        n = np.bincount(doc, minlength=b.num_rows)
+        sizes = sorted({int(min(WINDOW, x)) for x in n[short] if x >= SHORT_WORDS})
+        for own, at, k, x in _sequences(doc, h, b.num_rows, sizes, SHORT_WORDS - 1):
+            pick = short[own] & ((k == 0) | (k == np.minimum(WINDOW, n[own])))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("item").take(pa.array(own[pick])), pa.array(at[pick], pa.int32()), pa.array(k[pick], pa.int32()),
+                 pa.array(x[pick].view(np.int64)), pa.array(n[own][pick], pa.int32())], names=["item", "item_at", "k", "h", "item_words"])
+
+
+def _short_windows(sizes, filled):
+    def run(batches):
+        for b in batches:
+            doc, h = literal_words(b.column("t"))
+            for own, at, k, x in _sequences(doc, h, b.num_rows, [k for k in sizes if k], SHORT_WORDS - 1 if 0 in sizes else 0):
+                pick = in_bit_table(filled, x)
+                if pick.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("id").take(pa.array(own[pick])), b.column("v").take(pa.array(own[pick])), pa.array(at[pick], pa.int32()),
+                         pa.array(k[pick], pa.int32()), pa.array(x[pick].view(np.int64))], names=["id", "v", "at", "k", "h"])
+    return run
+
+
+def _short_leaks(base: DataFrame, benchmark_texts: DataFrame) -> DataFrame | None:
+    """Leaks of items too short for templates: all of their words in a row."""
+    items = written(benchmark_texts.mapInArrow(_short_items, "item long, item_at int, k int, h long, item_words int"), "short-items")
+    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WINDOW values
+    if not sizes:
+        return None
+    found = base.mapInArrow(_short_windows(sizes, bit_table(items.select("h"), "h")), "id long, v long, at int, k int, h long")
+    # a word sequence repeats inside an item at most as often as the item has windows
+    return (found.join(items, ["h", "k"]).groupBy("id", "v", "item", "item_words", "k", (F.col("at") - F.col("item_at")).alias("diagonal"))
+            .agg(F.countDistinct("item_at").alias("met"))
+            .filter("k = 0 OR met = item_words - k + 1")
+            .select("id", "v", "item", "item_words").distinct()
+            .select("id", "v", "item", "item_words", F.col("item_words").cast("long").alias("covered"), F.lit(True).alias("verbatim"), F.col("item_words").alias("run")))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -187,15 +273,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """``(id, text_hash, item, covered, item_words, covered_pct, verbatim)`` of every text and
     benchmark item that leaks into it.
 
-    Items with fewer than ``LEAST_WORDS`` canonical words are too short to tell and are not
-    looked for; items shorter than ``WINDOW`` are one window.  Null and empty texts have no
-    windows.  Rows sharing an id but not the text are texts of their own (``text_hash``);
+    Items shorter than ``WINDOW`` canonical words are one window, those with fewer than
+    ``LEAST_WORDS`` leak by their literal words only; null and empty items never leak.  Null and
+    empty texts have no windows.  Ids are integers.  Rows sharing an id but not the text are texts of their own (``text_hash``);
     repeated rows are one text here.  Null ids stay null.  Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = written(benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("t"))
-                    .mapInArrow(_item_windows, "item long, item_at int, k int, h long, item_slots array<string>, item_words int"), "items")
+    asked = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("t"))
+    items = written(asked.mapInArrow(_item_windows, "item long, item_at int, k int, h long, item_slots array<string>, item_words int"), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most WINDOW values
     filled = bit_table(items.select("h"), "h")
     t = F.col(text_col).cast("string")
@@ -204,11 +290,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     met = found.join(items, ["h", "k"]).select("id", "v", "item", "item_words", (F.col("at") - F.col("item_at")).alias("diagonal"),
                                                F.struct("item_at", "k", "slots", "item_slots").alias("x"))
     aligned = (met.groupBy("id", "v", "item", "item_words", "diagonal").agg(F.collect_set("x").alias("w")).drop("diagonal")
-               .mapInArrow(_consistent, "id long, v long, item long, item_words int, places array<int>, verbatim boolean"))
-    return (aligned.withColumn("place", F.explode("places"))
-            .groupBy("id", "v", "item", "item_words").agg(F.countDistinct("place").alias("covered"), F.min("verbatim").alias("verbatim"))
-            .withColumn("covered_pct", F.col("covered") * 100.0 / F.col("item_words"))
-            .filter(F.col("covered") * 100 >= F.col("item_words") * COVERED_PCT)
+               .mapInArrow(_consistent, "id long, v long, item long, item_words int, places array<int>, verbatim boolean, run int"))
+    leaks = (aligned.withColumn("place", F.explode("places"))
+             .groupBy("id", "v", "item", "item_words").agg(F.countDistinct("place").alias("covered"), F.min("verbatim").alias("verbatim"), F.max("run").alias("run"))
+             .filter((F.col("covered") * 100 >= F.col("item_words") * COVERED_PCT) | (F.col("run") >= VERBATIM_RUN)))
+    short = _short_leaks(base, asked)
+    leaks = leaks if short is None else leaks.unionByName(short)
+    return (leaks.withColumn("covered_pct", F.col("covered") * 100.0 / F.col("item_words"))
             .select(F.col("id").alias(id_col), F.col("v").alias("text_hash"), F.col("item").alias(item_col),
                     "covered", "item_words", "covered_pct", "verbatim"))
 
