@@ -3,8 +3,8 @@
 Mail addresses, IPv4 addresses, phone, card, account, IBAN and social security numbers and
 dates are found in whole texts, validated (octets, check digits, calendar), and replaced by
 a keyed permutation of their own format: a Feistel network over the mixed radix of the
-characters that may change.  Separators, lengths, letter case, a card's first digit, a
-phone's country code and a mail's domain stay; check digits are computed anew, so a valid
+characters that may change.  Separators, lengths, letter case, month names' language, a card's first
+digit, a phone's country code and a mail's domain stay; check digits are computed anew, so a valid
 number stays valid.  The same value gets the same pseudonym in every document, different
 values different ones, and the holder of the key can invert it.  No state, no shuffle: each
 text is rewritten where it is read.
@@ -29,21 +29,34 @@ ROUNDS = 8
 QUERY_KEY = b"query key, not a secret"
 KINDS = ("email", "ip", "date", "iban", "ssn", "phone", "card", "account")
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "May" else "May" for m in MONTHS)
+# fixed values: month names, and letters of other scripts in order of their code points
+ENGLISH = "January February March April May June July August September October November December".split()
+MONTHS = {
+    "en": ENGLISH,
+    "en3": [m[:3] for m in ENGLISH],
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+LETTERS = ((0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x5D0, 0x5EA),
+           (0x621, 0x63A), (0x904, 0x939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+_MONTH = "(?i:" + "|".join(sorted({m for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m))) + ")"
+_DAY_FIRST = rf"(\d{{1,2}})(\.?\ |\ de\ )({_MONTH})(\ |\ de\ )(\d{{4}})"
+_MONTH_FIRST = rf"({_MONTH})(\ )(\d{{1,2}})(,\ )(\d{{4}})"
+_NAMED = re.compile(f"{_DAY_FIRST}|{_MONTH_FIRST}")
 
 FOUND = re.compile(rf"""
-  (?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
+  (?P<email>(?<![\w.+%-])\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
  |(?P<ip>(?<![\w.])\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\w|\.\d))
  |(?P<date>(?<![\w.])(?:\d{{4}}(?P<s1>[-/.])\d{{1,2}}(?P=s1)\d{{1,2}}|\d{{1,2}}(?P<s2>[-/.])\d{{1,2}}(?P=s2)\d{{4}}
-    |\d{{1,2}}\ (?:{_MONTH})\ \d{{4}}|(?:{_MONTH})\ \d{{1,2}},\ \d{{4}})(?!\w|\.\d))
+    |\d{{1,2}}(?:\.?\ |\ de\ ){_MONTH}(?:\ |\ de\ )\d{{4}}|{_MONTH}\ \d{{1,2}},\ \d{{4}})(?:(?=T\d\d)|(?!\w|\.\d)))
  |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?!\w))
  |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
  |(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d)
     |(?<![\w+])\+\d{{1,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?\d{{2,4}}){{2,4}}(?!\w|[.-]\d)
     |(?<!\w)\(\d{{3}}\)[ .-]?\d{{3}}[ .-]\d{{4}}(?!\w)|(?<![\w.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-]))
  |(?P<card>(?<![\w.-])\d(?:[ -]?\d){{12,18}}(?![\w-]))
-""", re.X)
+""".replace(r"\d", "[0-9]"), re.X)
 #: texts without any of these hold nothing to find
 HINT = r"@|[0-9]{2}|[0-9][ /.-][A-Z0-9]"
 
@@ -59,6 +72,8 @@ class Cipher:
         return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big")
 
     def permute(self, kind: str, digits: list[int], radices: list[int], inverse: bool = False) -> list[int]:
+        if len(digits) == 1:  # too short for halves
+            return [self.below(kind, digits[0], radices[0], lambda x: True, inverse)]
         half = len(digits) // 2
         left, right, a, b = 0, 0, 1, 1
         for d, r in zip(digits[:half], radices[:half]):
@@ -91,16 +106,20 @@ class Cipher:
                 return value
 
     def characters(self, kind: str, text: str, change, inverse: bool = False) -> str:
-        """Permutes the ASCII letters and digits at the places ``change``; case stays."""
-        at = [i for i in change if text[i].isascii() and text[i].isalnum()]
-        digits, radices = [], []
-        for i in at:
+        """Permutes the letters and digits at the places ``change`` within their alphabets; case
+        stays.  Letters of scripts that LETTERS does not list stay."""
+        at, digits, alphabets = [], [], []
+        for i in change:
             c = text[i]
-            digits.append(int(c) if c.isdigit() else ord(c.lower()) - 97)
-            radices.append(10 if c.isdigit() else 26)
+            low = (48 if c.isdigit() else 97 if c.islower() else 65, 10 if c.isdigit() else 26) if c.isascii() and c.isalnum() else next(
+                ((x, y - x + 1) for x, y in LETTERS if x <= ord(c) <= y), None)
+            if low:
+                at.append(i)
+                digits.append(ord(c) - low[0])
+                alphabets.append(low)
         out = list(text)
-        for i, d, r in zip(at, self.permute(kind, digits, radices, inverse), radices):
-            out[i] = str(d) if r == 10 else (chr(97 + d).upper() if text[i].isupper() else chr(97 + d))
+        for i, d, (first, _) in zip(at, self.permute(kind, digits, [n for _, n in alphabets], inverse), alphabets):
+            out[i] = chr(first + d)
         return "".join(out)
 
 
@@ -122,21 +141,41 @@ def _digits_at(s: str) -> list[int]:
     return [i for i, c in enumerate(s) if c.isdigit()]
 
 
+def _is_ssn(s: str) -> bool:
+    """Area, group and serial number that can be given out."""
+    area, group, serial = s.split("-")
+    return area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000"
+
+
+def _card_end(s: str) -> int:
+    """End of the shortest part of 13 digits or more that ends before a separator, or with the
+    number, and has a valid check digit (a card's own number may be followed by others); else 0."""
+    digits = ""
+    for i, c in enumerate(s):
+        if c.isdigit():
+            digits += c
+            if len(digits) >= 13 and not s[i + 1:i + 2].isdigit() and not luhn(digits):
+                return i + 1
+    return 0
+
+
 def _date_parts(s: str):
     """(day number, how to write another day in the same format, which days fit it), or None."""
-    named = re.fullmatch(rf"(\d{{1,2}}) ({_MONTH}) (\d{{4}})|({_MONTH}) (\d{{1,2}}), (\d{{4}})", s)
+    named = _NAMED.fullmatch(s)
     if named:
-        g = named.groups()
-        day, month, year = (g[0], g[1], g[2]) if g[0] else (g[4], g[3], g[5])
-        short = len(month) == 3 and month != "May"
-        y, m, n = int(year), next(i for i, x in enumerate(MONTHS) if x[:3] == month[:3]) + 1, int(day)
+        g = [x for x in named.groups() if x is not None]
+        day, name, year = (g[0], g[2], g[4]) if g[0].isdigit() else (g[2], g[0], g[4])
+        own, m = next((k, i + 1) for k, names in MONTHS.items() for i, x in enumerate(names) if x.lower() == name.lower())
+        style = str.lower if name.islower() else str.upper if name.isupper() and len(name) > 1 else str.capitalize
+        y, n = int(year), int(day)
 
         def write(d):
-            name = MONTHS[d.month - 1][:3] if short else MONTHS[d.month - 1]
-            return f"{d.day:0{len(day)}d} {name} {d.year}" if g[0] else f"{name} {d.day:0{len(day)}d}, {d.year}"
+            new = {name: style(MONTHS[own][d.month - 1]), day: f"{d.day:0{len(day)}d}", year: f"{d.year}"}
+            return "".join(new[x] if x in (name, day, year) else x for x in g)
 
-        def fits(d):
-            return len(f"{d.day:0{len(day)}d}") == len(day) and not (short and d.month == 5)
+        def fits(d):  # same width, and read in the same language again
+            new = style(MONTHS[own][d.month - 1])
+            return len(f"{d.day:0{len(day)}d}") == len(day) and own == next(k for k, names in MONTHS.items() if new.lower() in [x.lower() for x in names])
     else:
         sep = next(c for c in s if not c.isdigit())
         p = s.split(sep)
@@ -183,23 +222,33 @@ def pseudonym(cipher: Cipher, kind: str, s: str, inverse: bool = False) -> tuple
         return kind, body[:2] + f"{98 - mod97(body[:2] + '00' + body[4:]):02d}" + body[4:]
     at = _digits_at(s)
     if kind == "ssn":
-        return kind, cipher.characters(kind, s, at, inverse)
+        if not _is_ssn(s):
+            return None
+        while True:
+            s = cipher.characters(kind, s, at, inverse)
+            if _is_ssn(s):
+                return kind, s
     if kind == "phone":
         if not 7 <= len(at) <= 15:
             return None
         code = len(re.match(r"\+\d{1,3}(?=[ .(-])|\+\d|", s).group().lstrip("+"))
         return kind, cipher.characters(kind, s, at[code:], inverse)
-    digits = "".join(s[i] for i in at)
-    if luhn(digits):  # no check digit: an account number, all its digits are free
-        # the pseudonym must not become a valid card number, or it could not be inverted
+    end = _card_end(s)
+    if not end:  # no check digit: an account number, all its digits are free
+        # the pseudonym must not hold a valid card number, or it could not be inverted
         while True:
             s = cipher.characters("account", s, at, inverse)
-            if luhn("".join(s[i] for i in at)):
+            if not _card_end(s):
                 return "account", s
-    out = list(cipher.characters("card", s, at[1:-1], inverse))
-    out[at[-1]] = "0"
-    out[at[-1]] = str(-luhn("".join(out[i] for i in at)) % 10)
-    return "card", "".join(out)
+    at, rest = [i for i in at if i < end], s[end:]
+    s = s[:end]
+    while True:
+        out = list(cipher.characters("card", s, at[1:-1], inverse))
+        out[at[-1]] = "0"
+        out[at[-1]] = str(-luhn("".join(out[i] for i in at)) % 10)
+        s = "".join(out)
+        if _card_end(s + rest) == end:
+            return "card", s
 
 
 def rewrite(cipher: Cipher, text: str, inverse: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -209,8 +258,8 @@ def rewrite(cipher: Cipher, text: str, inverse: bool = False) -> tuple[str, list
         got = pseudonym(cipher, m.lastgroup if m.lastgroup in KINDS else "date", m.group(), inverse)
         if got:
             out += [text[at:m.start()], got[1]]
-            spans.append((got[0], m.start(), m.end()))
-            at = look = m.end()
+            at = look = m.start() + len(got[1]) if got[0] == "card" else m.end()  # a card may end before the digits do
+            spans.append((got[0], m.start(), at))
         else:
             look = m.start() + 1  # not valid: another value may begin inside
     return ("".join(out) + text[at:] if spans else text), spans
