@@ -25,12 +25,14 @@ from .common import table, written
 OPEN, ROLE_END, TURN_END = "<|im_start|>", "\n", "<|im_end|>\n"
 ASSISTANT = "assistant"
 TURN = "struct<role:string,text:string>"
+#: parts into which the conversations of one opening are dealt for the join with their best
+SHARES = 16
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                   text_col: str = "text") -> DataFrame:
     """``(id, turns)``: one row per conversation, turns in order (equal turn numbers by role
-    and text, null numbers last); repeated equal turns stay.  Null roles are 'user', null
+    and text, null numbers last); repeated equal turns stay.  Ids may have any type.  Null roles are 'user', null
     texts empty.  Rows without a conversation id belong to no conversation."""
     t = turns.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(turn_col).isNull().alias("last"), F.col(turn_col).cast("long").alias("n"),
@@ -87,10 +89,12 @@ def derived_pairs(conv: DataFrame) -> DataFrame:
     answers = F.filter("turns", lambda t: t.role == ASSISTANT)
     last = F.coalesce(F.length(F.try_element_at(answers, F.lit(-1)).text), F.lit(-1))
     keyed = conv.select("id", "turns", key.alias("key"), last.alias("score"))
-    best = (keyed.groupBy("key").agg(F.max_by("id", F.struct("score", (-F.col("id")).alias("o"))).alias("best"), F.count("*").alias("n"))
+    best = (keyed.groupBy("key").agg(F.min_by("id", F.struct((-F.col("score")).alias("s"), "id")).alias("best"), F.count("*").alias("n"))
             .filter("n > 1").select("key", "best"))
-    chosen = keyed.select(F.col("id").alias("best"), F.col("turns").alias("chosen"))
-    against = (keyed.join(best, "key").filter("id <> best").join(chosen, "best")
+    # the best of each opening, with its turns, once for each share of the opening's conversations
+    chosen = (keyed.select(F.col("id").alias("best"), F.col("turns").alias("chosen")).join(best, "best")
+              .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
+    against = (keyed.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int")).join(chosen, ["key", "share"]).filter("id <> best")
                .select(F.struct(F.lit("opening").alias("kind"), F.col("best").alias("chosen_id"), F.col("id").alias("rejected_id")).alias("pair_id"),
                        "chosen", F.col("turns").alias("rejected")))
     places = F.filter(F.transform("turns", lambda t, i: F.when(t.role == ASSISTANT, i + 1)), lambda i: i.isNotNull())

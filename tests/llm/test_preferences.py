@@ -56,3 +56,10 @@ def test_large_group_gives_one_pair_for_each_other(spark):
 
 def test_empty_table(spark):
     assert P.preference_pairs(P.derived_pairs(P.conversations(turns(spark, [])))).collect() == []
+
+
+def test_text_ids(spark):
+    rows = [(str(c) if c is not None else None, *r) for c, *r in ROWS]
+    d = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {tuple(r.pair_id) for r in P.preference_pairs(P.derived_pairs(P.conversations(d))).collect()}
+    assert got == {("opening", "2", "1"), ("opening", "2", "3"), ("opening", "2", "6"), ("stale", "4", "4")}
