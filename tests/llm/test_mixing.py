@@ -81,3 +81,15 @@ def test_empty_table(spark):
     assert mixing.mix_documents(empty_docs(spark)).collect() == []
     only = docs_frame(spark, [(1, None), (2, "")])
     assert {(r.id, r.target, r.size) for r in mixing.mix_copies(only).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
+
+
+def test_many_equal_units_share_their_copies(spark):
+    """Rows of one id, source and size are numbered in parts; together they get exactly what the mix takes."""
+    texts = [(None, f"{i % 3} same size") for i in range(300)] + [(7, "same words here")] * 200 + [(i, "x " * 9) for i in range(100, 140)]
+    docs = docs_frame(spark, texts, lambda i: "a" if i < 500 else "b")
+    got = Counter((r.doc_id, r.source) for r in mixing.mix_documents(docs).collect())
+    want = Counter()
+    for r in mixing.mix_copies(docs).collect():
+        want[r.id, r.source] += r.copies
+    assert got == +want and got[None, "a"] > 100 and got[7, "a"] > 60
+    assert Counter(r.text for r in mixing.mix_documents(docs).collect()) == Counter(r.text for r in mixing.mix_documents(docs).collect())
