@@ -177,7 +177,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     one = d.filter("__rows = 1").withColumn("__n", F.col("__copies"))
     # equal texts are alike, so any of them may come first: their parts follow the place in the input
     part = F.pmod(F.xxhash64(F.col(text_col)), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("__row"), F.lit(PARTS))
-    many = d.filter("__rows > 1").withColumn("__part", part.cast("int"))
+    many = written(d.filter("__rows > 1").withColumn("__part", part.cast("int")), "equal-units")  # read twice: places must not change
     before = (many.groupBy("__unit", "__part").agg(F.count("*").alias("__m"))
               .withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy("__unit").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .select(F.struct("__unit", "__part").alias("__key"), "__before"))
