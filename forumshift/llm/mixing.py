@@ -169,23 +169,26 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
 
     Rows of equal id, source and size share their copies in an order by a hash of the text;
     they are numbered in PARTS * PARTS parts, so that no task gets all of them."""
-    c = mix_copies(docs, id_col, source_col, text_col, cap, seed).select(
-        F.struct("id", "source", "size").alias("__unit"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows"))
+    c = written(mix_copies(docs, id_col, source_col, text_col, cap, seed).select(
+        F.struct("id", "source", "size").alias("__unit"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows")), "copies")
     unit = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                     n_words(F.col(text_col).cast("string")).alias("size"))
-    d = docs.withColumn("__unit", unit).withColumn("__row", F.monotonically_increasing_id()).join(c, "__unit")
-    one = d.filter("__rows = 1").withColumn("__n", F.col("__copies"))
-    # equal texts are alike, so any of them may come first: their parts follow the place in the input
-    part = F.pmod(F.xxhash64(F.col(text_col)), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("__row"), F.lit(PARTS))
-    many = written(d.filter("__rows > 1").withColumn("__part", part.cast("int")), "equal-units")  # read twice: places must not change
-    before = (many.groupBy("__unit", "__part").agg(F.count("*").alias("__m"))
-              .withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy("__unit").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select(F.struct("__unit", "__part").alias("__key"), "__before"))
-    many = (many.withColumn("__at", F.row_number().over(Window.partitionBy("__unit", "__part").orderBy(F.col(text_col), "__row")))
-            .withColumn("__key", F.struct("__unit", "__part")).join(before, "__key")
-            .withColumn("__n", share_of(F.col("__before") + F.col("__at"), F.col("__copies"), F.col("__rows"))))
-    many = many.select(one.columns)
-    both = one.unionByName(many).filter("__n > 0")
+    d = docs.withColumn("__unit", unit)
+    both = d.join(c.filter("__rows = 1"), "__unit").withColumn("__n", F.col("__copies"))
+    shared = c.filter("__rows > 1")
+    if not shared.isEmpty():
+        # equal texts are alike, so any of them may come first: their parts follow the place in the input
+        part = F.pmod(F.xxhash64(F.col(text_col)), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("__row"), F.lit(PARTS))
+        # read twice: places must not change
+        many = written(d.withColumn("__row", F.monotonically_increasing_id()).join(shared, "__unit").withColumn("__part", part.cast("int")), "equal-units")
+        before = (many.groupBy("__unit", "__part").agg(F.count("*").alias("__m"))
+                  .withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy("__unit").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                  .select(F.struct("__unit", "__part").alias("__key"), "__before"))
+        many = (many.withColumn("__at", F.row_number().over(Window.partitionBy("__unit", "__part").orderBy(F.col(text_col), "__row")))
+                .withColumn("__key", F.struct("__unit", "__part")).join(before, "__key")
+                .withColumn("__n", share_of(F.col("__before") + F.col("__at"), F.col("__copies"), F.col("__rows"))))
+        both = both.unionByName(many.select(both.columns))
+    both = both.filter("__n > 0")
     return both.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
