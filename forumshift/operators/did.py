@@ -19,9 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.student import critical_value
 from ..session import cut_lineage
 
-Z95 = 1.959963984540054
 #: a regressor is absorbed if the effects leave less than this share of its variation
 ABSORBED = 1e-10
 
@@ -116,7 +116,8 @@ def twfe_did(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
     """ATT of ``y ~ D + unit FE + time FE (+ covariates)``.
 
     Standard error clustered by ``cluster`` (default: the unit), with the
-    ``G/(G-1)`` small-sample factor when ``ssc``.  Time-only covariates (month or
+    ``G/(G-1)`` small-sample factor when ``ssc``; the interval uses Student's t with G - 1
+    degrees of freedom (none with a single cluster).  Time-only covariates (month or
     quarter dummies) are absorbed by the time effects and drop out.
     """
     cluster = cluster or unit
@@ -154,7 +155,8 @@ def twfe_did(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
     se = math.sqrt(factor * agg["v"]) if agg["v"] is not None else float("nan")
     counts = panel.agg(F.count(F.lit(1)).alias("n_obs"), F.countDistinct(unit).alias("n_units"),
                        F.countDistinct(time).alias("n_periods")).first()
-    row = (label, att, se, att / se if se > 0 else None, att - Z95 * se, att + Z95 * se,
+    margin = critical_value(0.95, G - 1) * se if G > 1 else None
+    row = (label, att, se, att / se if se > 0 else None, att - margin if G > 1 else None, att + margin if G > 1 else None,
            math.expm1(att) * 100.0, int(counts["n_obs"]), int(counts["n_units"]),
            int(counts["n_periods"]), int(G))
     return panel.sparkSession.createDataFrame(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normal import two_sided_sql
+from ..functions.student import two_sided_spark
 from ..session import cut_lineage
 from .terms import TfidfResult, term_values
 
@@ -279,24 +280,9 @@ def average_rank(df: DataFrame, partition: str, order: str, name: str = "time_tr
     return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
-def t_squared_sql(t: str, df: str) -> str:
-    """First step of Hill's normal transform of Student's t: a squared deviate."""
-    return f"(({df} - 0.5e0) * ln(1e0 + ({t}) * ({t}) / {df}))"
-
-
-def t_deviate_sql(z2: str, df: str) -> str:
-    """Second step: the normal deviate of the same two-sided probability (CACM Algorithm 395
-    without its tables; error below 1e-5 from five degrees of freedom up)."""
-    b = f"(48e0 * ({df} - 0.5e0) * ({df} - 0.5e0))"
-    return (f"(sqrt({z2}) * (1e0 + ({z2} + 3e0) / {b} - (4e0 * {z2} * {z2} * {z2} + 33e0 * {z2} * {z2} + 240e0 * {z2} + 855e0) "
-            f"/ (10e0 * {b} * ({b} + 0.8e0 * {z2} * {z2} + 100e0))))")
-
-
 def t_two_sided(t: str, df: str) -> Column:
-    """Two-sided p-value of Student's t with at least three degrees of freedom (else null).
-    One-element arrays hold the two steps, so each is computed once."""
-    z2 = f"transform(array({t_squared_sql(t, df)}), z2 -> {t_deviate_sql('z2', df)})"
-    return F.expr(f"CASE WHEN {df} >= 3 THEN transform({z2}, z -> {two_sided_sql('z')})[0] END")
+    """Two-sided p-value of Student's t, exact for whole degrees of freedom (null without any)."""
+    return F.expr(two_sided_spark(t, df))
 
 
 def pretrend_slopes(panel: DataFrame, outcomes: Sequence[str], forum: str = "forum",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_monday, year_month, year_quarter
+from ..functions.student import central_duck
 from ..operators import did as D
 from ..operators import panel as P
 from ..session import cut_lineage
@@ -61,16 +62,21 @@ cnt AS (SELECT count(*) AS n_obs, count(DISTINCT forum) AS n_units, count(DISTIN
 
 
 def causal_sql(select: str, did: bool = True) -> str:
-    return (with_views("", "posts_orders") + "," + _PANEL_CTES.lstrip().lstrip(",")
+    return (with_views("", "posts_orders").replace("WITH", "WITH RECURSIVE", 1) + "," + _PANEL_CTES.lstrip().lstrip(",")
             + (_DID_CTES if did else "") + "\n" + select)
 
 
 def _did_select(spec: str) -> str:
     return f"""
+, tq AS (SELECT 0 AS it, 0e0 AS lo, 1e4 AS hi, g - 1 AS df FROM est
+         UNION ALL SELECT it + 1, CASE WHEN {central_duck('m', 'df')} < 0.95 THEN m ELSE lo END,
+                          CASE WHEN {central_duck('m', 'df')} < 0.95 THEN hi ELSE m END, df
+         FROM (SELECT *, (lo + hi) / 2 AS m FROM tq WHERE it < 80)),
+tc AS (SELECT hi AS q FROM tq WHERE it = 80)
 SELECT '{spec}' AS spec, round(att, 6) AS att, round(se, 6) AS se, round(att / se, 6) AS t_stat,
-       round(att - {D.Z95} * se, 6) AS ci_lower, round(att + {D.Z95} * se, 6) AS ci_upper,
+       round(att - q * se, 6) AS ci_lower, round(att + q * se, 6) AS ci_upper,
        round((exp(att) - 1) * 100.0, 6) AS pct_effect, n_obs, n_units, n_periods, g AS n_clusters
-FROM est CROSS JOIN cnt"""
+FROM est CROSS JOIN cnt CROSS JOIN tc"""
 
 
 @register("estimation_panel", causal_sql(
@@ -154,7 +160,7 @@ p AS (SELECT u.unit AS forum, w.wk, ln(1 + CAST(coalesce(n, 0) AS DOUBLE)) AS y,
 
 
 def group_sql(select: str, did: str = _DID_CTES) -> str:
-    return with_views("", "posts_orders") + "," + _GROUP_CTES.lstrip().lstrip(",") + did + "\n" + select
+    return with_views("", "posts_orders").replace("WITH", "WITH RECURSIVE", 1) + "," + _GROUP_CTES.lstrip().lstrip(",") + did + "\n" + select
 
 
 def filled_groups(spark, sf):

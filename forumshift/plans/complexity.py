@@ -218,7 +218,7 @@ def q_complexity_panel(spark, sf):
     return rounded(complexity_panel(spark, sf).select("unit", "quarter", "y", "d", "unit_id"))
 
 
-@register("did_complexity", processed_sql(_z_sql() + _QUARTER_PANEL + re.sub(r"\bp\b", "cp", _DID_CTES) + _did_select("complexity")))
+@register("did_complexity", processed_sql(_z_sql() + _QUARTER_PANEL + re.sub(r"\bp\b", "cp", _DID_CTES) + _did_select("complexity")).replace("WITH", "WITH RECURSIVE", 1))
 def q_did_complexity(spark, sf):
     """C1/C5 on complexity: DiD over languages and control forums by quarter."""
     return rounded(D.twfe_did(complexity_panel(spark, sf), "unit", "quarter", "y", "d", label="complexity"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.normal import two_sided_sql
+from ..functions.student import central_duck
 from ..operators import significance as S
 from ..operators import terms as T
 from .fixtures import ORDERS_EVENT_DATE
@@ -209,9 +210,7 @@ _PT = "(slope - ref_slope) / sqrt(s2 * (1 / sxx + 1 / ref_sxx))"
 @register("pretrend_test", panel_sql(_PRETREND + f"""
 , s AS (SELECT outcome, forum, slope, slope - ref_slope AS interaction, sqrt(s2 * (1 / sxx + 1 / ref_sxx)) AS se, {_PT} AS t_stat,
                CAST(df_resid AS BIGINT) AS df_resid FROM per JOIN pooled USING (outcome) WHERE forum <> '{PRETREND_REFERENCE}'),
-s2 AS (SELECT *, {S.t_squared_sql('t_stat', 'cast(df_resid as double)')} AS z2 FROM s),
-s3 AS (SELECT *, {S.t_deviate_sql('z2', 'cast(df_resid as double)')} AS z FROM s2),
-p AS (SELECT *, {two_sided_sql('z')} AS p_value FROM s3)
+p AS (SELECT *, 1 - {central_duck('t_stat', 'df_resid')} AS p_value FROM s)
 SELECT outcome, forum, round(slope, 6) AS slope, round(interaction, 6) AS interaction, round(se, 6) AS se, round(t_stat, 6) AS t_stat,
        df_resid, round(p_value, 6) AS p_value, CASE WHEN p_value < 0.05 THEN 'non-parallel' ELSE 'parallel' END AS verdict FROM p"""))
 def q_pretrend_test(spark, sf):
