@@ -141,3 +141,44 @@ def q_merge_skip_corrupt(spark, sf):
     (posts.where(F.col("forum") != "Mathematics").select(F.concat_ws(",", "Id", "Score").alias("value"))
      .write.format("text").save(f"{path}/part=b"))
     return IO.read_parquet_merged(spark, path, ignore_corrupt=True, schema=posts.select("Id", "Score").schema).select("Id", "Score")
+
+
+@register("merge_rejects", with_views("SELECT DISTINCT forum FROM posts_docs WHERE forum <> 'Mathematics'", "posts_docs"))
+def q_merge_rejects(spark, sf):
+    """Which parts a read that skips unreadable ones has left out."""
+    path = scratch_path(spark, "rejects")
+    posts = docs_posts(spark, sf)
+    IO.write_parquet(posts.where(F.col("forum") == "Mathematics").select("Id", "Score", F.hex("forum").alias("part")), path, partition_by=("part",))
+    (posts.where(F.col("forum") != "Mathematics").select(F.concat_ws(",", "Id", "Score").alias("value"), F.hex("forum").alias("part"))
+     .write.mode("append").partitionBy("part").format("text").save(path))
+    read = IO.read_parquet_merged(spark, path, ignore_corrupt=True, schema=posts.select("Id", "Score").schema)
+    lost = IO.unreadable_parts(spark, path, read)
+    return lost.select(F.decode(F.unhex(F.regexp_extract("path", "part=([0-9A-F]+)/", 1)), "UTF-8").alias("forum")).distinct()
+
+
+def _damaged_dump(spark, sf):
+    """A dump in which every fifth record has an attribute without quotes."""
+    path = scratch_path(spark, "damaged") + "/Posts.xml"
+    posts = docs_posts(spark, sf).select("Id", "Score", "Title")
+    IO.write_posts_xml(posts, path + ".whole")
+    lines = spark.read.text(path + ".whole")
+    hurt = F.col("value").rlike(' Id="[0-9]*[05]"')
+    lines.select(F.when(hurt, F.regexp_replace("value", ' Id="([0-9]+)"', " Id=$1")).otherwise(F.col("value")).alias("value")).write.text(path)
+    return path
+
+
+_DAMAGED = with_views("SELECT Id, Score, Title, Id LIKE '%0' OR Id LIKE '%5' AS hurt FROM posts_docs", "posts_docs")
+
+
+@register("xml_damaged_kept", f"SELECT Id, Score, Title FROM ({_DAMAGED}) WHERE NOT hurt")
+def q_xml_damaged_kept(spark, sf):
+    """The good rows of a dump with damaged records."""
+    good, _ = IO.read_posts_xml_checked(spark, _damaged_dump(spark, sf))
+    return good.select("Id", "Score", "Title")
+
+
+@register("xml_damaged_rejects", f"SELECT Id FROM ({_DAMAGED}) WHERE hurt")
+def q_xml_damaged_rejects(spark, sf):
+    """The damaged records of the same dump, by the id in their text."""
+    _, rejects = IO.read_posts_xml_checked(spark, _damaged_dump(spark, sf))
+    return rejects.select(F.regexp_extract("record", "Id=([0-9]+)", 1).alias("Id"))

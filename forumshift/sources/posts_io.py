@@ -40,8 +40,9 @@ def read_posts_xml(spark: SparkSession, path: str, record_tag: str = "row",
     """``<row a="…"/>`` records, every attribute a string column.
 
     ``schema=None`` infers the union of attributes (strings only).  Damaged
-    records become nulls (PERMISSIVE), as the tolerant parser did.  Plain,
-    ``.gz`` or ``.bz2`` input is split across tasks by the XML source.
+    records become nulls (PERMISSIVE), as the tolerant parser did;
+    ``read_posts_xml_checked`` tells them apart.  Plain and ``.bz2`` input is split across tasks
+    by the XML source, a ``.gz`` file is one task.
     """
     r = (spark.read.format("xml").option("rowTag", record_tag).option("attributePrefix", "")
          .option("mode", "PERMISSIVE").option("inferSchema", "false").option("ignoreSurroundingSpaces", "false"))
@@ -50,6 +51,31 @@ def read_posts_xml(spark: SparkSession, path: str, record_tag: str = "row",
     return r.load(path)
 
 
+def read_posts_xml_checked(spark: SparkSession, path: str, record_tag: str = "row",
+                           schema: T.StructType = POSTS_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """The readable records, and the rejects ``(path, record)``: the text of each damaged one
+    with the file that holds it.  The dumps hold one record a line, so damage ends with its line
+    (the XML source gives up on the rest of a file).  Both are narrow reads of the dump."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("record")).where(
+        F.col("record").startswith(f"<{record_tag}"))
+    fields = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType(), True)])
+    options = {"rowTag": record_tag, "attributePrefix": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
+               "ignoreSurroundingSpaces": "false"}
+    parsed = lines.select("path", "record", F.from_xml("record", fields.simpleString(), options).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    return parsed.where(~bad).select(*[F.col(f"r.`{c}`") for c in schema.names]), parsed.where(bad).select("path", "record")
+
+
+def unreadable_parts(spark: SparkSession, path: str, read: DataFrame) -> DataFrame:
+    """``(path, size)`` of the files under ``path`` that gave no row to ``read``, a read of the same
+    folder that skips corrupt files: the listing less the files that rows come from."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+               .select("path", F.col("length").alias("size")).where(~name.rlike("^[._]")).withColumn("name", name))
+    used = read.select(F.col("_metadata.file_name").alias("name")).distinct()
+    return listing.join(used, "name", "left_anti").select("path", "size")
+
+
 def write_posts_xml(df: DataFrame, path: str, record_tag: str = "row", root_tag: str = "posts") -> None:
     """Write rows as ``<row a="..."/>`` lines (used to build test dumps): attribute values
     with markup, quotes and line breaks as character references, nulls left out, each part a
