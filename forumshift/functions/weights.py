@@ -1,8 +1,7 @@
-"""Simplex-constrained weights from Gram matrices (Arkhangelsky et al. 2021).
+"""Simplex-constrained weights (Arkhangelsky et al. 2021), matrix-free.
 
-The solvers see only second moments: a Gram block and a vector of products with the
-target, both sums that Spark computed.  They run in one small group per experiment and
-replicate and say whether they converged.
+The solvers see the paths of the candidates and of the target and never a matrix of
+products between candidates.  They say whether they converged.
 """
 
 from __future__ import annotations
@@ -19,38 +18,53 @@ class Fit:
     iterations: int
 
 
-def fw_gram(Q: np.ndarray, c: np.ndarray, max_iter: int = 10_000, min_decrease: float = 1e-8,
-            num_iter_no_change: int = 1) -> Fit:
-    """Frank-Wolfe with exact line search for ``min w'Qw - 2c'w`` over the simplex.
+#: gradients closer than this share of their spread count as equal: the first vertex goes first
+TIE = 1e-9
+
+
+def first_least(g: np.ndarray) -> int:
+    """The first of the least entries."""
+    low = g.min()
+    return int(np.flatnonzero(g <= low + TIE * (abs(low) + np.abs(g).max()))[0])
+
+
+def fw_step(slope: float, curve: float) -> tuple[float, float]:
+    """Exact line search: step towards a vertex and the decrease of the objective, from half the
+    slope against it (current value minus the vertex's) and the curvature along it."""
+    if curve <= 0:
+        return 0.0, 0.0
+    step = min(1.0, max(0.0, slope / curve))
+    return step, 2 * step * slope - step * step * curve
+
+
+def fw_paths(A: np.ndarray, b: np.ndarray, n: float, ridge: float, max_iter: int = 10_000, min_decrease: float = 1e-8,
+             num_iter_no_change: int = 1, good_gap: float = 0.0) -> Fit:
+    """Frank-Wolfe for ``min |A'w - b|^2 / n + ridge |w|^2`` over the simplex; a row of ``A`` for
+    each weight.  Matrix-free: it keeps ``A'w`` and never forms ``A A'`` or ``A'A``.
 
     Stops when the objective decreases by less than ``min_decrease**2`` in
-    ``num_iter_no_change`` consecutive steps.
+    ``num_iter_no_change`` consecutive steps.  After ``max_iter`` steps it has converged if half
+    the duality gap, which bounds half the distance to the optimum, is at most ``good_gap``.
     """
-    K = len(c)
+    K = len(A)
     if K == 1:
         return Fit(np.ones(1), True, 0)
     w = np.full(K, 1.0 / K)
-    Qw = Q @ w
-    f = w @ Qw - 2 * c @ w
+    x = w @ A
     calm = 0
     for it in range(1, max_iter + 1):
-        g = 2 * (Qw - c)
-        i = int(np.argmin(g))
-        d = -w.copy()
+        g = A @ (x - b) / n + ridge * w
+        i = first_least(g)
+        d = -w
         d[i] += 1.0
-        Qd = Q[:, i] - Qw
-        dQd = d @ Qd
-        if dQd <= 0:
-            return Fit(w, True, it)
-        gamma = min(1.0, max(0.0, (c @ d - w @ Qd) / dQd))
-        w = w + gamma * d
-        Qw = Qw + gamma * Qd
-        f_new = w @ Qw - 2 * c @ w
-        calm = calm + 1 if f - f_new < min_decrease ** 2 else 0
-        f = f_new
+        step, fell = fw_step(-(g @ d), ((A[i] - x) @ (A[i] - x)) / n + ridge * (d @ d))
+        w = w + step * d
+        x = x + step * (A[i] - x)
+        calm = calm + 1 if fell < min_decrease ** 2 else 0
         if calm >= num_iter_no_change:
             return Fit(w, True, it)
-    return Fit(w, False, max_iter)
+    g = A @ (x - b) / n + ridge * w
+    return Fit(w, bool(g @ w - g.min() <= good_gap), max_iter)
 
 
 def project_simplex(v: np.ndarray) -> np.ndarray:
@@ -62,17 +76,17 @@ def project_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - css[rho] / (rho + 1), 0.0)
 
 
-def pg_gram(Q: np.ndarray, c: np.ndarray, max_iter: int = 20_000, tol: float = 1e-14) -> Fit:
-    """Accelerated projected gradient for the same objective; reaches optima on a face of
-    the simplex, where synthetic controls usually sit."""
-    K = len(c)
+def pg_paths(A: np.ndarray, b: np.ndarray, n: float, max_iter: int = 20_000, tol: float = 1e-14) -> Fit:
+    """Accelerated projected gradient for ``min |A'w - b|^2 / n`` over the simplex, matrix-free; reaches
+    optima on a face of the simplex, where synthetic controls usually sit."""
+    K = len(A)
     if K == 1:
         return Fit(np.ones(1), True, 0)
-    L = 2 * np.linalg.eigvalsh(Q).max() or 1.0
+    L = 2 * np.linalg.norm(A, 2) ** 2 / n or 1.0
     w = np.full(K, 1.0 / K)
     z, t = w.copy(), 1.0
     for it in range(1, max_iter + 1):
-        w_new = project_simplex(z - (2 * (Q @ z - c)) / L)
+        w_new = project_simplex(z - (2 * (A @ (z @ A - b)) / n) / L)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = w_new + (t - 1) / t_new * (w_new - w)
         step = np.abs(w_new - w).max()
@@ -80,8 +94,3 @@ def pg_gram(Q: np.ndarray, c: np.ndarray, max_iter: int = 20_000, tol: float = 1
         if step < tol:
             return Fit(w, True, it)
     return Fit(w, False, max_iter)
-
-
-def centred(G: np.ndarray, mean: np.ndarray, n: float) -> np.ndarray:
-    """Second moments per row about the mean (a free intercept), from raw sums."""
-    return G / n - np.outer(mean, mean)

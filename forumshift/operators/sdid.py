@@ -1,17 +1,15 @@
 """Synthetic DiD, synthetic control, replicate standard errors and event studies
 (C7-C21) as Spark aggregations.
 
-What the weight problems need are second moments, and those are sums over the panel:
+The weight problems are solved by Frank-Wolfe without a matrix of products between units or
+between periods.  A step needs the candidate with the least gradient and three sums along
+the way to it.  Panels of at most ``LOCAL_CELLS`` cells (a checked size) take all their steps in
+one task.  Beyond that each step is one pass over the units' paths: unit weights are the
+uniform start, scaled, plus a few candidates, so the state is one path and a short list for
+each assignment; time weights are one number per period.  All assignments step together.
 
-* unit weights: ``sum_t y_it y_jt`` over pre-periods for pairs of units (a self-join on
-  the period, then one aggregate); the treated mean and every replicate's subset are
-  combinations of these numbers;
-* time weights: ``sum_i copies_i y_it y_is`` over an assignment's controls (a self-join on
-  the unit, then one aggregate), with the post-period mean as one more column.
-
-A solver task gets one assignment's numbers: ``N_co**2`` and ``T0**2`` of them, never the
-panel.  Everything after the weights is a join of weights with the panel and an aggregate:
-gaps, effects, ATT, event study, bands and paths.
+Everything after the weights is a join of weights with the panel and an aggregate:
+gaps, effects, ATT, event study, bands and paths.  Weights that do not converge are an error.
 
 An *assignment* says which units are treated and how often a unit counts: 0 is the
 estimate; replicates are placebo (treated drawn from the controls) or bootstrap (units
@@ -31,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.weights import centred, fw_gram, pg_gram
+from ..functions.weights import Fit, first_least, fw_paths, fw_step, pg_paths
 from ..session import cut_lineage
 
 Z95 = 1.959963984540054
@@ -128,103 +126,233 @@ def assignments(units: DataFrame, vce: str, reps: int, seed: int) -> DataFrame:
 BOOTSTRAP_TRIES = 64
 
 
-def _solve(method: str, max_iter: int, tol: float | None, num_iter_no_change: int):
-    """Moments of one assignment -> its weights, ridge and convergence."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        exp, aid = pdf["experiment"].iloc[0], pdf["aid"].iloc[0]
-        info = pdf[pdf["kind"] == "info"].iloc[0]
-        n0, n1, T0, T1, noise = (float(info[c]) for c in ("v1", "v2", "v3", "v4", "v5"))
-        units = pdf[pdf["kind"] == "unit"].sort_values("a")  # controls: name, copies, pre-period sum
-        gram = pdf[pdf["kind"] == "gram"]
-        names = units["a"].to_numpy()
-        at = {u: i for i, u in enumerate(names)}
-        G = np.zeros((len(names), len(names)))
-        G[[at[a] for a in gram["a"]], [at[b] for b in gram["b"]]] = gram["v1"]
-        to = pdf[pdf["kind"] == "target"].set_index("a")["v1"].reindex(names).to_numpy(dtype=float)  # with the treated mean
-        copies = units["v1"].to_numpy(dtype=int)
-        each = np.repeat(np.arange(len(names)), copies)
-        zeta = (n1 * T1) ** 0.25 * noise
-        least = tol if tol is not None else 1e-5 * max(noise, 1e-12)
-        rows = []
-        if method == "sc":
-            fit = pg_gram(G[np.ix_(each, each)] / T0, to[each] / T0, max(max_iter, 20_000))
-            zeta = 0.0
-        else:
-            mean = units["v2"].to_numpy(dtype=float) / T0
-            Q = centred(G, mean, T0)[np.ix_(each, each)] + zeta ** 2 * np.eye(len(each))
-            c = (to / T0 - mean * float(info["v6"]) / T0)[each]
-            fit = fw_gram(Q, c, max_iter, least, num_iter_no_change)
-        omega = np.bincount(each, fit.weights, len(names))
-        rows += [("omega", u, None, w) for u, w in zip(names, omega)]
-        rows += [("zeta", None, None, zeta), ("omega_converged", None, None, float(fit.converged)),
-                 ("omega_iterations", None, None, float(fit.iterations))]
-        if method == "sdid":
-            m = pdf[pdf["kind"] == "time"]
-            k = int(T0)
-            M = np.zeros((k + 1, k + 1))  # the last row and column: the post-period mean
-            i, j = m["t"].to_numpy(dtype=int), m["s"].to_numpy(dtype=int)
-            M[i, j] = M[j, i] = m["v1"]
-            s = pdf[pdf["kind"] == "timesum"]
-            mean = np.zeros(k + 1)
-            mean[s["t"].to_numpy(dtype=int)] = s["v1"] / n0
-            C = centred(M, mean, n0)
-            fit = fw_gram(C[:k, :k] + (1e-6 * noise) ** 2 * np.eye(k), C[:k, k], max_iter, least, num_iter_no_change)
-            rows += [("lambda", None, t, w) for t, w in enumerate(fit.weights)]
-            rows += [("lambda_converged", None, None, float(fit.converged)), ("lambda_iterations", None, None, float(fit.iterations))]
-        return pd.DataFrame([(exp, aid, kind, u, t, float(v)) for kind, u, t, v in rows],
-                            columns=["experiment", "aid", "kind", "unit", "t", "value"]).astype({"t": "Int32"})
+#: weights whose objective is certainly this close to the best (in squares of the noise) will do after the last step
+GOOD_GAP = 0.02
+#: cells of a panel, and rows of its assignments, up to which one task takes all steps
+LOCAL_CELLS = 1_000_000
+#: passes over a larger panel; what has not converged by then must have a good gap
+SPREAD_STEPS = 300
+
+
+def _noise(e1: float, e2: float, m: float) -> float:
+    """Standard deviation of first differences from their sum, sum of squares and number."""
+    return float(np.sqrt(max(0.0, e2 - e1 * e1 / m) / (m - 1))) if m > 1 else 0.0
+
+
+def _rows_of(names, omega, zeta, fit: Fit, lam: Fit | None):
+    rows = [("omega", u, None, w) for u, w in zip(names, omega)]
+    rows += [("zeta", None, None, zeta), ("omega_converged", None, None, float(fit.converged)), ("omega_iterations", None, None, float(fit.iterations))]
+    if lam is not None:
+        rows += [("lambda", None, t, w) for t, w in enumerate(lam.weights)]
+        rows += [("lambda_converged", None, None, float(lam.converged)), ("lambda_iterations", None, None, float(lam.iterations))]
+    return rows
+
+
+def _solve_here(method: str, max_iter: int, tol: float | None, calm: int):
+    """A panel's cells and assignments -> weights, ridge and convergence of each assignment."""
+    def run(cells: pd.DataFrame, assigned: pd.DataFrame) -> pd.DataFrame:
+        if not len(cells) or not len(assigned):
+            return pd.DataFrame(columns=["experiment", "aid", "kind", "unit", "t", "value"]).astype({"t": "Int32"})
+        exp, t0 = cells["experiment"].iloc[0], int(cells["t0"].iloc[0])
+        wide = cells.pivot(index="unit", columns="t", values="y").sort_index()
+        Y = wide.to_numpy(dtype=float)
+        place = {u: i for i, u in enumerate(wide.index)}
+        after = Y[:, t0:].mean(axis=1)
+        out = []
+        for aid, a in assigned.groupby("aid", sort=True):
+            a = a.sort_values("unit")
+            at, copies, treated = a["unit"].map(place).to_numpy(), a["copies"].to_numpy(dtype=int), a["treated"].to_numpy() == 1
+            b = np.average(Y[at[treated], :t0], axis=0, weights=copies[treated])
+            co, n = at[~treated], copies[~treated]
+            e = np.diff(Y[co, :t0], axis=1)
+            noise = _noise(float(n @ e.sum(axis=1)), float(n @ (e * e).sum(axis=1)), float(n.sum() * e.shape[1]))
+            zeta = (copies[treated].sum() * (Y.shape[1] - t0)) ** 0.25 * noise
+            least = tol if tol is not None else 1e-5 * max(noise, 1e-12)
+            each = np.repeat(np.arange(len(co)), n)
+            if method == "sc":
+                fit, zeta = pg_paths(Y[co, :t0][each], b, t0, max(max_iter, 20_000)), 0.0
+            else:
+                A = Y[co, :t0] - Y[co, :t0].mean(axis=1, keepdims=True)
+                fit = fw_paths(A[each], b - b.mean(), t0, zeta ** 2, max_iter, least, calm, GOOD_GAP * noise ** 2)
+            lam = None
+            if method == "sdid":
+                share = n / n.sum()
+                P, p = Y[co, :t0] - share @ Y[co, :t0], after[co] - share @ after[co]
+                root = np.sqrt(share)
+                lam = fw_paths((P * root[:, None]).T, p * root, 1.0, (1e-6 * noise) ** 2, max_iter, least, calm, GOOD_GAP * noise ** 2)
+            out += [(exp, aid, *r) for r in _rows_of(wide.index[co], np.bincount(each, fit.weights, len(co)), zeta, fit, lam)]
+        return pd.DataFrame(out, columns=["experiment", "aid", "kind", "unit", "t", "value"]).astype({"t": "Int32"})
     return run
 
 
-def _moments(cells: DataFrame, assigned: DataFrame, method: str) -> DataFrame:
-    """Long table of the moments that each assignment's solver needs."""
-    key = ["experiment", "aid"]
-    pre = cells.where("t < t0")
-    control, treated = assigned.where("treated = 0"), assigned.where("treated = 1")
-    # pairs of units, once per experiment
-    a = pre.select("experiment", "t", F.col("unit").alias("a"), F.col("y").alias("ya"))
-    b = pre.select("experiment", "t", F.col("unit").alias("b"), F.col("y").alias("yb"))
-    pairs = cut_lineage(a.join(b, ["experiment", "t"]).groupBy("experiment", "a", "b").agg(F.sum(F.col("ya") * F.col("yb")).alias("v")))
-    sums = pre.groupBy("experiment", "unit").agg(F.sum("y").alias("s"))
-    step = Window.partitionBy("experiment", "unit").orderBy("t")
-    steps = (pre.withColumn("e", F.col("y") - F.lag("y").over(step)).groupBy("experiment", "unit")
-             .agg(F.sum("e").alias("e1"), F.sum(F.col("e") * F.col("e")).alias("e2"), F.count("e").alias("m")))
-    length = cells.groupBy("experiment").agg(F.max("t0").alias("T0"), (F.max("t") + 1 - F.max("t0")).alias("T1"))
-    noise = (control.join(steps, ["experiment", "unit"]).groupBy(*key).agg(
-        F.sum(F.col("copies") * F.col("e1")).alias("e1"), F.sum(F.col("copies") * F.col("e2")).alias("e2"), F.sum(F.col("copies") * F.col("m")).alias("m"),
-        F.sum("copies").alias("n0"))
-        .withColumn("noise", F.when(F.col("m") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("e2") - F.col("e1") * F.col("e1") / F.col("m")) / (F.col("m") - 1))).otherwise(0.0)))
-    n1 = treated.groupBy(*key).agg(F.sum("copies").alias("n1"))
-    level = (treated.join(sums, ["experiment", "unit"]).join(n1, key)
-             .groupBy(*key).agg(F.sum(F.col("copies") * F.col("s") / F.col("n1")).alias("level")))  # pre-period sum of the treated mean
-    nul, nui = F.lit(None).cast("string"), F.lit(None).cast("int")
-
-    def rows(df, kind, a=nul, b=nul, t=nui, s=nui, values=()):
-        v = [F.col(x).cast("double") if isinstance(x, str) else x for x in values] + [F.lit(None).cast("double")] * (6 - len(values))
-        return df.select(*key, F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), t.cast("int").alias("t"), s.cast("int").alias("s"),
-                         *[x.alias(f"v{i + 1}") for i, x in enumerate(v)])
-
-    info = noise.join(n1, key).join(length, "experiment").join(level, key)
-    own = control.select(*key, F.col("unit").alias("a"))
-    out = rows(info, "info", values=("n0", "n1", "T0", "T1", "noise", "level"))
-    out = out.union(rows(control.join(sums, ["experiment", "unit"]), "unit", a=F.col("unit"), values=("copies", "s")))
-    out = out.union(rows(own.join(pairs, ["experiment", "a"]).join(control.select(*key, F.col("unit").alias("b")), [*key, "b"]),
-                         "gram", a=F.col("a"), b=F.col("b"), values=("v",)))
-    target = (own.join(pairs, ["experiment", "a"]).join(treated.select(*key, F.col("unit").alias("b"), "copies"), [*key, "b"])
-              .join(n1, key).groupBy(*key, "a").agg(F.sum(F.col("copies") * F.col("v") / F.col("n1")).alias("v")))
-    out = out.union(rows(target, "target", a=F.col("a"), values=("v",)))
-    if method == "sdid":
-        # pre-periods and, as period t0, the unit's post-period mean
-        wide = pre.select("experiment", "unit", "t", "y").unionByName(
-            cells.where("t >= t0").groupBy("experiment", "unit").agg(F.first("t0").alias("t"), F.avg("y").alias("y")))
-        s = wide.select("experiment", "unit", F.col("t").alias("s"), F.col("y").alias("ys"))
-        use = control.select(*key, "unit", "copies")
-        product = (wide.join(s, ["experiment", "unit"]).where("t <= s").join(use, ["experiment", "unit"])
-                   .groupBy(*key, "t", "s").agg(F.sum(F.col("copies") * F.col("y") * F.col("ys")).alias("v")))
-        out = out.union(rows(product, "time", t=F.col("t"), s=F.col("s"), values=("v",)))
-        total = wide.join(use, ["experiment", "unit"]).groupBy(*key, "t").agg(F.sum(F.col("copies") * F.col("y")).alias("v"))
-        out = out.union(rows(total, "timesum", t=F.col("t"), values=("v",)))
-    return out
+class _UnitSteps:
+    """Frank-Wolfe over units for one assignment; the weights are ``scale`` times uniform plus ``extra``.
+    ``sc``: the best weights of all vertices so far after each step (fully corrective)."""
+
+    def __init__(self, n0, target, mean, ridge, least, calm, sc):
+        self.n0, self.b, self.ridge, self.least, self.calm, self.sc = n0, target, ridge, least, calm, sc
+        self.scale, self.extra, self.x, self.still, self.iterations = 1.0, {}, mean, 0, 0
+        self.square, self.done, self.converged, self.paths, self.gap = 1.0 / n0, n0 == 1, n0 == 1, {}, np.inf
+
+    def step(self, g: float, vertex: tuple, path: np.ndarray) -> None:
+        self.iterations += 1
+        n = len(self.b)
+        if self.sc:
+            gap = float(self.x @ (self.x - self.b)) / n - g
+            if vertex in self.paths or (self.paths and gap <= 1e-12 * (1.0 + float(self.b @ self.b) / n)):  # no better one
+                self.done = self.converged = True
+                return
+            self.paths[vertex], self.scale = path, 0.0
+            fit = pg_paths(np.array(list(self.paths.values())), self.b, n)
+            self.extra = dict(zip(self.paths, fit.weights))
+            self.x = fit.weights @ np.array(list(self.paths.values()))
+            return
+        own = self.scale / self.n0 + self.extra.get(vertex, 0.0)
+        slope = float(self.x @ (self.x - self.b)) / n + self.ridge * self.square - g
+        curve = float((path - self.x) @ (path - self.x)) / n + self.ridge * (1 - 2 * own + self.square)
+        step, fell = fw_step(slope, curve)
+        self.gap = slope
+        self.square = (1 - step) ** 2 * self.square + 2 * step * (1 - step) * own + step ** 2
+        self.scale *= 1 - step
+        self.extra = {k: v * (1 - step) for k, v in self.extra.items()}
+        self.extra[vertex] = self.extra.get(vertex, 0.0) + step
+        self.x = self.x + step * (path - self.x)
+        self.still = self.still + 1 if fell < self.least ** 2 else 0
+        self.done = self.converged = self.still >= self.calm
+
+
+class _TimeSteps:
+    """Frank-Wolfe over pre-periods for one assignment, from sums over its controls."""
+
+    def __init__(self, periods, ridge, least, calm):
+        self.w, self.ridge, self.least, self.calm = np.full(periods, 1.0 / periods), ridge, least, calm
+        self.still, self.iterations, self.gap = 0, 0, np.inf
+        self.done = self.converged = periods == 1
+
+    def step(self, n, y, yy, yp, p, uy, u, f, ff) -> None:
+        """Means over the controls: y, y^2, y * post, post; with u = y'w - post and f = y'w also u * y, u, f, f^2."""
+        self.iterations += 1
+        g = (uy - y * u) + self.ridge * self.w
+        i = first_least(g)
+        d = -self.w
+        d[i] += 1.0
+        with_fit = (uy[i] - y[i] * u) + (yp[i] - y[i] * p)  # covariance of y_i and the fit
+        curve = (yy[i] - y[i] ** 2) + (ff - f ** 2) - 2 * with_fit + self.ridge * float(d @ d)
+        self.gap = -float(g @ d)
+        step, fell = fw_step(self.gap, curve)
+        self.w = self.w + step * d
+        self.still = self.still + 1 if fell < self.least ** 2 else 0
+        self.done = self.converged = self.still >= self.calm
+
+
+def _solve_spread(cells: DataFrame, assigned: DataFrame, method: str, max_iter: int, tol: float | None, calm: int) -> DataFrame:
+    """The same weights for panels of any number of units: each step is one pass over the units'
+    paths, all assignments together.  The driver holds a path and a short list for each."""
+    spark = cells.sparkSession
+    sc = method == "sc"
+    paths = cells.groupBy("experiment", "unit").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("t") < F.col("t0"), F.struct("t", "y")))), lambda x: x.y).alias("y"),
+        F.avg(F.when(F.col("t") >= F.col("t0"), F.col("y"))).alias("post"), F.count(F.when(F.col("t") >= F.col("t0"), 1)).alias("T1"))
+    # a path has as many values as the panel has pre-periods; the unit's own level is taken out unless weights match levels
+    paths = paths.withColumn("level", F.aggregate("y", F.lit(0.0), lambda s, x: s + x) / F.size("y"))
+    paths = paths.withColumn("a", F.col("y") if sc else F.transform("y", lambda x: x - F.col("level")))
+    rows = cut_lineage(paths.join(assigned, ["experiment", "unit"]))
+
+    def vectors(df, value):
+        """Sums over rows, by assignment, of an array and of its length-less companions."""
+        return (df.select(*KEY, F.posexplode(value)).groupBy(*KEY, "pos").agg(F.sum("col").alias("s"))
+                .groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x.s).alias("v")))
+
+    def read(df):
+        return {(r["experiment"], r["aid"]): np.array(r["v"], float) for r in df.collect()}
+
+    copies, treated = F.col("copies").cast("double"), F.col("treated") == 1
+    b = read(vectors(rows.where(treated), F.transform("a", lambda x: x * copies)))
+    mean = read(vectors(rows.where(~treated), F.transform("a", lambda x: x * copies)))
+    step_ = F.zip_with(F.slice("y", F.lit(2), F.greatest(F.size("y") - 1, F.lit(0))), F.slice("y", F.lit(1), F.greatest(F.size("y") - 1, F.lit(0))), lambda x, z: x - z)
+    sums = {}
+    for r in rows.groupBy(*KEY).agg(F.sum(F.when(treated, copies)).alias("n1"), F.sum(F.when(~treated, copies)).alias("n0"), F.max("T1").alias("T1"),
+                                    *[F.sum(F.when(~treated, copies * v)).alias(k) for k, v in (
+                                        ("e1", F.aggregate(step_, F.lit(0.0), lambda s, x: s + x)), ("e2", F.aggregate(step_, F.lit(0.0), lambda s, x: s + x * x)),
+                                        ("m", F.size(step_).cast("double")))]).collect():
+        sums[r["experiment"], r["aid"]] = r
+    units, times, out, noise = {}, {}, [], {}
+    for k, r in sums.items():
+        noise[k] = _noise(r["e1"], r["e2"], r["m"])
+        zeta = 0.0 if sc else (r["n1"] * r["T1"]) ** 0.25 * noise[k]
+        least = tol if tol is not None else 1e-5 * max(noise[k], 1e-12)
+        units[k] = _UnitSteps(r["n0"], b[k] / r["n1"], mean[k] / r["n0"], zeta ** 2, least, calm, sc)
+        if method == "sdid":
+            times[k] = _TimeSteps(len(b[k]), (1e-6 * noise[k]) ** 2, least, calm)
+
+    control = rows.where(~treated)
+
+    def table(states, cells_of, kind):
+        return spark.createDataFrame([(*k, *cells_of(s)) for k, s in states.items() if not s.done], f"experiment string, aid string, {kind}")
+
+    dot = lambda x, z: F.aggregate(F.zip_with(x, z, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    for _ in range(min(max_iter, SPREAD_STEPS)):
+        if all(s.done for s in units.values()):
+            break
+        now = table(units, lambda s: ([float(v) for v in (s.x - s.b) / len(s.b)], float(s.ridge), float(s.scale / s.n0),
+                                      {f"{u}|{c}": float(v) for (u, c), v in s.extra.items()}), "r array<double>, ridge double, base double, extra map<string,double>")
+        # copies of a unit are candidates of their own; the one with the least weight has the least gradient
+        one = (control.join(F.broadcast(now), KEY)  # one row for each assignment
+               .withColumn("c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+               .withColumn("g", dot(F.col("a"), F.col("r")) + F.col("ridge") * (F.col("base") + F.coalesce(F.try_element_at("extra", F.concat_ws("|", "unit", F.col("c").cast("string"))), F.lit(0.0)))))
+        for r in one.groupBy(*KEY).agg(F.min(F.struct("g", "unit", "c", "a")).alias("x")).collect():
+            units[r["experiment"], r["aid"]].step(r["x"]["g"], (r["x"]["unit"], r["x"]["c"]), np.array(r["x"]["a"], float))
+    if times:
+        weigh = lambda v: F.transform(v, lambda x: x * copies)
+        once = {n: read(vectors(control, F.transform("y", f))) for n, f in (
+            ("y", lambda x: x * copies), ("yy", lambda x: x * x * copies), ("yp", lambda x: x * F.col("post") * copies))}
+        p = {(r["experiment"], r["aid"]): r["p"] for r in control.groupBy(*KEY).agg(F.sum(copies * F.col("post")).alias("p")).collect()}
+        for _ in range(min(max_iter, SPREAD_STEPS)):
+            if all(s.done for s in times.values()):
+                break
+            now = table(times, lambda s: ([float(v) for v in s.w],), "w array<double>")
+            own = control.join(F.broadcast(now), KEY).withColumn("f", dot(F.col("y"), F.col("w"))).withColumn("u", F.col("f") - F.col("post"))
+            # the sums of u * y, u, f and f * f as one array
+            uy = read(vectors(own, weigh(F.concat(F.transform("y", lambda x: x * F.col("u")), F.array("u", "f", F.col("f") * F.col("f"))))))
+            for k, v in uy.items():
+                n = sums[k]["n0"]
+                times[k].step(n, once["y"][k] / n, once["yy"][k] / n, once["yp"][k] / n, p[k] / n, v[:-3] / n, v[-3] / n, v[-2] / n, v[-1] / n)
+    for states in (units, times):
+        for k, s in states.items():
+            s.converged = s.converged or s.gap <= GOOD_GAP * noise[k] ** 2
+    single = []
+    for k, s in units.items():
+        single += [(*k, "zeta", None, None, 0.0 if sc else float(np.sqrt(s.ridge))), (*k, "omega_converged", None, None, float(s.converged)),
+                   (*k, "omega_iterations", None, None, float(s.iterations))]
+        if k in times:
+            single += [(*k, "lambda", None, t, float(w)) for t, w in enumerate(times[k].w)]
+            single += [(*k, "lambda_converged", None, None, float(times[k].converged)), (*k, "lambda_iterations", None, None, float(times[k].iterations))]
+    extra = [(*k, u, float(v)) for k, s in units.items() for (u, c), v in s.extra.items()]
+    base = spark.createDataFrame([(*k, float(s.scale / s.n0)) for k, s in units.items()], "experiment string, aid string, base double")
+    extra = spark.createDataFrame(extra, "experiment string, aid string, unit string, extra double").groupBy(*KEY, "unit").agg(F.sum("extra").alias("extra"))
+    omega = (control.select(*KEY, "unit", "copies").join(F.broadcast(base), KEY).join(extra, [*KEY, "unit"], "left")
+             .select(*KEY, F.lit("omega").alias("kind"), "unit", F.lit(None).cast("int").alias("t"), (F.col("base") * F.col("copies") + F.coalesce("extra", F.lit(0.0))).alias("value")))
+    return omega.unionByName(spark.createDataFrame(single, WEIGHTS))
+
+
+def solve_weights(cells: DataFrame, assigned: DataFrame, method: str, max_iter: int = 10_000, tol: float | None = None, calm: int = 1) -> DataFrame:
+    """Weights of every assignment, as one table; an error if some do not converge."""
+    large = (cells.groupBy("experiment").agg(F.count("*").alias("n")).join(assigned.groupBy("experiment").agg(F.count("*").alias("m")), "experiment")
+             .where((F.col("n") > LOCAL_CELLS) | (F.col("m") > LOCAL_CELLS)).select("experiment").collect())  # few: each is large
+    large = [r["experiment"] for r in large]
+    is_large = F.col("experiment").isin(large)
+    here, there = (cells.where(~is_large), assigned.where(~is_large)) if large else (cells, assigned)
+    # columns of their own: both tables may come from one
+    there_ = there.select(*[F.col(c).alias(f"a_{c}") for c in there.columns]).toDF(*there.columns)
+    weights = (here.select("experiment", "unit", "t", "t0", "y").groupBy("experiment").cogroup(there_.groupBy("experiment"))
+               .applyInPandas(_solve_here(method, max_iter, tol, calm), WEIGHTS))
+    if large:
+        weights = weights.unionByName(_solve_spread(cells.where(is_large), assigned.where(is_large), method, max_iter, tol, calm))
+    weights = cut_lineage(weights)
+    lost = weights.where("kind IN ('omega_converged', 'lambda_converged') AND value = 0").limit(3).collect()
+    if lost:
+        raise ValueError("weights did not converge: " + ", ".join(f"{r['kind']} of panel {r['experiment']!r}" for r in lost))
+    return weights
 
 
 def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str, method: str = "sdid",
@@ -251,7 +379,7 @@ def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
     check_panel(base)
     if covariates and covariate_form == "projected":
         base = project_covariates(base, covariates)
-    solve = _solve(method, max_iter, tol, num_iter_no_change)
+    solve = lambda c, a: solve_weights(c, a, method, max_iter, tol, num_iter_no_change)
     cells = cut_lineage(_indexed(base, covariates if covariate_form == "optimized" else ()))
     if covariates and covariate_form == "optimized":
         cells = optimise_covariates(cells, covariates, method, solve)
@@ -269,10 +397,9 @@ def sdid_runs(panel: DataFrame, unit: str, time: str, outcome: str, treat: str,
         pre = cells.where("t < t0").select("experiment", "t", "t0").distinct()
         lam = once.join(pre, "experiment").select(*KEY, F.lit("lambda").alias("kind"), F.lit(None).cast("string").alias("unit"),
                                                   F.col("t").cast("int").alias("t"), (F.lit(1.0) / F.col("t0")).alias("value"))
-        weights = omega.unionByName(lam)
+        weights = cut_lineage(omega.unionByName(lam))
     else:
-        weights = _moments(cells, assigned, method).groupBy(*KEY).applyInPandas(solve, WEIGHTS)
-    weights = cut_lineage(weights)
+        weights = solve(cells, assigned)
     return SdidRuns(weights, cut_lineage(_effects(cells, assigned, weights, method)), reps_)
 
 
@@ -363,7 +490,7 @@ def optimise_covariates(cells: DataFrame, covariates: Sequence[str], method: str
         return pd.DataFrame({"experiment": exp, "name": list(covariates), "beta": b})
 
     for _ in range(rounds):
-        weights = cut_lineage(_moments(adjusted(beta), assigned, method).groupBy(*KEY).applyInPandas(solve, WEIGHTS))
+        weights = solve(adjusted(beta), assigned)
         omega = weights.where("kind = 'omega'").select("experiment", "unit", F.col("value").alias("w"))
         # unit problem: treated mean less synthetic control, per pre-period, about its mean
         coef = units.join(omega, ["experiment", "unit"], "left").join(n1, "experiment").select(

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from gram_weights import fw_gram
 from pyspark.sql import functions as F
 
-from forumshift.functions.weights import fw_gram, pg_gram
+from forumshift.functions.weights import fw_paths, pg_paths
 from forumshift.operators import sdid as SD
 
 
@@ -36,10 +37,12 @@ def test_solvers_reach_the_optimum_and_say_so():
     A = rng.normal(size=(40, 7))
     b = rng.normal(size=40)
     Q, c = A.T @ A / 40 + 0.1 * np.eye(7), A.T @ b / 40
-    for fit in (fw_gram(Q, c), pg_gram(Q, c)):
+    ridged = np.vstack([A, np.sqrt(4) * np.eye(7)])  # 0.1 * 40 = 4: the ridge as rows of their own
+    for fit in (fw_gram(Q, c), fw_paths(A.T, b, 40, 0.1), pg_paths(ridged.T, np.append(b, np.zeros(7)), 40)):
         assert fit.converged and np.all(fit.weights >= -1e-12) and abs(fit.weights.sum() - 1) < 1e-9
         assert _simplex_optimum(Q, c, fit.weights)
-    assert not fw_gram(Q, c, max_iter=1, min_decrease=0.0).converged
+    assert np.abs(fw_gram(Q, c).weights - fw_paths(A.T, b, 40, 0.1).weights).max() < 1e-6
+    assert not fw_paths(A.T, b, 40, 0.1, max_iter=1, min_decrease=0.0).converged
 
 
 def test_additive_panels_recover_their_effects_in_one_pass(spark):
@@ -230,3 +233,37 @@ def test_mann_whitney_matches_pair_counting(spark):
         vals[t] = u
     for t in ("a", "b"):
         assert abs(got[t] - vals[t]) < 1e-6, (t, got[t], vals[t])
+
+
+def _by_kind(runs):
+    return {(r.rep, r.kind, r.unit, r.t): r.value for r in runs.reps.join(runs.weights, ["experiment", "aid"]).collect()}
+
+
+@pytest.mark.parametrize("method,vce", [("sdid", "bootstrap"), ("sc", "none")])
+def test_steps_over_the_cluster_equal_steps_in_one_task(spark, monkeypatch, method, vce):
+    """The same weights whether a panel is small enough for one task or not."""
+    rng = np.random.default_rng(12)
+    Y = rng.normal(size=(6, 1)) + np.sin(np.arange(20) / 5) * rng.uniform(0.5, 1.5, size=(6, 1)) + 0.2 * rng.normal(size=(6, 20))
+    panel = _panel(spark, Y, [True] + [False] * 5, 14)
+    here = _by_kind(SD.sdid_runs(panel, "unit", "t", "y", "d", method=method, vce=vce, reps=2, tol=0.02))
+    monkeypatch.setattr(SD, "LOCAL_CELLS", 0)
+    there = _by_kind(SD.sdid_runs(panel, "unit", "t", "y", "d", method=method, vce=vce, reps=2, tol=0.02))
+    assert here.keys() == there.keys()
+    for k, v in here.items():
+        if method != "sc" or "iterations" not in k[1]:
+            assert abs(v - there[k]) < 1e-6, k
+
+
+def test_many_controls_and_weights_that_do_not_converge(spark):
+    """20,000 controls over 24 periods: no matrix of pairs; the effect that was planted comes back."""
+    units = spark.range(20_001).select("id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("t"))
+    u = lambda n: (F.xxhash64("id", F.lit(n)) % 1000) / 1000.0
+    panel = units.select(F.concat(F.lit("u"), "id").alias("unit"), "t", ((F.col("id") == 0) & (F.col("t") >= 18)).cast("double").alias("d"),
+                         (u(1) + u(2) * F.sin(F.col("t") / 3.0) + u(3) * F.col("t") / 10 + 0.02 * (F.xxhash64("id", "t") % 100) / 100.0
+                          + F.when((F.col("id") == 0) & (F.col("t") >= 18), 0.75).otherwise(0.0)).alias("y"))
+    runs = SD.sdid_runs(panel, "unit", "t", "y", "d", max_iter=3000)
+    w = SD.unit_weights(runs).agg(F.count("*").alias("n"), F.sum("omega").alias("s"), F.min("omega").alias("m")).first()
+    assert w.n == 20_000 and abs(w.s - 1) < 1e-9 and w.m >= 0
+    assert abs(SD.summarize_att(runs, "x").first().att - 0.75) < 0.05
+    with pytest.raises(ValueError, match="did not converge"):
+        SD.sdid_runs(panel.where("length(unit) = 2"), "unit", "t", "y", "d", max_iter=1, tol=0.0)
