@@ -174,13 +174,14 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     unit = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                     n_words(F.col(text_col).cast("string")).alias("size"))
     d = docs.withColumn("__unit", unit)
-    both = d.join(c.filter("__rows = 1"), "__unit").withColumn("__n", F.col("__copies"))
+    # the table of copies grows with the documents: never a broadcast
+    both = d.join(c.filter("__rows = 1").hint("merge"), "__unit").withColumn("__n", F.col("__copies"))
     shared = c.filter("__rows > 1")
     if not shared.isEmpty():
         # equal texts are alike, so any of them may come first: their parts follow the place in the input
         part = F.pmod(F.xxhash64(F.col(text_col)), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("__row"), F.lit(PARTS))
         # read twice: places must not change
-        many = written(d.withColumn("__row", F.monotonically_increasing_id()).join(shared, "__unit").withColumn("__part", part.cast("int")), "equal-units")
+        many = written(d.withColumn("__row", F.monotonically_increasing_id()).join(shared.hint("merge"), "__unit").withColumn("__part", part.cast("int")), "equal-units")
         before = (many.groupBy("__unit", "__part").agg(F.count("*").alias("__m"))
                   .withColumn("__before", F.coalesce(F.sum("__m").over(Window.partitionBy("__unit").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                   .select(F.struct("__unit", "__part").alias("__key"), "__before"))
