@@ -105,15 +105,17 @@ def q_resumable_ingest(spark, sf):
     dst = scratch_path(spark, "ingest-dst")
     ckpt = scratch_path(spark, "ingest-ckpt")
     posts = O.filter_questions(docs_posts(spark, sf))
-    IO.write_parquet(posts.repartition(4), src)
+    # a file for each split of the input, so no task's share grows with it; half of them at a time
+    files = max(4, posts.rdd.getNumPartitions())
+    IO.write_parquet(posts.repartition(files), src)
     schema = spark.read.parquet(src).schema
 
     def plan(df):
         return O.process_posts(df).select("Id", "tag_count", "code_length", "body_length",
                                           "title_length", "processed_text")
 
-    resumable_ingest(spark, src, dst, ckpt, schema, plan, max_files_per_trigger=2)
-    resumable_ingest(spark, src, dst, ckpt, schema, plan, max_files_per_trigger=2)
+    resumable_ingest(spark, src, dst, ckpt, schema, plan, max_files_per_trigger=files // 2)
+    resumable_ingest(spark, src, dst, ckpt, schema, plan, max_files_per_trigger=files // 2)
     return spark.read.parquet(dst)
 
 

@@ -50,3 +50,21 @@ def test_split_write_max_rows(spark):
     files = [r[0] for r in spark.read.format("binaryFile").load(f"{base}/out/*.parquet").select("path").collect()]
     assert len(files) == 3
     assert spark.read.parquet(f"{base}/out").count() == 250
+
+
+def test_ingest_source_has_a_file_for_each_split_of_the_input(spark, tmp_path, monkeypatch):
+    """No task reads a fixed share of an input that grows; every post comes out once."""
+    from forumshift.plans import io as plan
+    rows = [(i, f"word{i % 7} text of post {i}", "en", "web", 20) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(9).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    written, real = [], plan.IO.write_parquet
+    monkeypatch.setattr(plan.IO, "write_parquet", lambda df, *a, **k: (written.append(df.rdd.getNumPartitions()), real(df, *a, **k))[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        out = plan.q_resumable_ingest(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert written[0] >= 9
+    assert sorted(int(r.Id) for r in out.select("Id").collect()) == [i for i in range(300) if i % 11]
