@@ -151,12 +151,12 @@ def apply_lemmas(df: DataFrame, key: str, col: str, lemmas: DataFrame,
     """Replace every token by its dictionary entry (``token -> lemma``).
 
     Tokens are exploded with their position, joined with the dictionary, and
-    regrouped per document in position order.  No join hint: AQE broadcasts the
-    dictionary if its measured bytes allow it and else splits skewed tokens.
+    regrouped per document in position order.  The dictionary's part of each exchange is
+    hashed, so the many token rows are not sorted by word; AQE splits skewed tokens.
     Documents without tokens keep an empty string.
     """
     toks = tokens_long(df, key, col)
-    joined = toks.join(lemmas, "token", "left").select(
+    joined = toks.join(lemmas.hint("shuffle_hash"), "token", "left").select(
         key, "pos", F.coalesce(F.col("lemma"), F.col("token")).alias("lemma"))
     regrouped = joined.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))),

@@ -68,3 +68,19 @@ def test_ingest_source_has_a_file_for_each_split_of_the_input(spark, tmp_path, m
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert written[0] >= 9
     assert sorted(int(r.Id) for r in out.select("Id").collect()) == [i for i in range(300) if i % 11]
+
+
+def test_lemma_join_does_not_sort_the_tokens(spark):
+    from forumshift.operators import posts as O
+    df = spark.createDataFrame([("1", "cats and dogs"), ("2", None), ("3", "dogs dogs x")], "Id string, t string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = O.apply_lemmas(df, "Id", "t", lemmas)
+        got = {r.Id: r.lemmatized_text for r in out.collect()}
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {"1": "cat and dog", "2": None, "3": "dog dog x"}
+    assert "SortMergeJoin [token" not in plan and "ShuffledHashJoin [token" in plan
