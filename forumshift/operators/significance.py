@@ -2,23 +2,30 @@
 
 Term tests work on the long TF-IDF table restricted to the tested terms; zeros
 are never materialised (they enter through the period document counts).
-Resampling replicates are an extra grouping key: uniforms come from an md5 of
-``seed:rep:doc`` so every engine draws the same numbers, and the replicate
-table (``n_perm`` / ``n_boot`` rows, a parameter) is the only thing broadcast.
+Uniforms of resampling replicates come from an md5 of ``seed:rep:doc`` so every engine
+draws the same numbers.  The tested values are written once with all terms of a document in
+one row; a task draws once for a document and replicate, whatever the number of terms, and
+hands on sums for each replicate.  No row is copied for a replicate, and nothing but the
+replicate table (``n_perm`` / ``n_boot`` rows, a parameter) goes from the driver to the tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.digests import md5_heads
 from ..functions.normal import two_sided_sql
 from ..functions.student import two_sided_spark
 from ..session import cut_lineage
-from .terms import TfidfResult, term_values
+from .terms import TfidfResult, doc_values, term_values
 
 TWO52 = float(2 ** 52)
 TIE_DIGITS = 10
@@ -129,6 +136,86 @@ def with_replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+#: documents that a task draws for at a time, and that a task of the replicates takes
+CHUNK_DOCS = 256
+TASK_DOCS = 50_000
+
+
+@dataclass
+class TestedValues(TfidfResult):
+    """A result narrowed to the tested terms and written once: ``rows`` (doc, period, n, at, value)."""
+
+    rows: DataFrame | None = None
+    terms: tuple[str, ...] = ()
+
+
+def tested_values(res: TfidfResult, terms: Sequence[str], doc: str, period: str) -> TestedValues:
+    """Only the values of ``terms``, dealt evenly; later passes read no other term."""
+    terms = tuple(dict.fromkeys(terms))
+    if isinstance(res, TestedValues) and res.terms == terms:
+        return res
+    spark = res.docs.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(res.docs.count() / TASK_DOCS))
+    rows = cut_lineage(doc_values(res, list(terms), doc, period).repartition(parts))
+    name = F.element_at(F.array(*[F.lit(t) for t in terms]), F.col("x.at") + 1) if terms else F.lit(None).cast("string")
+    long = (rows.select(doc, period, F.explode(F.arrays_zip("at", "value")).alias("x"))
+            .select(doc, period, name.alias("term"), F.col("x.value").alias("tfidf")))
+    return TestedValues(vocab=res.vocab, long=long, docs=rows.where("n > 0").select(doc, period), rows=rows, terms=terms)
+
+
+def draws(keys: Sequence[str | None], seed: int, n: int) -> np.ndarray:
+    """``uniform`` times 2^52 as integers: a row for each key, a column for each replicate."""
+    tails = [b"" if key is None else f":{key}".encode() for key in keys]
+    return (md5_heads([f"{seed}:{r}".encode() for r in range(n)], tails) >> np.uint64(12)).astype(np.int64)
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], seed: int, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Chunks of rows with the draws of their documents."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK_DOCS):
+            part = batch.slice(at, CHUNK_DOCS)
+            yield part, draws(part.column("key").to_pylist(), seed, n)
+
+
+def _dense(part: pa.RecordBatch, width: int) -> np.ndarray:
+    """A row for each document: its values by term, then the documents that it counts as."""
+    out = np.zeros((part.num_rows, width + 1))
+    at, value = part.column("at"), part.column("value")
+    row = np.repeat(np.arange(part.num_rows), np.nan_to_num(np.array(at.value_lengths().to_pylist(), float)).astype(int))
+    out[row, at.flatten().to_numpy(zero_copy_only=False)] = value.flatten().to_numpy(zero_copy_only=False)
+    out[:, width] = part.column("n").to_numpy(zero_copy_only=False)
+    return out
+
+
+def replicate_sums(res: TestedValues, n: int, seed: int, weigh: Callable[[np.ndarray, pa.Array], np.ndarray],
+                   doc: str, period: str, by_period: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Weighted sums for each replicate: of the values, ``(rep, arm, term, s)``, and of the
+    documents, ``(rep, arm, s)``.  ``weigh`` gives a weight for each document and replicate from
+    the draws.  ``arm`` is 1 and 0 for the periods if asked for, else 1 for all documents."""
+    width = len(res.terms)
+    arm = F.when(F.col(period) == 1, 1).when(F.col(period) == 0, 0) if by_period else F.lit(1)
+    rows = res.rows.select(F.col(doc).alias("doc"), F.col(doc).cast("string").alias("key"), arm.alias("arm"), "n", "at", "value").where("arm IS NOT NULL")
+
+    def run(batches):
+        total = {}
+        for part, u in _drawn(batches, seed, n):
+            w, values = weigh(u, part.column("doc")), _dense(part, width)
+            arms = part.column("arm").to_numpy(zero_copy_only=False)
+            for a in np.unique(arms):
+                mine = arms == a
+                s = w[mine].astype(float).T @ values[mine]
+                total[int(a)] = s if int(a) not in total else total[int(a)] + s
+        for a, s in total.items():
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(range(n), pa.int32()), "arm": pa.array([a] * n, pa.int32()),
+                                              "sums": pa.array(list(s), pa.list_(pa.float64()))})
+
+    sums = (rows.mapInArrow(run, "rep int, arm int, sums array<double>").select("rep", "arm", F.posexplode("sums").alias("at", "s"))
+            .groupBy("rep", "arm", "at").agg(F.sum("s").alias("s")))
+    sums = cut_lineage(sums)  # replicates x terms
+    names = res.docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(res.terms)], "at int, term string")
+    return sums.join(F.broadcast(names), "at").select("rep", "arm", "term", "s"), sums.where(F.col("at") == width).select("rep", "arm", "s")
+
+
 # Tolerance for "at least as extreme" (a permuted statistic equal to the
 # observed one must count whatever the summation order), relative and absolute.
 PERM_RTOL = 1e-9
@@ -145,20 +232,17 @@ def permutation_test(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
 
     Each document is labelled 'pre' in replicate r when its uniform is below
     n_pre / N; the label is shared by all terms.  Denominators are per replicate.
-    Work: (documents + non-zero tested entries) x replicates, all partial-aggregated.
+    Work: a draw for each document and replicate, and sums of its values.
     """
+    res = tested_values(res, terms, doc, period)
     obs = observed(res, terms, period)
     c = period_counts(res, period).first()
     n_all = (c["n_pre"] or 0) + (c["n_post"] or 0)
-    frac = F.lit((c["n_pre"] or 0) / n_all if n_all else 0.0)
-    lab = lambda r, d: uniform(seed, r, d) < frac
-    den = (with_replicates(res.docs.select(doc), n_perm)
-           .groupBy("rep").agg(F.sum(F.when(lab(F.col("rep"), F.col(doc)), 1).otherwise(0)).alias("m_pre"),
-                               F.count(F.lit(1)).alias("m_all")))
-    vals = term_values(res, terms).select("term", doc, "tfidf")
-    num = (with_replicates(vals, n_perm)
-           .groupBy("term", "rep").agg(
-               F.sum(F.when(lab(F.col("rep"), F.col(doc)), F.col("tfidf")).otherwise(0.0)).alias("sp")))
+    frac = (c["n_pre"] or 0) / n_all if n_all else 0.0
+    num, den = replicate_sums(res, n_perm, seed, lambda u, _: u / TWO52 < frac, doc, period)
+    den = den.select("rep", F.col("s").alias("m_pre"), F.lit(float(res.docs.count())).alias("m_all"))
+    # terms without a value have no statistic
+    num = num.join(F.broadcast(res.long.select("term").distinct()), "term", "left_semi").select("term", "rep", F.col("s").alias("sp"))
     j = (num.join(den, "rep")
          .join(obs.select("term", "s_pre", "s_post", "difference"), "term"))
     total = F.col("s_pre") + F.col("s_post")
@@ -174,49 +258,67 @@ def exact_thresholds(res: TfidfResult, n_perm: int, seed: int, doc: str = "doc_i
     labels exactly n_pre documents 'pre' (an exact permutation of the labels).
 
     Distributed selection in one pass over documents x replicates: the cut lies close to
-    n_pre / N, so a partial aggregate counts the uniforms below a band around it and keeps
-    only the pairs inside; the cut is a rank in the band.  If a replicate's cut is outside,
-    the band is widened and the pass repeated - nothing is cut off.
+    n_pre / N, so tasks count the uniforms below a band around it and hand on only the
+    (uniform, doc) pairs inside; the cut is a rank in the band.  If a replicate's cut is
+    outside, the band is widened and the pass repeated - nothing is cut off.
     """
+    res = tested_values(res, (), doc, period) if not isinstance(res, TestedValues) else res
+    spark, kind = res.docs.sparkSession, res.docs.schema[doc].dataType
+    schema = T.StructType([T.StructField("rep", T.IntegerType()), T.StructField("u_cut", T.DoubleType()), T.StructField("doc_cut", kind)])
     c = period_counts(res, period).first()
     k, n = int(c["n_pre"] or 0), int((c["n_pre"] or 0) + (c["n_post"] or 0))
-    reps = with_replicates(res.docs.select(doc), n_perm).withColumn("u", uniform(seed, F.col("rep"), F.col(doc)))
     if k == 0:
-        return reps.where("false").select("rep", F.col("u").alias("u_cut"), F.col(doc).alias("doc_cut"))
+        return spark.createDataFrame([], schema)
+    docs = res.docs.select(F.col(doc).alias("doc"), F.col(doc).cast("string").alias("key"))
     share = k / n
     half = 6.0 * math.sqrt(share * (1 - share) / n) + 2.0 / n
     while True:
-        lo, hi = share - half, share + half
-        side = F.when(F.col("u") < lo, -1).when(F.col("u") >= hi, 1).otherwise(0)
-        cells = cut_lineage(reps.withColumn("side", side)
-                            .groupBy("rep", "side", F.when(F.col("side") == 0, F.col("u")).alias("u"),
-                                     F.when(F.col("side") == 0, F.col(doc)).alias("d"))
-                            .agg(F.count(F.lit(1)).alias("n")))
-        per = cells.groupBy("rep").agg(F.sum(F.when(F.col("side") < 0, F.col("n")).otherwise(0)).alias("below"),
-                                       F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("inside"))
-        if (lo < 0 and hi > 1) or per.where((F.col("below") >= k) | (F.col("below") + F.col("inside") < k)).isEmpty():
-            break
+        lo, hi = int(max(0.0, share - half) * TWO52), int(min(1.0, share + half) * TWO52)
+        pairs = docs.mapInArrow(_banded(lo, hi, seed, n_perm), T.StructType([*schema[:1], T.StructField("h", T.LongType()), T.StructField("d", kind), T.StructField("n", T.LongType())]))
+        upto = F.sum("n").over(Window.partitionBy("rep").orderBy("h", "d").rowsBetween(Window.unboundedPreceding, 0))
+        cuts = (pairs.withColumn("upto", upto).where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k) & (F.col("h") >= 0))
+                .select("rep", "h", "d").collect())  # one row for each replicate
+        if len(cuts) == n_perm or (lo == 0 and hi == int(TWO52)):
+            return spark.createDataFrame([(r["rep"], r["h"] / TWO52, r["d"]) for r in cuts], schema)
         half *= 4
-    upto = F.sum("n").over(Window.partitionBy("rep").orderBy("u", "d").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (cells.where("side = 0").withColumn("upto", upto).join(per.select("rep", "below"), "rep")
-              .withColumn("upto", F.col("upto") + F.col("below")))
-    return (ranked.where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k))
-            .select("rep", F.col("u").alias("u_cut"), F.col("d").alias("doc_cut")))
+
+
+def _banded(lo: int, hi: int, seed: int, n: int):
+    """Pairs with a draw from ``lo`` to ``hi`` for each replicate, and as one row (h -1) the number of those below."""
+    def run(batches):
+        below = np.zeros(n, np.int64)
+        for part, u in _drawn(batches, seed, n):
+            below += (u < lo).sum(axis=0)
+            row, rep = np.nonzero((u >= lo) & (u < hi))
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(rep, pa.int32()), "h": pa.array(u[row, rep]),
+                                              "d": part.column("doc").take(pa.array(row)), "n": pa.array(np.ones(len(row), np.int64))})
+        if below.any():
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(range(n), pa.int32()), "h": pa.array([-1] * n, pa.int64()),
+                                              "d": pa.nulls(n, part.column("doc").type), "n": pa.array(below)})
+    return run
 
 
 def permutation_test_exact(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000,
                            seed: int = 0, doc: str = "doc_id", period: str = "pre") -> DataFrame:
     """H3 exact: each replicate labels exactly n_pre documents 'pre' (the smallest
     md5 uniforms), as a shuffle of the labels does; denominators are fixed."""
+    res = tested_values(res, terms, doc, period)
     obs = observed(res, terms, period)
     c = period_counts(res, period).first()
     n_pre, n_post = float(c["n_pre"] or 0), float(c["n_post"] or 0)
-    cuts = exact_thresholds(res, n_perm, seed, doc, period)
-    vals = with_replicates(term_values(res, terms).select("term", doc, "tfidf"), n_perm)
-    u = uniform(seed, F.col("rep"), F.col(doc))
-    lab = (u < F.col("u_cut")) | ((u == F.col("u_cut")) & (F.col(doc) <= F.col("doc_cut")))
-    num = (vals.join(cuts, "rep")
-           .groupBy("term", "rep").agg(F.sum(F.when(lab, F.col("tfidf")).otherwise(0.0)).alias("sp")))
+    at, last = np.full(n_perm, -1, np.int64), {}
+    for r in exact_thresholds(res, n_perm, seed, doc, period).collect():  # one row for each replicate
+        at[r["rep"]], last[r["rep"]] = int(r["u_cut"] * TWO52), r["doc_cut"]
+
+    def label(u, docs):
+        out = u < at
+        for i, rep in zip(*np.nonzero(u == at)):  # the document of the cut, and those with its draw
+            d = docs[int(i)].as_py()
+            out[i, rep] = d is not None and last[rep] is not None and d <= last[rep]
+        return out
+
+    num, _ = replicate_sums(res, n_perm, seed, label, doc, period)
+    num = num.select("term", "rep", F.col("s").alias("sp"))
     full = with_replicates(obs.select("term", "s_pre", "s_post", "difference"), n_perm)
     j = full.join(num, ["term", "rep"], "left").na.fill(0.0, ["sp"])
     diff = (F.try_divide(F.col("s_pre") + F.col("s_post") - F.col("sp"), F.lit(n_post))
@@ -233,19 +335,13 @@ def bootstrap_ci(res: TfidfResult, terms: Sequence[str], n_boot: int = 100, seed
     Weights are drawn per (replicate, document), separately per period because the
     period is fixed per document.  Zeros only enter the weight sums.
     """
-    spark = res.docs.sparkSession
-    wcol = poisson1_weight(uniform(seed, F.col("rep"), F.col(doc)))
-    den = (with_replicates(res.docs.select(doc, period), n_boot).withColumn("w", wcol)
-           .groupBy("rep").agg(F.sum(F.when(F.col(period) == 1, F.col("w"))).alias("w_pre"),
-                               F.sum(F.when(F.col(period) == 0, F.col("w"))).alias("w_post")))
-    vals = term_values(res, terms).select("term", doc, period, "tfidf")
-    num = (with_replicates(vals, n_boot).withColumn("w", wcol)
-           .groupBy("term", "rep").agg(
-               F.sum(F.when(F.col(period) == 1, F.col("w") * F.col("tfidf")).otherwise(0.0)).alias("x_pre"),
-               F.sum(F.when(F.col(period) == 0, F.col("w") * F.col("tfidf")).otherwise(0.0)).alias("x_post")))
-    tdf = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-    full = with_replicates(tdf, n_boot).join(num, ["term", "rep"], "left").na.fill(0.0, ["x_pre", "x_post"])
-    j = full.join(den, "rep")
+    res = tested_values(res, terms, doc, period)
+    cdf = np.array(poisson1_cdf())
+    num, den = replicate_sums(res, n_boot, seed, lambda u, _: np.searchsorted(cdf, u / TWO52, side="right"), doc, period, by_period=True)
+    arm = lambda a: F.sum(F.when(F.col("arm") == a, F.col("s")))
+    den = den.groupBy("rep").agg(arm(1).alias("w_pre"), arm(0).alias("w_post"))
+    j = (num.groupBy("term", "rep").agg(arm(1).alias("x_pre"), arm(0).alias("x_post"))
+         .na.fill(0.0, ["x_pre", "x_post"]).join(den, "rep"))
     d = F.try_divide("x_post", "w_post") - F.try_divide("x_pre", "w_pre")
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     out = j.groupBy("term").agg(F.percentile(d, lo).alias("ci_lower"), F.percentile(d, hi).alias("ci_upper"))
@@ -260,6 +356,7 @@ def term_significance(res: TfidfResult, terms: Sequence[str], n_perm: int = 1000
 
     ``perm_method``: ``exact`` (fixed-size label shuffles, as the reference) or
     ``bernoulli`` (independent labels; one pass fewer)."""
+    res = tested_values(res, terms, "doc_id", period)
     obs = observed(res, terms, period).select("term", "pre_mean", "post_mean", "difference", "percent_change")
     mw = mann_whitney(res, terms, period).select("term", "mw_pvalue")
     if perm_method == "exact":

@@ -38,6 +38,7 @@ class TfidfResult:
     vocab: DataFrame        # term, df, total_count, idf
     long: DataFrame         # doc, period columns, term, tf, tfidf (non-zero entries only)
     docs: DataFrame         # doc, period columns (all documents, incl. those without terms)
+    weighted: DataFrame | None = None   # doc, period columns, _w (term, tf, w), _norm: ``long`` before its explode
 
 
 def doc_tokens(docs: DataFrame, doc: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -139,7 +140,7 @@ def tfidf(docs: DataFrame, doc: str = "doc_id", text: str = "processed_text",
     long = (scored.select(doc, *keep, "_norm", F.explode_outer("_w").alias("t")).where(F.col("t").isNotNull())
                   .select(doc, *keep, F.col("t.term").alias("term"), F.col("t.tf").alias("tf"),
                           (F.col("t.w") / F.col("_norm")).alias("tfidf")))
-    return TfidfResult(vocab=vocab, long=long, docs=all_docs)
+    return TfidfResult(vocab=vocab, long=long, docs=all_docs, weighted=scored)
 
 
 def term_shift(res: TfidfResult, period: str = "pre") -> DataFrame:
@@ -214,3 +215,21 @@ def term_values(res: TfidfResult, terms: list[str]) -> DataFrame:
     period counts).  ``terms`` is a short driver list (the tested terms), applied
     as an IN filter on the long table; unknown terms are simply absent."""
     return res.long.where(F.col("term").isin(list(terms)))
+
+
+def doc_values(res: TfidfResult, terms: list[str], doc: str = "doc_id", period: str = "pre") -> DataFrame:
+    """The values of chosen terms with all terms of a document in one row: doc, period,
+    ``n`` (1, or 0 if the document is counted in another row), ``at`` (places in ``terms``)
+    and ``value``.  Narrow for a fitted result; else the long table is grouped by document."""
+    known = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    place = lambda term: (F.array_position(known, term) - 1).cast("int")
+    if res.weighted is not None:
+        kept = F.filter("_w", lambda t: t["term"].isin(list(terms)))
+        rows = res.weighted.select(doc, period, "_norm", kept.alias("_k"))
+        return rows.select(doc, period, F.lit(1).alias("n"), F.transform("_k", lambda t: place(t["term"])).alias("at"),
+                           F.transform("_k", lambda t: t["w"] / F.col("_norm")).alias("value"))
+    found = (term_values(res, terms).groupBy(doc, period, place(F.col("term")).alias("at")).agg(F.sum("tfidf").alias("value"))
+             .groupBy(doc, period).agg(F.collect_list(F.struct("at", "value")).alias("v"))
+             .select(doc, period, F.lit(0).alias("n"), F.col("v.at").alias("at"), F.col("v.value").alias("value")))
+    none = [F.array().cast("array<int>").alias("at"), F.array().cast("array<double>").alias("value")]
+    return res.docs.select(doc, period, F.lit(1).alias("n"), *none).unionByName(found)
